@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a scan has fewer partitions than the cluster has slots.
+
+    A small file is one row group and so one task, however heavy its texts are.
+    Tables that already fill the cluster are left where they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > slots else df.repartition(slots)
+
+
 def digest(text: Column) -> Column:
     """Short stand-in for a whole text in a result."""
     return F.md5(text.cast("binary"))
