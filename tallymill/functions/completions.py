@@ -285,19 +285,21 @@ def body_after_entry(text: Column, name: Column) -> Column:
     )
 
 
+def _called_outside_comments(program: Column, mark: str) -> Column:
+    return t.contains(program, mark) & F.exists(
+        t.lines(program),
+        lambda line: t.contains(line, mark) & ~F.startswith(t.strip(line), F.lit("//")),
+    )
+
+
 def _go_imports(program: Column) -> Column:
     """Import block for packages used outside comment lines but not quoted yet."""
     used = []
     for package in fixed.GO_PACKAGES:
         name = package.rsplit("/", 1)[-1]
-        on_line = F.exists(
-            t.lines(program),
-            lambda line, mark=name + ".": t.contains(line, mark)
-            & ~F.startswith(t.strip(line), F.lit("//")),
-        )
         missing = ~t.contains(program, f'"{package}"')
-        mention = t.contains(program, name + ".")
-        used.append(F.when(missing & mention & on_line, F.lit(f'    "{name}"')))
+        call = _called_outside_comments(program, name + ".")
+        used.append(F.when(missing & call, F.lit(f'    "{name}"')))
     block = F.array_distinct(F.array_compact(F.array(*used)))
     return F.when(
         F.size(block) > 0,
