@@ -56,13 +56,13 @@ def ngrams(words: Column, order: int) -> Column:
 
 def all_ngrams(words: Column, orders: int = ORDERS) -> Column:
     """N-grams of every order as one array of ``(order, ngram)``."""
-    return F.flatten(F.array(*[
-        F.transform(
-            ngrams(words, k),
-            lambda g, k=k: F.struct(F.lit(k).alias("order"), g.alias("ngram")),
+
+    def of_order(k: int) -> Column:
+        return F.transform(
+            ngrams(words, k), lambda g: F.struct(F.lit(k).alias("order"), g.alias("ngram"))
         )
-        for k in range(1, orders + 1)
-    ]))
+
+    return F.flatten(F.array(*[of_order(k) for k in range(1, orders + 1)]))
 
 
 def ngram_rows(df: DataFrame, keys: Sequence[str], words: Column) -> DataFrame:

@@ -77,9 +77,11 @@ def library_mode(library: str, mode: str) -> str:
     return "Completion" if library == "Matplotlib" else mode
 
 
-def explode_descriptions(
-    descriptions: DataFrame, problems: DataFrame, key: str, column: str = "descriptions"
-) -> DataFrame:
-    """One row per description candidate of each problem."""
-    listed = descriptions.select(key, F.posexplode(column).alias("candidate", "description"))
-    return listed.join(problems, key)
+def first_seeds(df: DataFrame, seed: str, count: int) -> DataFrame:
+    """Keep the perturbation seeds below ``count``."""
+    return df.where(F.col(seed) < count)
+
+
+def explode_descriptions(descriptions: DataFrame, problems: DataFrame, key: str) -> DataFrame:
+    """Problems once per description; candidates are rows, never one list."""
+    return descriptions.join(problems, key)
