@@ -98,16 +98,27 @@ def status(
         "timed_out": timed_out, "exit_code": exit_code,
         "stdout": F.coalesce(stdout, F.lit("")), "stderr": F.coalesce(stderr, F.lit("")),
     }
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, rules in BUILD_RULES.items():
-        for rule, verdict in rules:
-            here = (language == name) & (phase == "build")
-            out = out.when(here & _holds(rule, columns), F.lit(verdict))
-    out = out.when(phase == "build", F.lit(None).cast("string"))
-    for name, rules in RUN_RULES.items():
-        for rule, verdict in rules:
-            out = out.when((language == name) & _holds(rule, columns), F.lit(verdict))
-    return out.otherwise(F.lit("Exception"))
+    # Every fact is worked out once; the evaluator's rules are then looked up.
+    names = {rule for rules in (RUN_RULES, BUILD_RULES) for r in rules.values() for rule, _ in r}
+    facts = F.array_compact(F.array(*[
+        F.when(_holds(name, columns), F.lit(name)) for name in sorted(names)
+    ]))
+    tables = {f"run {name}": rules for name, rules in RUN_RULES.items()}
+    tables.update({f"build {name}": rules for name, rules in BUILD_RULES.items()})
+    rules = F.create_map(*[x for name, steps in tables.items() for x in (
+        F.lit(name),
+        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("status")) for r, v in steps]),
+    )])
+    mine = F.try_element_at(rules, F.concat_ws(" ", phase, language))
+
+    def first_hit(row: Column) -> Column:
+        hit = F.filter(row["rules"], lambda step: F.array_contains(row["facts"], step["rule"]))
+        return F.get(hit, F.lit(0))["status"]
+
+    # A one-element array binds the facts, so the lambda does not repeat them.
+    bound = F.array(F.struct(mine.alias("rules"), facts.alias("facts")))
+    verdict = F.get(F.transform(bound, first_hit), F.lit(0))
+    return F.coalesce(verdict, F.when(phase != "build", F.lit("Exception")))
 
 
 def captured(text: Column, drop: str = "") -> Column:

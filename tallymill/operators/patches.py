@@ -1,12 +1,12 @@
 """Diff documents: fields, hunks, lenient application and validity states.
 
-Every step is a column expression over one document, so a table of diffs is
-handled without any shuffle.
+Every step works inside one document, so a table of diffs needs no shuffle.
+Hunks are parsed once into a column and then read by the later steps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as t
@@ -16,7 +16,7 @@ NAME, FILE, MESSAGE, DIFF = "<NME> ", "\n<BEF> ", "\n<MSG> ", "\n<DFF> "
 NEW_FILE = "ADDFILE"
 NO_NEWLINE = r"(?md)^\\ No newline at end of file$\n?"
 HUNK_HEADER = r"(?md)^(@@ [^\n]*? @@)[^\n]*\n"
-LINE_NUMBERS = r"\A@@ -(\d*),*?(\d*?) \+(\d*),*?(\d*?) @@"
+LINE_NUMBERS = r"\A@@ -(\d+),*?(\d*?) \+(\d+),*?(\d*?) @@"
 STATES = {
     0: "VALID", 1: "INVALID_TEXT", 2: "INVALID_LINE_NUM",
     3: "INVALID_TEXT_AND_LINE_NUM", 4: "BAD_FORMAT", 5: "BAD_DIFF_HUNK_FORMAT",
@@ -53,19 +53,18 @@ def fields(text: Column) -> Column:
     return F.when(whole, parts)
 
 
-def _number(info: Column, group: int, default: str = "") -> Column:
-    digits = F.regexp_extract(info, LINE_NUMBERS, group)
-    digits = F.coalesce(F.nullif(digits, F.lit("")), F.lit(default))
-    return digits.try_cast("long")
-
-
 def line_info(info: Column) -> Column:
     """Old start and size, new start and size; null without both starts."""
-    numbers = F.struct(
-        _number(info, 1).alias("x"), _number(info, 2, "1").alias("y"),
-        _number(info, 3).alias("a"), _number(info, 4, "1").alias("b"),
-    )
-    return F.when(numbers["x"].isNotNull() & numbers["a"].isNotNull(), numbers)
+
+    def number(group: int, default: str = "") -> Column:
+        digits = F.regexp_extract(info, LINE_NUMBERS, group)
+        filled = F.coalesce(F.nullif(digits, F.lit("")), F.lit(default)) if default else digits
+        return filled.try_cast("long")
+
+    return F.when(info.rlike(LINE_NUMBERS), F.struct(
+        number(1).alias("x"), number(2, "1").alias("y"),
+        number(3).alias("a"), number(4, "1").alias("b"),
+    ))
 
 
 def _side(body: Column, sign: str) -> Column:
@@ -86,7 +85,9 @@ def after_lines(body: Column) -> Column:
 
 def has_bad_line(body: Column) -> Column:
     """A line that is not empty and starts with none of blank, plus, minus."""
-    return F.exists(t.lines(body), lambda line: line.rlike(r"\A[^ +\-]"))
+    return F.exists(
+        t.lines(body), lambda line: ~F.left(line, F.lit(1)).isin("", " ", "+", "-")
+    )
 
 
 def hunks(diff: Column) -> Column:
@@ -108,6 +109,16 @@ def hunks(diff: Column) -> Column:
     return F.when(front == "", plain).otherwise(shifted)
 
 
+def parsed(diff: Column) -> Column:
+    """Hunks as ``(info, before, after, bad)`` with line arrays."""
+    return F.transform(hunks(diff), lambda h: F.struct(
+        line_info(h["info"]).alias("info"),
+        before_lines(h["body"]).alias("before"),
+        after_lines(h["body"]).alias("after"),
+        has_bad_line(h["body"]).alias("bad"),
+    ))
+
+
 def _replace_once(text: Column, before: Column, after: Column, pointer: Column) -> Column:
     """Replace the next match if it ends a line; state ``(text, pointer)``."""
     at = t.find(text, before, pointer + 1)
@@ -121,37 +132,36 @@ def _replace_once(text: Column, before: Column, after: Column, pointer: Column)
     )
 
 
-def apply_hunks(file: Column, diff: Column) -> Column:
-    """Apply hunks in order, always moving forward, and skip what does not fit."""
-    found = hunks(without_notes(diff))
+def _forward(file: Column, found: Column) -> Column:
+    """Fold the hunks over the file, always moving forward."""
+    texts = F.transform(found, lambda h: F.struct(
+        F.array_join(h["before"], "\n").alias("before"),
+        F.array_join(h["after"], "\n").alias("after"),
+    ))
     start = F.struct(file.alias("text"), F.lit(0).alias("pointer"))
 
     def step(state: Column, hunk: Column) -> Column:
-        before = F.array_join(before_lines(hunk["body"]), "\n")
-        after = F.array_join(after_lines(hunk["body"]), "\n")
         on_top = F.struct(
-            F.concat(after, F.lit("\n"), state["text"]).alias("text"),
+            F.concat(hunk["after"], F.lit("\n"), state["text"]).alias("text"),
             F.lit(1).alias("pointer"),
         )
         return (
-            F.when((before == "") & (state["pointer"] != 0), state)
-            .when(before == "", on_top)
-            .otherwise(_replace_once(state["text"], before, after, state["pointer"]))
+            F.when((hunk["before"] == "") & (state["pointer"] != 0), state)
+            .when(hunk["before"] == "", on_top)
+            .otherwise(_replace_once(
+                state["text"], hunk["before"], hunk["after"], state["pointer"]
+            ))
         )
 
-    patched = F.aggregate(found, start, step, lambda state: state["text"])
-    created = F.array_join(after_lines(F.get(found, F.lit(0))["body"]), "\n")
-    return F.when((file == NEW_FILE) & (F.size(found) > 0), created).otherwise(patched)
+    return F.aggregate(texts, start, step, lambda state: state["text"])
 
 
-def apply_by_line(file: Column, diff: Column) -> Column:
-    """Apply hunks at their line numbers; hunks that do not match are skipped."""
-    found = hunks(without_notes(diff))
+def _by_line(file: Column, found: Column) -> Column:
+    """Fold the hunks over the lines of the file at their line numbers."""
     start = F.struct(t.lines(file).alias("lines"), F.lit(0).cast("long").alias("offset"))
 
     def step(state: Column, hunk: Column) -> Column:
-        info = line_info(hunk["info"])
-        before, after = before_lines(hunk["body"]), after_lines(hunk["body"])
+        info, before, after = hunk["info"], hunk["before"], hunk["after"]
         lines, at = state["lines"], info["x"] + state["offset"]
         seen = F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), info["y"].cast("int"))
         same = F.forall(
@@ -159,7 +169,7 @@ def apply_by_line(file: Column, diff: Column) -> Column:
             lambda x: x,
         )
         fits = F.coalesce(
-            (at >= 0) & ((at == 0) | same) & (F.size(before) == info["y"]), F.lit(False)
+            (at >= 0) & (F.size(before) == info["y"]) & ((at == 0) | same), F.lit(False)
         )
         spliced = F.concat(
             F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")),
@@ -176,60 +186,86 @@ def apply_by_line(file: Column, diff: Column) -> Column:
         )
         return F.when(fits, moved).otherwise(state)
 
-    patched = F.array_join(F.aggregate(found, start, step, lambda s: s["lines"]), "\n")
-    # A new file cannot be reached by line numbers: it comes out empty.
-    return F.when((file == NEW_FILE) & (F.size(found) > 0), F.lit("")).otherwise(patched)
+    return F.array_join(F.aggregate(found, start, step, lambda s: s["lines"]), "\n")
 
 
-def validity(text: Column) -> Column:
-    """State bits of a whole diff document."""
-    parts = fields(without_notes(text))
-    file, found = parts["file"], hunks(parts["diff"])
+def apply_diffs(
+    df: DataFrame, file: str, diff: str, into: str, use_line_number: bool = False
+) -> DataFrame:
+    """Patch ``file`` with ``diff`` as far as its hunks fit.
 
-    def before(h: Column) -> Column:
-        return F.array_join(before_lines(h["body"]), "\n")
+    A new-file mark is replaced by the first hunk, or by nothing when line
+    numbers are asked for.
+    """
+    found = F.col("__hunks")
+    staged = df.withColumn("__hunks", parsed(without_notes(F.col(diff))))
+    created = (F.col(file) == NEW_FILE) & (F.size(found) > 0)
+    if use_line_number:
+        made, patched = F.lit(""), _by_line(F.col(file), found)
+    else:
+        made = F.array_join(F.get(found, F.lit(0))["after"], "\n")
+        patched = _forward(F.col(file), found)
+    return staged.withColumn(into, F.when(created, made).otherwise(patched)).drop("__hunks")
+
+
+def _misplaced(file: Column, before: Column) -> Column:
+    """The text is absent, or its first place does not end a line."""
+    at = t.find(file, before)
+    end = at + F.length(before)
+    ends_line = (end > F.length(file)) | (F.substr(file, end, F.lit(1)) == "\n")
+    return (at == 0) | ~ends_line
 
-    def after(h: Column) -> Column:
-        return F.array_join(after_lines(h["body"]), "\n")
 
-    def bad_numbers(h: Column) -> Column:
-        return line_info(h["info"]).isNull()
+def _line_total(lines: Column) -> Column:
+    """Lines of the joined text; no lines still read as one empty line."""
+    return F.greatest(F.size(lines), F.lit(1))
 
-    def misplaced(h: Column) -> Column:
-        at = t.find(file, before(h))
-        end = at + F.length(before(h))
-        ends_line = (end > F.length(file)) | (F.substr(file, end, F.lit(1)) == "\n")
-        return (at == 0) | ~ends_line
+
+def validity(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add the state bits of whole diff documents."""
+    parts, found = F.col("__parts"), F.col("__hunks")
+    staged = df.withColumn("__parts", fields(without_notes(F.col(text)))).withColumn(
+        "__hunks", parsed(parts["diff"])
+    )
 
     def miscounted(h: Column) -> Column:
-        info = line_info(h["info"])
-        sizes = (t.line_count(before(h)) == info["y"]) & (t.line_count(after(h)) == info["b"])
+        info = h["info"]
+        sizes = (_line_total(h["before"]) == info["y"]) & (_line_total(h["after"]) == info["b"])
         return (info["x"] <= 0) | ~sizes
 
     def bit(flag: Column, value: int) -> Column:
         return F.when(flag, F.lit(value)).otherwise(F.lit(0))
 
-    no_numbers = F.exists(found, bad_numbers)
-    bad_lines = F.exists(found, lambda h: has_bad_line(h["body"]))
     first = F.get(found, F.lit(0))
-    info = line_info(first["info"])
+    info = first["info"]
     created = F.coalesce(
         (F.size(found) == 1)
         & F.startswith(parts["diff"], F.lit("@@ "))
-        & ~has_bad_line(first["body"])
+        & ~first["bad"]
         & (info["x"] == 0) & (info["y"] == 0) & (info["a"] == 1)
-        & (info["b"] == t.line_count(after(first)))
-        & (before(first) == ""),
+        & (info["b"] == _line_total(first["after"]))
+        & (F.array_join(first["before"], "\n") == ""),
         F.lit(False),
     )
-    return (
+    checked = staged.withColumn(
+        "__numbers", F.exists(found, lambda h: h["info"].isNull())
+    ).withColumn("__bad", F.exists(found, lambda h: h["bad"]))
+    unplaced = F.exists(
+        found, lambda h: _misplaced(parts["file"], F.array_join(h["before"], "\n"))
+    )
+    state = (
         F.when(parts.isNull(), F.lit(4))
-        .when((file == NEW_FILE) & (F.size(found) > 0), F.when(created, 0).otherwise(6))
-        .when(no_numbers | bad_lines, 4 + bit(bad_lines, 1) + bit(no_numbers, 2))
-        .otherwise(
-            bit(F.exists(found, misplaced), 1) + bit(F.exists(found, miscounted), 2)
+        .when(
+            (parts["file"] == NEW_FILE) & (F.size(found) > 0),
+            F.when(created, F.lit(0)).otherwise(F.lit(6)),
+        )
+        .when(
+            F.col("__numbers") | F.col("__bad"),
+            4 + bit(F.col("__bad"), 1) + bit(F.col("__numbers"), 2),
         )
+        .otherwise(bit(unplaced, 1) + bit(F.exists(found, miscounted), 2))
     )
+    return checked.withColumn(into, state).drop("__parts", "__hunks", "__numbers", "__bad")
 
 
 def state_name(bits: Column) -> Column:
