@@ -20,8 +20,10 @@ def drop_prompt(completion: Column, prompt: Column) -> Column:
 def stop_position(text: Column, stops: Sequence[str] | Column) -> Column:
     """Earliest position of any stop string, or null."""
     if isinstance(stops, Column):
-        hits = F.transform(stops, lambda w: F.call_function("position", w, text))
-        return F.array_min(F.filter(hits, lambda p: p > 0))
+        return t.let(text, lambda bound: F.array_min(F.filter(
+            F.transform(stops, lambda w: F.call_function("position", w, bound)),
+            lambda p: p > 0,
+        )))
     hits = [F.nullif(t.find(text, word), F.lit(0)) for word in stops]
     if not hits:
         return F.lit(None).cast("int")
@@ -85,23 +87,38 @@ def _to_last_brace(text: Column) -> Column:
     ).otherwise(text)
 
 
+def _without_main(text: Column) -> Column:
+    main = t.find(text, "public static void main")
+    return F.when(main > 0, F.concat(F.left(text, main - 1), F.lit("}"))).otherwise(text)
+
+
+def _close_class(text: Column) -> Column:
+    short = t.count_of(text, "{") - 1 == t.count_of(text, "}")
+    return F.when(short, F.concat(text, F.lit("\n}"))).otherwise(text)
+
+
+def _indented_head(text: Column) -> Column:
+    head = t.unindented_head(text, blanks_inside=True)
+    trimmed = F.left(head, F.greatest(F.length(head) - 1, F.lit(0)))
+    return F.coalesce(trimmed, text)
+
+
 def cut_function(text: Column, language: str, stops: Sequence[str]) -> Column:
     """Keep the completed function of a language."""
     text = truncate_in_order(text, stops)
     if language == "python":
-        head = t.unindented_head(text, blanks_inside=True)
-        trimmed = F.left(head, F.greatest(F.length(head) - 1, F.lit(0)))
-        return F.coalesce(trimmed, text)
-    cut = _closing_cut(text, _open_braces(language))
+        return t.let(text, _indented_head)
+    repairs = [_to_last_brace]
     if language == "java":
-        main = t.find(text, "public static void main")
-        rest = F.when(main > 0, F.concat(F.left(text, main - 1), F.lit("}"))).otherwise(text)
-        rest = _to_last_brace(rest)
-        short = t.count_of(rest, "{") - 1 == t.count_of(rest, "}")
-        rest = F.when(short, F.concat(rest, F.lit("\n}"))).otherwise(rest)
-    else:
-        rest = _to_last_brace(text)
-    return F.when(cut.isNotNull(), F.left(text, cut)).otherwise(rest)
+        repairs = [_without_main, _to_last_brace, _close_class]
+
+    def balanced(code: Column) -> Column:
+        cut = _closing_cut(code, _open_braces(language))
+        return t.let(cut, lambda at: F.when(at.isNotNull(), F.left(code, at)).otherwise(
+            t.chain(code, *repairs)
+        ))
+
+    return t.let(text, balanced)
 
 
 def is_complete(text: Column, language: str, stops: Sequence[str], style: str = "") -> Column:
@@ -164,16 +181,18 @@ def function_window(text: Column, context: Column, name: Column, stops: Sequence
     define = F.concat(F.lit("def "), name)
     at = t.find(context, define)
     imports = F.left(context, F.when(at > 0, at - 1).otherwise(F.length(context) - 1))
-    code = truncate(after_fence(text), stops)
-    start = F.greatest(t.find(code, define), F.lit(1))
-    body = F.substr(code, start)
-    last_return = F.greatest(t.rfind(body, "  return "), F.lit(1))
-    line_end = t.find(code, "\n", start + last_return - 1)
-    end = F.when(line_end > 0, line_end).otherwise(F.length(code) + 1)
-    fence = t.find(code, "```")
-    end = F.when(fence > 0, F.least(end, fence)).otherwise(end)
-    window = F.substr(code, start, F.greatest(end - start, F.lit(0)))
-    return F.concat(t.strip(imports), F.lit("\n"), window)
+
+    def window(code: Column) -> Column:
+        start = F.greatest(t.find(code, define), F.lit(1))
+        last_return = F.greatest(t.rfind(F.substr(code, start), "  return "), F.lit(1))
+        line_end = t.find(code, "\n", start + last_return - 1)
+        fence = t.find(code, "```")
+        end = F.when(line_end > 0, line_end).otherwise(F.length(code) + 1)
+        end = F.when(fence > 0, F.least(end, fence)).otherwise(end)
+        return F.substr(code, start, F.greatest(end - start, F.lit(0)))
+
+    code = t.chain(text, after_fence, lambda x: truncate(x, stops))
+    return F.concat(t.strip(imports), F.lit("\n"), t.let(code, window))
 
 
 def definition_body(text: Column, name: Column, stops: Sequence[str]) -> Column:
@@ -185,24 +204,37 @@ def definition_body(text: Column, name: Column, stops: Sequence[str]) -> Column:
     ).otherwise(code)
 
 
-def chat_code(text: Column) -> Column:
-    """Code out of a chat answer: marker, fence, guard, usage and greeting."""
-    text = t.after_last(text, "### Response:")
-    text = t.before(F.replace(text, F.lit("\t"), F.lit("    ")), "</s>")
+def _opened_fence(text: Column) -> Column:
+    """Content of a python fence; an unclosed one runs to the end."""
     fence = t.find(text, "```python")
     opened = F.replace(t.strip(F.substr(text, fence)), F.lit("```python"), F.lit(""))
-    closed = t.strip(t.before(opened, "```"))
-    text = F.when(
-        fence > 0, F.when(t.contains(opened, "```"), closed).otherwise(opened)
+    inner = F.when(
+        t.contains(opened, "```"), t.strip(t.before(opened, "```"))
+    ).otherwise(opened)
+    return F.when(fence > 0, inner).otherwise(text)
+
+
+def _cut_at(mark: str):
+    return lambda text: F.when(
+        t.contains(text, mark), t.strip(t.before(text, mark))
     ).otherwise(text)
-    guard = 'if __name__ == "__main__":'
-    text = F.when(t.contains(text, guard), t.strip(t.before(text, guard))).otherwise(text)
-    usage = "# Example usage"
-    text = F.when(t.contains(text, usage), t.strip(t.before(text, usage))).otherwise(text)
+
+
+def _without_greeting(text: Column) -> Column:
     rest = F.when(t.contains(text, "\n"), t.after(text, "\n")).otherwise(F.lit(""))
     return F.when(F.startswith(text, F.lit("Here's")), rest).otherwise(text)
 
 
+def chat_code(text: Column) -> Column:
+    """Code out of a chat answer: marker, fence, guard, usage and greeting."""
+    text = t.after_last(text, "### Response:")
+    text = t.before(F.replace(text, F.lit("\t"), F.lit("    ")), "</s>")
+    return t.chain(
+        text, _opened_fence, _cut_at('if __name__ == "__main__":'),
+        _cut_at("# Example usage"), _without_greeting,
+    )
+
+
 def infill_middle(text: Column, family: str, specials: Sequence[str] = ()) -> Column:
     """The infilled middle of a completion, without special tokens."""
     _, to_suffix, to_middle, end = fixed.INFILL_MARKS[family]
@@ -231,13 +263,22 @@ def doc_line(text: Column, language: str) -> Column:
 
 def doc_line_left(text: Column) -> Column:
     """First line of a description that may sit inside triple quotes."""
-    line = t.strip(t.first_line(t.strip(text)))
-    for mark in ('"""', "'''"):
-        found = t.contains(text, mark)
-        text = F.when(found, t.after(text, mark)).otherwise(text)
-        inner = t.before(t.strip(t.first_line(t.strip(text))), mark)
-        line = F.when(found, inner).otherwise(line)
-    return line
+
+    def shown(rest: Column) -> Column:
+        return t.strip(t.first_line(t.strip(rest)))
+
+    def inside(mark: str):
+        def step(state: Column) -> Column:
+            found = t.contains(state["rest"], mark)
+            rest = t.after(state["rest"], mark)
+            return F.struct(
+                F.when(found, rest).otherwise(state["rest"]).alias("rest"),
+                F.when(found, t.before(shown(rest), mark)).otherwise(state["line"]).alias("line"),
+            )
+        return step
+
+    start = F.struct(text.alias("rest"), shown(text).alias("line"))
+    return t.chain(start, inside('"""'), inside("'''"))["line"]
 
 
 def description(text: Column, limit: Column, stops: Sequence[str], solution: Column) -> Column:
@@ -294,17 +335,21 @@ def _called_outside_comments(program: Column, mark: str) -> Column:
 
 def _go_imports(program: Column) -> Column:
     """Import block for packages used outside comment lines but not quoted yet."""
-    used = []
-    for package in fixed.GO_PACKAGES:
-        name = package.rsplit("/", 1)[-1]
-        missing = ~t.contains(program, f'"{package}"')
-        call = _called_outside_comments(program, name + ".")
-        used.append(F.when(missing & call, F.lit(f'    "{name}"')))
-    block = F.array_distinct(F.array_compact(F.array(*used)))
-    return F.when(
-        F.size(block) > 0,
-        F.concat(F.lit("import (\n"), F.array_join(block, "\n"), F.lit("\n)\n")),
-    ).otherwise(F.lit(""))
+
+    def block(code: Column) -> Column:
+        used = []
+        for package in fixed.GO_PACKAGES:
+            name = package.rsplit("/", 1)[-1]
+            missing = ~t.contains(code, f'"{package}"')
+            call = _called_outside_comments(code, name + ".")
+            used.append(F.when(missing & call, F.lit(f'    "{name}"')))
+        names = F.array_distinct(F.array_compact(F.array(*used)))
+        return F.when(
+            F.size(names) > 0,
+            F.concat(F.lit("import (\n"), F.array_join(names, "\n"), F.lit("\n)\n")),
+        ).otherwise(F.lit(""))
+
+    return t.let(program, block)
 
 
 def _go_setup(setup: Column, code: Column) -> Column:
@@ -337,11 +382,13 @@ def program(
         empty = F.lit("public class Main {\n    }")
         return t.strip(F.replace(text, empty, F.lit("")))
     if language == "go":
-        head = _go_setup(F.concat(setup, F.lit("\n")), text)
-        imports = _go_imports(F.concat(head, text, F.lit("\n"), reference))
-        both = t.contains(text, "package main") & t.contains(head, "package main")
-        body = F.when(both, F.replace(text, F.lit("package main"), F.lit(""))).otherwise(text)
-        return F.concat(head, imports, body)
+        def assembled(head: Column) -> Column:
+            imports = _go_imports(F.concat(head, text, F.lit("\n"), reference))
+            both = t.contains(text, "package main") & t.contains(head, "package main")
+            body = F.when(both, F.replace(text, F.lit("package main"), F.lit(""))).otherwise(text)
+            return F.concat(head, imports, body)
+
+        return t.let(_go_setup(F.concat(setup, F.lit("\n")), text), assembled)
     if language == "rust":
         trimmed = F.transform(t.lines(declaration), t.strip)
         missing = F.filter(

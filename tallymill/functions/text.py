@@ -7,7 +7,8 @@ only spaces, so the trimming helpers name the whole blank set.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,20 @@ def as_column(value: Text) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Work out ``value`` once and use it in ``body``.
+
+    Builders that mention a column many times would otherwise repeat its whole
+    expression at every mention, and once per element inside a lambda.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Apply steps in order, each on a bound value."""
+    return reduce(let, steps, value)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 

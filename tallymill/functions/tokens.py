@@ -52,7 +52,8 @@ def rewrite_table() -> dict[str, str]:
         if sign not in ("ellipsis", "not in", "is not")
     }
     operators["..."] = "<ellipsis>"
-    table.update({"not in": "<notin>", "is not": "<isnot>"})
+    for gap in (" ", "\t"):
+        table.update({f"not{gap}in": "<notin>", f"is{gap}not": "<isnot>"})
     return {**table, **leading, **operators}
 
 
@@ -125,17 +126,19 @@ def _lookup(table: dict[str, str]) -> Column:
 
 def _rewritten(lexeme: Column) -> Column:
     table = rewrite_table()
-    leads = F.startswith(lexeme, F.lit("\n"))
-    word = F.when(leads, F.ltrim(lexeme, F.lit("\n \t"))).otherwise(lexeme)
-    key = F.when(leads, F.concat(F.lit("\n"), word)).otherwise(
-        F.replace(lexeme, F.lit("\t"), F.lit(" "))
-    )
+    inline = {key: token for key, token in table.items() if not key.startswith("\n")}
+    leading = {key[1:]: token for key, token in table.items() if key.startswith("\n")}
+    # Two set tests settle most lexemes before a map is searched.
+    word = F.ltrim(lexeme, F.lit("\n \t"))
     head = F.left(lexeme, F.length(lexeme) - F.length(word))
-    # The set test rejects most lexemes before the map is searched.
-    return F.when(
-        key.isin(list(table)),
-        F.concat(head, F.try_element_at(_lookup(table), key)),
+    started = F.when(
+        word.isin(list(leading)), F.concat(head, F.try_element_at(_lookup(leading), word))
     ).otherwise(lexeme)
+    return (
+        F.when(lexeme.isin(list(inline)), F.try_element_at(_lookup(inline), lexeme))
+        .when(F.startswith(lexeme, F.lit("\n")), started)
+        .otherwise(lexeme)
+    )
 
 
 def rewrite_vocabulary(text: Column) -> Column:

@@ -57,12 +57,14 @@ def ngrams(words: Column, order: int) -> Column:
 def all_ngrams(words: Column, orders: int = ORDERS) -> Column:
     """N-grams of every order as one array of ``(order, ngram)``."""
 
-    def of_order(k: int) -> Column:
+    def of_order(bound: Column, k: int) -> Column:
         return F.transform(
-            ngrams(words, k), lambda g: F.struct(F.lit(k).alias("order"), g.alias("ngram"))
+            ngrams(bound, k), lambda g: F.struct(F.lit(k).alias("order"), g.alias("ngram"))
         )
 
-    return F.flatten(F.array(*[of_order(k) for k in range(1, orders + 1)]))
+    return t.let(words, lambda bound: F.flatten(
+        F.array(*[of_order(bound, k) for k in range(1, orders + 1)])
+    ))
 
 
 def ngram_rows(df: DataFrame, keys: Sequence[str], words: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.functions import text as t
+
 
 def cancel(edits: DataFrame, cancelled: DataFrame) -> DataFrame:
     """Remove every edit equal to a cancelled one."""
@@ -12,23 +14,58 @@ def cancel(edits: DataFrame, cancelled: DataFrame) -> DataFrame:
     return edits.join(cancelled.select(*keys).distinct(), keys, "left_anti")
 
 
+CHUNK = 1024  # characters of a text piece
+RUN = 512  # edits folded before their output joins the whole
+
+
+def _piece(chunks: Column, low: Column, high: Column) -> Column:
+    """Characters ``[low, high)`` from the text pieces that hold them."""
+    first = F.floor(low / CHUNK).cast("int")
+    last = F.floor((high - 1) / CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(
+        high > low, F.substr(near, (low - first * CHUNK + 1).cast("int"), (high - low).cast("int"))
+    ).otherwise(F.lit(""))
+
+
 def _fold(text: Column, edits: Column) -> Column:
-    """Build the output left to right; an edit inside the last one is skipped."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, edit: Column) -> Column:
-        fits = edit["start"] >= acc["at"]
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (edit["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.when(fits, F.concat(acc["out"], gap, edit["new_str"]))
-            .otherwise(acc["out"]).alias("out"),
-            F.when(fits, edit["end"]).otherwise(acc["at"]).alias("at"),
+    """Build the output left to right; an edit inside the last one is skipped.
+
+    Positions are looked up in pieces of the text and output is joined in runs,
+    so the work grows with the text and its edits, not with their product.
+    """
+
+    def folded(row: Column) -> Column:
+        chunks, spans = row["chunks"], row["edits"]
+
+        def state(out: Column, at: Column) -> Column:
+            return F.struct(out.alias("out"), at.cast("long").alias("at"))
+
+        def step(acc: Column, edit: Column) -> Column:
+            gap = _piece(chunks, acc["at"], edit["start"])
+            return F.when(
+                edit["start"] >= acc["at"],
+                state(F.concat(acc["out"], gap, edit["new_str"]), edit["end"]),
+            ).otherwise(acc)
+
+        def run(acc: Column, index: Column) -> Column:
+            part = F.aggregate(
+                F.slice(spans, index * RUN + 1, F.lit(RUN)), state(F.lit(""), acc["at"]), step
+            )
+            return t.let(part, lambda p: state(F.concat(acc["out"], p["out"]), p["at"]))
+
+        runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
+        return F.aggregate(
+            runs, state(F.lit(""), F.lit(0)), run,
+            lambda acc: F.concat(acc["out"], _piece(chunks, acc["at"], row["length"])),
         )
 
-    return F.aggregate(
-        edits, state, step,
-        lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))),
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    bound = F.struct(
+        chunks.alias("chunks"), edits.alias("edits"),
+        F.length(text).cast("long").alias("length"),
     )
+    return t.let(bound, folded)
 
 
 def apply(docs: DataFrame, edits: DataFrame, text: str = "text") -> DataFrame:

@@ -14,12 +14,16 @@ from tallymill.functions import tokens as tok
 from tallymill.operators import corpus, edits, packing, selection
 from tallymill.operators.numbering import number_rows
 from tallymill.plans import sqlkit as k
-from tallymill.plans.registry import SOURCE, digest, query, table
+from tallymill.plans.registry import SOURCE, digest, query, spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: some with a meta line or a shebang."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "lang", "n_chars", F.expr(SOURCE).alias("content")
     )
 
@@ -78,7 +82,7 @@ def parseable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(array_to_string(w, chr(10))) AS tokens_md5
 FROM (SELECT doc_id, {k.words('text')} AS w FROM documents)""")
 def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tok.words(F.col("text")).alias("w"))
+    docs = documents(spark, sf_dir).select("doc_id", tok.words(F.col("text")).alias("w"))
     return docs.select(
         "doc_id", F.size("w").cast("long").alias("n_tokens"),
         digest(F.array_join("w", "\n")).alias("tokens_md5"),
@@ -169,7 +173,7 @@ GROUP BY token""")
 def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sorted vocabulary of overlapping lists, with how many hold it."""
     lists = [
-        table(spark, sf_dir, name).select(
+        spread(table(spark, sf_dir, name)).select(
             F.lit(name).alias("origin"), F.explode(tok.words(F.lower("text"))).alias("token")
         ) for name in ("documents", "conversations", "benchmark")
     ]
@@ -203,7 +207,7 @@ s AS (SELECT doc_id, string_agg('<outer' || i || '>' || substr(text, i * 40 + 21
 SELECT p.doc_id, md5(coalesce(head, '') || substr(text, n * 40 + 1)) AS body_md5
 FROM p LEFT JOIN s USING (doc_id)""")
 def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     edited = edits.apply(docs, derived_edits(docs))
     return edited.select("doc_id", digest(F.col("text")).alias("body_md5"))
 

@@ -339,7 +339,7 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join key is turn and conversation together, so a conversation with very
     many turns is spread over the tasks.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ref"))
     given = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("cand")
@@ -411,7 +411,7 @@ SELECT conv_id, CAST(len_c AS INTEGER) AS length, len_r AS reference_length, rou
 
 
 def _multi(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     first = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(
         F.min_by("text", "turn").alias("text")
     )
