@@ -22,6 +22,8 @@ def range_splits(df: DataFrame, key: str, ranges: int) -> list[float]:
 
     The limits steer the load only; any limits give the same row numbers.
     """
+    if ranges < 2:
+        return [float("-inf"), float("inf")]
     probes = [step / ranges for step in range(1, ranges)]
     cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
         key, probes, 0.1 / ranges
