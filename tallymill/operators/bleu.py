@@ -95,8 +95,11 @@ def clipped_counts(pairs: DataFrame, key: str) -> DataFrame:
         )
 
     sizes = ["length", "reference_length"]
+    # A fixed width: small texts would be merged into one task before they
+    # grow into n-grams.
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
-        pairs.select(key, "candidate", "reference").repartition(key)
+        pairs.select(key, "candidate", "reference").repartition(width, key)
         .select(
             key,
             F.size("candidate").alias("length"),

@@ -84,9 +84,8 @@ def apply(docs: DataFrame, edits: DataFrame, text: str = "text") -> DataFrame:
             F.col("new_str").alias("new_str"),
         ).alias("edit"),
     )
-    # Repeated spans would grow the list without changing the result.
-    first = spans.groupBy("doc_id", "edit.start", "edit.end").agg(F.min("edit").alias("edit"))
-    listed = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("edit")).alias("edits"))
+    # A set drops repeated edits; a text bounds the others.
+    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("edit")).alias("edits"))
     joined = docs.join(listed, "doc_id", "left")
     changed = F.when(F.col("edits").isNull(), F.col(text)).otherwise(
         _fold(F.col(text), F.col("edits"))

@@ -40,6 +40,30 @@ def with_range(df: DataFrame, key: str, splits: Sequence[float]) -> DataFrame:
     return keyed.withColumn(RANGE, F.col(RANGE).cast("int")).drop("__key")
 
 
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], at_least: int, most: int = 10_000
+) -> DataFrame | None:
+    """The largest key groups with at least ``at_least`` rows, or none.
+
+    One combining pass over the key columns. At most ``most`` groups come back,
+    whatever the data: any group left out holds under ``1 / most`` of the rows.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    top = sizes.where(F.col("__rows") >= at_least).orderBy(F.desc("__rows")).limit(most)
+    rows = top.select(*keys).collect()
+    return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
+
+
+def _ahead(totals: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Sum of the ranges in front of each range; a few rows for each group."""
+    front = Window.partitionBy(*groups).orderBy(RANGE).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    return totals.withColumn(
+        "__ahead", F.coalesce(F.sum(value).over(front), F.lit(0))
+    ).drop(value)
+
+
 def number_rows(
     df: DataFrame,
     key: str,
@@ -48,57 +72,56 @@ def number_rows(
     groups: Sequence[str] = (),
     ranges: int = 64,
     keys: DataFrame | None = None,
+    hot: int = 1_000_000,
 ) -> DataFrame:
     """Number rows from 1 by a unique numeric key, optionally per group.
 
     ``keys`` may be a cheaper table with the same key column for the limits.
-    Use about one range per few million rows on large tables.
+    Groups under ``hot`` rows fit one task and are numbered as they are; only
+    hot groups, or a table without groups, are cut into ranges. Use about one
+    range per few million rows.
     """
-    splits = range_splits(df if keys is None else keys, key, ranges)
-    cut = with_range(df, key, splits)
     groups = list(groups)
-    counts = cut.groupBy(*groups, RANGE).agg(F.count(F.lit(1)).alias("__rows"))
-    # One count per range and group: at most ``ranges`` rows for each group.
-    ahead = Window.partitionBy(*groups).orderBy(RANGE).rowsBetween(
-        Window.unboundedPreceding, -1
+    if groups:
+        large = hot_keys(df, groups, hot)
+        if large is None:
+            order = Window.partitionBy(*groups).orderBy(key)
+            return df.withColumn(into, F.row_number().over(order).cast("long"))
+        marked = df.join(
+            F.broadcast(large.withColumn("__hot", F.lit(True))),
+            [df[g].eqNullSafe(large[g]) for g in groups], "left",
+        ).select(df["*"], "__hot")
+    else:
+        marked = df.withColumn("__hot", F.lit(True))
+    splits = range_splits(df if keys is None else keys, key, ranges)
+    cut = with_range(marked, key, splits).withColumn(
+        RANGE, F.when(F.col("__hot"), F.col(RANGE)).otherwise(0)
     )
-    offsets = counts.withColumn(
-        "__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))
-    ).drop("__rows")
+    counts = cut.where("__hot").groupBy(*groups, RANGE).agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = _ahead(counts, groups, "__rows")
     inside = F.row_number().over(Window.partitionBy(*groups, RANGE).orderBy(key))
     numbered = cut.withColumn("__inside", inside)
-    joined = numbered.join(offsets, [*groups, RANGE])
-    return joined.withColumn(into, F.col("__inside") + F.col("__ahead")).drop(
-        RANGE, "__inside", "__ahead"
+    here, there = numbered.alias("n"), offsets.alias("o")
+    same = F.col(f"n.{RANGE}") == F.col(f"o.{RANGE}")
+    for group in groups:
+        same = same & F.col(f"n.{group}").eqNullSafe(F.col(f"o.{group}"))
+    place = F.col("__inside") + F.coalesce(F.col("o.__ahead"), F.lit(0))
+    return here.join(there, same, "left").select(
+        *[F.col(f"n.{c}") for c in df.columns], place.alias(into)
     )
 
 
 def running_total(
-    df: DataFrame,
-    key: str,
-    value: str,
-    *,
-    into: str,
-    groups: Sequence[str] = (),
-    ranges: int = 64,
-    keys: DataFrame | None = None,
+    df: DataFrame, key: str, value: str, *, into: str, ranges: int = 64
 ) -> DataFrame:
     """Sum of ``value`` over the rows in front, by a unique numeric key."""
-    splits = range_splits(df if keys is None else keys, key, ranges)
-    cut = with_range(df, key, splits)
-    groups = list(groups)
-    totals = cut.groupBy(*groups, RANGE).agg(F.sum(value).alias("__total"))
-    ahead = Window.partitionBy(*groups).orderBy(RANGE).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.withColumn(
-        "__ahead", F.coalesce(F.sum("__total").over(ahead), F.lit(0))
-    ).drop("__total")
+    cut = with_range(df, key, range_splits(df, key, ranges))
+    totals = cut.groupBy(RANGE).agg(F.sum(value).alias("__total"))
+    offsets = _ahead(totals, [], "__total")
     front = (
-        Window.partitionBy(*groups, RANGE).orderBy(key)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(RANGE).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
     summed = cut.withColumn("__inside", F.coalesce(F.sum(value).over(front), F.lit(0)))
-    return summed.join(offsets, [*groups, RANGE]).withColumn(
+    return summed.join(offsets, RANGE).withColumn(
         into, F.col("__inside") + F.col("__ahead")
     ).drop(RANGE, "__inside", "__ahead")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymill import fixed
 from tallymill.functions import text as t
+from tallymill.operators.numbering import hot_keys
 
 # Status rules by evaluator, read left to right; the first rule
 # that holds names the status. "build" rules see the build phase only.
@@ -144,31 +145,21 @@ def share_results(
     """Give every row the result of its program.
 
     ``results`` has one row per language and ``program_md5``. Programs used by
-    at least ``hot`` rows, and by one row in ten thousand, are salted: their
-    rows are spread by row key and their single result is copied once per salt,
-    so no program fills one task. At most ten thousand programs can be hot,
-    which bounds the broadcast list whatever the data.
+    at least ``hot`` rows are salted: their rows are spread by row key and their
+    single result is copied once per salt, so no program fills one task.
     """
     on = [language, "program_md5"]
     keyed = rows.withColumn("program_md5", F.md5(F.col(program).cast("binary")))
-    limit = max(hot, rows.count() // 10_000)
-    hot_programs = (
-        keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("__uses"))
-        .where(F.col("__uses") >= limit)
-        .select(*on, F.lit(True).alias("__hot"))
-    )
-
-    def marked(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(hot_programs), on, "left")
-
+    large = hot_keys(keyed, on, hot)
+    if large is None:
+        return keyed.join(results, on, "left")
+    marks = F.broadcast(large.withColumn("__hot", F.lit(True)))
     salts = F.when(F.col("__hot"), F.lit(spread)).otherwise(F.lit(1))
-    copies = marked(results).withColumn(
+    copies = results.join(marks, on, "left").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("__hot")
-    salted = marked(keyed).withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(row_key), F.lit(spread))).otherwise(0).cast("int"),
-    ).drop("__hot")
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(row_key), F.lit(spread))).otherwise(0)
+    salted = keyed.join(marks, on, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
     return salted.join(copies, [*on, "__salt"], "left").drop("__salt")
 
 

@@ -12,6 +12,7 @@ from tallymill.functions import tokens as tok
 from tallymill.operators import selection
 from tallymill.operators.numbering import number_rows
 from tallymill.plans import sqlkit as k
+from tallymill.plans.corpus import documents
 from tallymill.plans.packing import PROBLEMS_SQL, problems
 from tallymill.plans.registry import NL, digest, query, table
 
@@ -84,7 +85,7 @@ def prompt_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = fixed.TRANSLATION_LANGUAGES["da_en"].title()
     entry = f"Translate the following documentation from {language} to English:\n"
     listed = F.array(*[F.lit(s) for s in seen])
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", digest(p.require_marks(conala, "Solution:\n", 3)).alias("intent_md5"),
         digest(p.require_marks(concode, "Solution:\n", 3)).alias("code_md5"),
         digest(p.two_shot(text, pair, entry, language, "English")).alias("translate_md5"),
@@ -205,7 +206,7 @@ def prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(name).alias("template"), digest(column).alias("prompt_md5"))
         for name, column in _template_columns().items()
     ])).alias("m")
-    return table(spark, sf_dir, "documents").select("doc_id", made).select("doc_id", "m.*")
+    return documents(spark, sf_dir).select("doc_id", made).select("doc_id", "m.*")
 
 
 # A function whose first line of text is its docstring, in three quote styles.
@@ -250,7 +251,7 @@ SELECT doc_id, md5(chr(10) || text || chr(10) || 'check(' || source || ')') AS c
 FROM (SELECT *, {k.words('text')} AS w FROM documents)""")
 def reference_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, name = F.col("text"), F.col("source")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", digest(p.check_call(text, name)).alias("check_md5"),
         digest(p.joined_tests(F.split(text, t.quoted(". "), -1))).alias("tests_md5"),
         digest(p.canonical(name, text)).alias("solution_md5"),

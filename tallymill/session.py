@@ -11,6 +11,7 @@ def local_session(cores: int | str = "*", name: str = "tallymill") -> SparkSessi
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -103,8 +103,8 @@ def test_cancel(spark):
     assert edits.cancel(spans, gone).count() == 2
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 64])
-def test_numbering_with_a_hot_group(spark, ranges):
+@pytest.mark.parametrize("ranges,hot", [(1, 1), (3, 100), (64, 1), (64, 10**6)])
+def test_numbering_with_a_hot_group(spark, ranges, hot):
     import random
 
     random.seed(1)
@@ -112,7 +112,7 @@ def test_numbering_with_a_hot_group(spark, ranges):
     rows = [(k, "hot" if i % 3 else f"g{i % 7}", i) for i, k in enumerate(keys)]
     df = spark.createDataFrame(rows, "k long, g string, v long")
     got = {r["k"]: (r["n"], r["m"]) for r in number_rows(
-        number_rows(df, "k", into="n", ranges=ranges), "k", into="m", groups=["g"], ranges=ranges
+        number_rows(df, "k", into="n", ranges=ranges), "k", into="m", groups=["g"], ranges=ranges, hot=hot
     ).collect()}
     seen: dict[str, int] = {}
     for n, (k, g, _) in enumerate(sorted(rows), 1):
@@ -120,6 +120,13 @@ def test_numbering_with_a_hot_group(spark, ranges):
         assert got[k] == (n, seen[g])
 
 
+def test_numbering_with_null_groups(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a")], "k long, g string")
+    for hot in (1, 10):
+        got = {r["k"]: r["n"] for r in number_rows(df, "k", into="n", groups=["g"], hot=hot).collect()}
+        assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_running_total(spark):
     df = spark.createDataFrame([(3.5, 2), (1.0, 5), (2.0, 1)], "k double, v long")
     got = {r["k"]: r["front"] for r in running_total(df, "k", "v", into="front").collect()}
