@@ -77,12 +77,16 @@ def ngram_counts(df: DataFrame, keys: Sequence[str], words: Column) -> DataFrame
     )
 
 
-def clipped_counts(pairs: DataFrame, key: str) -> DataFrame:
-    """Lengths and clipped matches of every pair, one row per id.
+def clipped_counts(
+    pairs: DataFrame, keys: Sequence[str], placed: bool = False
+) -> DataFrame:
+    """Lengths and clipped matches of every pair, one row per key.
 
     ``pairs`` holds word arrays ``candidate`` and ``reference``, one row per
-    id. The words move once, to their id; the n-grams are counted where they
-    lie, because the partitioning by id serves both groupings below.
+    key. The words move once, to their key; the n-grams are counted where they
+    lie, because the partitioning by key serves both groupings below. With
+    ``placed`` the rows already lie there (a join on the keys leaves them so)
+    and do not move at all.
     """
 
     def side(words: str, candidate: int, reference: int) -> Column:
@@ -94,27 +98,25 @@ def clipped_counts(pairs: DataFrame, key: str) -> DataFrame:
             ),
         )
 
-    sizes = ["length", "reference_length"]
-    # A fixed width: small texts would be merged into one task before they
-    # grow into n-grams.
-    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (
-        pairs.select(key, "candidate", "reference").repartition(width, key)
-        .select(
-            key,
-            F.size("candidate").alias("length"),
-            F.size("reference").alias("reference_length"),
-            F.explode_outer(
-                F.concat(side("candidate", 1, 0), side("reference", 0, 1))
-            ).alias("g"),
-        )
-        .select(key, *sizes, "g.*")
-    )
-    counts = rows.groupBy(key, *sizes, "order", "ngram").agg(
+    if not placed:
+        # A fixed width: small texts would be merged into one task before they
+        # grow into n-grams.
+        width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.select(*keys, "candidate", "reference").repartition(width, *keys)
+    group = [*keys, "length", "reference_length"]
+    rows = pairs.select(
+        *keys,
+        F.size("candidate").alias("length"),
+        F.size("reference").alias("reference_length"),
+        F.explode_outer(
+            F.concat(side("candidate", 1, 0), side("reference", 0, 1))
+        ).alias("g"),
+    ).select(*group, "g.*")
+    counts = rows.groupBy(*group, "order", "ngram").agg(
         F.sum("c").alias("c"), F.sum("r").alias("r")
     )
     match = F.least("c", "r")
-    return counts.groupBy(key, *sizes).agg(*[
+    return counts.groupBy(*group).agg(*[
         F.coalesce(F.sum(F.when(F.col("order") == k, match)), F.lit(0)).alias(f"m{k}")
         for k in range(1, ORDERS + 1)
     ])
@@ -137,9 +139,9 @@ def _scored(counts: DataFrame, *keep: str) -> DataFrame:
     return counts.select(*keep, score.alias("bleu"))
 
 
-def sentence_bleu(pairs: DataFrame, key: str) -> DataFrame:
-    """BLEU per id for word arrays ``candidate`` and ``reference``."""
-    return _scored(clipped_counts(pairs, key), key)
+def sentence_bleu(pairs: DataFrame, keys: Sequence[str], placed: bool = False) -> DataFrame:
+    """BLEU per key for word arrays ``candidate`` and ``reference``."""
+    return _scored(clipped_counts(pairs, keys, placed), *keys)
 
 
 def mean_bleu(scores: DataFrame) -> DataFrame:
@@ -188,9 +190,9 @@ def multi_reference_bleu(
     return _scored(joined, key, "length", "reference_length")
 
 
-def corpus_bleu(pairs: DataFrame, key: str) -> DataFrame:
+def corpus_bleu(pairs: DataFrame, keys: Sequence[str], placed: bool = False) -> DataFrame:
     """Smoothed corpus BLEU: counts summed over all pairs before the ratio."""
-    counts = clipped_counts(pairs, key)
+    counts = clipped_counts(pairs, keys, placed)
     orders = range(1, ORDERS + 1)
     total = counts.agg(
         F.sum("length").alias("length"),

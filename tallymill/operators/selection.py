@@ -17,6 +17,11 @@ def problem_slice(df: DataFrame, index: str, start: int = 0, count: int | None =
     return kept if count is None else kept.where(F.col(index) < start + count)
 
 
+def head(df: DataFrame, key: str, count: int = 1000) -> DataFrame:
+    """The first rows by an explicit key; a table has no order of its own."""
+    return df.orderBy(key).limit(count)
+
+
 def first_samples(df: DataFrame, sample: str, count: int) -> DataFrame:
     return df.where(F.col(sample) < count)
 

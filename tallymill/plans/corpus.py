@@ -427,10 +427,10 @@ def prompt_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_no,
-  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS lang_row FROM documents""")
-def number_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS lang_row FROM documents""", name="number_rows")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     overall = number_rows(docs, "doc_id", into="row_no")
-    return number_rows(overall, "doc_id", into="lang_row", groups=["lang"], keys=docs).select(
+    return number_rows(overall, "doc_id", into="lang_row", groups=["lang"], keys=docs, hot=100).select(
         "doc_id", "row_no", "lang_row"
     )

@@ -327,8 +327,9 @@ def normalised_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[{k.SPACE_CLASS}]+'), lambda z: z <> '')"
 
 
+PAIR = ["conv_id", "turn"]
 PAIRS_SQL = f"""
-SELECT u.conv_id * 100000 + u.turn AS pair_id, {normalised_sql('a.text')} AS c, {normalised_sql('u.text')} AS r
+SELECT u.conv_id, u.turn, {normalised_sql('a.text')} AS c, {normalised_sql('u.text')} AS r
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'"""
 
@@ -344,12 +345,10 @@ def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("cand")
     )
-    return asked.join(given, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("pair_id"), *[
-            bleu.normalise(bleu.prepare(F.col(name))).alias(into)
-            for name, into in (("cand", "candidate"), ("ref", "reference"))
-        ]
-    )
+    return asked.join(given, PAIR).select(*PAIR, *[
+        bleu.normalise(bleu.prepare(F.col(name))).alias(into)
+        for name, into in (("cand", "candidate"), ("ref", "reference"))
+    ])
 
 
 def _score_sql(columns: str) -> str:
@@ -364,22 +363,22 @@ def _score_sql(columns: str) -> str:
 _MATCHES = ", ".join(f"sum(least(a, b)) FILTER (n = {n}) AS m{n}" for n in range(1, 5))
 SENTENCES_SQL = f"""
 WITH p AS MATERIALIZED ({PAIRS_SQL}),
-cc AS (SELECT pair_id, u.n AS n, u.g AS g, count(*) AS a FROM (SELECT pair_id, {grams_sql('c')} AS u FROM p) GROUP BY ALL),
-rr AS (SELECT pair_id, u.n AS n, u.g AS g, count(*) AS b FROM (SELECT pair_id, {grams_sql('r')} AS u FROM p) GROUP BY ALL),
-m AS (SELECT pair_id, {_MATCHES} FROM cc JOIN rr USING (pair_id, n, g) GROUP BY pair_id),
-s AS (SELECT p.pair_id, len(c) AS len_c, len(r) AS len_r, m1, m2, m3, m4 FROM p LEFT JOIN m USING (pair_id))
+cc AS (SELECT conv_id, turn, u.n AS n, u.g AS g, count(*) AS a FROM (SELECT conv_id, turn, {grams_sql('c')} AS u FROM p) GROUP BY ALL),
+rr AS (SELECT conv_id, turn, u.n AS n, u.g AS g, count(*) AS b FROM (SELECT conv_id, turn, {grams_sql('r')} AS u FROM p) GROUP BY ALL),
+m AS (SELECT conv_id, turn, {_MATCHES} FROM cc JOIN rr USING (conv_id, turn, n, g) GROUP BY conv_id, turn),
+s AS (SELECT conv_id, turn, len(c) AS len_c, len(r) AS len_r, m1, m2, m3, m4 FROM p LEFT JOIN m USING (conv_id, turn))
 """
 
 
-@query(SENTENCES_SQL + f"SELECT pair_id, round({_score_sql('')}, 9) AS bleu FROM s")
+@query(SENTENCES_SQL + f"SELECT conv_id, turn, round({_score_sql('')}, 9) AS bleu FROM s")
 def bleu_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), "pair_id")
+    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), PAIR, placed=True)
     return scores.withColumn("bleu", F.round("bleu", 9))
 
 
 @query(SENTENCES_SQL + f"SELECT count(*) AS pairs, round(avg({_score_sql('')}) * 100, 8) AS bleu FROM s")
 def bleu_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), "pair_id")
+    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), PAIR, placed=True)
     return bleu.mean_bleu(scores).withColumn("bleu", F.round("bleu", 8))
 
 
@@ -391,7 +390,7 @@ FROM (SELECT sum(len_c) AS c, sum(len_r) AS r, sum(m1) AS m1, sum(m2) AS m2, sum
   sum(len_c) AS g1, sum(greatest(len_c - 1, 0)) AS g2, sum(greatest(len_c - 2, 0)) AS g3,
   sum(greatest(len_c - 3, 0)) AS g4 FROM s)""")
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = bleu.corpus_bleu(answer_pairs(spark, sf_dir), "pair_id")
+    score = bleu.corpus_bleu(answer_pairs(spark, sf_dir), PAIR, placed=True)
     return score.withColumn("bleu", F.round("bleu", 9))
 
 

@@ -15,13 +15,14 @@ ORACLES: dict[str, str] = {}
 NL = "\n"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function name, with the SQL that checks it."""
 
     def register(run: Query) -> Query:
-        QUERIES[run.__name__] = run
+        key = name or run.__name__
+        QUERIES[key] = run
         if sql is not None:
-            ORACLES[run.__name__] = sql
+            ORACLES[key] = sql
         return run
 
     return register

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -19,12 +17,3 @@ def local_session(cores: int | str = "*", name: str = "tallymill") -> SparkSessi
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's, or a fresh one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder

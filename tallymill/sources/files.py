@@ -87,12 +87,18 @@ def save_generations(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("task", "model").parquet(path)
 
 
-def export_generations(df: DataFrame, path: str) -> None:
+def export_generations(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
     """Nested arrays, one text per task and model.
 
-    For exchange files only: the format holds a whole run in one JSON value, so
-    a run must fit one row. Large runs stay in the canonical form.
+    The exchange format holds a whole run in one JSON value, so the size of
+    every run is checked first. Larger runs go through ``save_generations``.
     """
+    large = df.groupBy("task", "model").count().where(F.col("count") > most_rows).limit(1)
+    for run in large.collect():
+        raise ValueError(
+            f"{run['task']}/{run['model']} has {run['count']} rows, too many for one "
+            "JSON value; use save_generations"
+        )
     samples = F.transform(
         F.array_sort(F.collect_list(F.struct("sample_idx", "text"))), lambda s: s["text"]
     )

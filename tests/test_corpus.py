@@ -140,6 +140,11 @@ def test_problem_slice(spark):
     assert selection.problem_slice(df, "id", 8, 5).count() == 2
 
 
+def test_head_needs_a_key(spark):
+    df = spark.range(50).repartition(8)
+    assert [r["id"] for r in selection.head(df, "id", 3).orderBy("id").collect()] == [0, 1, 2]
+
+
 def test_task_table(spark):
     table = selection.task_table(spark)
     assert table.count() == 135 == len(set(fixed.task_names()))

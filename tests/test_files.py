@@ -35,6 +35,15 @@ def test_generations_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in back.select("task", "model", "problem_idx", "sample_idx", "text").collect()) == rows
 
 
+def test_export_checks_the_size_of_runs(spark, tmp_path):
+    df = spark.range(5).select(
+        F.lit("t").alias("task"), F.lit("m").alias("model"), F.col("id").alias("problem_idx"),
+        F.lit(0).alias("sample_idx"), F.lit("x").alias("text"),
+    )
+    with pytest.raises(ValueError, match="save_generations"):
+        files.export_generations(df, str(tmp_path / "n"), most_rows=4)
+
+
 def test_benchmark_and_corpus(spark, tmp_path):
     df = spark.createDataFrame([("test", "x", "py", 1), ("train", "x", "js", 2)], "split string, config string, lang string, v int")
     files.save_corpus(df, str(tmp_path / "c"), "lang")

@@ -156,7 +156,7 @@ def test_sentence_bleu(spark):
         [(i, c, r) for i, (c, r) in enumerate(zip(cands, refs))],
         "id long, candidate array<string>, reference array<string>",
     )
-    got = {r["id"]: r["bleu"] for r in bleu.sentence_bleu(df, "id").collect()}
+    got = {r["id"]: r["bleu"] for r in bleu.sentence_bleu(df, ["id"]).collect()}
     for i, (c, r) in enumerate(zip(cands, refs)):
         assert got[i] == pytest.approx(plain_score(c, plain_counts(r), len(r)), rel=1e-9), i
 
@@ -164,8 +164,8 @@ def test_sentence_bleu(spark):
 def test_bleu_of_a_text_with_itself(spark):
     words = "the cat sat on the mat".split()
     df = spark.createDataFrame([(0, words, words)], "id long, candidate array<string>, reference array<string>")
-    assert bleu.mean_bleu(bleu.sentence_bleu(df, "id")).first()["bleu"] == pytest.approx(100.0)
-    assert bleu.corpus_bleu(df, "id").first()["bleu"] == pytest.approx(1.0)
+    assert bleu.mean_bleu(bleu.sentence_bleu(df, ["id"])).first()["bleu"] == pytest.approx(100.0)
+    assert bleu.corpus_bleu(df, ["id"]).first()["bleu"] == pytest.approx(1.0)
 
 
 @pytest.mark.parametrize("rule", ["shortest", "average", "closest"])
