@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill import fixed
+from tallymill import fixed, tasks
 from tallymill.functions import completions as c
 from tallymill.functions import prompts
 from tallymill.functions import text as t
@@ -509,3 +509,36 @@ def program_assemble_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
         generations(spark, sf_dir, _RUST),
         program=c.program(F.col("text"), "rust", declaration=declaration),
     )
+
+
+_RUN = ("humaneval", "humaneval-unstripped", "apps-interview", "multiple-py", "codexglue_code_to_text-java")
+_RUN_LIST = "[" + ", ".join(k.q(name) for name in _RUN) + "]"
+
+
+@query(f"""
+WITH g AS (SELECT conv_id, turn, {_RUN_LIST}[turn % 5 + 1] AS task, b.text || {STATEMENTS.replace('text', 'c.text')} || {k.q(fixed.DOC_SUFFIX['other'])} || ' line' || chr(10) AS gen,
+    b.text AS prompt FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40),
+x AS (SELECT *, substr(gen, length({k.strip('prompt')}) + 1) AS body, substr(gen, length(prompt) + 1) AS rest FROM g)
+SELECT conv_id, turn, task, md5(CASE task
+  WHEN 'humaneval' THEN {k.strip('prompt')} || {k.truncate('body', fixed.STOPS['humaneval'])}
+  WHEN 'humaneval-unstripped' THEN prompt || {k.truncate('rest', fixed.STOPS['humaneval'])}
+  WHEN 'multiple-py' THEN {k.strip('prompt')} || {k.truncate('body', fixed.MULTI_STOPS)}
+  WHEN 'apps-interview' THEN {k.after('gen', chr(10) + 'ANSWER:')}
+  ELSE 'line' END) AS clean_md5 FROM x""")
+def task_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of several tasks, each cleaned by its own spec."""
+    names = F.array(*[F.lit(name) for name in _RUN])
+    turns = generations(spark, sf_dir, STATEMENTS).withColumn(
+        "task", F.get(names, (F.col("turn") % len(_RUN)).cast("int"))
+    ).withColumn("item_id", F.col("conv_id") % 40)
+    bench = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.col("text").alias("prompt"),
+        F.array(*[F.lit(s) for s in fixed.MULTI_STOPS]).alias("stop_tokens"),
+    )
+    joined = turns.join(bench, "item_id").withColumn("text", F.concat(
+        "prompt", "text", F.lit(fixed.DOC_SUFFIX["other"] + " line\n")
+    ))
+    clean = F.lit(None).cast("string")
+    for name in _RUN:
+        clean = F.when(F.col("task") == name, tasks.spec(name).clean(F.col("text"))).otherwise(clean)
+    return joined.select(*KEYS, "task", digest(clean).alias("clean_md5"))
