@@ -154,40 +154,60 @@ def multi_reference_bleu(
     candidates: DataFrame, references: DataFrame, key: str, ref_no: str,
     length_rule: str = "shortest",
 ) -> DataFrame:
-    """BLEU per id against several references.
+    """BLEU per id against several references, for ids on both sides.
 
     ``candidates`` has ``words`` per id, ``references`` has ``words`` per id
-    and number. N-gram counts are clipped by the largest count in any
+    and number (from 0). N-gram counts are clipped by the largest count in any
     reference; the reference length is the shortest, the average or the
     closest. The n-gram is part of the shuffle key, so an id with very many
-    references is spread over the tasks.
+    references is spread over the tasks. A text's length travels as one more
+    row of order 0, so lengths need no joins of their own.
     """
-    cand = ngram_counts(candidates, [key], F.col("words"))
-    most = (
-        ngram_counts(references, [key, ref_no], F.col("words"))
-        .groupBy(key, "order", "ngram").agg(F.max("uses").alias("most"))
-    )
-    matches = cand.join(most, [key, "order", "ngram"]).groupBy(key, "order").agg(
-        F.sum(F.least("uses", "most")).alias("matches")
+
+    def rows(df: DataFrame, number: Column) -> DataFrame:
+        size = F.struct(
+            F.lit(0).alias("order"), F.size("words").cast("string").alias("ngram")
+        )
+        return df.select(
+            key, number.cast("long").alias("no"),
+            F.explode(F.concat(F.array(size), all_ngrams(F.col("words")))).alias("g"),
+        ).select(key, "no", "g.*")
+
+    both = rows(candidates, F.lit(-1)).unionByName(rows(references, F.col(ref_no)))
+    uses = both.groupBy(key, "no", "order", "ngram").agg(F.count(F.lit(1)).alias("uses"))
+    own, of_ref = F.col("no") < 0, F.col("no") >= 0
+    per_ngram = uses.groupBy(key, "order", "ngram").agg(
+        F.max(F.when(own, F.col("uses"))).alias("own"),
+        F.max(F.when(of_ref, F.col("uses"))).alias("most"),
+        F.count_if(of_ref).alias("refs"), F.min(F.when(of_ref, F.col("no"))).alias("seen"),
     )
-    # Equal lengths are combined first; ``seen`` is the first reference with it.
-    lengths = references.groupBy(key, F.size("words").alias("ref_length")).agg(
-        F.count(F.lit(1)).alias("refs"), F.min(ref_no).alias("seen")
+    shared = F.col("own").isNotNull() & F.col("most").isNotNull()
+    size_row, words = F.col("order") == 0, F.col("ngram").try_cast("int")
+    # Distinct reference lengths of an id: no more than words in its longest one.
+    lengths = F.collect_list(F.when(
+        size_row & F.col("most").isNotNull(), F.struct(words.alias("n"), "seen", "refs")
+    ))
+    per_id = per_ngram.groupBy(key).agg(
+        F.max(F.when(size_row & F.col("own").isNotNull(), words)).alias("length"),
+        lengths.alias("lengths"),
+        *[
+            F.sum(F.when(shared & (F.col("order") == k), F.least("own", "most"))).alias(f"m{k}")
+            for k in range(1, ORDERS + 1)
+        ],
+    ).where(F.col("length").isNotNull() & (F.size("lengths") > 0))
+    total = F.aggregate("lengths", F.lit(0.0), lambda acc, x: acc + x["n"] * x["refs"])
+    count = F.aggregate("lengths", F.lit(0).cast("long"), lambda acc, x: acc + x["refs"])
+    nearest = F.array_min(F.transform("lengths", lambda x: F.struct(
+        F.abs(x["n"] - F.col("length")).alias("gap"), x["seen"].alias("seen"), x["n"].alias("n")
+    )))
+    effective = {
+        "shortest": F.array_min(F.col("lengths.n")).cast("double"),
+        "average": total / count,
+        "closest": nearest["n"].cast("double"),
+    }[length_rule]
+    return _scored(
+        per_id.withColumn("reference_length", effective), key, "length", "reference_length"
     )
-    sized = candidates.select(key, F.size("words").alias("length")).join(lengths, key)
-    gap = F.abs(F.col("ref_length") - F.col("length"))
-    rules = {
-        "shortest": F.min("ref_length").cast("double"),
-        "average": F.sum(F.col("ref_length") * F.col("refs")) / F.sum("refs"),
-        "closest": F.min_by("ref_length", F.struct(gap, F.col("seen"))).cast("double"),
-    }
-    effective = sized.groupBy(key, "length").agg(rules[length_rule].alias("reference_length"))
-    by_order = matches.groupBy(key).agg(*[
-        F.sum(F.when(F.col("order") == k, F.col("matches"))).alias(f"m{k}")
-        for k in range(1, ORDERS + 1)
-    ])
-    joined = effective.join(by_order, key, "left")
-    return _scored(joined, key, "length", "reference_length")
 
 
 def corpus_bleu(pairs: DataFrame, keys: Sequence[str], placed: bool = False) -> DataFrame:

@@ -71,9 +71,10 @@ def reject_counts(df: DataFrame, text: str = "content", *by: str) -> DataFrame:
     )
 
 
-def sample(df: DataFrame, key: str, ratio: float) -> DataFrame:
-    """Keep a repeatable share of the keys."""
-    return df.where(t.hash_bucket(F.col(key)) < int(ratio * 10_000))
+def sample(df: DataFrame, key: str, ratio: float, only: Column | None = None) -> DataFrame:
+    """Keep a repeatable share of the keys; rows outside ``only`` all stay."""
+    drawn = t.hash_bucket(F.col(key)) < int(ratio * 10_000)
+    return df.where(drawn if only is None else ~only | drawn)
 
 
 def split_two(key: Column, test_share: float = 0.05) -> Column:

@@ -84,17 +84,25 @@ def group_pass(outcomes: DataFrame, group: Sequence[str], passed: Column) -> Dat
 
 
 def macro_average(scores: DataFrame, group: str, metric: str, value: str) -> DataFrame:
-    """Scores per group, their plain mean as ``all``, and the correct count."""
-    overall = scores.groupBy(metric).agg(
+    """Scores per group, their plain mean as ``all``, and the correct count.
+
+    Each score counts for its group and for ``all`` in one aggregation.
+    """
+    name = F.explode(F.array(F.col(group).cast("string"), F.lit("all"))).alias(group)
+    means = scores.select(name, metric, value).groupBy(group, metric).agg(
         F.avg(value).alias(value), F.count(F.lit(1)).alias("__groups")
     )
-    rows = overall.select(F.lit("all").alias(group), metric, value)
-    correct = overall.where(F.col(metric) == "pass@1").select(
-        F.lit("num_correct").alias(group), F.col(metric),
-        (F.col(value) * F.col("__groups")).alias(value),
+    correct = F.when(
+        (F.col(group) == "all") & (F.col(metric) == "pass@1"),
+        F.struct(
+            F.lit("num_correct").alias(group),
+            (F.col(value) * F.col("__groups")).alias(value),
+        ),
+    )
+    both = F.array_compact(F.array(F.struct(group, value), correct))
+    return means.select(metric, F.explode(both).alias("r")).select(
+        f"r.{group}", metric, f"r.{value}"
     )
-    each = scores.select(F.col(group).cast("string").alias(group), metric, value)
-    return each.unionByName(rows).unionByName(correct)
 
 
 def exact_match(rows: DataFrame, problem: str, generated: Column, reference: Column) -> DataFrame:
@@ -114,24 +122,23 @@ def robust_pass(
 ) -> DataFrame:
     """Share of sample indexes for which every seed passes, per variant.
 
-    Only indexes present in every seed of the problem count; ``uneven`` is the
-    number of problems whose seeds have different sample counts.
+    Samples count from 0 in every seed, so index 0 is in all seeds and an index
+    is complete when as many seeds hold it. Only complete indexes count;
+    ``uneven`` is the number of problems whose seeds differ in sample count.
     """
-    per_seed = outcomes.groupBy(variant, problem, seed).agg(F.count(F.lit(1)).alias("rows"))
-    seeds = per_seed.groupBy(variant, problem).agg(
-        F.count(F.lit(1)).alias("seeds"),
-        (F.min("rows") != F.max("rows")).alias("uneven"),
-    )
     per_index = outcomes.groupBy(variant, problem, sample).agg(
         F.count(F.lit(1)).alias("present"), F.bool_and(passed).alias("all_pass")
     )
-    # Indexes are counted by how many seeds hold them before the join, so a
-    # problem with very many samples brings only a few rows to it.
+    # Indexes are counted by how many seeds hold them: a few rows a problem,
+    # however many samples it has.
     held = per_index.groupBy(variant, problem, "present").agg(
         F.count(F.lit(1)).alias("indexes"), F.count_if("all_pass").alias("robust")
     )
-    full = held.withColumnRenamed("present", "seeds")
-    per_problem = seeds.join(full, [variant, problem, "seeds"], "left")
+    per_problem = held.groupBy(variant, problem).agg(
+        F.max_by("indexes", "present").alias("indexes"),
+        F.max_by("robust", "present").alias("robust"),
+        (F.count(F.lit(1)) > 1).alias("uneven"),
+    )
     return per_problem.groupBy(variant).agg(
         F.count(F.lit(1)).alias("problems"),
         F.count_if("uneven").alias("uneven"),
@@ -224,12 +231,23 @@ def join_references(
     return completions.join(references, list(keys), "inner")
 
 
-def unmatched(
+def reference_counts(
     completions: DataFrame, references: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Problems on one side only, so a mismatch is seen instead of cut off."""
-    have = completions.select(*keys).distinct().withColumn("__side", F.lit("completions"))
-    want = references.select(*keys).distinct().withColumn("__side", F.lit("references"))
-    left = have.join(want.drop("__side"), list(keys), "left_anti")
-    right = want.join(have.drop("__side"), list(keys), "left_anti")
-    return left.unionByName(right).withColumnRenamed("__side", "side")
+    """Every problem of either side with its sample count and reference.
+
+    Completions are counted before the join, so a hot problem joins as one row.
+    ``side`` tells problems on one side only, so a mismatch is seen instead of
+    being cut off.
+    """
+    counts = completions.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    known = references.withColumn("__known", F.lit(True))
+    joined = counts.join(known, list(keys), "full_outer")
+    side = (
+        F.when(F.col("__known").isNull(), F.lit("completions"))
+        .when(F.col("samples").isNull(), F.lit("references"))
+        .otherwise(F.lit("both"))
+    )
+    return joined.withColumn("side", side).withColumn(
+        "samples", F.coalesce("samples", F.lit(0))
+    ).drop("__known")

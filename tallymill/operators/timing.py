@@ -60,8 +60,12 @@ def neighbour_sum(df: DataFrame, key: str, value: Column, back: int = 10,
     Values are summed by key first; each key then adds its sum to the targets
     that see it. A fixed number of copies replaces a window over all keys.
     """
-    per_key = df.groupBy(F.col(key).alias("target")).agg(F.sum(value).alias("own"))
-    reach = F.sequence(F.col("target") - (ahead - 1), F.col("target") + back)
-    spread = per_key.select(F.explode(reach).alias("target"), F.col("own").alias("part"))
-    sums = spread.groupBy("target").agg(F.sum("part").alias("near"))
-    return per_key.join(sums, "target").select("target", "own", "near")
+    per_key = df.groupBy(F.col(key).alias("k")).agg(F.sum(value).alias("part"))
+    reach = F.sequence(F.col("k") - (ahead - 1), F.col("k") + back)
+    spread = per_key.select("k", "part", F.explode(reach).alias("target"))
+    sums = spread.groupBy("target").agg(
+        F.max(F.when(F.col("k") == F.col("target"), F.col("part"))).alias("own"),
+        F.sum("part").alias("near"),
+    )
+    # Targets without values of their own were only reached by neighbours.
+    return sums.where(F.col("own").isNotNull())

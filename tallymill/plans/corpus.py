@@ -171,14 +171,21 @@ SELECT token, count(*) AS lists FROM (
   SELECT DISTINCT 'benchmark', unnest({k.words('lower(text)')}) FROM benchmark)
 GROUP BY token""")
 def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct sorted vocabulary of overlapping lists, with how many hold it."""
-    lists = [
+    """Distinct sorted vocabulary of overlapping lists, with how many hold it.
+
+    A list marks its tokens with its own bit, so one aggregation serves both the
+    distinct tokens and the count of lists.
+    """
+    parts = [
         spread(table(spark, sf_dir, name)).select(
-            F.lit(name).alias("origin"), F.explode(tok.words(F.lower("text"))).alias("token")
-        ) for name in ("documents", "conversations", "benchmark")
+            F.lit(1 << bit).alias("mark"), F.explode(tok.words(F.lower("text"))).alias("token")
+        ) for bit, name in enumerate(("documents", "conversations", "benchmark"))
     ]
-    joined = lists[0].unionByName(lists[1]).unionByName(lists[2]).distinct()
-    return joined.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).orderBy("token")
+    joined = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    marked = joined.groupBy("token").agg(F.bit_or("mark").alias("marks"))
+    return marked.select(
+        "token", F.bit_count("marks").cast("long").alias("lists")
+    ).orderBy("token")
 
 
 # Edits derived from the documents: every 40 characters an outer span, one
@@ -257,8 +264,7 @@ SELECT doc_id, lang FROM documents WHERE lang <> 'en' OR {k.bucket('doc_id')} <
 def corpus_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the converted language, everything of the others."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    part = corpus.sample(docs.where(F.col("lang") == "en"), "doc_id", 0.5)
-    return docs.where(F.col("lang") != "en").unionByName(part)
+    return corpus.sample(docs, "doc_id", 0.5, only=F.col("lang") == "en")
 
 
 @query(f"""

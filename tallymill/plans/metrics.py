@@ -261,25 +261,17 @@ def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT problem_idx, count(*) AS samples, 0 AS unmatched, any_value(md5(b.text)) AS ref_md5
-FROM (SELECT conv_id AS problem_idx FROM conversations) c JOIN benchmark b ON b.item_id = problem_idx GROUP BY problem_idx
-UNION ALL
-SELECT coalesce(c.conv_id, b.item_id), 0, 1, NULL FROM (SELECT DISTINCT conv_id FROM conversations) c
-FULL JOIN benchmark b ON b.item_id = c.conv_id WHERE c.conv_id IS NULL OR b.item_id IS NULL""")
+SELECT coalesce(c.conv_id, b.item_id) AS problem_idx, coalesce(samples, 0) AS samples, md5(b.text) AS ref_md5,
+  CASE WHEN b.item_id IS NULL THEN 'completions' WHEN c.conv_id IS NULL THEN 'references' ELSE 'both' END AS side
+FROM (SELECT conv_id, count(*) AS samples FROM conversations GROUP BY conv_id) c
+FULL JOIN benchmark b ON b.item_id = c.conv_id""")
 def join_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions meet references by id; problems on one side only are listed."""
     done = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("problem_idx"))
     refs = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("problem_idx"), digest(F.col("text")).alias("ref_md5")
     )
-    # Completions are counted per problem first, so a hot problem joins once.
-    counts = done.groupBy("problem_idx").agg(F.count(F.lit(1)).alias("samples"))
-    joined = metrics.join_references(counts, refs, ["problem_idx"])
-    rest = metrics.unmatched(done, refs, ["problem_idx"])
-    return joined.select("problem_idx", "samples", F.lit(0).alias("unmatched"), "ref_md5").unionByName(
-        rest.select("problem_idx", F.lit(0).cast("long").alias("samples"),
-                    F.lit(1).alias("unmatched"), F.lit(None).cast("string").alias("ref_md5"))
-    )
+    return metrics.reference_counts(done, refs, ["problem_idx"])
 
 
 @query("SELECT item_id FROM benchmark WHERE item_id IN (SELECT conv_id FROM conversations)")

@@ -102,28 +102,27 @@ _PROMPT_SQL = (
 
 
 @query(f"""
-WITH e AS (SELECT event_type, event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE
-             CAST(json_extract_string(props, '$.k') AS BIGINT) END AS value FROM events),
-p AS (SELECT count(*) AS pairs, count(*) FILTER (len({k.words(_PROMPT_SQL)}) < 40) AS short
-      FROM ({PAIRS_SQL}))
-SELECT count(*) AS rows, count(value) AS readable, count(*) - count(value) AS malformed,
-  CAST(sum(value) AS BIGINT) AS k_sum, any_value(pairs) AS pairs, any_value(short) AS short_pairs
-FROM e, p""")
+SELECT 'json' AS filter, count(*) FILTER (event_id % 4 <> 0) AS kept, count(*) FILTER (event_id % 4 = 0) AS dropped,
+  CAST(sum(CASE WHEN event_id % 4 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS BIGINT) AS total
+FROM events
+UNION ALL
+SELECT 'prompt', count(*) FILTER (n < 40), count(*) FILTER (n >= 40), CAST(sum(n) FILTER (n < 40) AS BIGINT)
+FROM (SELECT len({k.words(_PROMPT_SQL)}) AS n FROM ({PAIRS_SQL}))""")
 def pairs_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Malformed JSON is skipped and counted; long prompts are dropped and counted."""
-    events = table(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 4 == 0, F.lit("{broken")).otherwise(F.col("props"))
-    value = F.from_json(text, "k long")["k"]
-    read = events.agg(
-        F.count(F.lit(1)).alias("rows"), F.count(value).alias("readable"),
-        F.count_if(value.isNull()).alias("malformed"), F.sum(value).alias("k_sum"),
+    read = table(spark, sf_dir, "events").select(
+        F.lit("json").alias("filter"), F.from_json(text, "k long")["k"].alias("value")
     )
     pairs = packing.solution_pairs(problems(spark, sf_dir), "doc_id")
-    n_tokens = F.size(tok.words(packing.pair_prompt(pairs)))
-    sizes = pairs.agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(n_tokens < 40).alias("short_pairs")
+    sizes = pairs.select(
+        F.lit("prompt").alias("filter"),
+        F.size(tok.words(packing.pair_prompt(pairs))).cast("long").alias("n"),
+    ).select("filter", F.when(F.col("n") < 40, F.col("n")).alias("value"))
+    return read.unionByName(sizes).groupBy("filter").agg(
+        F.count("value").alias("kept"), F.count_if(F.col("value").isNull()).alias("dropped"),
+        F.sum("value").alias("total"),
     )
-    return read.join(sizes, F.lit(True))
 
 
 @query(f"""

@@ -121,11 +121,14 @@ def test_first_by_text(spark):
     assert got == {"a": "y", "b": "z"}
 
 
-def test_unmatched(spark):
+def test_reference_counts(spark):
     a = spark.createDataFrame([(1,), (2,), (2,)], "p long")
-    b = spark.createDataFrame([(2,), (3,)], "p long")
-    got = sorted((r["p"], r["side"]) for r in metrics.unmatched(a, b, ["p"]).collect())
-    assert got == [(1, "completions"), (3, "references")]
+    b = spark.createDataFrame([(2, "r"), (3, "s")], "p long, ref string")
+    rows = metrics.reference_counts(a, b, ["p"]).collect()
+    got = sorted((r["p"], r["samples"], r["ref"], r["side"]) for r in rows)
+    assert got == [(1, 1, None, "completions"), (2, 2, "r", "both"), (3, 0, "s", "references")]
+    joined = metrics.join_references(a, b, ["p"])
+    assert [(r["p"], r["ref"]) for r in joined.collect()] == [(2, "r"), (2, "r")]
 
 
 TINY = 2.2250738585072014e-308
