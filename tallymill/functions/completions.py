@@ -32,8 +32,8 @@ def stop_position(text: Column, stops: Sequence[str] | Column) -> Column:
 
 def truncate(text: Column, stops: Sequence[str] | Column) -> Column:
     """Text in front of the earliest stop string."""
-    at = stop_position(text, stops)
-    return F.when(at.isNull(), text).otherwise(F.left(text, at - 1))
+    # The position appears once, so the stops are searched once.
+    return F.left(text, F.coalesce(stop_position(text, stops) - 1, F.length(text)))
 
 
 def truncate_in_order(text: Column, stops: Sequence[str]) -> Column:

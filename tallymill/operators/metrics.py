@@ -179,10 +179,18 @@ def voted_answers(answers: DataFrame, task: str, sample: str, answer: str) -> Da
 
 
 def first_answers(answers: DataFrame, task: str, sample: str, answer: str) -> DataFrame:
-    usable = usable_answer(F.col(answer))
-    order = F.when(usable, F.col(sample))
-    return answers.groupBy(task).agg(
-        F.coalesce(F.min_by(F.when(usable, F.col(answer)), order), F.lit("")).alias(answer)
+    """First usable answer of each task.
+
+    Equal answers are combined first by hash; only their first places are
+    compared, since a text beside a minimum would need the rows sorted.
+    """
+    seen = answers.where(usable_answer(F.col(answer))).groupBy(task, answer).agg(
+        F.min(sample).alias("seen")
+    )
+    first = seen.groupBy(task).agg(F.min_by(answer, "seen").alias(answer))
+    tasks = answers.select(task).distinct()
+    return tasks.join(first, task, "left").select(
+        task, F.coalesce(answer, F.lit("")).alias(answer)
     )
 
 

@@ -94,32 +94,42 @@ def status(
     language: Column, phase: Column, timed_out: Column, exit_code: Column,
     stdout: Column, stderr: Column,
 ) -> Column:
-    """Status of a process result; a passed build phase has no status yet."""
+    """Status of a process result; a passed build phase has no status yet.
+
+    Give ``language`` as a column of the table (``evaluator`` in a step of its
+    own): it is compared with every evaluator.
+    """
     columns = {
         "timed_out": timed_out, "exit_code": exit_code,
         "stdout": F.coalesce(stdout, F.lit("")), "stderr": F.coalesce(stderr, F.lit("")),
     }
-    # Every fact is worked out once; the evaluator's rules are then looked up.
-    names = {rule for rules in (RUN_RULES, BUILD_RULES) for r in rules.values() for rule, _ in r}
-    facts = F.array_compact(F.array(*[
-        F.when(_holds(name, columns), F.lit(name)) for name in sorted(names)
-    ]))
-    tables = {f"run {name}": rules for name, rules in RUN_RULES.items()}
-    tables.update({f"build {name}": rules for name, rules in BUILD_RULES.items()})
-    rules = F.create_map(*[x for name, steps in tables.items() for x in (
-        F.lit(name),
-        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("status")) for r, v in steps]),
-    )])
-    mine = F.try_element_at(rules, F.concat_ws(" ", phase, language))
-
-    def first_hit(row: Column) -> Column:
-        hit = F.filter(row["rules"], lambda step: F.array_contains(row["facts"], step["rule"]))
-        return F.get(hit, F.lit(0))["status"]
-
-    # A one-element array binds the facts, so the lambda does not repeat them.
-    bound = F.array(F.struct(mine.alias("rules"), facts.alias("facts")))
-    verdict = F.get(F.transform(bound, first_hit), F.lit(0))
-    return F.coalesce(verdict, F.when(phase != "build", F.lit("Exception")))
+
+    def verdict(rules: list[tuple[str, str]], other: Column) -> Column:
+        out = F.when(F.lit(False), other)
+        for rule, name in rules:
+            out = out.when(_holds(rule, columns), F.lit(name))
+        return out.otherwise(other)
+
+    # One test picks the few rules that apply to the row. Languages with equal
+    # rules share a branch: the generated method stays small enough for the JIT.
+    def by_language(table: dict[str, list[tuple[str, str]]], other: Column) -> Column:
+        shared: dict[tuple, list[str]] = {}
+        for name, rules in table.items():
+            shared.setdefault(tuple(rules), []).append(name)
+        out = F.when(F.lit(False), other)
+        for rules, names in shared.items():
+            out = out.when(language.isin(names), verdict(list(rules), other))
+        return out.otherwise(other)
+
+    # Most languages first ask for a timeout and a zero exit: asked once for all.
+    usual = [("timeout", "Timeout"), ("exit_ok", "OK")]
+    late = {n: r[len(usual):] for n, r in RUN_RULES.items() if r[:len(usual)] == usual}
+    other = {n: r for n, r in RUN_RULES.items() if n not in late}
+    failed, unset = F.lit("Exception"), F.lit(None).cast("string")
+    run = F.when(language.isin(list(late)), F.coalesce(
+        verdict(usual, unset), by_language({n: r for n, r in late.items() if r}, failed)
+    )).otherwise(by_language(other, failed))
+    return F.when(phase == "build", by_language(BUILD_RULES, unset)).otherwise(run)
 
 
 def captured(text: Column, drop: str = "") -> Column:
@@ -133,9 +143,7 @@ def captured(text: Column, drop: str = "") -> Column:
 def distinct_programs(rows: DataFrame, program: str, language: str) -> DataFrame:
     """Each program once per language, with the hash that finds it again."""
     key = F.md5(F.col(program).cast("binary"))
-    return rows.groupBy(F.col(language), key.alias("program_md5")).agg(
-        F.any_value(program).alias(program)
-    )
+    return rows.select(language, program).distinct().withColumn("program_md5", key)
 
 
 def share_results(

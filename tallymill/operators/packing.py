@@ -99,15 +99,14 @@ def short_pairs(pairs: DataFrame, max_tokens: int) -> DataFrame:
     return pairs.where(F.size(tok.words(pair_prompt(pairs))) < max_tokens)
 
 
-def pairs_per_question(pairs: DataFrame) -> DataFrame:
+def pairs_per_question(pairs: DataFrame, key: str) -> DataFrame:
     """Pairs grouped by question text, as sizes; the rows stay in ``pairs``.
 
     The question is hashed for the shuffle, and its groups are pre-aggregated,
     so a question with a third of all pairs costs one partial row per task.
     """
     return pairs.groupBy(F.md5(F.col("question").cast("binary")).alias("question_md5")).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.min("solution").alias("first_solution"),
+        F.count(F.lit(1)).alias("pairs"), F.min(key).alias("first_problem"),
         F.sum(F.length("solution")).alias("solution_chars"),
     )
 

@@ -126,16 +126,12 @@ def pairs_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT md5(question) AS question_md5, count(*) AS pairs, md5(min(solution)) AS first_md5,
+SELECT md5(question) AS question_md5, count(*) AS pairs, min(doc_id) AS first_problem,
   CAST(sum(length(solution)) AS BIGINT) AS solution_chars
 FROM ({PAIRS_SQL}) WHERE len({k.words(_PROMPT_SQL)}) < 40 GROUP BY question""")
 def pairs_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = packing.solution_pairs(problems(spark, sf_dir), "doc_id")
-    grouped = packing.pairs_per_question(packing.short_pairs(pairs, 40))
-    return grouped.select(
-        "question_md5", "pairs", digest(F.col("first_solution")).alias("first_md5"),
-        "solution_chars",
-    )
+    return packing.pairs_per_question(packing.short_pairs(pairs, 40), "doc_id")
 
 
 @query(f"""

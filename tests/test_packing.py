@@ -46,7 +46,7 @@ def test_solution_pairs(spark):
     pairs = packing.solution_pairs(df, "id")
     got = [(r["id"], r["solution"], "Call" in r["answer_type"]) for r in pairs.orderBy("id", "pos").collect()]
     assert got == [(1, "a", True), (1, "b", True), (4, "c", False)]
-    (row,) = packing.pairs_per_question(pairs).collect()
+    (row,) = packing.pairs_per_question(pairs, "id").collect()
     assert row["pairs"] == 3 and row["solution_chars"] == 3
 
 
