@@ -489,7 +489,26 @@ _GO = f"concat('package main{NL}// strings.ToUpper(x){NL}', replace(text, ', ',
 _GO_SETUP = f"concat('package main{NL}import ({NL}    \"math\"{NL}    \"fmt\"{NL}){NL}', role)"
 
 
-@query()
+def _go_import_sql() -> str:
+    """Import lines of the packages used outside comment lines but not quoted."""
+    cases = []
+    for package in fixed.GO_PACKAGES:
+        name = package.rsplit("/", 1)[-1]
+        cases.append(
+            f"CASE WHEN NOT contains(whole, {k.q(chr(34) + package + chr(34))}) AND "
+            f"len(list_filter(string_split(whole, chr(10)), lambda l: contains(l, {k.q(name + '.')}) "
+            f"AND NOT starts_with({k.strip('l')}, '//'))) > 0 THEN {k.q('    ' + chr(34) + name + chr(34))} END"
+        )
+    return f"list_filter([{', '.join(cases)}], lambda p: p IS NOT NULL)"
+
+
+@query(result_sql(
+    f"""SELECT *, {_go_import_sql()} AS used FROM (
+          SELECT *, setup || text || chr(10) || 'sort.Ints(x)' AS whole FROM (
+            SELECT conv_id, turn, {_GO} AS text, {_GO_SETUP} || chr(10) AS setup FROM conversations))""",
+    program="setup || CASE WHEN len(used) > 0 THEN 'import (' || chr(10) || array_to_string(used, chr(10)) "
+            "|| chr(10) || ')' || chr(10) ELSE '' END || replace(text, 'package main', '')",
+))
 def program_assemble_go(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         *KEYS, F.expr(_GO).alias("text"), F.expr(_GO_SETUP).alias("setup")
@@ -502,7 +521,13 @@ def program_assemble_go(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUST = f"concat('fn f(x: i32) {{{NL}', replace(text, '. ', '{NL}fn main() {{}}{NL}'))"
 
 
-@query()
+@query(result_sql(
+    f"SELECT *, string_split(text, 'fn main()') AS parts FROM ({shaped(_RUST)})",
+    program="CASE WHEN len(parts) = 1 THEN 'fn main(){}' || chr(10) ELSE '' END || "
+            "CASE WHEN contains(text, 'use std::io;') THEN '' ELSE 'use std::io;' || chr(10) END || "
+            "CASE WHEN contains(text, 'fn g') THEN '' ELSE 'fn g() {' || chr(10) END || "
+            "array_to_string(parts[1:2], 'fn main()')",
+))
 def program_assemble_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
     declaration = F.lit("use std::io;\nfn f(x: i32) -> i32 {\nfn g() {\n")
     return result(

@@ -81,7 +81,19 @@ def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+# Expected texts by kind. Where the hunk fits, the first line is reversed; the
+# second hunk of the last kind only lands behind the end of a short file.
+@query(f"""
+WITH d AS (SELECT doc_id, text, {_FIRST} AS first, len(string_split(text, chr(10))) AS n FROM documents),
+e AS (SELECT doc_id, doc_id % 8 AS kind, text, first, n, first || chr(10) || text AS on_top,
+  CASE WHEN first = '' THEN chr(10) || text ELSE reverse(first) || substr(text, length(first) + 1) END AS swapped,
+  CASE WHEN first = '' THEN chr(10) || 'added' || chr(10) || text
+       ELSE reverse(first) || chr(10) || 'added' || substr(text, length(first) + 1) END AS grown FROM d),
+r AS (SELECT doc_id, text,
+  CASE kind WHEN 1 THEN text WHEN 6 THEN on_top WHEN 7 THEN grown ELSE swapped END AS patched,
+  CASE kind WHEN 1 THEN text WHEN 2 THEN text WHEN 4 THEN text WHEN 6 THEN on_top
+    WHEN 7 THEN grown || CASE WHEN n + 1 < 10 THEN chr(10) || first ELSE '' END ELSE swapped END AS by_line FROM e)
+SELECT doc_id, md5(patched) AS patched_md5, md5(by_line) AS by_line_md5, patched <> text AS changed FROM r""")
 def diff_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = patches.apply_diffs(diffs(spark, sf_dir), "text", "hunk_text", "patched")
     rows = patches.apply_diffs(rows, "text", "hunk_text", "by_line", use_line_number=True)
