@@ -62,7 +62,10 @@ def strip_meta_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+# The wrapped texts are programs; plain prose is not.
+@query(f"""
+SELECT lang, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM (
+  SELECT doc_id, lang FROM ({SOURCES_SQL}) WHERE doc_id % 3 <> 0) GROUP BY lang""")
 def parseable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs and prose mixed; only the programs parse."""
     code = F.when(
@@ -127,7 +130,14 @@ def corpus_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""
+WITH x AS (SELECT doc_id, content, {k.lexemes('content')} AS lex FROM ({SOURCES_SQL})),
+m AS (SELECT doc_id, content, {k.kept_marks('lex')} AS kept,
+  regexp_split_to_array({k.compacted(k.masked('lex'))}, {k.q('["' + chr(39) + ']MASK["' + chr(39) + ']')}) AS gaps FROM x),
+b AS (SELECT doc_id, content, array_to_string(list_transform(range(1, greatest(len(gaps), len(kept)) + 1),
+  lambda i: coalesce(gaps[i], '') || coalesce(kept[i], '')), '') AS body FROM m)
+SELECT doc_id, CAST(length(content) AS BIGINT) AS raw_chars, CAST(length(body) AS BIGINT) AS chars,
+  md5(body) AS body_md5 FROM b""")
 def text_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = tok.rewrite_compact(F.col("content")).alias("body")
     return sources(spark, sf_dir).select("doc_id", "content", body).select(

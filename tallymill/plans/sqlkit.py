@@ -62,21 +62,60 @@ def bucket(key: str, buckets: int = 10_000) -> str:
     return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {buckets})"
 
 
-def rewritten(x: str) -> str:
+def _lexeme(l: str = "l") -> str:
+    """A lexeme with its vocabulary word replaced."""
     table = rewrite_table()
     keys = ", ".join(q(k) for k in table)
     values = ", ".join(q(v) for v in table.values())
     mapping = f"MAP([{keys}], [{values}])"
-    bare = "ltrim(l, chr(10) || ' ' || chr(9))"
-    rule = q(lexeme_rule(lookaround=False))
+    bare = f"ltrim({l}, chr(10) || ' ' || chr(9))"
+    return (
+        f"CASE WHEN starts_with({l}, chr(10)) THEN "
+        f"coalesce(substr({l}, 1, length({l}) - length({bare})) || {mapping}[chr(10) || {bare}], {l}) "
+        f"ELSE coalesce({mapping}[replace({l}, chr(9), ' ')], {l}) END"
+    )
+
+
+def lexemes(x: str) -> str:
+    return f"regexp_extract_all(chr(10) || {x}, {q(lexeme_rule(lookaround=False))})"
+
+
+def rewritten(x: str) -> str:
+    parts = f"list_transform({lexemes(x)}, lambda l: {_lexeme()})"
+    return f"substr(array_to_string({parts}, ''), 2)"
+
+
+_QUOTED = r"""(?s)^(#|"[^"]|"".|'[^']|''.)"""
+_IS_MASKED = f"regexp_matches(l, {q(_QUOTED)})"
+
+
+def masked(lexemes_column: str) -> str:
+    """Rewritten text with comments and strings replaced by marks."""
+    comment, text = q("'MASK'"), q('"MASK"')
     return (
-        f"substr(array_to_string(list_transform(regexp_extract_all(chr(10) || {x}, {rule}), "
-        f"lambda l: CASE WHEN starts_with(l, chr(10)) THEN "
-        f"coalesce(substr(l, 1, length(l) - length({bare})) || {mapping}[chr(10) || {bare}], l) "
-        f"ELSE coalesce({mapping}[replace(l, chr(9), ' ')], l) END), ''), 2)"
+        f"substr(array_to_string(list_transform({lexemes_column}, lambda l: CASE "
+        f"WHEN starts_with(l, '#') THEN {comment} WHEN {_IS_MASKED} THEN {text} "
+        f"ELSE {_lexeme()} END), ''), 2)"
     )
 
 
+def kept_marks(lexemes_column: str) -> str:
+    return (
+        f"list_transform(list_filter({lexemes_column}, lambda l: {_IS_MASKED}), "
+        "lambda l: CASE WHEN starts_with(l, '#') THEN l || chr(10) ELSE l END)"
+    )
+
+
+def compacted(x: str) -> str:
+    """The compaction without lookaround: blanks behind a sign go, then those in front."""
+    sign = rf'[^a-zA-Z0-9_*"{SPACE_CLASS}]'
+    x = f"replace({x}, chr(92), ' ')"
+    behind, front = q(f"({sign})[{SPACE_CLASS}]+"), q(f"[{SPACE_CLASS}]+({sign})")
+    for rule in (behind, front):
+        x = f"regexp_replace({x}, {rule}, {q(chr(92) + '1')}, 'g')"
+    return f"regexp_replace(replace({x}, '<SPACE>', ' '), '[{SPACE_CLASS}]+', ' ', 'g')"
+
+
 def meta_cut(x: str) -> str:
     return (
         f"CASE WHEN starts_with({x}, '<') AND instr({x}, chr(10)) > 0 "

@@ -20,7 +20,7 @@ check = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(check)
 
 #: Queries whose result has no plain SQL form; each has brute-force tests.
-ROWS_ONLY = {"parseable_rows", "text_compact", "token_report_bpe"}
+ROWS_ONLY = {"token_report_bpe"}
 
 
 @pytest.fixture(scope="module")
