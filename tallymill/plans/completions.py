@@ -91,8 +91,9 @@ _PARITY = fixed.STOPS["parity"]
 
 
 @query(result_sql(
-    shaped(STATEMENTS), block=k.rstrip(f"({k.truncate('s', _PARITY)})").replace("s,", "s,")
-).replace(f"FROM ({shaped(STATEMENTS)})", f"FROM (SELECT *, 'def' || text AS s FROM ({shaped(STATEMENTS)}))"))
+    f"SELECT *, 'def' || text AS s FROM ({shaped(STATEMENTS)})",
+    block=k.rstrip(f"({k.truncate('s', _PARITY)})"),
+))
 def gen_first_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(
         generations(spark, sf_dir, STATEMENTS),
@@ -323,11 +324,12 @@ def gen_definition_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The greeting's apostrophe is set afterwards: a bare quote differs per dialect.
 _CHAT = (
     f"concat('ask ### Response:', CASE turn % 3 WHEN 0 THEN concat('Here is ```python{NL}', "
-    f"replace(text, '. ', '{NL}'), '``` bye') WHEN 1 THEN concat('Here\"s{NL}', text, '# Example usage ', text) "
+    f"replace(text, '. ', '{NL}'), '``` bye') WHEN 1 THEN concat('Here!s{NL}', text, '# Example usage ', text) "
     f"ELSE concat(text, '{NL}if __name__ == \"__main__\":{NL}  main()</s>', text) END)"
-).replace('Here"s', "Here!s")
+)
 
 
 @query(f"""
@@ -376,7 +378,7 @@ _ASSISTANT = f"replace(replace(text, '. ', '<|assistant|>'), ', ', ' ```python{N
 
 
 @query(result_sql(
-    f"SELECT *, instr(text, '<|assistant|>') AS at, instr(text, '<|assistant|> ```python') AS fat FROM ({shaped(_ASSISTANT)})",
+    shaped(_ASSISTANT),
     plain=k.after("text", "<|assistant|>"), ended=k.after("text", "```"), bare="text",
 ))
 def gen_after_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +390,6 @@ def gen_after_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DOC = "concat('x', replace(text, '. ', ' The goal: '))"
 _DOC_SUFFIX = fixed.DOC_SUFFIX["other"]
 _DOCUMENTED = f"concat('code', '{_DOC_SUFFIX}', text, '{_DOC_SUFFIX}', text)"
 _QUOTED = f"replace(replace(text, '. ', ' \"\"\" '), ' and ', ' {NL} ')"
@@ -427,7 +428,6 @@ def gen_remove_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COMPACT = "replace(replace(replace(text, '. ', '<block_end>'), ' the ', '<def_stmt>'), ' le ', '@')"
-_COMPACT_TAIL = STATEMENTS
 
 
 @query(f"""

@@ -341,7 +341,7 @@ def task_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP_ROWS = ", ".join(
-    f"({k.q(name)}, {len(fixed.stops_for(name))}, {k.q(fixed.STOPS and ' | '.join(fixed.stops_for(name)))})"
+    f"({k.q(name)}, {len(fixed.stops_for(name))}, {k.q(' | '.join(fixed.stops_for(name)))})"
     for name in _TASKS
 )
 

@@ -13,7 +13,6 @@ def q(text: str) -> str:
 BLANK = q(BLANKS)
 SPACE_CLASS = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 WORDS = rf"[{WORD_CLASS}]+|[^{SPACE_CLASS}{WORD_CLASS}]"
-NL = "chr(10)"
 
 
 def strip(x: str) -> str:
