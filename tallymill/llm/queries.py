@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import packing, simhash, token_counts, token_files
+from tallymill.llm import packing, quality, simhash, token_counts, token_files, url_rules
 from tallymill.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,40 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
+_PLAIN_LINE = r"trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS w, {_LINES} AS l
+           FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+again AS (SELECT doc_id, i FROM i
+          QUALIFY count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n
+            FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
+line AS (SELECT DISTINCT host, text, unnest(l) AS line, generate_subscripts(l, 1) AS at FROM d),
+norm AS (SELECT host, text, {_PLAIN_LINE} AS p FROM line),
+common AS (SELECT host, p FROM norm GROUP BY host, p
+           HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.1 * (
+               SELECT count(DISTINCT text) FROM d WHERE d.host = norm.host)),
+gone AS (SELECT host, text, sum(len(string_split(p, ' '))) AS n FROM norm JOIN common USING (host, p)
+         GROUP BY host, text),
+base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, strlen('') + len(array_to_string(w, ''))::BIGINT AS word_chars,
+                len(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_removed_words
+         FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN gone g USING (host, text))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_removed_words,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.5 * n_words AS kept
+FROM base
+""")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_LIBRARY, BYTE_RANKS)
@@ -45,6 +79,30 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the registered query, in their order.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query(f"""
+WITH p AS (SELECT page_id,
+                  coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+                  row_number() OVER () AS n
+           FROM pages),
+rules(h, s, v) AS (VALUES {", ".join(str(r) for r in RULES)}),
+fit AS (SELECT n, h || s AS rule, v,
+               row_number() OVER (PARTITION BY n ORDER BY length(h || s) DESC, length(h) DESC, v = 'allow') AS rank
+        FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM p LEFT JOIN (FROM fit WHERE rank = 1) USING (n)
+""")
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 @query()
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_files.token_blocks(table(spark, sf_dir, "documents"), WORD_LIBRARY)
