@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymill.llm import packing, quality, simhash, token_counts, token_files, url_rules
+from tallymill.llm import knn, packing, quality, simhash, token_counts, token_files, toxicity, url_rules
 from tallymill.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,7 +104,26 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(
+               embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, sum(q.x * e.x)::BIGINT AS score
+      FROM e AS q JOIN e USING (i) WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id GROUP BY ALL)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""")
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query()
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_files.token_blocks(table(spark, sf_dir, "documents"), WORD_LIBRARY)
     return token_files.read_tokens(written(blocks, "tokens"), with_ids=False)
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
