@@ -38,10 +38,9 @@ class Counter:
     def count(self, text: str) -> int:
         words = self.encoder.split(text)
         if words is None:
-            return len(self.encoder.id_bytes(text)) // 4
+            return len(self.encoder.ids(text))
         rest = [word for word in words if word not in self.whole]
-        ids = self.encoder.learn(rest)
-        return len(words) - len(rest) + sum(len(ids[word]) for word in rest) // 4
+        return len(words) - len(rest) + len(self.encoder.merged(rest))
 
 
 def token_counter(spark: SparkSession, path: str):

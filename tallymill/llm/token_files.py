@@ -35,12 +35,12 @@ def token_blocks(df: DataFrame, library_path: str, end_id: int = 1, doc: str = "
     """
     library = sent(df.sparkSession, library_path)
 
-    def pack(rows: list[tuple[int | None, bytes]], before: int, shard: int) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(x for _, x in rows), dtype="<u4")
+    def pack(rows: list[tuple[int | None, np.ndarray]], before: int, shard: int) -> pa.RecordBatch:
+        ids = np.concatenate([x for _, x in rows])
         words, firsts, places, values = simple8b.encode(ids)
         one = {
             "shard": [shard], "before": [before], "n_ids": [len(ids)],
-            "doc_ids": [[doc_id for doc_id, _ in rows]], "lengths": [[len(x) // 4 for _, x in rows]],
+            "doc_ids": [[doc_id for doc_id, _ in rows]], "lengths": [[len(x) for _, x in rows]],
             "words": [words.astype("<u8").tobytes()], "firsts": [firsts.astype("<u4").tobytes()],
             "escape_places": [places.astype("<u8").tobytes()],
             "escape_values": [values.astype("<u8").tobytes()],
@@ -52,13 +52,12 @@ def token_blocks(df: DataFrame, library_path: str, end_id: int = 1, doc: str = "
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(("words", library_path), lambda: WordEncoder(library.value))
-        end = int(end_id).to_bytes(4, "little")
         shard, before, rows, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for doc_id, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.id_bytes(whole.as_py() or "") + end
+                ids = np.array([*encoder.ids(whole.as_py() or ""), end_id], dtype=np.uint32)
                 rows.append((doc_id, ids))
-                held += len(ids) // 4
+                held += len(ids)
                 if held >= ROW_IDS:
                     yield pack(rows, before, shard)
                     before, rows, held = before + held, [], 0

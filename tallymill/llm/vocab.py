@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
-from array import array
 
 import public_tokenizers
 from pyspark import Broadcast
@@ -22,8 +21,6 @@ PLAIN = "\t\n\r" + "".join(
                      *range(0x2013, 0x2015), *range(0x2018, 0x201F), 0x2022, 0x2026, 0x20AC)
 )
 _PLAIN_TEXT = re.compile(f"[{re.escape(PLAIN)}]*")
-#: Words kept per worker; the cache starts anew when full, which costs time but no results.
-CACHED_WORDS = 400_000
 
 
 def _of_kind(kind: str) -> str:
@@ -57,15 +54,27 @@ class ByteEncoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
 
+def byte_signs() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary file stands for: visible Latin-1
+    characters are themselves, the other bytes are the characters from 256 on, in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    """Ids of a lower-casing vocabulary with word ends, through a cache of whole words.
+    """Ids of a lower-casing vocabulary with word ends.
 
-    A text is split into words as the vocabulary's own pattern does; each distinct word is encoded
-    by the library once. Texts beyond the plain alphabet, or with a special string, go to the
-    library whole.
+    A plain text is split into words as the vocabulary's own pattern does, and the words are merged
+    by a rank codec in which a line feed, which no word holds, stands for the word end: a byte with
+    a word end ranks before all merges, as the vocabulary lists it. Other texts, and texts with a
+    special string, go to the library whole.
     """
 
+    END = "</w>"
+
     def __init__(self, library_json: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(library_json)
@@ -73,7 +82,13 @@ class WordEncoder:
         letters, digits = _of_kind("L"), _of_kind("N")
         self.words = re.compile(
             f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^\\s{letters}{digits}]+").findall
-        self.known: dict[str, bytes] = {}
+        signs, ranks = byte_signs(), {}
+        for token, rank in self.library.get_vocab().items():
+            if token not in self.special:
+                ends = token.endswith(self.END) and token != self.END
+                own = token.removesuffix(self.END) if ends else token
+                ranks[bytes(signs[c] for c in own) + b"\n" * ends] = rank
+        self.codec = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
 
     def split(self, text: str) -> list[str] | None:
         """The words of a text, or None where only the library can tell."""
@@ -81,23 +96,14 @@ class WordEncoder:
             return self.words(text.lower())
         return None
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids, as little-endian 32-bit bytes, of at least these words."""
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {}
-                new = list(set(words))
-            for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[word] = array("I", found.ids).tobytes()
-        return self.known
-
-    def id_bytes(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+    def merged(self, words: list[str]) -> list[int]:
+        return self.codec.encode_ordinary("\n".join(words) + "\n") if words else []
+
+    def ids(self, text: str) -> list[int]:
         words = self.split(text)
         if words is None:
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.learn(words).__getitem__, words))
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.merged(words)
 
 
 _LOADED: dict[tuple, object] = {}
