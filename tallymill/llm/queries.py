@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import knn, packing, quality, simhash, token_counts, token_files, toxicity, url_rules
+from tallymill.llm import knn, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity, url_rules
 from tallymill.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,23 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS pos
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+w AS (SELECT doc_id, pos, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS w FROM l),
+c AS (SELECT w, len(w) AS n, min((doc_id, pos)) AS first, row_number() OVER () AS id FROM w WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT id, n, first, unnest(w) AS t FROM c),
+s AS (SELECT y.id FROM t AS y JOIN t AS x ON x.t = y.t AND x.first < y.first AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n
+      GROUP BY y.id, x.id, y.n, x.n HAVING 5 * count(*) >= 4 * (y.n + x.n - count(*))),
+k AS (SELECT first[1] AS doc_id, first[2] AS pos FROM c WHERE id NOT IN (SELECT id FROM s))
+SELECT doc_id, (SELECT count(*) FROM w WHERE w.doc_id = d.doc_id AND len(w.w) > 0) AS n_lines, count(k.pos) AS n_kept,
+       coalesce(string_agg(k.pos, ',' ORDER BY k.pos), '') AS kept_lines
+FROM documents AS d LEFT JOIN k USING (doc_id) GROUP BY doc_id
+""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query("""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(
