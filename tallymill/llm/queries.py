@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import knn, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity, url_rules
+from tallymill.llm import bpe, knn, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity, url_rules
 from tallymill.llm.shared import table, written
+from tallymill.llm.vocab import read_ranks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +105,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), read_ranks(BYTE_RANKS))
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS pos
            FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
