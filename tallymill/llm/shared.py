@@ -60,3 +60,15 @@ def let(value: Column, body) -> Column:
 def bits_of(mask: int) -> int:
     """The signed 64-bit number with the bits of an unsigned one."""
     return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -181,21 +181,18 @@ def _fit(rows: list[list[int]], labels: np.ndarray, n: int, steps: int = 600) ->
     return w[:n], float(w[n])
 
 
-def train(df: DataFrame, labelled: DataFrame, text: str = "text", sample: int = 10_000,
-          most_features: int = 8_192) -> Model:
+def train(df: DataFrame, labelled: DataFrame, text: str = "text", most_features: int = 8_192) -> Model:
     """A model of `labelled` (columns text, label), its letters counted over all texts of `df`.
 
-    At most `sample` labelled rows are used, those whose text and label hash lowest, and at most
-    `most_features` features, the strongest by n1 log-odds; both bound what the driver holds.
-    Letter counts cover every text. Without rows of both labels every score is the rate of label 1.
+    The caller bounds the labelled rows; of their features the strongest `most_features` by n1
+    log-odds are used. Both bound what the driver holds. Letter counts cover every text. Without
+    rows of both labels every score is the rate of label 1.
     """
     costs = letter_costs(count_trigrams(F.col(text).cast("string"), df))
     spark = df.sparkSession
     sent_costs = spark.sparkContext.broadcast(costs)
-    rows = (labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                            F.col("label").cast("int").alias("label"))
-            .filter("label is not null").withColumn("h", F.xxhash64("text", "label"))
-            .orderBy("h", "text", "label").limit(sample).select("text", "label"))
+    rows = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                           F.col("label").cast("int").alias("label")).filter("label is not null")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent_costs.value)
@@ -203,11 +200,10 @@ def train(df: DataFrame, labelled: DataFrame, text: str = "text", sample: int =
             found = [sorted(features(restorer.words(t))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"label": batch.column(1), "f": pa.array(found, pa.list_(pa.string()))})
 
-    held = written(rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
-        featured, "label int, f array<string>"), "labelled")
+    held = written(rows, "labelled").mapInArrow(featured, "label int, f array<string>")
     ones, all_ = (float(x or 0) for x in held.agg(F.sum("label"), F.count("*")).first())
     if not 0 < ones < all_:
-        rate = (ones + 0.5) / (all_ + 1)
+        rate = (ones + 0.5) / (all_ + 2)
         return Model(costs, {}, math.log(rate / (1 - rate)))
     n1, n0 = F.sum("label"), F.sum(1 - F.col("label"))
     odds = F.log((n1 + 0.5) / (ones + 1)) - F.log((n0 + 0.5) / (all_ - ones + 1))
@@ -261,19 +257,38 @@ def held_out(doc: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")) % folds == 0, F.lit(False))
 
 
+def learned(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text",
+            label: str = "toxic", sample: int = 10_000) -> Model:
+    """A model from documents that are not held out: the `sample` of them whose ids hash lowest.
+
+    `sample` bounds what the driver holds. Of a document's several labels the highest counts; null
+    ids and labels are none.
+    """
+    own = df.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    known = labels.select(F.col(doc).alias("doc_id"), F.col(label).cast("int").alias("label")).filter(
+        ~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    # The sample's size is the bound of this broadcast, so the texts stay where they are.
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return train(own, own.join(F.broadcast(chosen), "doc_id"))
+
+
 def toxicity(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text",
              label: str = "toxic", threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
     """One row per row of `df`: doc_id, held_out, score, predicted (1 from `threshold` on).
 
-    Labels are learned from rows that are not held out, at most `sample` of them; texts alone decide
-    a score. A null or empty text scores the model's constant; a null id counts as an empty one and
-    has no label; null labels are none; repeated rows get equal results; an empty table gives no
-    rows; other columns play no part.
+    Texts alone decide a score. A null or empty text scores the model's constant; a null id counts
+    as an empty one; repeated rows get equal results; an empty table gives no rows; other columns
+    play no part.
     """
-    own = df.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = labels.select(F.col(doc).alias("doc_id"), F.col(label).alias("label")).filter(
-        ~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    model = train(own, own.join(known, "doc_id"), sample=sample)
-    score = scorer(own, model)
-    return own.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score")).withColumn(
+    score = scorer(df, learned(df, labels, doc, text, label, sample))
+    return df.select(F.col(doc).alias("doc_id"), held_out(F.col(doc)).alias("held_out"),
+                     score(F.col(text).cast("string")).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text",
+                  label: str = "toxic", threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
+    """The rows of `df` that score below `threshold`, all columns as they are; see `toxicity`."""
+    score = scorer(df, learned(df, labels, doc, text, label, sample))
+    return df.filter(score(F.col(text).cast("string")) < threshold)
