@@ -48,15 +48,15 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 def text_counts(df: DataFrame, text: str) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the column `text`."""
     whole = F.col(text)
+    words = F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
     worded = F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
     return (
-        df.withColumn("__words", F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)))
-        .withColumn("n_words", F.size("__words").cast("long"))
+        df.withColumn("n_words", F.size(words).cast("long"))
         .withColumn("word_chars", F.char_length(_without(whole, SPACE_CHARS)).cast("long"))
         .withColumn("n_symbols", (F.char_length(whole) - F.char_length(_without(whole, SYMBOLS))).cast("long"))
         .withColumn("n_dup_lines", let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", F.when(F.col("n_words") > 0, repeated_words(F.col("__words"))).otherwise(0))
-        .drop("__words")
+        .withColumn("n_repeat_words", let(words, lambda w: F.when(F.size(w) > 0, repeated_words(w)).otherwise(
+            F.lit(0).cast("long"))))
     )
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.shared import let
+
 #: Hex digits of the digest that the join uses.
 SHORT = 8
 
@@ -28,9 +30,8 @@ def path_of(url: Column) -> Column:
 
 def suffixes(host: Column) -> Column:
     """The host itself and what follows each of its dots."""
-    parts = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return let(F.split(host, r"\.", -1), lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def expressions(host: Column, path: Column, length: Column) -> Column:
