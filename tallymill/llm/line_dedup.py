@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.shared import written
+from tallymill.llm.shared import fresh, written
 
 #: Word counts are kept in this many buckets, whatever the corpus; an even power of two.
 BUCKETS = 1 << 20
@@ -27,17 +27,22 @@ FILTER_WORDS = 1 << 16
 PLACE = ["d", "r", "ln"]
 
 
-def _words(line: str) -> Column:
-    """Distinct words of a line, between blanks."""
-    return F.array_distinct(F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda w: w != ""))
+def _words(text: str) -> Column:
+    """What stands between blanks; two blanks in a row leave an empty word."""
+    return F.split(F.translate(text, "\n\t\x0b\x0c\r", "     "), " ")
+
+
+def _hashes(line: str) -> Column:
+    """A line's distinct words as 64-bit hashes."""
+    empty = F.xxhash64(F.lit(""))
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), empty)
 
 
 def lines_of(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(d, r, ln, line) of lines with a word. d is the document id, r the row's place in the scan."""
+    """(d, r, ln, line) of all lines. d is the document id, r the row's place in the scan."""
     rows = df.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("d"),
                      F.monotonically_increasing_id().alias("r"), F.col(text).cast("string").alias("whole"))
-    return rows.select("d", "r", F.posexplode(F.split("whole", "\n", -1)).alias("ln", "line")).filter(
-        F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    return rows.select("d", "r", F.posexplode(F.split("whole", "\n", -1)).alias("ln", "line"))
 
 
 def _dense(values: DataFrame, size: int, default: Column) -> Column:
@@ -70,11 +75,10 @@ def _may_hold(filter_: Column, column: str) -> Column:
     return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _classes(lines: DataFrame, threshold: float) -> DataFrame:
+def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """One row per set of words: its first place, n, two parity sketches and its prefix."""
-    hashed = lines.select(*PLACE, F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("h"))
-    bucket = F.col("w").bitwiseAND(F.lit(BUCKETS - 1))
-    counts = hashed.select(F.explode("h").alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
+    counts = texts.select(F.explode(_words("whole")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     # Quarter octaves of a bucket's count: 64 steps from rare to common.
     steps = counts.select("b", F.least(F.lit(63), F.floor(4 * F.log2("n"))).cast("tinyint").alias("v"))
     common = _dense(steps, BUCKETS, F.lit(0).cast("tinyint"))
@@ -90,8 +94,8 @@ def _classes(lines: DataFrame, threshold: float) -> DataFrame:
 
         return F.aggregate("k", F.lit(0).cast("long"), turn)
 
-    keyed = hashed.select(*PLACE, "h", common.alias("common")).select(
-        *PLACE, F.sort_array(F.transform("h", key)).alias("k"))
+    hashed = lines.select(*PLACE, _hashes("line").alias("h"), common.alias("common"))
+    keyed = hashed.select(*PLACE, F.sort_array(F.transform("h", key)).alias("k")).filter(F.size("k") > 0)
     n = F.size("k")
     prefix = F.slice("k", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     sized = keyed.select(F.xxhash64("k").alias("id"), F.struct(
@@ -101,24 +105,32 @@ def _classes(lines: DataFrame, threshold: float) -> DataFrame:
 
 def _entries(classes: DataFrame) -> DataFrame:
     """One row per class and prefix word: t at place i of the class's n words."""
-    return classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("i", "t"))
+    entries = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("i", "t"))
+    # Both counts in one number: these rows are most of what is moved. None of the values is null;
+    # said so, all uses of these rows have one plan and share one exchange.
+    counts = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+    values = {"t": F.col("t"), **{c: F.col(c) for c in PLACE}, "ni": counts, "b1": F.col("b1"), "b2": F.col("b2")}
+    return entries.select(*(F.coalesce(v, F.lit(0).cast("int" if c == "ln" else "long")).alias(c)
+                            for c, v in values.items()))
 
 
 def _near(x, y, threshold: float) -> Column:
     """x stands earlier than y and may match it: length, position and sketch allow it."""
     earlier = reduce(lambda after, c: (x(c) < y(c)) | ((x(c) == y(c)) & after), reversed(PLACE), F.lit(False))
-    both = x("n") + y("n")
+    n = lambda side: F.shiftright(side("ni"), 32)
+    i = lambda side: side("ni").bitwiseAND(F.lit(0xFFFFFFFF))
+    both = n(x) + n(y)
     overlap = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-    rest = F.least(x("i"), y("i")) + 1 + F.least(x("n") - x("i"), y("n") - y("i")) - 1
+    rest = F.least(i(x), i(y)) + F.least(n(x) - i(x), n(y) - i(y))
     differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
-    return (earlier & (x("n") >= y("n") * threshold - 1e-9) & (y("n") >= x("n") * threshold - 1e-9)
+    return (earlier & (n(x) >= n(y) * threshold - 1e-9) & (n(y) >= n(x) * threshold - 1e-9)
             & (rest >= overlap) & (differ <= both - 2 * overlap))
 
 
 def _pairs(entries: DataFrame, threshold: float) -> DataFrame:
     """Pairs (y, x) of places that may match, and whether y was spared others for x's sake."""
     dealt = entries.repartition("t")
-    fields = [*PLACE, "n", "i", "b1", "b2"]
+    fields = [*PLACE, "ni", "b1", "b2"]
     lead = dealt.groupBy("t").agg(F.min(F.struct(*fields)).alias("x"), F.count("*").alias("in_group"))
     led = dealt.join(lead.filter("in_group > 1"), "t")
     x, y = (lambda c: F.col("x")[c]), (lambda c: F.col(c))
@@ -140,9 +152,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     texts = lines.select(F.struct(*PLACE).alias("place"), "line")
     there = texts.filter(_may_hold(_mark(wanted, "place"), "place"))
     y, x = (there.select(F.col("place").alias(s), F.col("line").alias(f"{s}_line")) for s in ("y", "x"))
-    held = pairs.join(y, "y").join(x, "x").select(*pairs.columns, _words("y_line").alias("p"), _words("x_line").alias("q"))
-    common = F.size(F.array_intersect("p", "q"))
-    similar = common >= threshold * (F.size("p") + F.size("q") - common) - 1e-9
+    held = pairs.join(y, "y").join(x, "x").select(*pairs.columns, *(F.array_remove(F.array_distinct(_words(f"{side}_line")), "").alias(f"{side}_words")
+                        for side in ("y", "x")))
+    common = F.size(F.array_intersect("y_words", "x_words"))
+    similar = common >= threshold * (F.size("y_words") + F.size("x_words") - common) - 1e-9
     return held.select(*pairs.columns, similar.alias("match"))
 
 
@@ -154,7 +167,8 @@ def kept_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold
     rows are named by their place in the scan.
     """
     lines = lines_of(df, doc, text)
-    classes = written(_classes(lines, threshold), "line-classes")
+    texts = df.select(F.col(text).cast("string").alias("whole"))
+    classes = written(_classes(texts, lines, threshold), "line-classes")
     tried = written(_verified(_pairs(_entries(classes), threshold), lines, threshold), "line-pairs")
     gone = tried.groupBy("y").agg(F.max("match").alias("match"), F.max("spared").alias("spared"))
 
@@ -196,9 +210,9 @@ def without_later_matches(df: DataFrame, doc: str = "doc_id", text: str = "text"
     Null texts stay null. All other columns are left as they are, whatever their names.
     """
     kept = kept_lines(df, doc, text, threshold).groupBy("r").agg(F.collect_set("ln").alias("kept"))
-    row, names = "__line_dedup_row", df.columns
+    row, places = fresh(df, "row", "kept")
     rows = df.withColumn(row, F.monotonically_increasing_id()).join(
-        kept.select(F.col("r").alias(row), F.col("kept").alias("__line_dedup_kept")), row, "left")
+        kept.select(F.col("r").alias(row), F.col("kept").alias(places)), row, "left")
     stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~x.rlike("[^\\x20\\x09-\\x0D]") | F.coalesce(
-        F.array_contains("__line_dedup_kept", i), F.lit(False)))
-    return rows.withColumn(text, F.array_join(stays, "\n")).select(*names)
+        F.array_contains(places, i), F.lit(False)))
+    return rows.withColumn(text, F.array_join(stays, "\n")).select(*df.columns)
