@@ -252,7 +252,6 @@ LEADERBOARD_TASKS = [
 ]
 TIMING_SCOPES = [(0, 100), (100, 500), (500, 2000), (2000, 5000)]
 CAPTURE_CHARS = 2048
-PAIR_TEXT_CHARS = 150_000
 IGNORED_LABEL = -100
 
 

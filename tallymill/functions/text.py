@@ -160,6 +160,12 @@ def hash_bucket(key: Column, buckets: int = 10_000) -> Column:
     return F.pmod(F.conv(head, 16, 10).cast("long"), F.lit(buckets)).cast("long")
 
 
+def hash_share(key: Column) -> Column:
+    """Even, repeatable number from 0 up to 1 of a key, from 52 bits of its md5."""
+    head = F.substring(F.md5(key.cast("string").cast("binary")), 1, 13)
+    return F.conv(head, 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def first_line(text: Column) -> Column:
     return before(text, "\n")
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import ast
-import base64
 import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,22 +72,20 @@ def reject_counts(df: DataFrame, text: str = "content", *by: str) -> DataFrame:
 
 def sample(df: DataFrame, key: str, ratio: float, only: Column | None = None) -> DataFrame:
     """Keep a repeatable share of the keys; rows outside ``only`` all stay."""
-    drawn = t.hash_bucket(F.col(key)) < int(ratio * 10_000)
+    drawn = t.hash_share(F.col(key)) < ratio
     return df.where(drawn if only is None else ~only | drawn)
 
 
 def split_two(key: Column, test_share: float = 0.05) -> Column:
-    test = t.hash_bucket(key) < int(test_share * 10_000)
-    return F.when(test, F.lit("valid")).otherwise(F.lit("train"))
+    return F.when(t.hash_share(key) < test_share, F.lit("valid")).otherwise(F.lit("train"))
 
 
 def split_three(key: Column, train_share: float = 0.8) -> Column:
     """Train share, and the rest halved into ``test`` then ``valid``."""
-    bucket = t.hash_bucket(key)
-    train, half = int(train_share * 10_000), int((1 + train_share) * 5_000)
+    drawn = t.hash_share(key)
     return (
-        F.when(bucket < train, F.lit("train"))
-        .when(bucket < half, F.lit("test"))
+        F.when(drawn < train_share, F.lit("train"))
+        .when(drawn < (1 + train_share) / 2, F.lit("test"))
         .otherwise(F.lit("valid"))
     )
 
@@ -150,53 +147,3 @@ def vocabulary_use(df: DataFrame, text: str = "content") -> DataFrame:
     return vocabulary.join(F.broadcast(counts), "token", "left").select(
         "token", F.coalesce("uses", F.lit(0)).alias("uses")
     )
-
-
-def bpe_counter(spark: SparkSession, rank_file: str, specials: list[str], pattern: str):
-    """Arrow token counter for a byte-pair rank file.
-
-    The vocabulary (tens of thousands of ranks, whatever the data) is broadcast
-    once; special tokens in a text count as one token each.
-    """
-    with open(rank_file, "rb") as lines:
-        ranks = {
-            base64.b64decode(token): int(rank)
-            for token, rank in (line.split() for line in lines if line.strip())
-        }
-    shared = spark.sparkContext.broadcast(ranks)
-    first = max(ranks.values()) + 2
-
-    @F.pandas_udf(T.LongType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        codec = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=shared.value,
-            special_tokens={name: first + i for i, name in enumerate(specials)},
-        )
-        for batch in batches:
-            yield batch.map(
-                lambda s: 0 if s is None else len(codec.encode(s, allowed_special="all"))
-            ).astype("int64")
-
-    return count
-
-
-def bpe_report(df: DataFrame, counter, text: str = "content", *by: str) -> DataFrame:
-    """Token report under an external byte-pair vocabulary."""
-    raw = F.col(text)
-    kept = reject_reason(raw) == "kept"
-    staged = df.select(
-        *by, raw.alias("raw"), kept.alias("kept"),
-        F.when(kept, tok.rewrite_vocabulary(strip_meta_line(raw))).alias("rewritten"),
-    )
-    counted = staged.select(
-        *by, "kept", counter("raw").alias("raw_tokens"),
-        counter(F.coalesce("rewritten", F.lit(""))).alias("new_tokens"),
-    )
-    return counted.groupBy(*by).agg(
-        F.sum("raw_tokens").alias("code_tokens"),
-        F.coalesce(F.sum(F.when(F.col("kept"), F.col("raw_tokens"))), F.lit(0))
-        .alias("filtered_code_tokens"),
-        F.sum("new_tokens").alias("parsed_tokens"),
-    ).withColumn("ratio", F.try_divide("parsed_tokens", "filtered_code_tokens"))

@@ -28,36 +28,62 @@ def _piece(chunks: Column, low: Column, high: Column) -> Column:
     ).otherwise(F.lit(""))
 
 
+def _rest(text: Column, cut: Column) -> Column:
+    """What follows the first ``cut`` characters; nothing beyond the end."""
+    return F.substr(text, cut + 1, F.greatest(F.length(text) - cut, F.lit(0)))
+
+
 def _fold(text: Column, edits: Column) -> Column:
-    """Build the output left to right; an edit inside the last one is skipped.
+    """Build the output left to right; an edit inside the last one edits its new text.
 
     Positions are looked up in pieces of the text and output is joined in runs,
-    so the work grows with the text and its edits, not with their product.
+    so the work grows with the text and its edits, not with their product. The
+    state holds the output of the run, the place reached, and of the last outer
+    edit its start, its new text and how much of that is written.
     """
 
     def folded(row: Column) -> Column:
         chunks, spans = row["chunks"], row["edits"]
 
-        def state(out: Column, at: Column) -> Column:
-            return F.struct(out.alias("out"), at.cast("long").alias("at"))
+        def state(out: Column, at: Column, start: Column, new: Column, cut: Column) -> Column:
+            return F.struct(
+                out.alias("out"), at.cast("long").alias("at"), start.cast("long").alias("start"),
+                new.alias("new"), cut.cast("int").alias("cut"),
+            )
 
         def step(acc: Column, edit: Column) -> Column:
-            gap = _piece(chunks, acc["at"], edit["start"])
-            return F.when(
-                edit["start"] >= acc["at"],
-                state(F.concat(acc["out"], gap, edit["new_str"]), edit["end"]),
-            ).otherwise(acc)
+            low = (edit["start"] - acc["start"]).cast("int")
+            high = (edit["end"] - acc["start"]).cast("int")
+            kept = F.substr(acc["new"], acc["cut"] + 1, F.greatest(low - acc["cut"], F.lit(0)))
+            outer = F.concat(
+                acc["out"], _rest(acc["new"], acc["cut"]), _piece(chunks, acc["at"], edit["start"])
+            )
+            return (
+                F.when(
+                    edit["start"] >= acc["at"],
+                    state(outer, edit["end"], edit["start"], edit["new_str"], F.lit(0)),
+                )
+                .when(
+                    (edit["end"] <= acc["at"]) & (low >= acc["cut"]),
+                    state(F.concat(acc["out"], kept, edit["new_str"]), acc["at"], acc["start"],
+                          acc["new"], high),
+                )
+                .otherwise(acc)
+            )
 
         def run(acc: Column, index: Column) -> Column:
-            part = F.aggregate(
-                F.slice(spans, index * RUN + 1, F.lit(RUN)), state(F.lit(""), acc["at"]), step
-            )
-            return t.let(part, lambda p: state(F.concat(acc["out"], p["out"]), p["at"]))
+            first = state(F.lit(""), acc["at"], acc["start"], acc["new"], acc["cut"])
+            part = F.aggregate(F.slice(spans, index * RUN + 1, F.lit(RUN)), first, step)
+            return t.let(part, lambda p: state(
+                F.concat(acc["out"], p["out"]), p["at"], p["start"], p["new"], p["cut"]
+            ))
 
         runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
         return F.aggregate(
-            runs, state(F.lit(""), F.lit(0)), run,
-            lambda acc: F.concat(acc["out"], _piece(chunks, acc["at"], row["length"])),
+            runs, state(F.lit(""), F.lit(0), F.lit(0), F.lit(""), F.lit(0)), run,
+            lambda acc: F.concat(
+                acc["out"], _rest(acc["new"], acc["cut"]), _piece(chunks, acc["at"], row["length"])
+            ),
         )
 
     chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
@@ -71,9 +97,10 @@ def _fold(text: Column, edits: Column) -> Column:
 def apply(docs: DataFrame, edits: DataFrame, text: str = "text") -> DataFrame:
     """Apply edits ``(doc_id, start, end, new_str)`` to ``docs``.
 
-    Empty spans are ignored. Of edits that overlap, the one that starts first
-    wins, then the longest, so an inner edit folds into its container. A text
-    bounds its own edits: kept spans do not overlap and are not empty.
+    Empty spans are ignored. An edit inside another one folds into its new text,
+    at its place relative to the container's start; the longest of those that
+    start together is the container. An edit that crosses an earlier one's end,
+    or lies inside an edit that is folded already, is left out.
     """
     spans = edits.where(F.col("start") < F.col("end")).select(
         "doc_id",

@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 RANGE = "__range"
 
 
-def range_splits(df: DataFrame, key: str, ranges: int) -> list[float]:
+#: Rows that one range, and so one task, numbers.
+RANGE_ROWS = 100_000
+
+
+def range_splits(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
     """Range limits of a numeric key, from approximate quantiles.
 
-    The limits steer the load only; any limits give the same row numbers.
+    The limits steer the load only; any limits give the same row numbers. The
+    number of ranges follows the number of rows unless it is given.
     """
+    if ranges is None:
+        ranges = -(-df.select(key).count() // RANGE_ROWS)
     if ranges < 2:
         return [float("-inf"), float("inf")]
     probes = [step / ranges for step in range(1, ranges)]
@@ -70,7 +77,7 @@ def number_rows(
     *,
     into: str,
     groups: Sequence[str] = (),
-    ranges: int = 64,
+    ranges: int | None = None,
     keys: DataFrame | None = None,
     hot: int = 1_000_000,
 ) -> DataFrame:
@@ -78,8 +85,7 @@ def number_rows(
 
     ``keys`` may be a cheaper table with the same key column for the limits.
     Groups under ``hot`` rows fit one task and are numbered as they are; only
-    hot groups, or a table without groups, are cut into ranges. Use about one
-    range per few million rows.
+    hot groups, or a table without groups, are cut into ranges.
     """
     groups = list(groups)
     if groups:
@@ -112,7 +118,7 @@ def number_rows(
 
 
 def running_total(
-    df: DataFrame, key: str, value: str, *, into: str, ranges: int = 64
+    df: DataFrame, key: str, value: str, *, into: str, ranges: int | None = None
 ) -> DataFrame:
     """Sum of ``value`` over the rows in front, by a unique numeric key."""
     cut = with_range(df, key, range_splits(df, key, ranges))

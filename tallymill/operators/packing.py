@@ -20,7 +20,7 @@ def pack_blocks(
     seq_length: int,
     end_id: int,
     batch_rows: int = 1000,
-    ranges: int = 64,
+    ranges: int | None = None,
     keys: DataFrame | None = None,
 ) -> DataFrame:
     """Cut batches of consecutive rows into blocks of token ids.
@@ -111,27 +111,35 @@ def pairs_per_question(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Leading hex digits of the order: 4,096 ranges in each shard.
+ORDER_DIGITS = 3
+
+
 def pack_budget(
     df: DataFrame, key: str, text: Column, *, budget: int, shards: int
 ) -> DataFrame:
     """Fill packs up to a token budget from a repeatable shuffle of the rows.
 
     Rows are put in md5 order inside md5 shards; a row opens the pack that its
-    tokens in front have reached. Shards are even because the key is unique.
+    tokens in front have reached. The order's first digits cut each shard into
+    even ranges, which are summed by themselves and shifted by the ranges in
+    front, so no task holds a shard.
     """
-    capped = F.left(text, F.lit(fixed.PAIR_TEXT_CHARS))
+    order = F.md5(F.col(key).cast("string").cast("binary"))
     mixed = df.select(
-        key,
-        F.md5(F.col(key).cast("string").cast("binary")).alias("__order"),
+        key, order.alias("__order"), F.left(order, F.lit(ORDER_DIGITS)).alias("__range"),
         t.hash_bucket(F.col(key), shards).alias("shard"),
-        F.size(tok.words(capped)).cast("long").alias("n_tokens"),
-    )
-    front = (
-        Window.partitionBy("shard").orderBy("__order")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ahead = F.coalesce(F.sum("n_tokens").over(front), F.lit(0))
-    return mixed.select(
+        F.size(tok.words(text)).cast("long").alias("n_tokens"),
+    )
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = mixed.groupBy("shard", "__range").agg(F.sum("n_tokens").alias("__total"))
+    ranges = totals.select("shard", "__range", F.coalesce(F.sum("__total").over(
+        before.partitionBy("shard").orderBy("__range")), F.lit(0)).alias("__ahead"))
+    inside = F.coalesce(F.sum("n_tokens").over(
+        before.partitionBy("shard", "__range").orderBy("__order")), F.lit(0))
+    placed = mixed.withColumn("__inside", inside).join(ranges, ["shard", "__range"])
+    ahead = F.col("__inside") + F.col("__ahead")
+    return placed.select(
         key, "shard", "n_tokens", F.floor(ahead / budget).cast("long").alias("pack_id")
     )
 
@@ -166,10 +174,10 @@ def padded(ids: Column, max_length: int, pad_id: int = 0) -> Column:
     )
 
 
-def ignore_padding(labels: Column, pad_id: int = 0) -> Column:
+def ignore_padding(labels: Column, real: Column) -> Column:
+    """Positions from ``real`` on are padding, whatever id they hold."""
     return F.transform(
-        labels,
-        lambda x: F.when(x == pad_id, F.lit(fixed.IGNORED_LABEL)).otherwise(x),
+        labels, lambda x, i: F.when(i >= real, F.lit(fixed.IGNORED_LABEL)).otherwise(x)
     )
 
 
@@ -200,8 +208,14 @@ def encode_labels(df: DataFrame, label: str, into: str) -> DataFrame:
     Spark turns into a broadcast when the names are few.
     """
     names = df.select(label).where(F.col(label).isNotNull()).distinct()
-    ranked = names.withColumn(
-        into, (F.row_number().over(Window.orderBy(label)) - 1).cast("int")
+    # Names are counted by their first characters; ranks start at the counts in front.
+    cut = names.withColumn("__range", F.left(label, F.lit(2)))
+    counts = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__names"))
+    front = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("__range", F.coalesce(F.sum("__names").over(front), F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(label)) - 1
+    ranked = cut.withColumn("__inside", inside).join(ahead, "__range").select(
+        label, (F.col("__inside") + F.col("__ahead")).cast("int").alias(into)
     )
     return df.join(ranked, label, "left")
 

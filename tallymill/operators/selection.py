@@ -70,11 +70,15 @@ def one_mode(df: DataFrame, mode: Column) -> DataFrame:
     return modes.select(checked.cast("string").alias("mode"))
 
 
-def library_subset(df: DataFrame, library: str, mode: str, column: str = "library") -> DataFrame:
-    """Rows of a library; ``All`` leaves out the one without an insertion form."""
+def in_library(column: Column, library: str, mode: str) -> Column:
+    """Whether a row is in a library; ``All`` leaves out the one without an insertion form."""
     if library != "All":
-        return df.where(F.col(column) == library)
-    return df.where(F.col(column) != "Matplotlib") if mode == "Insertion" else df
+        return column == library
+    return column != "Matplotlib" if mode == "Insertion" else F.lit(True)
+
+
+def library_subset(df: DataFrame, library: str, mode: str, column: str = "library") -> DataFrame:
+    return df.where(in_library(F.col(column), library, mode))
 
 
 def library_mode(library: str, mode: str) -> str:

@@ -47,13 +47,19 @@ def shaped(text: str = "text") -> str:
     return f"SELECT conv_id, turn, role, {text} AS text FROM conversations"
 
 
-PROMPTED = f"SELECT c.conv_id, c.turn, b.text || {STATEMENTS.replace('text', 'c.text')} AS text, b.text AS prompt FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40"
+PROMPTED = f"SELECT c.conv_id, c.turn, b.text || {STATEMENTS.replace('text', 'c.text')} AS text, b.text AS prompt FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)"
+
+
+def on_items(turns: DataFrame, bench: DataFrame) -> DataFrame:
+    """Deal the conversations out over all benchmark rows."""
+    items = bench.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return turns.withColumn("item_id", F.col("conv_id") % items)
 
 
 def prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions that repeat their prompt, joined to their benchmark row."""
-    turns = generations(spark, sf_dir, STATEMENTS).withColumn("item_id", F.col("conv_id") % 40)
     bench = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "prompt")
+    turns = on_items(generations(spark, sf_dir, STATEMENTS), bench)
     joined = turns.join(bench, "item_id")
     return joined.withColumn("text", F.concat("prompt", "text"))
 
@@ -412,9 +418,8 @@ def gen_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT a.conv_id, a.turn, a.text, b.text AS prompt FROM conversations a
-           JOIN benchmark b ON b.item_id = a.conv_id % 40),
-g AS (SELECT conv_id, turn, {k.rstrip(f"substr({k.strip('text || chr(10) || text')}, 1, 1200)")} AS body,
+WITH s AS (SELECT conv_id, turn, text FROM conversations),
+g AS (SELECT conv_id, turn, {k.rstrip(f"substr({k.strip('text || chr(10) || text')}, 1, CAST(length(text) AS BIGINT))")} AS body,
         list_filter(list_transform(string_split(text, chr(10)), lambda x: {k.strip('x')}), lambda x: length(x) > 20) AS leaks FROM s)
 SELECT conv_id, turn, md5(CASE WHEN len(leaks) = 0 THEN body ELSE
   list_reduce(leaks, lambda acc, x: replace(acc, x, ''), body) END) AS body_md5 FROM g""")
@@ -422,7 +427,7 @@ def gen_remove_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A description that repeats solution lines loses the long ones."""
     text = F.col("text")
     body = c.description(
-        F.concat(text, F.lit("\n"), text), F.lit(1200), [fixed.END_OF_TEXT], text
+        F.concat(text, F.lit("\n"), text), F.length(text), [fixed.END_OF_TEXT], text
     )
     return generations(spark, sf_dir).select(*KEYS, digest(body).alias("body_md5"))
 
@@ -542,7 +547,7 @@ _RUN_LIST = "[" + ", ".join(k.q(name) for name in _RUN) + "]"
 
 @query(f"""
 WITH g AS (SELECT conv_id, turn, {_RUN_LIST}[turn % 5 + 1] AS task, b.text || {STATEMENTS.replace('text', 'c.text')} || {k.q(fixed.DOC_SUFFIX['other'])} || ' line' || chr(10) AS gen,
-    b.text AS prompt FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40),
+    b.text AS prompt FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)),
 x AS (SELECT *, substr(gen, length({k.strip('prompt')}) + 1) AS body, substr(gen, length(prompt) + 1) AS rest FROM g)
 SELECT conv_id, turn, task, md5(CASE task
   WHEN 'humaneval' THEN {k.strip('prompt')} || {k.truncate('body', fixed.STOPS['humaneval'])}
@@ -555,7 +560,8 @@ def task_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(name) for name in _RUN])
     turns = generations(spark, sf_dir, STATEMENTS).withColumn(
         "task", F.get(names, (F.col("turn") % len(_RUN)).cast("int"))
-    ).withColumn("item_id", F.col("conv_id") % 40)
+    )
+    turns = on_items(turns, table(spark, sf_dir, "benchmark"))
     bench = table(spark, sf_dir, "benchmark").select(
         "item_id", F.col("text").alias("prompt"),
         F.array(*[F.lit(s) for s in fixed.MULTI_STOPS]).alias("stop_tokens"),

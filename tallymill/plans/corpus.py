@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,24 +62,6 @@ def strip_meta_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The wrapped texts are programs; plain prose is not.
-@query(f"""
-SELECT lang, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM (
-  SELECT doc_id, lang FROM ({SOURCES_SQL}) WHERE doc_id % 3 <> 0) GROUP BY lang""")
-def parseable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Programs and prose mixed; only the programs parse."""
-    code = F.when(
-        F.col("doc_id") % 3 == 0, F.col("content")
-    ).when(
-        F.col("doc_id") % 3 == 1,
-        F.concat(F.lit('"""\n'), F.replace("content", F.lit('"""'), F.lit("")), F.lit('\n"""\nx = 1\n')),
-    ).otherwise(F.concat(F.lit("def f():\n    return '"), digest(F.col("content")), F.lit("'\n")))
-    staged = sources(spark, sf_dir).withColumn("content", code)
-    kept = corpus.parseable(corpus.clean(staged))
-    return kept.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("id_sum")
-    )
-
-
 @query(f"""
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(array_to_string(w, chr(10))) AS tokens_md5
 FROM (SELECT doc_id, {k.words('text')} AS w FROM documents)""")
@@ -158,20 +139,6 @@ def token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.vocabulary_use(sources(spark, sf_dir).select(body))
 
 
-_BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-_BPE_PATTERN = (
-    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-)
-
-if os.path.exists(_BPE_FILE):
-
-    @query()
-    def token_report_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The report under a byte-pair vocabulary; counted on Arrow batches."""
-        counter = corpus.bpe_counter(spark, _BPE_FILE, fixed.grammar_tokens(), _BPE_PATTERN)
-        return corpus.bpe_report(sources(spark, sf_dir), counter, "content", "lang")
-
-
 @query(f"""
 SELECT token, count(*) AS lists FROM (
   SELECT DISTINCT 'documents' AS origin, unnest({k.words('lower(text)')}) AS token FROM documents
@@ -219,7 +186,8 @@ def derived_edits(docs: DataFrame) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT doc_id, text, length(text) // 40 AS n FROM documents),
-s AS (SELECT doc_id, string_agg('<outer' || i || '>' || substr(text, i * 40 + 21, 20), '' ORDER BY i) AS head
+s AS (SELECT doc_id, string_agg(substr('<outer' || i || '>', 1, 5) || '<inner' || i || '>' || substr('<outer' || i || '>', 11)
+        || substr(text, i * 40 + 21, 20), '' ORDER BY i) AS head
       FROM (SELECT doc_id, text, n, unnest(range(n)) AS i FROM p) GROUP BY doc_id)
 SELECT p.doc_id, md5(coalesce(head, '') || substr(text, n * 40 + 1)) AS body_md5
 FROM p LEFT JOIN s USING (doc_id)""")
@@ -270,15 +238,15 @@ def corpus_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, lang FROM documents WHERE lang <> 'en' OR {k.bucket('doc_id')} < 5000""")
+SELECT doc_id, lang FROM documents WHERE lang <> 'en' OR {k.share('doc_id')} < 0.57""")
 def corpus_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the converted language, everything of the others."""
+    """A share of the converted language, everything of the others."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return corpus.sample(docs, "doc_id", 0.5, only=F.col("lang") == "en")
+    return corpus.sample(docs, "doc_id", 0.57, only=F.col("lang") == "en")
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN {k.bucket('doc_id')} < 500 THEN 'valid' ELSE 'train' END AS split
+SELECT doc_id, CASE WHEN {k.share('doc_id')} < 0.05 THEN 'valid' ELSE 'train' END AS split
 FROM documents""")
 def split_train_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
@@ -287,8 +255,8 @@ def split_train_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN {k.bucket('doc_id')} < 8000 THEN 'train'
-  WHEN {k.bucket('doc_id')} < 9000 THEN 'test' ELSE 'valid' END AS split FROM documents""")
+SELECT doc_id, CASE WHEN {k.share('doc_id')} < 0.8 THEN 'train'
+  WHEN {k.share('doc_id')} < 0.9 THEN 'test' ELSE 'valid' END AS split FROM documents""")
 def split_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", corpus.split_three(F.col("doc_id")).alias("split")
@@ -400,17 +368,16 @@ def benchmark_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.expr(_LIBRARY).alias("library"))
     parts = [("All", "Insertion"), ("All", "Completion"), ("Matplotlib", "Insertion"),
              ("Numpy", "Insertion")]
-    # One aggregation serves every subset: the subsets are counted from it.
-    counts = docs.groupBy("library").agg(F.count(F.lit(1)).alias("n"))
-    out = None
-    for library, asked in parts:
-        mode = selection.library_mode(library, asked)
-        part = selection.library_subset(counts, library, mode).agg(
-            F.lit(library).alias("subset"), F.lit(mode).alias("mode"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    # One pass counts every subset; the counts are then turned into rows.
+    asked = [(library, selection.library_mode(library, mode)) for library, mode in parts]
+    counts = docs.agg(*(
+        F.count_if(selection.in_library(F.col("library"), library, mode)).alias(f"n{i}")
+        for i, (library, mode) in enumerate(asked)
+    ))
+    return counts.select(F.explode(F.array(*(
+        F.struct(F.lit(library).alias("subset"), F.lit(mode).alias("mode"), F.col(f"n{i}").alias("rows"))
+        for i, (library, mode) in enumerate(asked)
+    ))).alias("r")).select("r.*")
 
 
 @query("SELECT 'completion' AS mode")

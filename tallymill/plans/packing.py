@@ -136,7 +136,7 @@ def pairs_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH s AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS o, {k.bucket('doc_id', 16)} AS shard,
-  CAST(len({k.words('substr(text, 1, 150000)')}) AS BIGINT) AS n_tokens FROM documents)
+  CAST(len({k.words('text')}) AS BIGINT) AS n_tokens FROM documents)
 SELECT doc_id, shard, n_tokens, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY shard ORDER BY o
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2048 AS BIGINT) AS pack_id FROM s""")
 def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT doc_id, {md5_ids_sql('list_concat(kept, list_transform(range(128 - len(kept)), lambda x: 0))')} AS ids_md5,
   {md5_ids_sql('list_concat(list_transform(kept, lambda x: 1), list_transform(range(128 - len(kept)), lambda x: 0))')} AS mask_md5,
-  {md5_ids_sql('list_concat(list_transform(kept, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), list_transform(range(128 - len(kept)), lambda x: -100))')} AS labels_md5
+  {md5_ids_sql('list_concat(kept, list_transform(range(128 - len(kept)), lambda x: -100))')} AS labels_md5
 FROM (SELECT doc_id, list_slice(answer, 1, 128) AS kept FROM ({_QA_SQL}))""")
 def truncate_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.col("answer")
@@ -188,7 +188,7 @@ def truncate_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select(
         "doc_id", joined(padded).alias("ids_md5"),
         joined(packing.attention(ids, 128)).alias("mask_md5"),
-        joined(packing.ignore_padding(padded)).alias("labels_md5"),
+        joined(packing.ignore_padding(padded, F.least(F.size(ids), F.lit(128)))).alias("labels_md5"),
     )
 
 

@@ -61,6 +61,10 @@ def bucket(key: str, buckets: int = 10_000) -> str:
     return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {buckets})"
 
 
+def share(key: str) -> str:
+    return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
 def _lexeme(l: str = "l") -> str:
     """A lexeme with its vocabulary word replaced."""
     table = rewrite_table()

@@ -87,43 +87,29 @@ def save_generations(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("task", "model").parquet(path)
 
 
-def export_generations(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
-    """Nested arrays, one text per task and model.
+def export_generations(df: DataFrame, path: str) -> None:
+    """JSON lines, one problem and its texts a line, in task and model partitions.
 
-    The exchange format holds a whole run in one JSON value, so the size of
-    every run is checked first. Larger runs go through ``save_generations``.
+    Lines are sorted by problem inside each file; runs of any size are spread
+    over files, and no value holds more than one problem.
     """
-    large = df.groupBy("task", "model").count().where(F.col("count") > most_rows).limit(1)
-    for run in large.collect():
-        raise ValueError(
-            f"{run['task']}/{run['model']} has {run['count']} rows, too many for one "
-            "JSON value; use save_generations"
-        )
     samples = F.transform(
         F.array_sort(F.collect_list(F.struct("sample_idx", "text"))), lambda s: s["text"]
     )
     per_problem = df.groupBy("task", "model", "problem_idx").agg(samples.alias("texts"))
-    runs = per_problem.groupBy("task", "model").agg(
-        F.array_sort(F.collect_list(F.struct("problem_idx", "texts"))).alias("rows")
-    )
-    nested = runs.select(
-        "task", "model",
-        F.to_json(F.transform("rows", lambda r: r["texts"])).alias("value"),
-    )
-    nested.write.mode("overwrite").partitionBy("task", "model").text(path)
+    line = F.to_json(F.struct("problem_idx", "texts")).alias("value")
+    per_problem.sortWithinPartitions("task", "model", "problem_idx").select(
+        "task", "model", line
+    ).write.mode("overwrite").partitionBy("task", "model").text(path)
 
 
 def read_exported(spark: SparkSession, path: str) -> DataFrame:
     """Long rows from ``export_generations`` output."""
-    files = spark.read.option("wholetext", True).text(path)
-    rows = files.select(
-        "task", "model",
-        F.posexplode(F.from_json("value", "array<array<string>>"))
-        .alias("problem_idx", "samples"),
+    lines = spark.read.text(path).select(
+        "task", "model", F.from_json("value", "problem_idx long, texts array<string>").alias("p")
     )
-    return rows.select(
-        "task", "model", F.col("problem_idx").cast("long"),
-        F.posexplode("samples").alias("sample_idx", "text"),
+    return lines.select(
+        "task", "model", "p.problem_idx", F.posexplode("p.texts").alias("sample_idx", "text")
     )
 
 

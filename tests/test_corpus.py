@@ -79,7 +79,16 @@ def test_apply_edits(spark):
     ]
     spans = spark.createDataFrame(rows, "doc_id long, start long, end long, new_str string")
     got = {r["doc_id"]: r["text"] for r in edits.apply(docs, spans).collect()}
-    assert got == {1: "01AB678", 2: "e_xyz", 3: "same", 4: ""}
+    assert got == {1: "01Ainner678", 2: "e_xyz", 3: "same", 4: ""}
+
+
+def test_contained_edits_fold_into_their_container(spark):
+    docs = spark.createDataFrame([(1, "0123456789")], "doc_id long, text string")
+    rows = [(1, 2, 6, "ABCD"), (1, 3, 4, "x"), (1, 5, 6, "y"), (1, 8, 9, "Z")]
+    spans = spark.createDataFrame(rows, "doc_id long, start long, end long, new_str string")
+    assert edits.apply(docs, spans).first()["text"] == "01AxCy67Z9"
+    beyond = spark.createDataFrame([(1, 0, 9, "ab"), (1, 1, 2, "-"), (1, 6, 7, "+")], spans.schema)
+    assert edits.apply(docs, beyond).first()["text"] == "a-+9"
 
 
 def test_apply_edits_on_a_long_text(spark):
@@ -183,25 +192,3 @@ def test_library_subsets(spark):
     assert selection.library_subset(df, "All", "Insertion").count() == 1
     assert selection.library_subset(df, "All", "Completion").count() == 2
     assert selection.library_mode("Matplotlib", "Insertion") == "Completion"
-
-
-def test_bpe_report_counts_like_the_codec(spark, files, tmp_path):
-    import base64
-
-    tiktoken = pytest.importorskip("tiktoken")
-    ranks = {bytes([i]): i for i in range(256)} | {b"if": 256, b" i": 257}
-    path = tmp_path / "ranks.tiktoken"
-    path.write_bytes(b"\n".join(base64.b64encode(k) + b" " + str(v).encode() for k, v in ranks.items()))
-    pattern = r"\w+|[^\w]"
-    names = fixed.grammar_tokens()
-    codec = tiktoken.Encoding(
-        "t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={n: 300 + i for i, n in enumerate(names)}
-    )
-    counter = corpus.bpe_counter(spark, str(path), names, pattern)
-    row = corpus.bpe_report(files, counter).first()
-    size = lambda s: len(codec.encode(s, allowed_special="all"))
-    kept = [s for i, s in TEXTS if i in (2, 5, 7, 8, 9)]
-    assert row["code_tokens"] == sum(size(s) for _, s in TEXTS)
-    assert row["filtered_code_tokens"] == sum(size(s) for s in kept)
-    rewritten = corpus.clean(files).select(tok.rewrite_vocabulary(F.col("content"))).collect()
-    assert row["parsed_tokens"] == sum(size(r[0]) for r in rewritten)

@@ -35,13 +35,15 @@ def test_generations_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in back.select("task", "model", "problem_idx", "sample_idx", "text").collect()) == rows
 
 
-def test_export_checks_the_size_of_runs(spark, tmp_path):
-    df = spark.range(5).select(
+def test_export_has_one_problem_a_line(spark, tmp_path):
+    df = spark.range(2_000).select(
         F.lit("t").alias("task"), F.lit("m").alias("model"), F.col("id").alias("problem_idx"),
         F.lit(0).alias("sample_idx"), F.lit("x").alias("text"),
     )
-    with pytest.raises(ValueError, match="save_generations"):
-        files.export_generations(df, str(tmp_path / "n"), most_rows=4)
+    files.export_generations(df, str(tmp_path / "n"))
+    lines = spark.read.text(str(tmp_path / "n"))
+    assert lines.count() == 2_000
+    assert lines.where(F.col("value") == '{"problem_idx":7,"texts":["x"]}').count() == 1
 
 
 def test_benchmark_and_corpus(spark, tmp_path):

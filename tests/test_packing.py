@@ -8,25 +8,34 @@ from pyspark.sql import functions as F
 from tallymill.operators import packing
 
 
-def plain_blocks(rows, seq, end, batch_rows):
-    out = {}
-    for b in range(0, len(rows), batch_rows):
-        flat = [x for ids in rows[b:b + batch_rows] for x in [*ids, end]]
-        for i in range(0, len(flat), seq):
-            if i + seq < len(flat):
-                out[b // batch_rows, i // seq] = flat[i:i + seq]
-    return out
+def test_blocks_of_a_worked_example(spark):
+    rows = [(0, [1, 2]), (7, []), (14, [3, 4, 5]), (21, [6])]
+    df = spark.createDataFrame(rows, "id long, ids array<int>")
+    got = packing.pack_blocks(df, "id", F.col("ids"), seq_length=3, end_id=-1, batch_rows=2)
+    # Batches 1 2 -1 -1 and 3 4 5 -1 6 -1: the second's last block is exactly full and goes.
+    assert sorted((r["batch"], r["block"], r["input_ids"]) for r in got.collect()) == [
+        (0, 0, [1, 2, -1]), (1, 0, [3, 4, 5]),
+    ]
+    assert all(r["labels"] == r["input_ids"] for r in got.collect())
 
 
 @pytest.mark.parametrize("seq,batch", [(4, 3), (5, 100), (1, 2), (64, 4)])
-def test_pack_blocks(spark, seq, batch):
+def test_blocks_hold_each_batch_in_order(spark, seq, batch):
     random.seed(seq)
     rows = [[random.randrange(100) for _ in range(random.randrange(0, 20))] for _ in range(17)]
     df = spark.createDataFrame([(i * 7, r) for i, r in enumerate(rows)], "id long, ids array<int>")
     got = packing.pack_blocks(df, "id", F.col("ids"), seq_length=seq, end_id=-1, batch_rows=batch)
-    made = {(r["batch"], r["block"]): r["input_ids"] for r in got.collect()}
-    assert made == plain_blocks(rows, seq, -1, batch)
-    assert all(r["labels"] == r["input_ids"] for r in got.collect())
+    made = {}
+    for r in sorted(got.collect(), key=lambda r: (r["batch"], r["block"])):
+        assert len(r["input_ids"]) == seq
+        assert r["block"] == len(made.get(r["batch"], [])) // seq
+        made.setdefault(r["batch"], []).extend(r["input_ids"])
+    for number in range(-(-len(rows) // batch)):
+        whole = []
+        for ids in rows[number * batch:(number + 1) * batch]:
+            whole += [*ids, -1]
+        own = made.get(number, [])
+        assert whole[:len(own)] == own and 0 < len(whole) - len(own) <= seq
 
 
 def test_exactly_full_last_block_is_dropped(spark):
@@ -60,11 +69,11 @@ def test_padding(spark):
     df = spark.createDataFrame([([5, 0, 7],), ([],), ([1, 2, 3, 4, 5],)], "ids array<int>")
     rows = df.select(
         packing.padded(F.col("ids"), 4).alias("p"), packing.attention(F.col("ids"), 4).alias("m"),
-        packing.ignore_padding(packing.padded(F.col("ids"), 4)).alias("l"),
+        packing.ignore_padding(packing.padded(F.col("ids"), 4), F.least(F.size("ids"), F.lit(4))).alias("l"),
     ).collect()
     assert [r["p"] for r in rows] == [[5, 0, 7, 0], [0, 0, 0, 0], [1, 2, 3, 4]]
     assert [r["m"] for r in rows] == [[1, 1, 1, 0], [0, 0, 0, 0], [1, 1, 1, 1]]
-    assert rows[0]["l"] == [5, -100, 7, -100]
+    assert rows[0]["l"] == [5, 0, 7, -100]
 
 
 def plain_pair(a, b, sep, limit):

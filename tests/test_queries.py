@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tallymill.plans import ORACLES, QUERIES
 
 ROOT = Path(__file__).resolve().parents[1]
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -19,10 +20,6 @@ _spec = importlib.util.spec_from_file_location("check", ROOT / "scripts" / "chec
 check = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(check)
 
-#: Queries whose result has no plain SQL form; each has brute-force tests.
-ROWS_ONLY = {"token_report_bpe"}
-
-
 @pytest.fixture(scope="module")
 def con():
     connection = duckdb.connect()
@@ -31,28 +28,26 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = contract.queries()[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     rows = [tuple(row) for row in df.collect()]
     assert rows
-    sql = contract.oracle_sql().get(name)
-    if sql is None:
-        assert name in ROWS_ONLY
-        return
-    want = con.sql(sql)
+    want = con.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert check.rows_of(df.columns, rows) == check.rows_of(want.columns, want.fetchall())
 
 
+def test_queries_of_the_library_are_registered():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-def test_no_plan_has_a_python_worker_but_the_named_ones(spark, capsys):
-    for name, run in contract.queries().items():
-        if name in ("parseable_rows", "token_report_bpe"):
-            continue
+def test_no_plan_has_a_python_worker(spark, capsys):
+    for name, run in QUERIES.items():
         run(spark, str(DATA)).explain("formatted")
         plan = capsys.readouterr().out
         assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas", plan), name
