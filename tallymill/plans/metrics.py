@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill import scoring, tasks
 from tallymill.functions import completions as c
 from tallymill.functions import tokens as tok
 from tallymill.operators import bleu, metrics, selection
 from tallymill.operators.numbering import number_rows
 from tallymill.plans import sqlkit as k
-from tallymill.plans.registry import digest, query, spread, table
+from tallymill.plans.registry import ORACLES, digest, query, spread, table
 
 #: Events as outcomes: the user is the problem, the event the sample.
 OUTCOMES_SQL = """
@@ -122,15 +123,15 @@ def macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROBUST_SQL = """
-SELECT event_type, user_id, event_id % 3 AS seed, value < 60 AS passed,
-  row_number() OVER (PARTITION BY event_type, user_id, event_id % 3 ORDER BY event_id) - 1 AS sample
-FROM events"""
+SELECT event_type, user_id, event_id % 5 AS seed, value < 60 AS passed,
+  row_number() OVER (PARTITION BY event_type, user_id, event_id % 5 ORDER BY event_id) - 1 AS sample
+FROM events WHERE event_id % 5 < 3"""
 
 
 def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as outcomes of perturbed prompts; seeds below three, as asked."""
+    """Events as outcomes of prompts perturbed by five seeds, of which three are asked for."""
     rows = table(spark, sf_dir, "events").select(
-        "event_type", "user_id", "event_id", (F.col("event_id") % 3).alias("seed"),
+        "event_type", "user_id", "event_id", (F.col("event_id") % 5).alias("seed"),
         (F.col("value") < 60).alias("passed"),
     )
     return selection.first_seeds(rows, "seed", 3)
@@ -432,3 +433,51 @@ def bleu_multi_ref_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_multi_sql("arg_min(len(r.w), abs(len(r.w) - len(c.w)) * 100000 + r.turn)"))
 def bleu_multi_ref_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multi(spark, sf_dir, "closest")
+
+
+_PASSED_SQL = "SELECT *, value < 60 AS passed FROM events"
+
+
+@query(f"""
+SELECT 'mbpp' AS task, metric, round(score, 9) AS score FROM ({pass_sql("SELECT *, 0 AS run FROM events", 'run', 'value < 60', (1, 10, 100))})
+UNION ALL SELECT 'ds1000-all-completion', 'mean_score', round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 9) FROM ({_PASSED_SQL})
+UNION ALL SELECT 'python_bugs', 'exact_match', score FROM ({ORACLES["exact_match"]})
+UNION ALL SELECT 'pal-gsm8k-majority_voting', 'accuracy', accuracy FROM ({ORACLES["vote_accuracy"]})
+UNION ALL SELECT 'pal-gsm8k-greedy', 'accuracy', accuracy FROM ({ORACLES["first_answer_accuracy"]})
+UNION ALL SELECT 'codexglue_code_to_text-java', 'bleu', round(bleu, 9) FROM ({ORACLES["bleu_mean"]})""")
+def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One task of each kind of metric, scored by its name alone."""
+    shots = {"questions": [""] * 8, "solutions": [""] * 8}
+    events = table(spark, sf_dir, "events")
+    ran = events.select(
+        F.col("user_id").alias("problem_idx"), F.col("event_id").alias("sample_idx"),
+        (F.col("value") < 60).alias("passed"),
+    )
+    said = answers(spark, sf_dir).select(
+        F.col("user_id").alias("problem_idx"), F.col("event_id").alias("sample_idx"),
+        F.col("result").alias("text"), (F.col("user_id") % 5).alias("target"),
+    )
+    turns = table(spark, sf_dir, "conversations")
+    head = F.left("text", F.floor(F.length("text") / (1 + F.col("turn") % 3)).cast("int"))
+    bugs = turns.select(
+        F.col("conv_id").alias("problem_idx"), F.col("turn").alias("sample_idx"), head.alias("text"),
+        F.when(F.col("turn") % 2 == 0, head).otherwise(F.upper(head)).alias("task_reference"),
+    )
+    asked = turns.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("task_reference"))
+    given = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    talk = asked.join(given, PAIR).withColumnsRenamed(
+        {"conv_id": "problem_idx", "turn": "sample_idx"})
+    inputs = {
+        "mbpp": ran, "ds1000-all-completion": ran, "python_bugs": bugs,
+        "pal-gsm8k-majority_voting": said, "pal-gsm8k-greedy": said,
+        "codexglue_code_to_text-java": talk,
+    }
+    out = None
+    for name, rows in inputs.items():
+        task = tasks.spec(name, shots=shots if name.startswith("pal-") else None)
+        part = scoring.score_task(task, rows).select(
+            F.lit(name).alias("task"), "metric", F.round("score", 9).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
