@@ -201,6 +201,24 @@ def without_docstring(code: Column, mark: str = '"""') -> Column:
     return F.concat(t.strip(F.get(chunks, F.lit(0))), F.get(chunks, F.lit(2)))
 
 
+def numbered_names(names: DataFrame, name: str, into: str, first: int = 0) -> DataFrame:
+    """Number distinct names in sorted order, from ``first`` on.
+
+    Names are counted by their first characters, and ranks start at the counts
+    in front, so no task ranks all names.
+    """
+    cut = names.withColumn("__range", F.left(name, F.lit(2)))
+    counts = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__names"))
+    front = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(
+        "__range", F.coalesce(F.sum("__names").over(front), F.lit(0)).alias("__ahead")
+    )
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(name)) - 1
+    return cut.withColumn("__inside", inside).join(ahead, "__range").select(
+        *names.columns, (F.col("__inside") + F.col("__ahead") + first).cast("long").alias(into)
+    )
+
+
 def encode_labels(df: DataFrame, label: str, into: str) -> DataFrame:
     """Number class names in sorted order.
 
@@ -208,16 +226,8 @@ def encode_labels(df: DataFrame, label: str, into: str) -> DataFrame:
     Spark turns into a broadcast when the names are few.
     """
     names = df.select(label).where(F.col(label).isNotNull()).distinct()
-    # Names are counted by their first characters; ranks start at the counts in front.
-    cut = names.withColumn("__range", F.left(label, F.lit(2)))
-    counts = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__names"))
-    front = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.select("__range", F.coalesce(F.sum("__names").over(front), F.lit(0)).alias("__ahead"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(label)) - 1
-    ranked = cut.withColumn("__inside", inside).join(ahead, "__range").select(
-        label, (F.col("__inside") + F.col("__ahead")).cast("int").alias(into)
-    )
-    return df.join(ranked, label, "left")
+    ranked = numbered_names(names, label, into)
+    return df.join(ranked.withColumn(into, F.col(into).cast("int")), label, "left")
 
 
 def replicate(df: DataFrame, copies: int) -> DataFrame:

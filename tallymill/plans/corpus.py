@@ -140,7 +140,7 @@ def token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT token, count(*) AS lists FROM (
+SELECT token, count(*) AS lists, 2 + row_number() OVER (ORDER BY token) - 1 AS token_id FROM (
   SELECT DISTINCT 'documents' AS origin, unnest({k.words('lower(text)')}) AS token FROM documents
   UNION ALL
   SELECT DISTINCT 'conversations', unnest({k.words('lower(text)')}) FROM conversations
@@ -148,7 +148,9 @@ SELECT token, count(*) AS lists FROM (
   SELECT DISTINCT 'benchmark', unnest({k.words('lower(text)')}) FROM benchmark)
 GROUP BY token""")
 def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct sorted vocabulary of overlapping lists, with how many hold it.
+    """Distinct sorted vocabulary of overlapping lists, with ids and how many hold it.
+
+    Ids 0 and 1 stay free for padding and the end of a text.
 
     A list marks its tokens with its own bit, so one aggregation serves both the
     distinct tokens and the count of lists.
@@ -160,9 +162,8 @@ def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     joined = parts[0].unionByName(parts[1]).unionByName(parts[2])
     marked = joined.groupBy("token").agg(F.bit_or("mark").alias("marks"))
-    return marked.select(
-        "token", F.bit_count("marks").cast("long").alias("lists")
-    ).orderBy("token")
+    counted = marked.select("token", F.bit_count("marks").cast("long").alias("lists"))
+    return packing.numbered_names(counted, "token", "token_id", first=2)
 
 
 # Edits derived from the documents: every 40 characters an outer span, one
@@ -380,7 +381,8 @@ def benchmark_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))).alias("r")).select("r.*")
 
 
-@query("SELECT 'completion' AS mode")
+@query("""
+SELECT min(CASE WHEN contains(text, '[insert]') THEN 'infill' ELSE 'completion' END) AS mode FROM documents""")
 def prompt_mode_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(t.contains(F.col("text"), "[insert]"), F.lit("infill")).otherwise(
         F.lit("completion")
