@@ -235,6 +235,22 @@ MATH_SHOTS = 8
 MATH_MARK = "# solution in Python:"
 MATH_POST_SCRIPT = "print(solution())"
 
+# --- Fixed values: wording of prompts ---------------------------------------
+QUESTION_MARK = "\nQUESTION:\n"
+ANSWER_MARK = "\nANSWER:\n"
+STANDARD_INPUT = "\nUse Standard Input format"
+CALL_BASED = "\nUse Call-Based format"
+ASK_FIX = "Fix bugs in {name}."
+ASK_DESCRIBE = (
+    "Provide a concise natural language description of the code using at most {n} characters."
+)
+ASK_WRITE = "Write functional code in {language} according to the description."
+PARITY_PROGRAM = (
+    'def parity(b1,b2,b3,b4):\n    """Return binary parity of a sequence of '
+    'input bits. Return 0 for even parity, 1 for odd parity."""\n    '
+    "bit_sum = sum([{terms}])\n    return bit_sum % {modulus}"
+)
+
 # --- Fixed values: outcome rules -------------------------------------------
 EVALUATOR_OF = {
     "rb": "ruby", "lua": "lua", "python": "python", "py": "python",

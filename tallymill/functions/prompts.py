@@ -39,14 +39,14 @@ def function_name(input_output: Column) -> Column:
 
 def call_format(input_output: Column) -> Column:
     return F.when(
-        function_name(input_output).isNull(), F.lit("\nUse Standard Input format")
-    ).otherwise(F.lit("\nUse Call-Based format"))
+        function_name(input_output).isNull(), F.lit(fixed.STANDARD_INPUT)
+    ).otherwise(F.lit(fixed.CALL_BASED))
 
 
 def question(text: Column, starter: Column, input_output: Column) -> Column:
     return F.concat(
-        F.lit("\nQUESTION:\n"), text, F.coalesce(starter, F.lit("")),
-        call_format(input_output), F.lit("\nANSWER:\n"),
+        F.lit(fixed.QUESTION_MARK), text, F.coalesce(starter, F.lit("")),
+        call_format(input_output), F.lit(fixed.ANSWER_MARK),
     )
 
 
@@ -173,7 +173,7 @@ def fix_prompt(
     tests: Column | None = None,
 ) -> Column:
     """Bug-fix prompt; tests join the context when there is no docstring."""
-    ask = F.concat(F.lit("Fix bugs in "), entry_point, F.lit("."))
+    ask = render(fixed.ASK_FIX, name=entry_point)
     context = F.concat(base, buggy)
     if tests is not None:
         context = F.concat(context, F.lit("\n"), tests)
@@ -187,18 +187,12 @@ def fix_prompt(
 
 
 def describe_prompt(style: str, code: Column, docstring: Column) -> Column:
-    ask = F.concat(
-        F.lit("Provide a concise natural language description of the code using at most "),
-        F.length(docstring).cast("string"), F.lit(" characters."),
-    )
+    ask = render(fixed.ASK_DESCRIBE, n=F.length(docstring).cast("string"))
     return answer_prompt(style, F.lit(""), ask, code)
 
 
 def synthesize_prompt(style: str, language: str, base: Column, text: Column) -> Column:
-    ask = F.lit(
-        f"Write functional code in {fixed.PACK_LANGUAGE_NAMES[language]} "
-        "according to the description."
-    )
+    ask = F.lit(fixed.ASK_WRITE.format(language=fixed.PACK_LANGUAGE_NAMES[language]))
     return answer_prompt(style, base, ask, text)
 
 
@@ -207,11 +201,7 @@ def parity_source(bugs: int) -> str:
     names = ["c" if seat < bugs else "b" for seat in range(4)]
     modulus = 3 if bugs > 4 else 2
     terms = ",".join(f"{name}{seat}" for seat, name in enumerate(names, 1))
-    return (
-        'def parity(b1,b2,b3,b4):\n    """Return binary parity of a sequence of '
-        'input bits. Return 0 for even parity, 1 for odd parity."""\n    '
-        f"bit_sum = sum([{terms}])\n    return bit_sum % {modulus}"
-    )
+    return fixed.PARITY_PROGRAM.format(terms=terms, modulus=modulus)
 
 
 def mutation(style: str, code: Column, task: str = "parity") -> Column:

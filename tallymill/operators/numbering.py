@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 RANGE = "__range"
 
 
-#: Rows that one range, and so one task, numbers.
-RANGE_ROWS = 100_000
+#: Rows that one range, and so one task, numbers at most.
+RANGE_ROWS = 1_000_000
 
 
 def range_splits(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
     """Range limits of a numeric key, from approximate quantiles.
 
     The limits steer the load only; any limits give the same row numbers. The
-    number of ranges follows the number of rows unless it is given.
+    number of ranges follows the number of rows unless it is given, with at
+    least one range for each slot of the cluster.
     """
     if ranges is None:
-        ranges = -(-df.select(key).count() // RANGE_ROWS)
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        ranges = max(slots, -(-df.select(key).count() // RANGE_ROWS))
     if ranges < 2:
         return [float("-inf"), float("inf")]
     probes = [step / ranges for step in range(1, ranges)]

@@ -89,8 +89,8 @@ def solution_pairs(df: DataFrame, key: str) -> DataFrame:
 
 def pair_prompt(pairs: DataFrame) -> Column:
     return F.concat(
-        F.lit("\nQUESTION:\n"), F.col("question"), F.lit("\n"), F.col("starter_code"),
-        F.lit("\n"), F.col("answer_type"), F.lit("\nANSWER:\n"),
+        F.lit(fixed.QUESTION_MARK), F.col("question"), F.lit("\n"), F.col("starter_code"),
+        F.lit("\n"), F.col("answer_type"), F.lit(fixed.ANSWER_MARK),
     )
 
 

@@ -306,6 +306,7 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The published normalisation patterns, as in operators/bleu.py.
 def normalised_sql(x: str) -> str:
     x = f"array_to_string({k.words(f'lower({k.strip(k.before(x, chr(9)))})')}, ' ')"
     for rule, new in [("<skipped>", ""), ("-\\n", ""), ("\\n", " ")]:

@@ -50,6 +50,7 @@ def diff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The published hunk patterns.
 _HEADER = "(?m)^(@@ [^\\n]*? @@)[^\\n]*\\n"
 
 
