@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.shared import written
+from tallymill.llm.shared import small_batches, written
 from tallymill.llm.vocab import ByteEncoder, once, sent, sent_ranks
 
 PIECES = "doc_id long, part int, pos long, piece int, start long, length long, ids_crc32 long"
@@ -115,6 +115,7 @@ def token_pieces(df: DataFrame, library_path: str, ranks_path: str, capacity: in
     ids themselves are a column.
     """
     spark = df.sparkSession
+    small_batches(spark)
     library, ranks = sent(spark, library_path), sent_ranks(spark, ranks_path)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,17 @@ def written(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(place)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send texts to Python workers in batches of at most this many rows.
+
+    Texts are far longer than the values that Spark's default batch is made for; an executor's
+    memory holds a batch several times over.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small frames of iterative work."""
     shared_folder(df.sparkSession)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.components import components
-from tallymill.llm.shared import bits_of, written
+from tallymill.llm.shared import bits_of, small_batches, written
 
 SEGMENTS, WIDTH = 8, 8
 
@@ -113,6 +113,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", shin
     Equal fingerprints are one node, so copies make no pairs. An empty table gives no rows; other
     columns play no part.
     """
+    small_batches(df.sparkSession)
     marked = written(df.select(F.col(doc).cast("long").alias("doc_id"),
                                fingerprints(F.col(text).cast("string"), shingle).alias("fp")), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))

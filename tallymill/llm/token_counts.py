@@ -14,6 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.llm.shared import small_batches
 from tallymill.llm.vocab import WordEncoder, is_plain, once, sent
 
 
@@ -49,6 +50,7 @@ def token_counter(spark: SparkSession, path: str):
     Equal to the library's count without begin, end or added special tokens, on whole texts.
     Special strings inside a text count as the library counts them. Null counts as empty: 0.
     """
+    small_batches(spark)
     library = sent(spark, path)
     whole: Broadcast = spark.sparkContext.broadcast(whole_tokens(WordEncoder(library.value)))
 

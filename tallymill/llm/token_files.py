@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.llm import simple8b
+from tallymill.llm.shared import small_batches
 from tallymill.llm.vocab import WordEncoder, once, sent
 
 BLOCKS = ("shard int, before long, n_ids long, doc_ids array<long>, lengths array<long>, "
@@ -33,6 +34,7 @@ def token_blocks(df: DataFrame, library_path: str, end_id: int = 1, doc: str = "
     Null ids come first; rows of one id are ordered by their text's hash and their place in the
     table. A null text counts as empty and has the end id alone. An empty table gives no blocks.
     """
+    small_batches(df.sparkSession)
     library = sent(df.sparkSession, library_path)
 
     def pack(rows: list[tuple[int | None, np.ndarray]], before: int, shard: int) -> pa.RecordBatch:

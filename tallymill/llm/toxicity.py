@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.shared import written
+from tallymill.llm.shared import small_batches, written
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Letters that a sign may stand for. A star inside a word stands for any letter; more than three
@@ -39,6 +39,9 @@ SWAP_COST, REPEAT_COST, EDGE_COST = 1.0, 0.5, 2.0
 #: Word beginnings of these lengths are features, besides whole words.
 SHORTEST, LONGEST = 3, 8
 
+#: A feature needs this many rows of label 1, and this much log-odds for it.
+LEAST_ROWS, LEAST_ODDS = 3, 1.5
+
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1+")
 _SIGNS = re.escape("".join(MEANT))
@@ -168,7 +171,8 @@ class Model(NamedTuple):
 
 
 def _fit(rows: list[list[int]], labels: np.ndarray, n: int, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch Adam; deterministic."""
+    """Logistic regression by full-batch Adam; deterministic. Weights are not negative: features
+    can only speak for label 1, so harmless words never outvote a toxic one."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([c for r in rows for c in r], dtype=np.int64)
     w, m, v = (np.zeros(n + 1) for _ in range(3))
@@ -178,6 +182,7 @@ def _fit(rows: list[list[int]], labels: np.ndarray, n: int, steps: int = 600) ->
         g = np.append(np.bincount(col, e[row], minlength=n) + 2e-5 * w[:n], e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        np.maximum(w[:n], 0, out=w[:n])
     return w[:n], float(w[n])
 
 
@@ -188,37 +193,48 @@ def train(df: DataFrame, labelled: DataFrame, text: str = "text", most_features:
     log-odds are used. Both bound what the driver holds. Letter counts cover every text. Without
     rows of both labels every score is the rate of label 1.
     """
-    costs = letter_costs(count_trigrams(F.col(text).cast("string"), df))
     spark = df.sparkSession
+    small_batches(spark)
+    costs = letter_costs(count_trigrams(F.col(text).cast("string"), df))
     sent_costs = spark.sparkContext.broadcast(costs)
     rows = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                            F.col("label").cast("int").alias("label")).filter("label is not null")
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(sent_costs.value)
-        for batch in batches:
-            found = [sorted(features(restorer.words(t))) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"label": batch.column(1), "f": pa.array(found, pa.list_(pa.string()))})
-
-    held = written(rows, "labelled").mapInArrow(featured, "label int, f array<string>")
+    def featured(place=None):
+        """Features of a batch's texts; with `place` the places of those that it has. One worker per
+        task does it all, which bounds an executor's memory."""
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            restorer = Restorer(sent_costs.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    own = [features(restorer.words(t)) for t in part.column(0).to_pylist()]
+                    if place is None:
+                        values = pa.array([sorted(f) for f in own], pa.list_(pa.string()))
+                    else:
+                        values = pa.array([sorted(place.value[x] for x in f if x in place.value) for f in own],
+                                          pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_pydict({"label": part.column(1), "f": values})
+
+        return found
+
+    held = written(rows, "labelled")
     ones, all_ = (float(x or 0) for x in held.agg(F.sum("label"), F.count("*")).first())
     if not 0 < ones < all_:
         rate = (ones + 0.5) / (all_ + 2)
         return Model(costs, {}, math.log(rate / (1 - rate)))
     n1, n0 = F.sum("label"), F.sum(1 - F.col("label"))
     odds = F.log((n1 + 0.5) / (ones + 1)) - F.log((n0 + 0.5) / (all_ - ones + 1))
-    chosen = (held.select("label", F.explode("f").alias("f")).groupBy("f")
-              .agg((n1 * odds).alias("strength"), n1.alias("n1")).filter("n1 >= 3 and strength > 0")
+    named = held.mapInArrow(featured(), "label int, f array<string>")
+    chosen = (named.select("label", F.explode("f").alias("f")).groupBy("f")
+              .agg((n1 * odds).alias("strength"), n1.alias("n1"), odds.alias("odds"))
+              .filter((F.col("n1") >= LEAST_ROWS) & (F.col("odds") > LEAST_ODDS))
               .orderBy(F.desc("strength"), "f").limit(most_features))
     names = [r["f"] for r in chosen.select("f").collect()]
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
-    @F.pandas_udf("array<int>")
-    def known(found: pd.Series) -> pd.Series:
-        at = place.value
-        return found.map(lambda fs: [at[f] for f in fs if f in at])
-
-    kept = held.select("label", known("f").alias("f")).collect()
+    kept = held.mapInArrow(featured(place), "label int, f array<int>").collect()
     weights, constant = _fit([r["f"] for r in kept], np.array([r["label"] for r in kept], dtype=float), len(names))
     return Model(costs, dict(zip(names, weights.tolist())), constant)
 
@@ -245,7 +261,7 @@ def scorer(df: DataFrame, model: Model):
             return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
         for texts in batches:
-            if len(known) > 500_000:  # memory stays bounded; a word is simply worked out again
+            if len(known) > 100_000:  # memory stays bounded; a word is simply worked out again
                 known.clear()
             yield pd.Series([of(t) for t in texts], dtype="float64")
 

@@ -8,8 +8,10 @@ Vocabulary files are read on the driver and travel in a broadcast (each below 2
 from __future__ import annotations
 
 import base64
+import json
 import re
 import unicodedata
+from functools import cached_property
 
 import public_tokenizers
 from pyspark import Broadcast
@@ -41,12 +43,18 @@ class ByteEncoder:
 
     def __init__(self, library_json: str, ranks: dict[bytes, int]):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(library_json)
+        self.text = library_json
         self.codec = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t["content"] for t in json.loads(library_json)["added_tokens"]]
+
+    @cached_property
+    def library(self):
+        """Made when the first text asks for it; most tasks never need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.text)
 
     def ids(self, text: str) -> list[int]:
         if is_plain(text) and not any(s in text for s in self.special):
@@ -75,21 +83,26 @@ class WordEncoder:
 
     def __init__(self, library_json: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(library_json)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.text, own = library_json, json.loads(library_json)
+        self.special = [t["content"] for t in own["added_tokens"]]
         letters, digits = _of_kind("L"), _of_kind("N")
         self.words = re.compile(
             f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^\\s{letters}{digits}]+").findall
         signs, ranks = byte_signs(), {}
-        for token, rank in self.library.get_vocab().items():
+        for token, rank in own["model"]["vocab"].items():
             if token not in self.special:
                 ends = token.endswith(self.END) and token != self.END
                 own = token.removesuffix(self.END) if ends else token
                 ranks[bytes(signs[c] for c in own) + b"\n" * ends] = rank
         self.codec = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.text)
+
     def split(self, text: str) -> list[str] | None:
         """The words of a text, or None where only the library can tell."""
         if is_plain(text) and not any(s in text for s in self.special):
@@ -110,8 +123,9 @@ _LOADED: dict[tuple, object] = {}
 
 
 def once(key: tuple, make):
-    """One encoder per worker process and vocabulary."""
+    """One encoder per worker process: that of the vocabulary in use."""
     if key not in _LOADED:
+        _LOADED.clear()
         _LOADED[key] = make()
     return _LOADED[key]
 
