@@ -101,7 +101,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM p LEFT JOIN (FROM fit WHERE rank = 1) USING (n)
 """)
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(str(r) for r in RULES)} AS r(host, path, verdict)")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
