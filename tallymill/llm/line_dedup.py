@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.llm.shared import fresh, written
@@ -87,61 +87,73 @@ def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
         step = F.get(F.col("common"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(step, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    def parity(high: int) -> Column:
-        def turn(a: Column, k: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-            return a.bitwiseXOR(F.when(k.bitwiseAND(F.lit(64)) == high, bit).otherwise(F.lit(0).cast("long")))
-
-        return F.aggregate("k", F.lit(0).cast("long"), turn)
+    def parity(bit) -> Column:
+        """Exclusive or of one bit for each word, at one of 64 places."""
+        return F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function(
+            "shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
     hashed = lines.select(*PLACE, _hashes("line").alias("h"), common.alias("common"))
     keyed = hashed.select(*PLACE, F.sort_array(F.transform("h", key)).alias("k")).filter(F.size("k") > 0)
+    # One half of the words' bits, and all of them; their difference is the other half.
+    half = parity(lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)))
+    whole = parity(lambda k: F.lit(1).cast("long"))
     n = F.size("k")
     prefix = F.slice("k", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     sized = keyed.select(F.xxhash64("k").alias("id"), F.struct(
-        *PLACE, n.alias("n"), parity(0).alias("b1"), parity(64).alias("b2"), prefix.alias("prefix")).alias("c"))
-    return sized.groupBy("id").agg(F.min("c").alias("c")).select("c.*")
+        *PLACE, n.alias("n"), whole.alias("b1"), half.alias("b2"), prefix.alias("prefix")).alias("c"))
+    return sized.groupBy("id").agg(F.min("c").alias("c")).select("c.*").withColumn(
+        "b1", F.col("b1").bitwiseXOR(F.col("b2")))
 
 
-def _entries(classes: DataFrame) -> DataFrame:
+def _entries(classes: DataFrame, *more: str) -> DataFrame:
     """One row per class and prefix word: t at place i of the class's n words."""
-    entries = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("i", "t"))
+    entries = classes.select(*PLACE, "n", "b1", "b2", *more, F.posexplode("prefix").alias("i", "t"))
     # Both counts in one number: these rows are most of what is moved. None of the values is null;
     # said so, all uses of these rows have one plan and share one exchange.
     counts = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
     values = {"t": F.col("t"), **{c: F.col(c) for c in PLACE}, "ni": counts, "b1": F.col("b1"), "b2": F.col("b2")}
     return entries.select(*(F.coalesce(v, F.lit(0).cast("int" if c == "ln" else "long")).alias(c)
-                            for c, v in values.items()))
+                            for c, v in values.items()), *more)
+
+
+def _sized(entries: DataFrame) -> DataFrame:
+    """Entries with both counts apart again: n words, and this one's place i."""
+    return entries.withColumn("n", F.shiftright("ni", 32)).withColumn("i", F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def _near(x, y, threshold: float) -> Column:
-    """x stands earlier than y and may match it: length, position and sketch allow it."""
-    earlier = reduce(lambda after, c: (x(c) < y(c)) | ((x(c) == y(c)) & after), reversed(PLACE), F.lit(False))
-    n = lambda side: F.shiftright(side("ni"), 32)
-    i = lambda side: side("ni").bitwiseAND(F.lit(0xFFFFFFFF))
-    both = n(x) + n(y)
+    """Length, position and sketch allow that two entries' lines match."""
+    both = x("n") + y("n")
     overlap = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-    rest = F.least(i(x), i(y)) + F.least(n(x) - i(x), n(y) - i(y))
+    rest = F.least(x("i"), y("i")) + F.least(x("n") - x("i"), y("n") - y("i"))
     differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
-    return (earlier & (n(x) >= n(y) * threshold - 1e-9) & (n(y) >= n(x) * threshold - 1e-9)
+    return ((F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * threshold - 1e-9)
             & (rest >= overlap) & (differ <= both - 2 * overlap))
 
 
+def _earlier(x, y) -> Column:
+    return reduce(lambda after, c: (x(c) < y(c)) | ((x(c) == y(c)) & after), reversed(PLACE), F.lit(False))
+
+
 def _pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (y, x) of places that may match, and whether y was spared others for x's sake."""
-    dealt = entries.repartition("t")
-    fields = [*PLACE, "ni", "b1", "b2"]
-    lead = dealt.groupBy("t").agg(F.min(F.struct(*fields)).alias("x"), F.count("*").alias("in_group"))
-    led = dealt.join(lead.filter("in_group > 1"), "t")
+    """Pairs (y, x) of places that may match, and whether y was spared others for x's sake.
+
+    Words are dealt out once. A group passes by in order of place, never held as a whole: each line
+    sees the group's first. Lines that don't match it are joined to those between.
+    """
+    order = Window.partitionBy("t").orderBy(*PLACE)
+    fields = [*PLACE, "n", "i", "b1", "b2"]
+    ranked = _sized(entries.repartition("t")).withColumn("rank", F.row_number().over(order)).withColumn(
+        "x", F.first(F.struct(*fields)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     x, y = (lambda c: F.col("x")[c]), (lambda c: F.col(c))
     place_of = lambda side: F.struct(*(side(c).alias(c) for c in PLACE))
-    marked = led.withColumn("met", _near(x, y, threshold))
-    first = marked.filter("met").select(
-        place_of(y).alias("y"), place_of(x).alias("x"), (F.col("in_group") > 2).alias("spared"))
-    open_ = marked.filter(~F.col("met") & (place_of(y) != place_of(x))).select("t", *fields).alias("a")
-    others = dealt.alias("b")
+    later = ranked.filter("rank > 1").withColumn("met", _near(x, y, threshold))
+    first = later.filter("met").select(
+        place_of(y).alias("y"), place_of(x).alias("x"), (F.col("rank") > 2).alias("spared"))
+    open_ = later.filter("not met and rank > 2").select("t", "rank", *fields).alias("a")
+    others = ranked.filter("rank > 1").select("t", "rank", *fields).alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    rest = open_.join(others, (a("t") == b("t")) & _near(b, a, threshold)).select(
+    rest = open_.join(others, (a("t") == b("t")) & (b("rank") < a("rank")) & _near(b, a, threshold)).select(
         place_of(a).alias("y"), place_of(b).alias("x"), F.lit(False).alias("spared"))
     return first.unionByName(rest).groupBy("y", "x").agg(F.max("spared").alias("spared"))
 
@@ -169,20 +181,25 @@ def kept_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold
     lines = lines_of(df, doc, text)
     texts = df.select(F.col(text).cast("string").alias("whole"))
     classes = written(_classes(texts, lines, threshold), "line-classes")
-    tried = written(_verified(_pairs(_entries(classes), threshold), lines, threshold), "line-pairs")
+    candidates = written(_pairs(_entries(classes), threshold), "line-candidates")
+    tried = written(_verified(candidates, lines, threshold), "line-pairs")
     gone = tried.groupBy("y").agg(F.max("match").alias("match"), F.max("spared").alias("spared"))
 
     # Lines that were held against the earliest line alone, and failed: now against all others.
     place = F.struct(*PLACE)
     again = gone.filter("spared and not match").select("y")
     named = classes.withColumn("y", place).filter(_may_hold(_mark(again, "y"), "y"))
-    asked = _entries(named.join(again, "y", "left_semi"))
-    known = _entries(classes).filter(_may_hold(_mark(asked, "t"), "t"))
+    asked = _entries(named.join(again, "y", "left_semi"), "prefix")
+    known = _entries(classes, "prefix").filter(_may_hold(_mark(asked, "t"), "t"))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    more = asked.alias("a").join(known.alias("b"), (a("t") == b("t")) & _near(b, a, threshold)).select(
+    # A pair comes from the first word that both prefixes hold, and so once.
+    once = F.get(F.array_intersect(a("prefix"), b("prefix")), F.lit(0)) == a("t")
+    more = _sized(asked).alias("a").join(
+        _sized(known).alias("b"), (a("t") == b("t")) & _earlier(b, a) & _near(b, a, threshold) & once).select(
         F.struct(*(a(c).alias(c) for c in PLACE)).alias("y"),
-        F.struct(*(b(c).alias(c) for c in PLACE)).alias("x")).distinct()
-    late = _verified(more.join(tried.select("y", "x"), ["y", "x"], "left_anti"), lines, threshold).filter("match")
+        F.struct(*(b(c).alias(c) for c in PLACE)).alias("x"))
+    untried = written(more.join(tried.select("y", "x"), ["y", "x"], "left_anti"), "line-candidates")
+    late = _verified(untried, lines, threshold).filter("match")
 
     matched = gone.filter("match").select("y").unionByName(late.select("y")).distinct()
     return classes.select(*PLACE, place.alias("y")).join(matched, "y", "left_anti").select(*PLACE)
