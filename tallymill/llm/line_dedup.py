@@ -23,7 +23,7 @@ from tallymill.llm.shared import fresh, written
 #: Word counts are kept in this many buckets, whatever the corpus; an even power of two.
 BUCKETS = 1 << 20
 #: 64-bit words of the filters for lines and prefix words to look at again.
-FILTER_WORDS = 1 << 16
+FILTER_WORDS = 1 << 18
 PLACE = ["d", "r", "ln"]
 
 
