@@ -1,21 +1,27 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding by folding ranked merges.
 
 A text is split into words by the vocabulary's pattern. A word that is a token stands for itself;
 any other is a byte array over which ranked merges are folded: the pair of least rank merges first,
-the leftmost of these. Ranks are looked up in a literal map: a table without collisions, made from
-the rank file, whose size depends on the vocabulary alone. Decoding concatenates binary pieces.
+the leftmost of these. Decoding concatenates binary pieces.
+
+`Bpe` does this with Spark's higher-order functions, which work out every word of every text anew.
+`coded` does the same fold once per distinct word of a task, which whole corpora need.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
+from collections.abc import Iterator
 from random import Random
 
+import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm.shared import let
+from tallymill.llm.shared import let, small_batches
+from tallymill.llm.vocab import once
 
 #: Above every rank: no merge.
 NEVER = 1 << 30
@@ -138,14 +144,74 @@ class Bpe:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.tables["hex"], i)), ""))
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word: its byte array with the ranked merges folded over it."""
+    if word in ranks:
+        return [ranks[word]]
+    pieces = [word[i:i + 1] for i in range(len(word))]
+    pairs = [ranks.get(a + b, NEVER) for a, b in zip(pieces, pieces[1:])]
+    while pairs and (least := min(pairs)) < NEVER:
+        at = pairs.index(least)
+        pieces[at:at + 2] = [pieces[at] + pieces[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(pieces[at - 1] + pieces[at], NEVER)
+        if at < len(pairs):
+            pairs[at] = ranks.get(pieces[at] + pieces[at + 1], NEVER)
+    return [ranks[p] for p in pieces]
+
+
+class WordCodec:
+    """Encodes texts by their distinct words. Words already seen are kept, up to a bound."""
+
+    KEPT = 200_000
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import public_tokenizers
+        import regex
+
+        self.ranks, self.known = ranks, {}
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            self.pieces[rank] = piece
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        words = self.split(text)
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > self.KEPT:
+            self.known, new = {}, set(words)
+        for word in new:
+            self.known[word] = array("I", merged(word.encode(), self.ranks)).tobytes()
+        return b"".join(map(self.known.__getitem__, words))
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, array("I", ids)))
+
+
+def coded(spark: SparkSession, ranks: dict[bytes, int]):
+    """A column function from text to its ids, as bytes, and to what these decode to."""
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(ranks)
+    key = ("codec", hash(frozenset(ranks.items())))
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = once(key, lambda: WordCodec(sent.value))
+        for texts in batches:
+            ids = [codec.encode(t) if t else b"" for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]})
+
+    return both
+
+
 def round_trip(df: DataFrame, ranks: dict[bytes, int], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `df`: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null texts are empty: no ids, and the digests of nothing. Repeated rows and null ids are rows
     like any other; an empty table gives no rows; other columns play no part. No shuffle.
     """
-    codec = Bpe(ranks)
-    found = df.select(F.col(doc).alias("doc_id"), codec.encode(F.col(text).cast("string")).alias("ids"))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(codec.id_bytes(F.col("ids")), 256).alias("ids_sha256"),
-                        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    found = df.select(F.col(doc).alias("doc_id"), coded(df.sparkSession, ranks)(F.col(text).cast("string")).alias("c"))
+    return found.select("doc_id", F.floor(F.octet_length("c.ids") / 4).alias("n_tokens"),
+                        F.sha2("c.ids", 256).alias("ids_sha256"), F.sha2("c.decoded", 256).alias("decoded_sha256"))
