@@ -3,8 +3,9 @@
 One more component makes the search metric: with M the largest norm, data become
 (x, sqrt(M^2 - |x|^2)) and queries (q, 0), and a larger inner product is a smaller distance.
 Queries and data are grouped by their nearest pivot. From a summary per group (sizes, radii, the
-k least distances to the pivot) each query group gets a distance within which k data rows surely
-lie; only data that can be that near are sent to the group, in blocks, and solved there.
+k + 1 ids of the least distances to the pivot) each query group gets a distance within which rows
+of k ids besides a query's own surely lie; only data that can be that near are sent to the group,
+in blocks, and solved there.
 """
 
 from __future__ import annotations
@@ -55,29 +56,51 @@ class Space:
         return np.sqrt(np.maximum(square, 0.0))
 
 
-def _summary(rows: DataFrame, space: Space, queries: bool, least: int) -> dict[int, tuple[int, float, list[float]]]:
-    """For each pivot: rows nearest to it, the largest of their distances, the least ones."""
+def _summary(rows: DataFrame, space: Space, queries: bool,
+             least: int) -> dict[int, tuple[int, float, list[tuple[float, int]]]]:
+    """For each pivot: rows nearest to it, the largest of their distances, the least ones with
+    their ids, each id once, however many rows have it."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             all_ = space.distances(_matrix(batch.column(0), space.width), queries)
+            ids = np.asarray(batch.column(1))
             cell = all_.argmin(axis=1)
             own = all_[np.arange(len(cell)), cell]
             cells = np.unique(cell)
+            near = []
+            for c in cells:
+                mine = np.flatnonzero(cell == c)
+                mine = mine[np.argsort(own[mine], kind="stable")]
+                first = np.sort(np.unique(ids[mine], return_index=True)[1])[:least]
+                near.append([{"d": float(own[i]), "id": int(ids[i])} for i in mine[first]])
             yield pa.RecordBatch.from_pydict({
                 "cell": pa.array(cells, pa.int32()),
                 "n": pa.array([int((cell == c).sum()) for c in cells], pa.int64()),
                 "far": pa.array([float(own[cell == c].max()) for c in cells], pa.float64()),
-                "near": pa.array([np.sort(own[cell == c])[:least].tolist() for c in cells],
-                                 pa.list_(pa.float64())),
+                "near": pa.array(near, pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))),
             })
 
-    parts = rows.select("v").mapInArrow(partial, "cell int, n long, far double, near array<double>")
-    both = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, least)
+    kind = "array<struct<d: double, id: long>>"
+    parts = rows.select("v", "id").mapInArrow(partial, f"cell int, n long, far double, near {kind}")
+    both = F.aggregate(
+        F.sort_array(F.flatten(F.collect_list("near"))), F.array().cast(kind),
+        lambda a, e: F.when((F.size(a) < least) & ~F.exists(a, lambda x: x["id"] == e["id"]),
+                            F.concat(a, F.array(e))).otherwise(a))
     found = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), both.alias("near"))
-    return {r["cell"]: (r["n"], r["far"], r["near"]) for r in found.collect()}
+    return {r["cell"]: (r["n"], r["far"], [(x["d"], x["id"]) for x in r["near"]]) for r in found.collect()}
+
+
+def _reach(bounds: list[tuple[float, int]], n: int) -> float:
+    """The least bound up to which n ids are found; infinite if there are fewer."""
+    seen = set()
+    for bound, id_ in sorted(bounds):
+        seen.add(id_)
+        if len(seen) == n:
+            return bound
+    return math.inf
 
 
 def _best(score: np.ndarray, k: int) -> np.ndarray:
@@ -95,6 +118,25 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-score, axis=1, kind="stable")[:, :k]
 
 
+def _answers(score: np.ndarray, asks: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row: unlike in id or score, without the row's own id.
+
+    Ids ascend by column, so equal answers stand side by side. Where they or own rows leave a row
+    short of k, more columns are looked at.
+    """
+    take = min(k + 1, len(ids))
+    while True:
+        best = _best(score, take)
+        found, value = ids[best], np.take_along_axis(score, best, axis=1)
+        new = found != asks[:, None]
+        new[:, 1:] &= (found[:, 1:] != found[:, :-1]) | (value[:, 1:] != value[:, :-1])
+        place = new.cumsum(axis=1)
+        if take == len(ids) or (place[:, -1] >= k).all():
+            row, at = np.nonzero(new & (place <= k))
+            return row, best[row, at]
+        take = min(2 * take, len(ids))
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: str = "vec_id",
           vector: str = "embedding", pivots: int = 16, query_block: int = 4096,
           data_block: int = 32_768) -> DataFrame:
@@ -104,8 +146,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: st
     with the query's own id; ties go to the smaller id; fewer candidates give fewer rows. Rows
     with a null id or vector, or a null or non-finite component, take no part. Vectors of unlike
     length are compared over the components that both have. A query id that repeats is one query
-    per distinct vector, whose results are merged; repeated rows are one candidate. Sums must stay
-    within 64 bits. Empty tables give no rows; other columns play no part.
+    per distinct vector, whose results are merged; repeated rows are one candidate, and so are rows
+    of one id with equal scores. Sums must stay within 64 bits. Empty tables give no rows; other columns play no part.
 
     `pivots` bounds what the driver holds (one summary each); a task holds `query_block` queries
     and about `data_block` data rows.
@@ -137,9 +179,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: st
     between = space.distances(first, False)  # pivots are lifted like data
     within: dict[int, float] = {}
     for cell, (_, far, _) in query_groups.items():
-        # One more than k, since a query's own row is no candidate.
-        bounds = sorted(far + between[cell][j] + d for j, (_, _, near) in data_groups.items() for d in near)
-        reach = bounds[k] if len(bounds) > k else math.inf
+        # One id more than k, since rows with a query's own id are no candidates.
+        reach = _reach([(far + between[cell][j] + d, id_) for j, (_, _, near) in data_groups.items()
+                        for d, id_ in near], k + 1)
         within[cell] = (reach + far) * (1 + SLACK) + SLACK
     data_blocks = max(1, math.ceil(sizes["n"] / data_block))
     query_blocks = {cell: math.ceil(n / query_block) for cell, (n, _, _) in query_groups.items()}
@@ -190,10 +232,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: st
             left = np.frombuffer(b"".join(part["v"]), dtype=small).reshape(-1, width).astype(exact)
             score = (left @ right.T).astype(np.int64)
             asks = part["id"].to_numpy()
-            best = _best(score, min(k + 1, len(ids)))
-            pair = pd.DataFrame({"query_id": np.repeat(asks, best.shape[1]), "vec_id": ids[best].ravel(),
-                                 "score": np.take_along_axis(score, best, axis=1).ravel()})
-            out.append(pair[pair["query_id"] != pair["vec_id"]])
+            row, column = _answers(score, asks, ids, k)
+            out.append(pd.DataFrame({"query_id": asks[row], "vec_id": ids[column], "score": score[row, column]}))
         return pd.concat(out)
 
     found = queries.groupBy("cell", "q", "d").cogroup(data.groupBy("cell", "q", "d")).applyInPandas(

@@ -223,6 +223,41 @@ def test_top_k_of_few_and_no_rows(spark):
     assert knn.top_k(df, F.lit(False)).collect() == []
 
 
+def plain_merged(rows, asks, k):
+    """All (query, candidate, score) of unlike rows, merged by query id."""
+    whole = {(i, tuple(math.floor(256 * e) for e in x)) for i, x in rows}
+    out = []
+    for q in {i for i, _ in whole if asks(i)}:
+        found = sorted({(-sum(a * b for a, b in zip(x, y)), i) for j, x in whole if j == q for i, y in whole if i != q})
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
+    return sorted(out)
+
+
+def top_of(spark, rows, asks, k, **more):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(tuple(r) for r in knn.top_k(df, asks(F.col("vec_id")), k=k, **more).collect())
+
+
+def test_top_k_with_rows_repeated_more_than_k_times(spark):
+    rows = [(1, [10.0, 0.0])] * 6 + [(2, [0.0, 10.0]), (50, [9.0, 0.0])]
+    for pivots in (2, 8):  # which rows are pivots is up to their hashes
+        got = top_of(spark, rows, lambda i: i == 50, 2, pivots=pivots)
+        assert got == [(50, 1, 1, 2560 * 2304), (50, 2, 2, 0)], pivots
+
+
+def test_top_k_of_ids_with_several_vectors(spark):
+    own = [(50, [9.0 - n, 0.0]) for n in range(6)]  # more than k of them before any other id
+    rows = [*own, (1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.0, 1.0])]
+    assert top_of(spark, rows, lambda i: i == 50, 2) == plain_merged(rows, lambda i: i == 50, 2)
+    draw = random.Random(8)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(3)]) for i in range(30)]
+    rows += [(0, [1.0 + n / 8, 1.0, 1.0]) for n in range(12)]  # its own vectors are its nearest
+    rows += [(7, [2.0, 0.0, float(n)]) for n in range(9)] * 4  # score alike against (1, 0, 0)
+    rows += [(10, [1.0, 0.0, 0.0]), (10, [1.0, 0.0, 0.0]), (10, [0.0, -1.0, 0.5])]
+    want = plain_merged(rows, lambda i: i % 5 == 0, 4)
+    assert top_of(spark, rows, lambda i: i % 5 == 0, 4, pivots=3, query_block=3, data_block=7) == want
+
+
 def test_best_breaks_ties_by_the_earlier_column():
     score = np.array([[5, 7, 7, 1, 7], [0, 0, 0, 0, 0]])
     assert knn._best(score, 3).tolist() == [[1, 2, 4], [0, 1, 2]]
