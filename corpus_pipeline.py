@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written and read again as the
 next stage's docs; all but the last return the columns of documents. Rows are told apart by their
-place in the scan, so null and repeated ids are documents like any other, and an empty table passes
+file and their place in it (`shared.placed`), so null and repeated ids are documents like any other, and an empty table passes
 through every stage.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallymill.llm import line_dedup as lines
 from tallymill.llm import packing, quality, simhash, toxicity
 from tallymill.llm.queries import BYTE_LIBRARY, BYTE_RANKS
-from tallymill.llm.shared import fresh, table, written
+from tallymill.llm.shared import fresh, placed, table, written
 
 #: SQL cannot express the toxicity model or tokenising; the tests compare the pipeline with a
 #: brute-force version.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, null texts among them."""
     (row,) = fresh(docs, "row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = placed(docs, row)
     kept = quality.quality_rules(rows, doc=row).filter("kept").select(F.col("doc_id").alias(row))
     return rows.join(kept, row, "left_semi").select(*docs.columns)
 
@@ -45,7 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the least id, then the first row."""
     row, group = fresh(docs, "row", "group")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = placed(docs, row)
     groups = simhash.near_duplicates(rows, doc=row).select(
         F.col("doc_id").alias(row), F.col("component_id").alias(group))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(row).alias("c"))

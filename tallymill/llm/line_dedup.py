@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.shared import fresh, written
+from tallymill.llm.shared import fresh, placed, written
 
 #: Word counts are kept in this many buckets, whatever the corpus; an even power of two.
 BUCKETS = 1 << 20
@@ -38,10 +38,10 @@ def _hashes(line: str) -> Column:
     return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), empty)
 
 
-def lines_of(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(d, r, ln, line) of all lines. d is the document id, r the row's place in the scan."""
+def lines_of(df: DataFrame, row: str, doc: str, text: str) -> DataFrame:
+    """(d, r, ln, line) of all lines. d is the document id, r the row's number."""
     rows = df.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("d"),
-                     F.monotonically_increasing_id().alias("r"), F.col(text).cast("string").alias("whole"))
+                     F.col(row).alias("r"), F.col(text).cast("string").alias("whole"))
     return rows.select("d", "r", F.posexplode(F.split("whole", "\n", -1)).alias("ln", "line"))
 
 
@@ -171,14 +171,14 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return held.select(*pairs.columns, similar.alias("match"))
 
 
-def kept_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+def kept_lines(df: DataFrame, row: str, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(d, r, ln) of the lines with words that stay: no earlier line matches them.
 
-    Earlier is by document id (null first), then the row's place in the scan, then the line's place.
-    Every earlier line counts, whether it stays or goes. `df` must be a table as it is read, since
-    rows are named by their place in the scan.
+    Earlier is by document id (null first), then the row's number, then the line's place. Every
+    earlier line counts, whether it stays or goes. `row` holds the numbers, which must be the same
+    in every job (`shared.placed`).
     """
-    lines = lines_of(df, doc, text)
+    lines = lines_of(df, row, doc, text)
     texts = df.select(F.col(text).cast("string").alias("whole"))
     classes = written(_classes(texts, lines, threshold), "line-classes")
     candidates = written(_pairs(_entries(classes), threshold), "line-candidates")
@@ -212,9 +212,12 @@ def line_report(df: DataFrame, doc: str = "doc_id", text: str = "text", threshol
     or without words have no lines; a null id sorts first; repeated rows are documents of their own,
     of which the later loses its lines; an empty table gives no rows; other columns play no part.
     """
-    kept = kept_lines(df, doc, text, threshold).groupBy("r").agg(F.sort_array(F.collect_list("ln")).alias("kept"))
+    (row,) = fresh(df, "row")
+    named = placed(df, row)
+    kept = kept_lines(named, row, doc, text, threshold).groupBy("r").agg(
+        F.sort_array(F.collect_list("ln")).alias("kept"))
     worded = F.filter(F.split(F.col(text).cast("string"), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = df.select(F.col(doc).alias("doc_id"), F.monotonically_increasing_id().alias("r"),
+    rows = named.select(F.col(doc).alias("doc_id"), F.col(row).alias("r"),
                      F.coalesce(F.size(worded), F.lit(0)).cast("long").alias("n_lines"))
     return rows.join(kept, "r", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_kept"),
@@ -226,9 +229,10 @@ def without_later_matches(df: DataFrame, doc: str = "doc_id", text: str = "text"
 
     Null texts stay null. All other columns are left as they are, whatever their names.
     """
-    kept = kept_lines(df, doc, text, threshold).groupBy("r").agg(F.collect_set("ln").alias("kept"))
     row, places = fresh(df, "row", "kept")
-    rows = df.withColumn(row, F.monotonically_increasing_id()).join(
+    named = placed(df, row)
+    kept = kept_lines(named, row, doc, text, threshold).groupBy("r").agg(F.collect_set("ln").alias("kept"))
+    rows = named.join(
         kept.select(F.col("r").alias(row), F.col("kept").alias(places)), row, "left")
     stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~x.rlike("[^\\x20\\x09-\\x0D]") | F.coalesce(
         F.array_contains(places, i), F.lit(False)))

@@ -46,6 +46,42 @@ def written(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(place)
 
 
+def placed(df: DataFrame, row: str) -> DataFrame:
+    """`df` with a column `row`: a number for each row, the same in every job, however scans are split.
+
+    Rows of Parquet files as they are read are named by their file, in order of path, and their
+    place in it. Any other frame is written to the shared folder once, with its numbers.
+    """
+    files = _parquet_files(df)
+    if files is None:
+        return written(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    meta = df.metadataColumn("_metadata")
+    if len(files) == 1:
+        return df.withColumn(row, meta["row_index"])
+    path, place, name, number = fresh(df.withColumn(row, F.lit(0)), "path", "place", "name", "number")
+    # The driver knows the files already; one string keeps their list out of Python workers.
+    names = df.sparkSession.range(1).select(
+        F.posexplode(F.split(F.lit("\0".join(sorted(files))), "\0")).alias(number, name))
+    rows = df.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
+    of_file = F.coalesce(F.col(number).cast("long"), F.raise_error(F.lit("a file that was not listed")).cast("long"))
+    return rows.join(F.broadcast(names), F.col(path) == F.col(name), "left").select(
+        *(F.col(f"`{c}`") for c in df.columns), (F.shiftleft(of_file, 40) + F.col(place)).alias(row))
+
+
+def _parquet_files(df: DataFrame) -> list[str] | None:
+    """The files of a frame that is Parquet files as they are read, each once; else None."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet":
+        return None
+    path, uri = df.sparkSession._jvm.org.apache.hadoop.fs.Path, df.sparkSession._jvm.java.net.URI
+    # Listed as file:///x, but named file:/x in a scan.
+    files = [path(path(uri(x)).toString()).toUri().toString() for x in relation.location().inputFiles()]
+    return files if files and len(set(files)) == len(files) else None
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Send texts to Python workers in batches of at most this many rows.
 

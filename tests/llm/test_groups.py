@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallymill.llm import components, knn, line_dedup, quality, simhash, url_rules
+from tallymill.llm import components, knn, line_dedup, quality, shared, simhash, url_rules
 
 
 def roots_of(nodes, links):
@@ -127,6 +129,58 @@ def test_line_dedup_of_a_large_group_of_near_copies(spark, tmp_path):
         assert texts[i] == "\n".join(x for at, x in enumerate(text.split("\n")) if at in kept[i] or not x)
 
 
+@pytest.fixture()
+def other_splits(spark, monkeypatch):
+    """After each write, scans are split another way, as when executors come or go."""
+    name, splits = "spark.sql.files.minPartitionNum", itertools.cycle(["64", "1"])
+    spark.conf.set(name, "1")
+
+    def then(write):
+        def run(*args, **more):
+            out = write(*args, **more)
+            spark.conf.set(name, next(splits))
+            return out
+
+        return run
+
+    for module in (line_dedup, simhash, shared):
+        monkeypatch.setattr(module, "written", then(module.written))
+    yield
+    spark.conf.unset(name)
+
+
+def test_rows_keep_their_names_when_scans_are_split_another_way(spark, tmp_path, other_splits):
+    draw = random.Random(13)
+    lines = [" ".join(f"w{draw.randint(0, 400)}" for _ in range(10)) for _ in range(60)]
+    rows = [(i, "\n".join(draw.sample(lines, draw.randint(1, 4))), None) for i in range(80)]
+    path = str(tmp_path / "d é%20")
+    for part in range(8):  # files of unlike sizes; a later file may be read first
+        some = [r[:2] for r in rows if r[0] % 36 >= part * part // 2 and r[0] % 36 < (part + 1) ** 2 // 2 or part == 7 and r[0] % 36 >= 32]
+        spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    df = spark.read.parquet(path)
+    assert sorted(r.doc_id for r in df.collect()) == list(range(80))
+    kept = plain_kept(rows)
+    want = [(i, ",".join(map(str, kept[i]))) for i in range(80)]
+    assert sorted((r.doc_id, r.kept_lines) for r in line_dedup.line_report(df).collect()) == want
+    texts = {r.doc_id: r.text for r in line_dedup.without_later_matches(df).collect()}
+    assert texts == {i: "\n".join(x for at, x in enumerate(t.split("\n")) if at in kept[i]) for i, t, _ in rows}
+
+    fps = [plain_fingerprint(t) for _, t, _ in rows]
+    groups = roots_of(range(80), [(i, j) for i in range(80) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    single = corpus_pipeline.near_dedup(spark, df, path).collect()
+    assert sorted(r.doc_id for r in single) == sorted(set(groups.values()))
+
+
+def test_rows_of_other_frames_are_written_with_their_names(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.range(5).write.parquet(path)
+    for df in (spark.range(5).toDF("id"), spark.read.parquet(path).limit(5), spark.read.parquet(path, path)):
+        named = shared.placed(df, "row")
+        rows = sorted(tuple(r) for r in named.collect())
+        assert len({r for _, r in rows}) == len(rows) == df.count()
+        assert sorted(tuple(r) for r in named.collect()) == rows
+
+
 def plain_counts(text):
     words = (text or "").encode().split()
     windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
