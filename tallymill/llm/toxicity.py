@@ -277,8 +277,8 @@ def learned(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
             label: str = "toxic", sample: int = 10_000) -> Model:
     """A model from documents that are not held out: the `sample` of them whose ids hash lowest.
 
-    `sample` bounds what the driver holds. Of a document's several labels the highest counts; null
-    ids and labels are none.
+    `sample` bounds what the driver holds. Of a document's several labels the highest counts, of an
+    id's several rows the one whose text hashes lowest, a null text last; null ids and labels are none.
     """
     own = df.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc).alias("doc_id"), F.col(label).cast("int").alias("label")).filter(
@@ -286,7 +286,9 @@ def learned(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     # The sample's size is the bound of this broadcast, so the texts stay where they are.
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return train(own, own.join(F.broadcast(chosen), "doc_id"))
+    rows = own.join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("h"), "text"))["text"]
+    return train(own, rows.groupBy("doc_id", "label").agg(least.alias("text")).select("doc_id", "text", "label"))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text",

@@ -64,3 +64,16 @@ def test_labels_of_held_out_rows_are_never_read(spark):
         toxicity.held_out(labels.doc_id), 1 - labels.toxic).otherwise(labels.toxic))
     a, b = (toxicity.toxicity(docs, x).orderBy("doc_id").collect() for x in (labels, turned))
     assert a == b
+
+
+def test_the_sample_bounds_rows_of_ids_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda own, held: held)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:10]
+    rows = [(ids[0], f"text {n}") for n in range(50)] + [(i, f"own {i}") for i in ids] + [(ids[1], None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    held = [sorted((r.doc_id, r.text or "", r.label) for r in toxicity.learned(x, labels).collect())
+            for x in (df, df.repartition(7))]
+    assert [(d, y) for d, _, y in held[0]] == [(i, i % 2) for i in ids]
+    assert held[0] == held[1]
+    assert toxicity.learned(df, labels, sample=4).count() == 4
