@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, knn, line_dedup, packing, quality, simhash, token_counts, token_files, toxicity, url_rules
+from tallymill.llm import (bpe, knn, line_dedup, packing, quality, quality_model, simhash, token_counts, token_files,
+                           toxicity, url_rules)
 from tallymill.llm.shared import table, written
 from tallymill.llm.vocab import read_ranks
 
@@ -150,3 +151,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
