@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import (bpe, knn, line_dedup, packing, quality, quality_model, simhash, token_counts, token_files,
-                           toxicity, url_rules)
+from tallymill.llm import (alignment, bpe, knn, line_dedup, packing, quality, quality_model, simhash, token_counts,
+                           token_files, toxicity, url_rules)
 from tallymill.llm.shared import table, written
 from tallymill.llm.vocab import read_ranks
 
@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_LIBRARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -156,3 +157,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), BYTE_LIBRARY, PIECE_MODEL)
