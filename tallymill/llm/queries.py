@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import (alignment, bpe, knn, line_dedup, packing, quality, quality_model, simhash, token_counts,
-                           token_files, toxicity, url_rules)
+from tallymill.llm import (alignment, bpe, hard_negatives, knn, line_dedup, packing, quality, quality_model, simhash,
+                           token_counts, token_files, toxicity, url_rules)
 from tallymill.llm.shared import table, written
 from tallymill.llm.vocab import read_ranks
 
@@ -154,6 +154,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("""
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(
+               embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+k AS (SELECT *, row_number() OVER () AS k FROM r),
+e AS (SELECT k, vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k),
+s AS (SELECT a.k AS a, a.vec_id AS anchor_id, a.label AS own, e.k AS c, e.vec_id, e.label, sum(a.x * e.x)::BIGINT AS score
+      FROM e AS a JOIN e USING (i) WHERE a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id GROUP BY ALL),
+p AS (SELECT a, anchor_id, c AS p, vec_id AS positive_id, score AS positive_score FROM s WHERE own = label
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score,
+       score AS negative_score
+FROM p JOIN s USING (a)
+WHERE own <> label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY a, p ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 @query()
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
