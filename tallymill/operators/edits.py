@@ -1,11 +1,22 @@
-"""Span edits applied to texts. Spans are 0-based and half-open, in characters."""
+"""Span edits applied to texts. Spans are 0-based and half-open, in characters.
+
+Edits of a document form a forest: an edit inside another one is its child, and
+edits the new text of its parent, at its place relative to the parent's start.
+The forest is found by sweeps over ranges of positions and folded from the
+deepest edits up, one round for each depth. Neither step gathers the edits of a
+document: a range of positions is a group of its own.
+"""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.functions import text as t
+from tallymill.operators.staging import staged
 
 
 def cancel(edits: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -14,107 +25,172 @@ def cancel(edits: DataFrame, cancelled: DataFrame) -> DataFrame:
     return edits.join(cancelled.select(*keys).distinct(), keys, "left_anti")
 
 
-CHUNK = 1024  # characters of a text piece
-RUN = 512  # edits folded before their output joins the whole
-
+SWEEP = 16_384  # positions of a range that is swept
+CHUNK = 1_024  # characters of a text piece that is rebuilt
+SPAN = ["doc_id", "start", "end", "new_str"]
 
-def _piece(chunks: Column, low: Column, high: Column) -> Column:
-    """Characters ``[low, high)`` from the text pieces that hold them."""
-    first = F.floor(low / CHUNK).cast("int")
-    last = F.floor((high - 1) / CHUNK).cast("int")
-    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
-    return F.when(
-        high > low, F.substr(near, (low - first * CHUNK + 1).cast("int"), (high - low).cast("int"))
-    ).otherwise(F.lit(""))
 
+def _ranges(first: Column, last: Column) -> Column:
+    return F.explode(F.sequence(first.cast("long"), last.cast("long")))
 
-def _rest(text: Column, cut: Column) -> Column:
-    """What follows the first ``cut`` characters; nothing beyond the end."""
-    return F.substr(text, cut + 1, F.greatest(F.length(text) - cut, F.lit(0)))
 
+def _swept(spans: DataFrame, sweep, made: str) -> DataFrame:
+    """Run ``sweep`` over each range of each document, longest first where spans start together.
 
-def _fold(text: Column, edits: Column) -> Column:
-    """Build the output left to right; an edit inside the last one edits its new text.
-
-    Positions are looked up in pieces of the text and output is joined in runs,
-    so the work grows with the text and its edits, not with their product. The
-    state holds the output of the run, the place reached, and of the last outer
-    edit its start, its new text and how much of that is written.
+    A range gets the spans that start in it, and those that reach into it from
+    the left; only the former come back, with the columns ``made`` of integers.
     """
-
-    def folded(row: Column) -> Column:
-        chunks, spans = row["chunks"], row["edits"]
-
-        def state(out: Column, at: Column, start: Column, new: Column, cut: Column) -> Column:
-            return F.struct(
-                out.alias("out"), at.cast("long").alias("at"), start.cast("long").alias("start"),
-                new.alias("new"), cut.cast("int").alias("cut"),
-            )
-
-        def step(acc: Column, edit: Column) -> Column:
-            low = (edit["start"] - acc["start"]).cast("int")
-            high = (edit["end"] - acc["start"]).cast("int")
-            kept = F.substr(acc["new"], acc["cut"] + 1, F.greatest(low - acc["cut"], F.lit(0)))
-            outer = F.concat(
-                acc["out"], _rest(acc["new"], acc["cut"]), _piece(chunks, acc["at"], edit["start"])
-            )
-            return (
-                F.when(
-                    edit["start"] >= acc["at"],
-                    state(outer, edit["end"], edit["start"], edit["new_str"], F.lit(0)),
-                )
-                .when(
-                    (edit["end"] <= acc["at"]) & (low >= acc["cut"]),
-                    state(F.concat(acc["out"], kept, edit["new_str"]), acc["at"], acc["start"],
-                          acc["new"], high),
-                )
-                .otherwise(acc)
-            )
-
-        def run(acc: Column, index: Column) -> Column:
-            first = state(F.lit(""), acc["at"], acc["start"], acc["new"], acc["cut"])
-            part = F.aggregate(F.slice(spans, index * RUN + 1, F.lit(RUN)), first, step)
-            return t.let(part, lambda p: state(
-                F.concat(acc["out"], p["out"]), p["at"], p["start"], p["new"], p["cut"]
-            ))
-
-        runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
-        return F.aggregate(
-            runs, state(F.lit(""), F.lit(0), F.lit(0), F.lit(""), F.lit(0)), run,
-            lambda acc: F.concat(
-                acc["out"], _rest(acc["new"], acc["cut"]), _piece(chunks, acc["at"], row["length"])
-            ),
-        )
-
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    bound = F.struct(
-        chunks.alias("chunks"), edits.alias("edits"),
-        F.length(text).cast("long").alias("length"),
+    wide = spans.select(*SPAN, _ranges(F.floor(F.col("start") / SWEEP), F.floor((F.col("end") - 1) / SWEEP)).alias("r"))
+    held = wide.repartition("doc_id", "r").sortWithinPartitions("doc_id", "r", "start", F.desc("end"), "new_str")
+    kind = spans.schema["doc_id"].dataType.simpleString()
+    names = [field.split()[0] for field in made.split(", ")]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, step = None, None
+        for batch in batches:
+            own, places = [], []
+            docs, starts, ends, ranges = (batch.column(c).to_pylist() for c in ("doc_id", "start", "end", "r"))
+            for at, (doc, start, end, r) in enumerate(zip(docs, starts, ends, ranges)):
+                if (doc, r) != here:
+                    here, step = (doc, r), sweep()
+                values = step(start, end)
+                if start >= r * SWEEP:
+                    places.append(at)
+                    own.append(values)
+            kept = batch.take(pa.array(places, pa.int64())).select(SPAN)
+            columns = zip(*own) if own else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, *(pa.array(c, pa.int64()) for c in columns)], [*SPAN, *names])
+
+    return held.mapInArrow(found, f"doc_id {kind}, start long, end long, new_str string, {made}")
+
+
+def _crossing():
+    """Whether a span starts inside an earlier one and ends behind it."""
+    ends: list[int] = []
+
+    def step(start: int, end: int) -> tuple[int]:
+        while ends and ends[0] <= start:
+            heapq.heappop(ends)
+        crossed = bool(ends) and ends[0] < end
+        heapq.heappush(ends, end)
+        return (int(crossed),)
+
+    return step
+
+
+def _around():
+    """How many spans hold this one, and the innermost of them; no two of the spans cross."""
+    open_: list[tuple[int, int]] = []
+
+    def step(start: int, end: int) -> tuple[int, int | None, int | None]:
+        while open_ and open_[-1][1] <= start:
+            open_.pop()
+        depth, inner = len(open_), open_[-1] if open_ else (None, None)
+        open_.append((start, end))
+        return (depth, *inner)
+
+    return step
+
+
+def forest(edits: DataFrame) -> DataFrame:
+    """Edits ``(doc_id, start, end, new_str)`` with their ``status`` and ``depth``; repeated edits once.
+
+    ``applied``: edits the text, at depth 0. ``folded``: edits the new text of the
+    edit around it, one less deep; of equal spans, the one whose new text sorts
+    first is around the other. ``crossing``: starts inside another edit and ends
+    behind it, whatever becomes of that one. ``empty``: no characters, or a null
+    limit. ``outside``: starts in front of the text. The last three are left out
+    and have no depth. A null new text counts as an empty one.
+    """
+    spans = edits.select(
+        "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+        F.coalesce("new_str", F.lit("")).alias("new_str"),
+    ).distinct()
+    unfit = F.when(F.coalesce(F.col("start") >= F.col("end"), F.lit(True)), "empty").when(F.col("start") < 0, "outside")
+    marked = spans.withColumn("status", unfit)
+    fit = staged(_swept(marked.where("status IS NULL").select(*SPAN), _crossing, "crossed long"), "spans")
+    around = "depth long, h_start long, h_end long"
+    kept = _swept(fit.where("crossed = 0").select(*SPAN), _around, around)
+    none = [F.lit(None).cast("long").alias(c) for c in ("depth", "h_start", "h_end")]
+    status = F.when(F.col("depth") > 0, "folded").otherwise("applied").alias("status")
+    return (
+        kept.select(*SPAN, status, "depth", "h_start", "h_end")
+        .unionByName(fit.where("crossed = 1").select(*SPAN, F.lit("crossing").alias("status"), *none))
+        .unionByName(marked.where("status IS NOT NULL").select(*SPAN, "status", *none))
     )
-    return t.let(bound, folded)
 
 
-def apply(docs: DataFrame, edits: DataFrame, text: str = "text") -> DataFrame:
-    """Apply edits ``(doc_id, start, end, new_str)`` to ``docs``.
+def _rebuilt(base: DataFrame, edits: DataFrame, owner: list[str]) -> DataFrame:
+    """``(owner, body)``: each base text with its edits, which do not overlap.
 
-    Empty spans are ignored. An edit inside another one folds into its new text,
-    at its place relative to the container's start; the longest of those that
-    start together is the container. An edit that crosses an earlier one's end,
-    or lies inside an edit that is folded already, is left out.
+    A piece of the text meets the edits that start in it or reach into it; what
+    starts behind the text is a piece without characters. Pieces are rebuilt by
+    themselves and joined again.
     """
-    spans = edits.where(F.col("start") < F.col("end")).select(
-        "doc_id",
-        F.struct(
-            F.col("start").cast("long").alias("start"),
-            (-F.col("end")).cast("long").alias("rank"),
-            F.col("end").cast("long").alias("end"),
-            F.col("new_str").alias("new_str"),
-        ).alias("edit"),
-    )
-    # A set drops repeated edits; a text bounds the others.
-    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("edit")).alias("edits"))
-    joined = docs.join(listed, "doc_id", "left")
-    changed = F.when(F.col("edits").isNull(), F.col(text)).otherwise(
-        _fold(F.col(text), F.col("edits"))
-    )
-    return joined.withColumn(text, changed).drop("edits")
+    # An empty text is one empty piece.
+    cut = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    pieces = base.select(*owner, F.posexplode_outer(cut).alias("piece", "chunk")).select(
+        *owner, F.coalesce("piece", F.lit(0)).cast("long").alias("piece"), "chunk")
+    reach = edits.select(
+        *owner, _ranges(F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK)).alias("piece"),
+        "start", "end", "new_str")
+    first = F.col("piece") * CHUNK
+    # Places inside the piece; the new text stands where the edit starts.
+    listed = reach.select(*owner, "piece", F.struct(
+        F.greatest(F.col("start") - first, F.lit(0)).cast("int").alias("low"),
+        F.least(F.col("end") - first, F.lit(CHUNK)).cast("int").alias("high"),
+        F.when(F.col("start") >= first, F.col("new_str")).otherwise("").alias("new"),
+    ).alias("edit")).groupBy(*owner, "piece").agg(F.array_sort(F.collect_list("edit")).alias("edits"))
+    none = F.array().cast("array<struct<low:int,high:int,new:string>>")
+    met = pieces.join(listed, [*owner, "piece"], "full").withColumns(
+        {"chunk": F.coalesce("chunk", F.lit("")), "edits": F.coalesce("edits", none)})
+
+    def part(edit: Column, at: Column) -> Column:
+        before = F.coalesce(F.get("edits", at - 1)["high"], F.lit(0))
+        return F.concat(F.substr("chunk", before + 1, edit["low"] - before), edit["new"])
+
+    behind = F.coalesce(F.get("edits", F.size("edits") - 1)["high"], F.lit(0))
+    done = met.select(*owner, F.struct("piece", F.concat(
+        F.array_join(F.transform("edits", part), ""), F.substr("chunk", behind + 1, F.lit(CHUNK))).alias("body")).alias("done"))
+    return done.groupBy(*owner).agg(F.array_sort(F.collect_list("done")).alias("done")).select(
+        *owner, F.array_join("done.body", "").alias("body"))
+
+
+def folded(placed: DataFrame) -> DataFrame:
+    """``(doc_id, start, end, new_str)`` of depth 0, whose new texts hold all deeper edits.
+
+    ``placed`` is a written ``forest``. At one depth a span is there once, so its
+    limits name it.
+    """
+    owner = ["doc_id", "h_start", "h_end"]
+    place = {"start": F.col("start") - F.col("h_start"), "end": F.col("end") - F.col("h_start")}
+    below = None
+    for depth in range(placed.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        here = placed.where(F.col("depth") == depth)
+        if below is not None:
+            base = here.select("doc_id", F.col("start").alias("h_start"), F.col("end").alias("h_end"),
+                               F.col("new_str").alias("body"))
+            around = here.select("doc_id", "start", "end", F.col("h_start").alias("up_start"), F.col("h_end").alias("up_end"))
+            changed = _rebuilt(base, below.withColumns(place), owner).select(
+                "doc_id", F.col("h_start").alias("start"), F.col("h_end").alias("end"), F.col("body").alias("new_str"))
+            here = changed if not depth else changed.join(around, ["doc_id", "start", "end"]).withColumnsRenamed(
+                {"up_start": "h_start", "up_end": "h_end"})
+        below = staged(here, "folded") if depth else here
+    return below.select(*SPAN)
+
+
+def apply(docs: DataFrame, edits: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Apply edits ``(doc_id, start, end, new_str)`` to ``docs``; see ``forest`` for those left out.
+
+    Edits that reach behind a text are cut there, those that start behind it are
+    appended in order. Ids of ``docs`` have to be unlike; a document with a null
+    id or text, or without edits, stays as it is.
+    """
+    placed = staged(forest(edits.withColumnRenamed(key, "doc_id")).where("depth IS NOT NULL"), "forest")
+    base = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("body"))
+    outer = folded(placed)
+    changed = _rebuilt(base.join(placed.select("doc_id").distinct(), "doc_id", "left_semi"), outer, ["doc_id"])
+    joined = docs.join(changed.select(F.col("doc_id").alias(key), F.col("body").alias("__body")), key, "left")
+    return joined.withColumn(
+        text, F.when(F.col(text).isNotNull(), F.coalesce("__body", text))).drop("__body")

@@ -198,6 +198,56 @@ def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", digest(F.col("text")).alias("body_md5"))
 
 
+# Deeper edits: in every 60 characters three levels and a sibling, one that
+# crosses the outer span, and one that crosses only the one left out. Every
+# fifth document lies inside one more edit as a whole.
+OUTER, INNER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123", "abcdefghij"
+
+
+def deep_edits(docs: DataFrame) -> DataFrame:
+    base = (F.col("i") * 60).cast("long")
+
+    def span(low: int, high: int, new: str) -> Column:
+        return F.struct((base + low).alias("start"), (base + high).alias("end"),
+                        F.concat(F.lit(new), F.col("i").cast("string")).alias("new_str"))
+
+    steps = docs.where(F.length("text") >= 60).select(
+        "doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 60) - 1)).alias("i"))
+    spans = F.array(span(0, 30, OUTER), span(5, 15, INNER), span(7, 9, "!"), span(20, 28, "uvw"), span(25, 35, "cross"),
+                    span(33, 38, "chain"), span(40, 40, "empty"))
+    whole = docs.where((F.col("doc_id") % 5 == 0) & (F.length("text") > 0)).select(
+        "doc_id", F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"),
+        F.replace("text", F.lit("e"), F.lit("E")).alias("new_str"))
+    return steps.select("doc_id", F.explode(spans).alias("e")).select("doc_id", "e.*").unionByName(whole)
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(text, 'e', 'E') ELSE text END AS body,
+             length(text) // 60 AS n FROM documents),
+b AS (SELECT doc_id, body, unnest(range(n)) AS i FROM p),
+l AS (SELECT doc_id, body, i, '{INNER}' || i AS inside, '{OUTER}' || i AS outside FROM b),
+s AS (SELECT doc_id, string_agg(outside[1:5] || inside[1:2] || '!' || i || inside[5:] || outside[16:20] || 'uvw' || i
+        || outside[29:] || substr(body, i * 60 + 31, 30), '' ORDER BY i) AS head FROM l GROUP BY doc_id)
+SELECT p.doc_id, md5(coalesce(head, '') || substr(body, n * 60 + 1)) AS body_md5 FROM p LEFT JOIN s USING (doc_id)""")
+def fold_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits nested up to four deep, with crossing ones among them."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return edits.apply(docs, deep_edits(docs)).select("doc_id", digest(F.col("text")).alias("body_md5"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 5 = 0 AND length(text) > 0 AS whole, length(text) // 60 AS n FROM documents),
+t(status, below, each) AS (VALUES ('applied', 0, 1), ('folded', 1, 2), ('folded', 2, 1), ('crossing', NULL, 2), ('empty', NULL, 1)),
+e AS (SELECT doc_id, CASE WHEN whole AND status = 'applied' THEN 'folded' ELSE status END AS status,
+        below + whole::INTEGER AS depth, n * each AS edits FROM d, t
+      UNION ALL SELECT doc_id, 'applied', 0, 1 FROM d WHERE whole)
+SELECT doc_id, status, depth::BIGINT AS depth, sum(edits)::BIGINT AS edits FROM e WHERE edits > 0 GROUP BY ALL""")
+def edit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each edit: applied, folded at a depth, or left out and why."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return edits.forest(deep_edits(docs)).groupBy("doc_id", "status", "depth").agg(F.count(F.lit(1)).alias("edits"))
+
+
 @query("""
 WITH e AS (SELECT doc_id, unnest(range(length(text) // 40)) AS i FROM documents),
 x AS (SELECT doc_id, i, 0 AS low, 20 AS high, '<outer' || i || '>' AS content FROM e

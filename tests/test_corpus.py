@@ -105,6 +105,67 @@ def test_apply_edits_on_a_long_text(spark):
     assert edits.apply(docs, spans).first()["text"] == "".join(want)
 
 
+SPANS = "doc_id long, start long, end long, new_str string"
+
+
+def folded_by_hand(text, rows):
+    """Left out: what starts inside another edit and ends behind it. The rest folds from the inside out."""
+    kept = sorted({r for r in rows if 0 <= r[0] < r[1]}, key=lambda r: (r[0], -r[1], r[2]))
+    kept = [e for e in kept if not any(f[0] < e[0] < f[1] < e[1] for f in kept)]
+
+    def replaced(base, first, inside):
+        out, at = "", 0
+        while inside:
+            low, high, new = inside[0]
+            own = [e for e in inside[1:] if e[1] <= high]
+            inside = [e for e in inside[1:] if e[1] > high]
+            out += base[at:max(low - first, at)] + replaced(new, low, own)
+            at = high - first
+        return out + base[at:]
+
+    return replaced(text, 0, kept)
+
+
+def test_edits_of_three_levels_and_crossing_ones(spark):
+    docs = spark.createDataFrame([(1, "0123456789"), (2, "0123456789"), (3, None)], "doc_id long, text string")
+    rows = [(1, 2, 10, "ABCDEFGH"), (1, 3, 8, "vwxyz"), (1, 4, 6, "!"), (2, 2, 6, "ABCD"), (2, 4, 8, "late"), (3, 0, 1, "x"),
+            (2, 8, 8, "none"), (2, None, 3, "x"), (2, -1, 2, "y"), (2, 2, 6, "ABCD"), (9, 0, 1, "no text")]
+    spans = spark.createDataFrame(rows, SPANS)
+    got = {r["doc_id"]: r["text"] for r in edits.apply(docs, spans).collect()}
+    assert got == {1: "01Av!yzGH", 2: "01ABCD6789", 3: None}
+    states = sorted((r["doc_id"], r["status"], r["depth"]) for r in edits.forest(spans).where("doc_id = 2").collect())
+    assert states == [(2, "applied", 0), (2, "crossing", None), (2, "empty", None), (2, "empty", None), (2, "outside", None)]
+
+
+def test_random_forests(spark, monkeypatch):
+    import random
+
+    random.seed(11)
+    monkeypatch.setattr(edits, "SWEEP", 7)
+    monkeypatch.setattr(edits, "CHUNK", 5)
+    docs, rows = [], []
+    for doc in range(60):
+        text = "".join(random.choices("abé😀z", k=random.randint(0, 40)))
+        docs.append((doc, text))
+        for _ in range(random.randint(0, 25)):
+            start = random.randint(-1, 42)
+            rows.append((doc, start, start + random.choice([0, 1, 2, 3, 5, 9, 20]), "".join(random.choices("XYZ", k=random.randint(0, 12)))))
+    got = edits.apply(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, SPANS)).collect()
+    for r in got:
+        assert r["text"] == folded_by_hand(docs[r["doc_id"]][1], {x[1:] for x in rows if x[0] == r["doc_id"]})
+    assert len(got) == 60
+
+
+def test_a_million_edits_of_one_document(spark):
+    n = 500_000
+    docs = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("0123456789"), n).alias("text"))
+    at = (F.col("id") * 10)
+    outer = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), at.alias("start"), (at + 4).alias("end"), F.lit("ABCD").alias("new_str"))
+    inner = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), (at + 1).alias("start"), (at + 2).alias("end"), F.lit("-").alias("new_str"))
+    text = edits.apply(docs, outer.union(inner)).first()["text"]
+    assert text == "A-CD456789" * n
+
+
 def test_cancel(spark):
     schema = "doc_id long, start long, end long, content string"
     spans = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 1, "b"), (2, 0, 1, "a")], schema)
