@@ -206,11 +206,3 @@ def rewrite_compact(text: Column) -> Column:
         )),
         "",
     )
-
-
-def token_ids(tokens: Column) -> Column:
-    """Repeatable integer id of every token: 28 bits of its md5."""
-    return F.transform(
-        tokens,
-        lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("int"),
-    )

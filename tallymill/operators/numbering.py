@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.operators.staging import staged
+
 RANGE = "__range"
 
 
@@ -133,3 +135,21 @@ def running_total(
     return summed.join(offsets, RANGE).withColumn(
         into, F.col("__inside") + F.col("__ahead")
     ).drop(RANGE, "__inside", "__ahead")
+
+
+def number_sorted(df: DataFrame, keys: Sequence[str], *, into: str, first: int = 0) -> DataFrame:
+    """Number rows in the order of ``keys``, of any type, from ``first`` on.
+
+    One range-partitioned sort: rows are numbered inside their partition as it is
+    written, and partitions are shifted by the counts of those in front. Rows
+    with equal keys lie in one partition, so keys should be (nearly) unique.
+    """
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The partition's number in the high bits, the place in it in the low 33.
+    held = staged(ordered.withColumn("__place", F.monotonically_increasing_id()), "sorted")
+    held = held.withColumn(RANGE, F.shiftright("__place", 33))
+    counts = held.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__rows"))
+    inside = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(_ahead(counts, [], "__rows"), RANGE).select(
+        *df.columns, (inside + F.col("__ahead") + first).cast("long").alias(into)
+    )

@@ -9,7 +9,7 @@ from tallymill import fixed
 from tallymill.functions import prompts
 from tallymill.functions import text as t
 from tallymill.functions import tokens as tok
-from tallymill.operators.numbering import number_rows
+from tallymill.operators.numbering import number_rows, number_sorted
 
 
 def pack_blocks(
@@ -202,21 +202,8 @@ def without_docstring(code: Column, mark: str = '"""') -> Column:
 
 
 def numbered_names(names: DataFrame, name: str, into: str, first: int = 0) -> DataFrame:
-    """Number distinct names in sorted order, from ``first`` on.
-
-    Names are counted by their first characters, and ranks start at the counts
-    in front, so no task ranks all names.
-    """
-    cut = names.withColumn("__range", F.left(name, F.lit(2)))
-    counts = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__names"))
-    front = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.select(
-        "__range", F.coalesce(F.sum("__names").over(front), F.lit(0)).alias("__ahead")
-    )
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(name)) - 1
-    return cut.withColumn("__inside", inside).join(ahead, "__range").select(
-        *names.columns, (F.col("__inside") + F.col("__ahead") + first).cast("long").alias(into)
-    )
+    """Number distinct names in sorted order, from ``first`` on."""
+    return number_sorted(names, [name], into=into, first=first)
 
 
 def encode_labels(df: DataFrame, label: str, into: str) -> DataFrame:

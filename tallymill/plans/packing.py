@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import text as t
 from tallymill.functions import tokens as tok
-from tallymill.operators import corpus, packing
+from tallymill.operators import corpus, dictionary, packing
 from tallymill.plans import sqlkit as k
 from tallymill.plans.corpus import SOURCES_SQL, sources
 from tallymill.plans.registry import digest, query, spread, table
@@ -19,11 +19,21 @@ def joined(ids: Column) -> Column:
     return F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").cast("binary"))
 
 
-def ids_sql(tokens: str) -> str:
-    return (
-        f"list_transform({tokens}, "
-        "lambda w: CAST('0x' || substr(md5(w), 1, 7) AS INTEGER))"
-    )
+#: Ids 0 and 1 are taken: end and padding, separator.
+FIRST_ID = 2
+
+
+def vocabulary_sql(tokens: str, source: str) -> str:
+    """(token, id) of the distinct tokens of a source."""
+    return (f"SELECT token, {FIRST_ID - 1} + row_number() OVER (ORDER BY token) AS id "
+            f"FROM (SELECT DISTINCT unnest({tokens}) AS token FROM {source})")
+
+
+def ids_sql(key: str, tokens: str, source: str, vocabulary: str) -> str:
+    """(key, ids) of a source, by a vocabulary."""
+    return (f"SELECT {key}, coalesce(list(id ORDER BY pos) FILTER (id IS NOT NULL), []) AS ids FROM ("
+            f"SELECT {key}, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT {key}, {tokens} AS t FROM {source}) "
+            f"UNION ALL SELECT {key}, NULL, NULL FROM {source}) LEFT JOIN {vocabulary} USING (token) GROUP BY {key}")
 
 
 def md5_ids_sql(ids: str) -> str:
@@ -33,8 +43,10 @@ def md5_ids_sql(ids: str) -> str:
 @query(f"""
 WITH kept AS (SELECT doc_id, {k.meta_cut('content')} AS body FROM ({SOURCES_SQL})
               WHERE {k.reason('content')} = 'kept'),
+v AS ({vocabulary_sql(k.words('body'), 'kept')}),
+e AS ({ids_sql('doc_id', k.words('body'), 'kept', 'v')}),
 rows AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS batch, doc_id,
-           list_append({ids_sql(k.words('body'))}, {END}) AS ids FROM kept),
+           list_append(ids, {END}) AS ids FROM e),
 flat AS (SELECT batch, doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM rows),
 placed AS (SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS pos,
              count(*) OVER (PARTITION BY batch) AS total FROM flat),
@@ -46,8 +58,10 @@ FROM blocks WHERE (block + 1) * {SEQ} < total""")
 def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = sources(spark, sf_dir)
     kept = corpus.clean(files).select("doc_id", "content")
+    words = tok.words(F.col("content"))
+    encoded = dictionary.encode(kept, "doc_id", {"ids": words}, dictionary.vocabulary(kept, words, FIRST_ID))
     blocks = packing.pack_blocks(
-        kept, "doc_id", tok.token_ids(tok.words(F.col("content"))),
+        encoded, "doc_id", F.col("ids"),
         seq_length=SEQ, end_id=END, batch_rows=BATCH, keys=files.select("doc_id"),
     )
     return blocks.select(
@@ -144,18 +158,19 @@ def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_budget(docs, "doc_id", F.col("text"), budget=2048, shards=16)
 
 
+_FIRST_LINE_SQL = k.words("string_split(text, chr(10))[1]")
 _QA_SQL = f"""
-SELECT doc_id, {ids_sql(k.words('string_split(text, chr(10))[1]'))} AS question,
-  {ids_sql(k.words('text'))} AS answer FROM documents"""
+WITH v AS ({vocabulary_sql(k.words('text'), 'documents')}),
+q AS ({ids_sql('doc_id', _FIRST_LINE_SQL, 'documents', 'v')}),
+a AS ({ids_sql('doc_id', k.words('text'), 'documents', 'v')})
+SELECT doc_id, q.ids AS question, a.ids AS answer FROM q JOIN a USING (doc_id)"""
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select(
-        "doc_id",
-        tok.token_ids(tok.words(t.first_line(F.col("text")))).alias("question"),
-        tok.token_ids(tok.words(F.col("text"))).alias("answer"),
-    )
+    words = tok.words(F.col("text"))
+    sides = {"question": tok.words(t.first_line(F.col("text"))), "answer": words}
+    return dictionary.encode(docs, "doc_id", sides, dictionary.vocabulary(docs, words, FIRST_ID))
 
 
 @query(f"""
