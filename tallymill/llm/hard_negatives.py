@@ -24,8 +24,8 @@ from tallymill.llm.shared import written
 
 #: Dimensions of the curve, those that vary most, and bits of each: a place is below 2^56.
 CURVE_DIMS, CURVE_BITS = 8, 7
-#: Zone maps and groups that one task compares at a time, about.
-ZONES, GROUPS = 4_096, 4_096
+#: Zone maps and groups that one task compares at a time, and blocks that one reads, about.
+ZONES, GROUPS, BLOCKS = 4_096, 4_096, 16
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 _BLOCK = ("block long, n int, label_lo long, label_hi long, lo binary, hi binary, ids binary, labels binary, "
@@ -218,20 +218,26 @@ def blocks_to_read(blocks: DataFrame, groups: DataFrame, shape: Shape, same_labe
 
 
 def _read(blocks: DataFrame, groups: DataFrame, pairs: DataFrame, schema: str,
-          solve: Callable[[dict, dict], Iterator[tuple]]) -> DataFrame:
-    """Rows of `solve(block, group)` for each pair. A block goes once to each part of the groups."""
-    asks = pairs.select("g", F.col("block").alias("of"), F.col("part").alias("to_part")).join(groups, "g")
-    needed = pairs.select("block", "part").distinct().join(blocks.drop("asks", "n"), "block")
+          solve: Callable[[list[dict], dict], Iterator[tuple]]) -> DataFrame:
+    """Rows of `solve(candidates, group)`, where candidates are blocks that the group has to read.
+
+    A task holds about BLOCKS blocks. A block goes once to each part of the groups that asks for it,
+    a group once to each task, with the names of its blocks.
+    """
+    bins = max(1, -(-blocks.count() // BLOCKS))
+    dealt = pairs.withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(bins)).cast("int"))
+    asks = dealt.groupBy("g", F.col("bin").alias("to_bin"), F.col("part").alias("to_part")).agg(
+        F.collect_list("block").alias("reads")).join(groups, "g")
+    needed = dealt.select("block", "bin", "part").distinct().join(blocks.drop("asks", "n"), "block")
 
     def solved(known: pa.Table, asking: pa.Table) -> pa.Table:
-        out = []
-        for block in known.to_pylist():  # one
-            for group in asking.to_batches(max_chunksize=64):
-                for r in group.to_pylist():
-                    out += solve(block, r)
+        held, out = {r["block"]: r for r in known.to_pylist()}, []
+        for group in asking.to_batches(max_chunksize=64):
+            for r in group.to_pylist():
+                out += solve([held[b] for b in sorted(r["reads"])], r)
         return pa.Table.from_batches([_batch(schema, out)])
 
-    return needed.groupBy("block", "part").cogroup(asks.groupBy("of", "to_part")).applyInArrow(solved, schema)
+    return needed.groupBy("bin", "part").cogroup(asks.groupBy("to_bin", "to_part")).applyInArrow(solved, schema)
 
 
 def _highest(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -259,8 +265,8 @@ def hard_negatives(df: DataFrame, is_anchor: Column, positives: int = 5, negativ
     vector are one row; unlike rows of one id are as many candidates, and as many anchors. Sums must
     stay within 64 bits. Empty tables give no rows; other columns play no part.
 
-    The driver holds two numbers per dimension. A task holds a block, `block_rows` rows, and the
-    groups of one part that read it.
+    The driver holds two numbers per dimension. A task holds some blocks of `block_rows` rows, and the
+    groups of one part that read them.
     """
     spark = df.sparkSession
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -288,17 +294,25 @@ def hard_negatives(df: DataFrame, is_anchor: Column, positives: int = 5, negativ
     blocks = candidate_blocks(rows, shape, curve, block_rows)
     groups = anchor_groups(blocks, shape, positives)
 
-    def nearest(block: dict, group: dict) -> Iterator[tuple]:
-        """For each anchor the best rows of its label in the block that reach its floor."""
+    def joined(known: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, labels and vectors of blocks."""
+        return (_longs(b"".join(b["ids"] for b in known)), _longs(b"".join(b["labels"] for b in known)),
+                shape.matrix(b"".join(b["v"] for b in known)))
+
+    def nearest(known: list[dict], group: dict) -> Iterator[tuple]:
+        """For each anchor the best rows of its label in the blocks that reach its floor."""
         points, floors = shape.matrix(group["v"]), _longs(group["floors"])
         of, asks = _longs(group["labels"]), _longs(group["ids"])
-        _, most = point_bounds(points.astype(np.float64), shape.row(block["lo"]), shape.row(block["hi"]))
-        reach = (most + 1e-9 * np.abs(most) >= floors) & (of >= block["label_lo"]) & (of <= block["label_hi"])
-        if not reach.any():
+        reach = np.zeros((len(known), len(points)), dtype=bool)
+        for at, b in enumerate(known):
+            _, most = point_bounds(points.astype(np.float64), shape.row(b["lo"]), shape.row(b["hi"]))
+            reach[at] = (most + 1e-9 * np.abs(most) >= floors) & (of >= b["label_lo"]) & (of <= b["label_hi"])
+        known = [b for b, any_ in zip(known, reach.any(axis=1)) if any_]
+        if not known:
             return
-        ids, labels = _longs(block["ids"]), _longs(block["labels"])
-        at = np.flatnonzero(reach)
-        score = (points[at] @ shape.matrix(block["v"]).T).astype(np.int64)
+        ids, labels, v = joined(known)
+        at = np.flatnonzero(reach.any(axis=0))
+        score = (points[at] @ v.T).astype(np.int64)
         for i, own in zip(at, score):
             mine = np.flatnonzero((labels == of[i]) & (ids != asks[i]) & (own >= floors[i]))
             for c in mine[_highest(own[mine], ids[mine], positives)]:
@@ -313,25 +327,31 @@ def hard_negatives(df: DataFrame, is_anchor: Column, positives: int = 5, negativ
         F.min(F.ceil(F.col("score") * low / 100)).alias("floor"), F.max(F.floor(F.col("score") * high / 100)).alias("ceiling"))
     opened = written(groups.drop("floor", "floors").join(windows, "g"), "windows")
 
-    def between(block: dict, group: dict) -> Iterator[tuple]:
-        """For each window the best rows of other labels in the block."""
+    def between(known: list[dict], group: dict) -> Iterator[tuple]:
+        """For each window the best rows of other labels in the blocks."""
         points, of, asks = shape.matrix(group["v"]), _longs(group["labels"]), _longs(group["ids"])
-        least, most = point_bounds(points.astype(np.float64), shape.row(block["lo"]), shape.row(block["hi"]))
-        slack = 1e-9 * np.maximum(np.abs(least), np.abs(most))
-        least, most = 100 * (least - slack), 100 * (most + slack)
-        open_ = [w for w in group["windows"] if most[w["i"]] >= low * w["score"] and least[w["i"]] <= high * w["score"]]
-        if not open_:
+        i, p = (np.array([w[c] for w in group["windows"]], dtype=np.int64) for c in ("i", "score"))
+        # 100 * score may pass 64 bits; whole numbers within the limits do not.
+        lowest = np.array([-(-low * w["score"] // 100) for w in group["windows"]], dtype=np.int64)
+        highest = np.array([high * w["score"] // 100 for w in group["windows"]], dtype=np.int64)
+        open_ = np.zeros((len(known), len(p)), dtype=bool)
+        for at, b in enumerate(known):
+            least, most = point_bounds(points.astype(np.float64), shape.row(b["lo"]), shape.row(b["hi"]))
+            slack = 1e-9 * np.maximum(np.abs(least), np.abs(most))
+            open_[at] = ((most + slack)[i] >= lowest) & ((least - slack)[i] <= highest)
+        known = [b for b, any_ in zip(known, open_.any(axis=1)) if any_]
+        if not known:
             return
-        ids, labels = _longs(block["ids"]), _longs(block["labels"])
-        at = sorted({w["i"] for w in open_})
-        score = dict(zip(at, (points[at] @ shape.matrix(block["v"]).T).astype(np.int64)))
-        other = {i: (labels != of[i]) & (ids != asks[i]) for i in at}
-        for w in open_:
-            i, own = w["i"], score[w["i"]]
-            # 100 * score may pass 64 bits; whole numbers within the limits do not.
-            mine = np.flatnonzero(other[i] & (own >= -(-low * w["score"] // 100)) & (own <= high * w["score"] // 100))
+        ids, labels, v = joined(known)
+        at = np.unique(i[open_.any(axis=0)])
+        score = dict(zip(at, (points[at] @ v.T).astype(np.int64)))
+        other = {x: (labels != of[x]) & (ids != asks[x]) for x in at}
+        for n in np.flatnonzero(open_.any(axis=0)):
+            x, own = i[n], score[i[n]]
+            mine = np.flatnonzero(other[x] & (own >= lowest[n]) & (own <= highest[n]))
             for c in mine[_highest(own[mine], ids[mine], negatives)]:
-                yield (group["g"], i, w["w"], int(asks[i]), w["id"], w["score"], int(ids[c]), int(own[c]))
+                yield (group["g"], int(x), group["windows"][n]["w"], int(asks[x]), group["windows"][n]["id"], int(p[n]),
+                       int(ids[c]), int(own[c]))
 
     found = _read(blocks, opened, blocks_to_read(blocks, opened, shape, False),
                   "g long, i int, w int, anchor_id long, positive_id long, positive_score long, negative_id long, "
