@@ -38,15 +38,16 @@ _REPORT = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_link
 
 
 class Side:
-    """Bytes of each id of one vocabulary, and the ids as text before each separator."""
+    """Bytes of each id of one vocabulary, and the ids as text: first before a comma, then before `end`."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], end: str):
         self.tokens = tokens
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.before = {s: np.array([f"{i}{s}" for i in range(len(tokens))], dtype=object) for s in ",|;"}
+        self.shown = np.array([f"{i}{s}" for s in (",", end) for i in range(len(tokens))], dtype=object)
 
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def gives(self, ids: list[int], spaced: bytes) -> bool:
+        """Whether the tokens' bytes, joined, are these."""
+        return b"".join(map(self.tokens.__getitem__, ids)) == spaced
 
 
 class ByteSide(Side):
@@ -64,7 +65,7 @@ class ByteSide(Side):
         tokens = [b""] * (max(ids.values()) + 1)
         for token, id_ in ids.items():
             tokens[id_] = token.encode() if token in special else bytes(signs[c] for c in token)
-        super().__init__(tokens)
+        super().__init__(tokens, "|")
         ranks = {tokens[id_]: id_ for token, id_ in ids.items() if token not in special}
         self.codec = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -86,7 +87,7 @@ class PieceSide(Side):
         self.library = SentencePieceProcessor(model_proto=model)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         super().__init__([bytes([int(p[3:-1], 16)]) if self.library.is_byte(i)
-                          else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+                          else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], ";")
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, num_threads=1)
@@ -103,12 +104,13 @@ def overlaps(sizes_a: np.ndarray, sizes_b: np.ndarray, doc_a: np.ndarray,
         return pd.DataFrame({"doc": doc, "start": sizes.cumsum() - sizes, name: np.arange(len(sizes))})
 
     a, b = side(sizes_a, doc_a, "a"), side(sizes_b, doc_b, "b")
-    over_a = pd.merge_asof(a, b, on="start", by="doc")
-    over_b = pd.merge_asof(b, a, on="start", by="doc")
-    # A pair that starts at one byte is found from both directions.
-    later = np.flatnonzero(a["start"].to_numpy()[over_b["a"].to_numpy()] != b["start"].to_numpy())
-    left = np.concatenate([over_a["a"].to_numpy(), over_b["a"].to_numpy()[later]])
-    right = np.concatenate([over_a["b"].to_numpy(), over_b["b"].to_numpy()[later]])
+    over_a = pd.merge_asof(a, b, on="start", by="doc")["b"].to_numpy()
+    # A pair that starts at one byte would be found from both directions.
+    found = np.zeros(len(b), dtype=bool)
+    found[over_a[b["start"].to_numpy()[over_a] == a["start"].to_numpy()]] = True
+    over_b = pd.merge_asof(b[~found], a, on="start", by="doc")
+    left = np.concatenate([a["a"].to_numpy(), over_b["a"].to_numpy()])
+    right = np.concatenate([over_a, over_b["b"].to_numpy()])
     order = np.lexsort((right, left))
     return left[order], right[order]
 
@@ -127,8 +129,8 @@ def groups_text(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray
     # Before a token of a stand all of a before it and all of b of earlier groups.
     at_a = np.arange(len(a)) + np.searchsorted(of_b, of_a, side="left")
     at_b = np.arange(len(b)) + np.searchsorted(of_a, of_b, side="right")
-    out[at_a] = np.where(np.append(of_a[1:] == of_a[:-1], False), left.before[","][a], left.before["|"][a])
-    out[at_b] = np.where(np.append(of_b[1:] == of_b[:-1], False), right.before[","][b], right.before[";"][b])
+    out[at_a] = left.shown[a + np.append(of_a[1:] != of_a[:-1], True) * len(left.tokens)]
+    out[at_b] = right.shown[b + np.append(of_b[1:] != of_b[:-1], True) * len(right.tokens)]
     return "".join(out)[:-1]
 
 
@@ -172,7 +174,8 @@ def _aligned(texts: list[str | None], left: Side, right: Side) -> Iterator[tuple
         if text:
             a, b = left.ids(text), right.ids(text)
             spaced = b" " + text.encode()
-            if left.joined(a) == spaced == right.joined(b):
+            # The rank codec cuts bytes and drops none.
+            if right.gives(b, spaced) and (is_plain(text) or left.gives(a, spaced)):
                 found = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
                 size += len(spaced)
         held.append(found)
