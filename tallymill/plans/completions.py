@@ -11,6 +11,7 @@ from tallymill.functions import prompts
 from tallymill.functions import text as t
 from tallymill.plans import sqlkit as k
 from tallymill.plans.registry import BRACED, INDENTED, NL, STATEMENTS, digest, query, table
+from tallymill.sources import files
 
 KEYS = ("conv_id", "turn")
 
@@ -573,3 +574,21 @@ def task_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in _RUN:
         clean = F.when(F.col("task") == name, tasks.spec(name).clean(F.col("text"))).otherwise(clean)
     return joined.select(*KEYS, "task", digest(clean).alias("clean_md5"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, unnest([0, 0, 2]) AS problem_idx, unnest([0, 1, 0]) AS sample_idx,
+             unnest([text, role, role]) AS body FROM conversations)
+SELECT conv_id, turn, problem_idx::BIGINT AS problem_idx, sample_idx::INTEGER AS sample_idx, md5(body) AS body_md5 FROM t""")
+def generations_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a nested file of three problems, the second without samples, read in byte ranges of four cuts."""
+    rows = table(spark, sf_dir, "conversations")
+    none = F.array().cast("array<string>")
+    nested = F.to_json(F.array(F.array("text", "role"), none, F.array("role")))
+    segments = rows.select(
+        F.concat("conv_id", F.lit(":"), "turn").alias("file"), F.posexplode(F.split(nested, '"', -1)).alias("place", "value")
+    ).withColumn("block", F.floor(F.col("place") / 4))
+    texts = files.nested_texts(segments)
+    return texts.select(
+        F.split("file", ":")[0].cast("long").alias("conv_id"), F.split("file", ":")[1].cast("long").alias("turn"),
+        "problem_idx", "sample_idx", digest(F.col("text")).alias("body_md5"))

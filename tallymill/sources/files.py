@@ -1,15 +1,19 @@
 """Layouts on disk: benchmarks, corpora, generations, results, metrics, CSVs.
 
-Nested JSON files are read as whole texts because one file is one array. Long
-tables partitioned by task and model are the canonical form; the nested files
-are for exchange.
+Nested JSON files are one array each and may be of any size: they are read by
+byte ranges, cut at quotes, and the place of every text is worked out from what
+stands in front. Long tables partitioned by task and model are the canonical
+form; the nested files are for exchange. A result file of a run is replaced as a
+whole when the run is written again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymill.operators.staging import staged
+
 TIMING_SCHEMA = (
     "char_len int, token_num int, token_time double, parse_time double, "
     "parse_back_time double, hug_token_time double, hug_token_num int, "
@@ -46,31 +50,66 @@ def save_corpus(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
-def _path_part(position: int) -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), position)
-
+def nested_texts(segments: DataFrame) -> DataFrame:
+    """``(file, problem_idx, sample_idx, text)`` of JSON arrays of arrays of texts.
 
-def _nested(spark: SparkSession, path: str, *extra: Column) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    rows = files.select(
-        *extra, F.posexplode(F.from_json("value", "array<array<string>>"))
-        .alias("problem_idx", "samples"),
-    )
-    names = [c for c in rows.columns if c not in ("problem_idx", "samples")]
-    return rows.select(
-        *names, F.col("problem_idx").cast("long"),
-        F.posexplode("samples").alias("sample_idx", "text"),
+    ``segments`` holds what stands between quotes: ``file``, the start ``block``
+    of the byte range, an ascending ``place`` in it, and ``value``. Quotes and
+    brackets are counted inside each range and shifted by the ranges in front,
+    so no task reads a whole file. A quote behind an odd run of backslashes
+    belongs to its text. Other values than texts count as samples but give no
+    row.
+    """
+    inside = Window.partitionBy("file", "block").orderBy("place")
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    front = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(df: DataFrame, value: str, into: str, with_own: bool) -> DataFrame:
+        """The sum of ``value`` over all segments of the file in front."""
+        blocks = df.groupBy("file", "block").agg(F.sum(value).alias("__sum")).select(
+            "file", "block", F.coalesce(F.sum("__sum").over(front), F.lit(0)).alias("__ahead"))
+        own = F.coalesce(F.sum(value).over(upto), F.lit(0)) + (F.col(value) if with_own else F.lit(0))
+        return df.withColumn(into, own).join(blocks, ["file", "block"]).withColumn(
+            into, F.col(into) + F.col("__ahead")).drop("__ahead")
+
+    escaped = F.length(F.regexp_extract("value", r"(\\*)\z", 1)) % 2
+    quoted = running(segments.withColumn("ends", 1 - escaped), "ends", "quotes", False)
+    between = F.col("quotes") % 2 == 0
+    count = lambda x, sign: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
+    opened = running(quoted.withColumn("opens", F.when(between, count("value", "[")).otherwise(0)), "opens", "lists", True)
+    last = F.substring_index("value", "[", -1)
+    texts = opened.groupBy("file", F.floor(F.col("quotes") / 2).alias("text_no")).agg(
+        F.max(F.when(between, F.col("lists"))).alias("list_no"),
+        F.max(F.when(between, count(last, ","))).alias("commas"),
+        F.array_sort(F.collect_list(F.when(~between, F.struct("block", "place", "value")))).alias("parts"),
+    ).where(F.size("parts") > 0)
+    before = Window.partitionBy("file", "list_no").orderBy("text_no")
+    literal = F.concat(F.lit('["'), F.array_join("parts.value", '"'), F.lit('"]'))
+    return texts.select(
+        "file", (F.col("list_no") - 2).cast("long").alias("problem_idx"),
+        F.sum("commas").over(before).cast("int").alias("sample_idx"),
+        F.from_json(literal, "array<string>")[0].alias("text"),
     )
 
 
+def _nested(spark: SparkSession, path: str) -> DataFrame:
+    cut = spark.read.option("lineSep", '"').text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value")
+    # Written, since the places depend on how the scan is split.
+    return nested_texts(staged(cut, "segments"))
+
+
 def read_generations(
     spark: SparkSession, root: str, n_tasks: int | None = None, limit_start: int = 0
 ) -> DataFrame:
-    """Nested ``root/task/model/generations.json`` files as a long table."""
-    df = _nested(
-        spark, f"{root}/*/*/generations.json",
-        _path_part(-3).alias("task"), _path_part(-2).alias("model"),
-    )
+    """Nested ``root/task/model/generations.json`` files as a long table.
+
+    ``limit_start`` and ``n_tasks`` keep a slice of the problems.
+    """
+    part = lambda n: F.element_at(F.split("file", "/"), n)
+    df = _nested(spark, f"{root}/*/*/generations.json").select(
+        part(-3).alias("task"), part(-2).alias("model"), "problem_idx", "sample_idx", "text")
     kept = df.where(F.col("problem_idx") >= limit_start)
     return kept if n_tasks is None else kept.where(F.col("problem_idx") < limit_start + n_tasks)
 
@@ -135,16 +174,38 @@ def read_metric_files(spark: SparkSession, pattern: str, model: str) -> DataFram
     )
 
 
-def append_token_report(report: DataFrame, path: str) -> None:
-    report.select(
-        "model", "code_tokens", "filtered_code_tokens", "parsed_tokens", "ratio"
-    ).write.mode("append").csv(path)
+def _write_run(df: DataFrame, path: str, kind: str, run_id: str | None) -> None:
+    """Append rows, or put them in place of all that an earlier try of the run has written.
+
+    A run is a partition of its own. Files of a try that fails are not in it, so
+    half a run followed by a whole one leaves one copy.
+    """
+    if run_id is None:
+        df.write.mode("append").format(kind).save(path)
+        return
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("run_id").format(kind).save(path)
+
+
+def append_token_report(report: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add rows to the report; those of a named run replace the run's earlier rows."""
+    columns = ("model", "code_tokens", "filtered_code_tokens", "parsed_tokens", "ratio")
+    _write_run(report.select(*columns), path, "csv", run_id)
 
 
 def read_token_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOKEN_REPORT_SCHEMA).csv(path)
 
 
+def append_results(results: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add completions or outcomes as JSON lines; see ``append_token_report``."""
+    _write_run(results, path, "json", run_id)
+
+
+def append_statuses(df: DataFrame, path: str, run_id: str | None = None) -> None:
+    _write_run(df.select("language", "stem", "status"), path, "csv", run_id)
+
+
 def save_timings(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

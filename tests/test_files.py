@@ -131,3 +131,58 @@ def test_only_generation_files_are_read(spark, tmp_path, name):
     put(tmp_path, "t/m/generations.json", [["a"]])
     put(tmp_path, f"t/m/{name}", [["b"]])
     assert files.read_generations(spark, str(tmp_path)).count() == 1
+
+
+NESTED = [["a", "b\n\"q\" [x], \\", ""], [], ["é\u0000\\\"", "[[", "]],", "😀 \t"], ["\\\\"], [",", "\""]]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_nested_files_are_cut_anywhere(spark, tmp_path, indent):
+    """Byte ranges of a few bytes give the same rows as the whole file."""
+    (tmp_path / "t" / "m").mkdir(parents=True)
+    (tmp_path / "t" / "m" / "generations.json").write_text(json.dumps(NESTED, indent=indent), encoding="utf-8")
+    want = sorted((i, j, x) for i, row in enumerate(NESTED) for j, x in enumerate(row))
+    names = {"spark.sql.files.maxPartitionBytes": "7", "spark.sql.files.openCostInBytes": "1"}
+    held = {name: spark.conf.get(name) for name in names}
+    try:
+        for few in (False, True):
+            for name in names if few else ():
+                spark.conf.set(name, names[name])
+            df = files.read_generations(spark, str(tmp_path))
+            assert sorted((r["problem_idx"], r["sample_idx"], r["text"]) for r in df.collect()) == want
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+
+
+def test_a_large_nested_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "t" / "m").mkdir(parents=True)
+    rows = [[f"p{i} \"x\"", f"s{i}"] for i in range(60_000)]
+    (tmp_path / "t" / "m" / "generations.json").write_text(json.dumps(rows))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        cut = spark.read.option("lineSep", '"').text(str(tmp_path / "t" / "m" / "generations.json"))
+        assert cut.rdd.getNumPartitions() > 10
+        df = files.read_generations(spark, str(tmp_path), n_tasks=50_000, limit_start=5_000)
+        assert df.count() == 100_000
+        some = df.where("problem_idx = 54321").orderBy("sample_idx").select("text").collect()
+        assert [r[0] for r in some] == rows[54_321]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_a_run_written_again_leaves_one_copy(spark, tmp_path):
+    path = str(tmp_path / "report")
+    rows = [("m1", 1, 2, 3, 0.5), ("m2", 4, 5, 6, 0.25)]
+    report = spark.createDataFrame(rows, files.TOKEN_REPORT_SCHEMA)
+    files.append_token_report(report.limit(1), path, run_id="r1")
+    files.append_token_report(report, path, run_id="r1")
+    files.append_token_report(report, path, run_id="r2")
+    files.append_token_report(report, path, run_id="r2")
+    assert sorted(r["model"] for r in files.read_token_report(spark, path).collect()) == ["m1", "m1", "m2", "m2"]
+    for _ in range(2):
+        files.append_results(spark.range(3).select(F.col("id").alias("x")), str(tmp_path / "json"), run_id="r")
+        files.append_statuses(spark.createDataFrame([("py", "a", "OK")], files.STATUS_SCHEMA), str(tmp_path / "st"), run_id="r")
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+    assert files.read_statuses(spark, str(tmp_path / "st")).count() == 1
