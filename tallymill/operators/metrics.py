@@ -126,19 +126,21 @@ def robust_pass(
     is complete when as many seeds hold it. Only complete indexes count;
     ``uneven`` is the number of problems whose seeds differ in sample count.
     """
-    per_index = outcomes.groupBy(variant, problem, sample).agg(
-        F.count(F.lit(1)).alias("present"), F.bool_and(passed).alias("all_pass")
-    )
-    # Indexes are counted by how many seeds hold them: a few rows a problem,
-    # however many samples it has.
-    held = per_index.groupBy(variant, problem, "present").agg(
-        F.count(F.lit(1)).alias("indexes"), F.count_if("all_pass").alias("robust")
-    )
-    per_problem = held.groupBy(variant, problem).agg(
-        F.max_by("indexes", "present").alias("indexes"),
-        F.max_by("robust", "present").alias("robust"),
-        (F.count(F.lit(1)) > 1).alias("uneven"),
-    )
+    # A seed's samples are bits, 64 a row: those it holds, and those that fail.
+    bit = F.expr(f"shiftleft(1L, cast(pmod({sample}, 64) AS int))")
+    maps = outcomes.groupBy(variant, problem, seed, F.floor(F.col(sample) / 64).alias("__bucket")).agg(
+        F.bit_or(bit).alias("held"), F.bit_or(F.when(passed, F.lit(0).cast("long")).otherwise(bit)).alias("failed"))
+    seeds = maps.groupBy(variant, problem, "__bucket").agg(
+        F.count(F.lit(1)).alias("seeds"), F.bit_and("held").alias("in_all"), F.bit_or("held").alias("in_any"),
+        F.bit_or("failed").alias("failed"))
+    # Buckets are counted by how many seeds hold them: a few rows a problem.
+    robust = F.col("in_all").bitwiseAND(F.bitwise_not("failed"))
+    counts = seeds.groupBy(variant, problem, "seeds").agg(
+        F.sum(F.bit_count("in_all")).alias("indexes"), F.sum(F.bit_count(robust)).alias("robust"),
+        F.bool_or(F.col("in_all") != F.col("in_any")).alias("ragged"))
+    per_problem = counts.groupBy(variant, problem).agg(
+        F.max_by("indexes", "seeds").alias("indexes"), F.max_by("robust", "seeds").alias("robust"),
+        ((F.count(F.lit(1)) > 1) | F.bool_or("ragged")).alias("uneven"))
     return per_problem.groupBy(variant).agg(
         F.count(F.lit(1)).alias("problems"),
         F.count_if("uneven").alias("uneven"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill import fixed
@@ -181,29 +181,42 @@ def status_summary(rows: DataFrame, language: str, status_column: str) -> DataFr
     )
 
 
-def number_gaps(
-    files: DataFrame, group: str, number: str, width: int = 1000
-) -> DataFrame:
-    """Numbers from 0 to the largest of each group that no row has.
+#: Numbers of a range whose neighbours are looked up together.
+GAP_RANGE = 1_000_000
+
 
-    Present numbers are gathered by ranges of ``width``; only whole ranges and
-    their own numbers are ever listed.
+def gap_ranges(files: DataFrame, group: str, number: str, width: int = GAP_RANGE) -> DataFrame:
+    """``(group, first, last)`` of each run of numbers from 0 to the largest that no row has.
+
+    A number ends a gap where the one in front of it is not its neighbour. The
+    one in front lies in the same range of ``width`` or is the largest of the
+    last range that has any, so neither a group nor a gap is ever listed whole.
+    Null and negative numbers play no part.
     """
-    block = F.floor(F.col(number) / width).cast("long")
-    have = files.groupBy(group, block.alias("block")).agg(
-        F.collect_set(F.col(number).cast("long")).alias("present")
-    )
-    last = files.groupBy(group).agg(F.max(number).cast("long").alias("last"))
-    blocks = last.withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / width)))
-    )
-    wanted = F.sequence(
-        F.col("block") * width, F.least(F.col("block") * width + width - 1, F.col("last"))
-    )
-    missing = F.array_except(wanted, F.coalesce("present", F.array().cast("array<bigint>")))
-    return blocks.join(have, [group, "block"], "left").select(
-        group, F.explode(missing).alias(number)
-    )
+    have = files.where(F.col(number) >= 0).select(
+        F.col(group).alias("__group"), F.col(number).cast("long").alias("number")).distinct().withColumn(
+        "range", F.floor(F.col("number") / width))
+    ends = have.groupBy("__group", "range").agg(F.max("number").alias("ahead"))
+    earlier = Window.partitionBy("__group").orderBy("range")
+    before = ends.select(F.col("__group").alias("__of"), F.col("range").alias("__in"),
+                         F.coalesce(F.lag("ahead").over(earlier), F.lit(-1)).alias("ahead"))
+    inside = F.lag("number").over(Window.partitionBy("__group", "range").orderBy("number"))
+    met = have.withColumn("inside", inside).join(
+        before, F.col("__group").eqNullSafe(F.col("__of")) & (F.col("range") == F.col("__in")))
+    front = F.coalesce("inside", "ahead")
+    return met.where(F.col("number") > front + 1).select(
+        F.col("__group").alias(group), (front + 1).alias("first"), (F.col("number") - 1).alias("last"))
+
+
+def number_gaps(
+    files: DataFrame, group: str, number: str, width: int = GAP_RANGE
+) -> DataFrame:
+    """Each number from 0 to the largest of its group that no row has."""
+    step = 10_000
+    cut = gap_ranges(files, group, number, width).withColumn(
+        "low", F.explode(F.sequence("first", "last", F.lit(step).cast("long"))))
+    return cut.select(group, F.explode(
+        F.sequence("low", F.least(F.col("low") + (step - 1), F.col("last")))).alias(number))
 
 
 def leaderboard(

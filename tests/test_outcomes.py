@@ -141,3 +141,14 @@ def test_neighbours(spark):
     got = {r["target"]: r["near"] for r in timing.neighbour_sum(df, "k", F.col("v")).collect()}
     for target in got:
         assert got[target] == sum(v for k, v in rows if target - 10 <= k < target + 10)
+
+
+def test_gap_ranges_of_far_numbers_are_not_listed(spark):
+    rows = [("a", 10**12), ("a", 0), ("a", 1), ("b", 3), ("b", 3), (None, 1), ("c", None), ("d", -4)]
+    df = spark.createDataFrame(rows, "g string, n long")
+    got = sorted((r["g"] or "", r["first"], r["last"]) for r in o.gap_ranges(df, "g", "n").collect())
+    assert got == [("", 0, 0), ("a", 2, 10**12 - 1), ("b", 0, 2)]
+    some = spark.range(50_000).where("id % 17 <> 3").select(F.lit("x").alias("g"), F.col("id").alias("n"))
+    for width in (1, 64, 10**6):
+        got = [r["n"] for r in o.number_gaps(some, "g", "n", width).orderBy("n").collect()]
+        assert got == list(range(3, 49_999, 17))
