@@ -70,13 +70,14 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(df: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source",
-                  min_words: int = 50, max_repeat: int = 50, min_documents: int = 20,
-                  max_share: float = 0.1, max_removed: float = 0.5) -> DataFrame:
+                  min_words: int = 50, max_repeat: int = 50, min_documents: int = 5,
+                  max_root: float = 1.0, max_removed: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, the counts, base_failed, n_removed_words, kept.
 
     base_failed: under `min_words` words, or over `max_repeat` percent of them in repeated windows.
-    A line goes if more than `max_share` of its host's distinct documents hold it, and more than
-    `min_documents` of them. kept is false if base_failed, or if over `max_removed` of the words go.
+    A line goes if more than `min_documents` of its host's distinct documents hold it, and more than
+    `max_root` times the square root of their number: a limit that holds for small hosts too, and
+    falls as a share of large ones. kept is false if base_failed, or if over `max_removed` of the words go.
     A null text has no words and so fails; a null host is the empty host; repeated rows get equal
     results; an empty table gives no rows; other columns play no part.
     """
@@ -91,7 +92,7 @@ def quality_rules(df: DataFrame, doc: str = "doc_id", text: str = "text", host:
     hosts = copies.groupBy("host").agg(F.count("*").alias("documents"))
     lines = _lines(marked).groupBy(*key, "line").agg(F.sum("words").alias("words"))
     shared = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
-    common = shared.join(hosts, "host").filter(F.col("n") > max_share * F.col("documents")).select("host", "line")
+    common = shared.join(hosts, "host").filter(F.col("n") > max_root * F.sqrt("documents")).select("host", "line")
     # Copies multiply the words of their text; dividing by their number undoes that.
     gone = lines.join(common, ["host", "line"]).groupBy(*key).agg(F.sum("words").alias("words"))
     removed = gone.join(copies, key).select(*key, (F.col("words") / F.col("copies")).cast("long").alias("gone"))

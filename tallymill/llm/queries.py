@@ -50,8 +50,8 @@ covered AS (SELECT doc_id, count(DISTINCT j) AS n
 line AS (SELECT DISTINCT host, text, unnest(l) AS line, generate_subscripts(l, 1) AS at FROM d),
 norm AS (SELECT host, text, {_PLAIN_LINE} AS p FROM line),
 common AS (SELECT host, p FROM norm GROUP BY host, p
-           HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.1 * (
-               SELECT count(DISTINCT text) FROM d WHERE d.host = norm.host)),
+           HAVING count(DISTINCT text) > 5 AND count(DISTINCT text) > sqrt((
+               SELECT count(DISTINCT text) FROM d WHERE d.host = norm.host))),
 gone AS (SELECT host, text, sum(len(string_split(p, ' '))) AS n FROM norm JOIN common USING (host, p)
          GROUP BY host, text),
 base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, strlen('') + len(array_to_string(w, ''))::BIGINT AS word_chars,

@@ -204,12 +204,29 @@ def test_lines_that_a_host_repeats_deplete_documents(spark):
     own = [(i, "h", f"menu home about\nunique text number {i} of this page") for i in range(10)]
     own += [(20, "h", "Menu  Home about\nmenu home about"), (21, "other", "menu home about"), (22, None, "menu home about")]
     df = spark.createDataFrame(own, "doc_id long, source string, text string")
-    got = {r.doc_id: r for r in quality.quality_rules(df, min_words=1, min_documents=3, max_share=0.5).collect()}
+    got = {r.doc_id: r for r in quality.quality_rules(df, min_words=1, min_documents=3, max_root=0.5).collect()}
     assert got[3].n_removed_words == 3 and got[3].kept
     assert got[20].n_removed_words == 6 and not got[20].kept and not got[20].base_failed
     assert got[21].kept and got[22].kept and got[21].n_removed_words == 0
 
 
+@pytest.mark.parametrize("others", [15, 4_000])
+def test_depletion_decides_in_small_and_hot_hosts(spark, others):
+    """Documents made of a template go, wherever they come from; a share of a tenth would miss both."""
+    def page(name, lines):
+        return "\n".join(" ".join(f"{name}x{j}x{k}" for k in range(10)) for j in range(lines))
+
+    template = page("t", 6)
+    docs = [(i, "h", f"{template}\nown words {i}") for i in range(others // 20 + 8)]
+    docs += [(10_000 + i, "h", page(f"p{i}", 6)) for i in range(others)]
+    docs += [(90_000, "h", page("q", 9) + "\n" + template.split("\n")[0]), (90_001, "g", template + "\nown words")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {d for d, r in got.items() if not r.kept} == set(range(others // 20 + 8))
+    assert got[90_000].n_removed_words > 0
+
+
 def test_filters_above_the_rules_work_words_out_once(spark, awkward):
     """A pushed-down filter must not repeat the word split inside the windows' lambda."""
     long = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"),
