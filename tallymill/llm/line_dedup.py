@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.shared import fresh, placed, written
+from tallymill.llm.shared import fresh, let, placed, written
 
 #: Word counts are kept in this many buckets, whatever the corpus; an even power of two.
 BUCKETS = 1 << 20
@@ -231,9 +231,24 @@ def without_later_matches(df: DataFrame, doc: str = "doc_id", text: str = "text"
     """
     row, places = fresh(df, "row", "kept")
     named = placed(df, row)
-    kept = kept_lines(named, row, doc, text, threshold).groupBy("r").agg(F.collect_set("ln").alias("kept"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("ln") % 64).cast("int"))
+    words = kept_lines(named, row, doc, text, threshold).groupBy("r", F.floor(F.col("ln") / 64).cast("int").alias("w")).agg(
+        F.bit_or(bit).alias("bits"))
+    kept = words.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("w", "bits"))).alias("kept"))
     rows = named.join(
         kept.select(F.col("r").alias(row), F.col("kept").alias(places)), row, "left")
-    stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~x.rlike("[^\\x20\\x09-\\x0D]") | F.coalesce(
-        F.array_contains(places, i), F.lit(False)))
+
+    def dense(known: Column) -> Column:
+        """The bits of 64 lines at a time, without gaps."""
+        return F.transform(F.sequence(F.lit(0), F.element_at(known, -1)["w"]), lambda w: F.coalesce(
+            F.get(F.filter(known, lambda x: x["w"] == w), F.lit(0))["bits"], F.lit(0).cast("long")))
+
+    def staying(bits: Column) -> Column:
+        def stays(line: Column, i: Column) -> Column:
+            own = F.call_function("shiftright", F.get(bits, F.floor(i / 64).cast("int")), i % 64)
+            return ~line.rlike("[^\\x20\\x09-\\x0D]") | F.coalesce(own.bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+        return F.filter(F.split(text, "\n", -1), stays)
+
+    stays = let(dense(F.col(places)), staying)
     return rows.withColumn(text, F.array_join(stays, "\n")).select(*df.columns)

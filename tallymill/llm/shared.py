@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where none is set (one machine, as in tests) a temporary one is made and set.
+    Only where none is set on one machine, as in tests, a temporary one is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallymill-"))
     return context.getCheckpointDir()
 
@@ -59,12 +61,13 @@ def placed(df: DataFrame, row: str) -> DataFrame:
     if len(files) == 1:
         return df.withColumn(row, meta["row_index"])
     path, place, name, number = fresh(df.withColumn(row, F.lit(0)), "path", "place", "name", "number")
-    # The driver knows the files already; one string keeps their list out of Python workers.
+    # The driver knows the files already; one string keeps their list out of Python workers. The list
+    # grows with the table, so Spark chooses how to join it.
     names = df.sparkSession.range(1).select(
         F.posexplode(F.split(F.lit("\0".join(sorted(files))), "\0")).alias(number, name))
     rows = df.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
     of_file = F.coalesce(F.col(number).cast("long"), F.raise_error(F.lit("a file that was not listed")).cast("long"))
-    return rows.join(F.broadcast(names), F.col(path) == F.col(name), "left").select(
+    return rows.join(names, F.col(path) == F.col(name), "left").select(
         *(F.col(f"`{c}`") for c in df.columns), (F.shiftleft(of_file, 40) + F.col(place)).alias(row))
 
 

@@ -191,6 +191,14 @@ def plain_counts(text):
             len(lines) - len(set(lines)), len(covered))
 
 
+def test_a_text_of_very_many_lines_is_rebuilt_in_time(spark):
+    df = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.concat(
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(i.cast("string"), F.lit(" a"))), "\n"),
+        F.lit("\n\n7 a\n8 a b")).alias("text"))
+    got = line_dedup.without_later_matches(df).first().text.split("\n")
+    assert got == [f"{i} a" for i in range(1, 200_001)] + ["", "8 a b"]
+
+
 def test_quality_counts_of_awkward_rows(awkward, rows):
     got = quality.quality_rules(awkward, min_words=4).collect()
     want = Counter((d, *plain_counts(t)) for d, t, _ in rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 import zlib
 
 import pytest
@@ -77,3 +79,41 @@ def test_the_sample_bounds_rows_of_ids_that_repeat(spark, monkeypatch):
     assert [(d, y) for d, _, y in held[0]] == [(i, i % 2) for i in ids]
     assert held[0] == held[1]
     assert toxicity.learned(df, labels, sample=4).count() == 4
+
+
+def cheapest(restorer, signs):
+    """The least cost over all readings of a run of signs, one word, each reading spelled out."""
+    runs, at = [], 0
+    while at < len(signs):
+        end = at
+        while end < len(signs) and signs[end] == signs[at]:
+            end += 1
+        own, n = signs[at], end - at
+        if own in toxicity.MEANT:
+            runs += [[(c, toxicity.SWAP_COST) for c in toxicity.MEANT[own]]] * n
+        elif n > 2:
+            runs.append([(own * k, toxicity.REPEAT_COST) for k in (1, 2)])
+        else:
+            runs += [[(own, 0.0)]] * n
+        at = end
+    costs = {}
+    for path in itertools.product(*runs):
+        word = "".join(c for c, _ in path)
+        codes = [0, 0, *(toxicity.LETTERS.find(c) + 1 or toxicity.OTHER for c in word), 0]
+        cost = sum(p for _, p in path) + sum(restorer.costs[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+        costs[word] = min(cost, costs.get(word, cost))
+    return costs
+
+
+@pytest.mark.parametrize("signs", ["1d10t", "tr@sh", "$tuuupid", "a*b", "l0$3r", "!!l1", "xx1!xx", "é1a", "w0rthle$$", "aaa", "111", "8ad!!!"])
+def test_the_path_read_is_the_cheapest_of_all(restorer, signs):
+    costs = cheapest(restorer, signs)
+    assert costs[restorer.read(signs)] == pytest.approx(min(costs.values()))
+
+
+def test_random_lattices(restorer):
+    draw = random.Random(2)
+    for _ in range(150):
+        signs = "".join(draw.choices("abstouy013457@$!", k=draw.randint(1, 7)))
+        costs = cheapest(restorer, signs)
+        assert costs[restorer.read(signs)] == pytest.approx(min(costs.values())), signs
