@@ -115,23 +115,23 @@ def overlaps(sizes_a: np.ndarray, sizes_b: np.ndarray, doc_a: np.ndarray,
     return left[order], right[order]
 
 
-def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The group of each token of one text, from 0, and the number of groups."""
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    return np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b), len(shared)
+def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each token, from 0, of texts that lie one after another; ends ascend."""
+    other = np.searchsorted(ends_b, ends_a)
+    last_a, last_b = ends_b[other] == ends_a, np.zeros(len(ends_b), dtype=bool)
+    last_b[other[last_a]] = True
+    return last_a.cumsum() - last_a, last_b.cumsum() - last_b
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, left: Side, right: Side) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group, a side before b side."""
-    if not len(a):
-        return ""
+def group_signs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, left: Side, right: Side) -> np.ndarray:
+    """The ids as text in the order of `a1,a2|b1;a3|b2,b3;`: by group, a side before b side."""
     out = np.empty(len(a) + len(b), dtype=object)
     # Before a token of a stand all of a before it and all of b of earlier groups.
     at_a = np.arange(len(a)) + np.searchsorted(of_b, of_a, side="left")
     at_b = np.arange(len(b)) + np.searchsorted(of_a, of_b, side="right")
     out[at_a] = left.shown[a + np.append(of_a[1:] != of_a[:-1], True) * len(left.tokens)]
     out[at_b] = right.shown[b + np.append(of_b[1:] != of_b[:-1], True) * len(right.tokens)]
-    return "".join(out)[:-1]
+    return out
 
 
 def _loaded(sent: Broadcast, *paths: str) -> tuple[ByteSide, PieceSide]:
@@ -150,9 +150,12 @@ def _aligned(texts: list[str | None], left: Side, right: Side) -> Iterator[tuple
         at_a, at_b = lengths[:, 0].cumsum(), lengths[:, 1].cumsum()
         all_a, all_b = (np.concatenate([h[i] for h in own] or [np.zeros(0, np.int64)]) for i in (0, 1))
         doc_a, doc_b = (np.repeat(np.arange(len(own)), lengths[:, i]) for i in (0, 1))
-        link_a, link_b = overlaps(left.sizes[all_a], right.sizes[all_b], doc_a, doc_b)
-        cuts = np.searchsorted(link_a, at_a)
+        size_a, size_b = left.sizes[all_a], right.sizes[all_b]
+        link_a, link_b = overlaps(size_a, size_b, doc_a, doc_b)
         pairs = all_a[link_a] * PAIR + all_b[link_b]
+        cuts = np.searchsorted(link_a, at_a)
+        of_a, of_b = groups(size_a.cumsum(), size_b.cumsum())
+        signs = group_signs(all_a, all_b, of_a, of_b, left, right)
         k = 0
         for h in held:
             if h is None:
@@ -161,9 +164,9 @@ def _aligned(texts: list[str | None], left: Side, right: Side) -> Iterator[tuple
                 continue
             a, b = h
             mine = pairs[cuts[k - 1] if k else 0:cuts[k]]
+            whole = "".join(signs[at_a[k] + at_b[k] - len(a) - len(b):at_a[k] + at_b[k]])[:-1]
+            n = int(of_a[at_a[k] - 1] - of_a[at_a[k] - len(a)]) + 1
             k += 1
-            of_a, of_b, n = groups(left.sizes[a].cumsum(), right.sizes[b].cumsum())
-            whole = groups_text(a, b, of_a, of_b, left, right)
             yield *np.unique(mine, return_counts=True), {
                 "n_a": len(a), "n_b": len(b), "n_groups": n, "n_links": len(mine),
                 "groups_sha256": hashlib.sha256(whole.encode()).hexdigest()}
