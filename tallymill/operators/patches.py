@@ -1,6 +1,7 @@
 """Diff documents: fields, hunks, lenient application and validity states.
 
 Every step works inside one document, so a table of diffs needs no shuffle.
+A patch costs about what its file and its hunks hold together.
 Hunks are parsed once into a column and then read by the later steps.
 """
 
@@ -119,45 +120,128 @@ def parsed(diff: Column) -> Column:
     ))
 
 
-def _replace_once(text: Column, before: Column, after: Column, pointer: Column) -> Column:
-    """Replace the next match if it ends a line; state ``(text, pointer)``."""
-    at = t.find(text, before, pointer + 1)
-    end = at + F.length(before)
-    whole_line = (end > F.length(text)) | (F.substr(text, end, F.lit(1)) == "\n")
-    done = (at > 0) & whole_line
-    return F.struct(
-        F.when(done, F.concat(F.left(text, at - 1), after, F.substr(text, end)))
-        .otherwise(text).alias("text"),
-        F.when(done, at - 1 + F.length(after)).otherwise(pointer).cast("int").alias("pointer"),
-    )
+#: Characters in a chunk of a file that is being patched.
+CHUNK = 4_096
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _behind(chunks: Column, place: Column, count: Column) -> Column:
+    """Text from ``place`` on, to the end of ``count`` chunks."""
+    first = F.floor(place / CHUNK).cast("int") + 1
+    return F.substr(F.array_join(F.slice(chunks, first, count), ""), F.pmod(place, F.lit(CHUNK)) + 1)
+
+
+def _ends_line(text: Column, end: Column) -> Column:
+    return (end > F.length(text)) | (F.substr(text, end, F.lit(1)) == "\n")
 
 
 def _forward(file: Column, found: Column) -> Column:
-    """Fold the hunks over the file, always moving forward."""
+    """Fold the hunks over the file, always moving forward.
+
+    The file is cut into chunks once. A hunk is looked for in the chunks at the
+    cursor, and in everything behind it only if it isn't there; what lies in front
+    of the cursor is kept as pieces and joined at the end, so a hunk costs what
+    it skips, not the file.
+    """
     texts = F.transform(found, lambda h: F.struct(
         F.array_join(h["before"], "\n").alias("before"),
         F.array_join(h["after"], "\n").alias("after"),
     ))
-    start = F.struct(file.alias("text"), F.lit(0).alias("pointer"))
+    start = F.struct(
+        _chunks(file).alias("chunks"), F.lit(0).alias("place"),
+        F.array().cast("array<string>").alias("pieces"), F.lit(True).alias("empty"),
+    )
 
-    def step(state: Column, hunk: Column) -> Column:
-        on_top = F.struct(
-            F.concat(hunk["after"], F.lit("\n"), state["text"]).alias("text"),
-            F.lit(1).alias("pointer"),
+    def rest(state: Column) -> Column:
+        return _behind(state["chunks"], state["place"], F.size(state["chunks"]))
+
+    def window(state: Column, before: Column) -> Column:
+        """Text behind the cursor that holds the next match and the sign after it, if there is one."""
+        near = (F.length(before) / CHUNK).cast("int") + 2
+        return t.let(
+            _behind(state["chunks"], state["place"], near),
+            lambda w: t.let(t.find(w, before), lambda at: F.when(
+                (at > 0) & (at + F.length(before) <= F.length(w)), w
+            ).otherwise(rest(state))),
+        )
+
+    def replaced(state: Column, hunk: Column, w: Column, at: Column) -> Column:
+        end = at + F.length(hunk["before"])
+        moved = F.struct(
+            state["chunks"].alias("chunks"), (state["place"] + end - 1).cast("int").alias("place"),
+            F.concat(state["pieces"], F.array(F.left(w, at - 1), hunk["after"])).alias("pieces"),
+            (state["empty"] & (at == 1) & (hunk["after"] == "")).alias("empty"),
         )
+        return F.when((at > 0) & _ends_line(w, end), moved).otherwise(state)
+
+    def on_top(state: Column, hunk: Column) -> Column:
+        # The cursor stops behind the first sign, so later hunks may match the new lines.
+        return t.let(F.concat(hunk["after"], F.lit("\n"), rest(state)), lambda text: F.struct(
+            _chunks(text).alias("chunks"), F.lit(1).alias("place"),
+            F.array(F.left(text, F.lit(1))).alias("pieces"), F.lit(False).alias("empty"),
+        ))
+
+    def step(state: Column, hunk: Column) -> Column:
         return (
-            F.when((hunk["before"] == "") & (state["pointer"] != 0), state)
-            .when(hunk["before"] == "", on_top)
-            .otherwise(_replace_once(
-                state["text"], hunk["before"], hunk["after"], state["pointer"]
-            ))
+            F.when((hunk["before"] == "") & ~state["empty"], state)
+            .when(hunk["before"] == "", on_top(state, hunk))
+            .otherwise(t.let(window(state, hunk["before"]), lambda w: t.let(
+                t.find(w, hunk["before"]), lambda at: replaced(state, hunk, w, at))))
         )
 
-    return F.aggregate(texts, start, step, lambda state: state["text"])
+    return F.aggregate(texts, start, step, lambda state: F.concat(
+        F.array_join(state["pieces"], ""), rest(state)))
 
 
 def _by_line(file: Column, found: Column) -> Column:
-    """Fold the hunks over the lines of the file at their line numbers."""
+    """Put the hunks at their line numbers.
+
+    Hunks that start behind the one in front and don't overlap it meet lines that
+    no hunk has changed, so each is compared by itself with the lines of the old
+    file. Other diffs are folded hunk by hunk.
+    """
+    counted = F.filter(found, lambda h: F.coalesce(F.size(h["before"]) == h["info"]["y"], F.lit(False)))
+    starts = F.transform(counted, lambda h: F.struct(
+        h["info"]["x"].alias("x"), (h["info"]["x"] + h["info"]["y"]).alias("end"),
+        h["before"].alias("before"), h["after"].alias("after"),
+    ))
+    def in_order(hunks_: Column) -> Column:
+        behind = F.slice(hunks_, F.lit(2), F.size(hunks_))
+        apart = F.zip_with(hunks_, behind, lambda a, b: F.coalesce(a["end"] <= b["x"], F.lit(True)))
+        return F.forall(apart, lambda x: x) & F.forall(hunks_, lambda h: h["x"] > 0)
+
+    return t.let(starts, lambda hunks_: F.when(
+        in_order(hunks_), t.let(t.lines(file), lambda lines: _side_by_side(lines, hunks_))
+    ).otherwise(_line_fold(file, found)))
+
+
+def _side_by_side(lines: Column, ordered: Column) -> Column:
+    """Old lines between hunks, and each hunk's new lines where its old ones are met."""
+
+    def part(first: Column, end: Column) -> Column:
+        # Numbers behind the file mean its end.
+        low, high = (F.least(x, F.size(lines) + 1).cast("int") for x in (first, end))
+        return F.slice(lines, low, high - low)
+
+    def piece(hunk: Column, index: Column) -> Column:
+        front = F.coalesce(F.get(ordered, index - 1)["end"], F.lit(1).cast("long"))
+        return t.let(part(hunk["x"], hunk["end"]), lambda seen: F.concat(
+            part(front, hunk["x"]),
+            F.when(F.forall(
+                F.zip_with(hunk["before"], seen, lambda a, b: F.coalesce(a == b, F.lit(True))), lambda x: x
+            ), hunk["after"]).otherwise(seen),
+        ))
+
+    last = F.coalesce(F.get(ordered, F.size(ordered) - 1)["end"], F.lit(1).cast("long"))
+    tail = part(last, F.size(lines) + 1)
+    return F.array_join(F.concat(F.flatten(F.transform(ordered, piece)), tail), "\n")
+
+
+def _line_fold(file: Column, found: Column) -> Column:
+    """Fold the hunks over the lines of the file at their line numbers, in any order."""
     start = F.struct(t.lines(file).alias("lines"), F.lit(0).cast("long").alias("offset"))
 
     def step(state: Column, hunk: Column) -> Column:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +43,58 @@ def test_apply_forward(spark):
     assert run(spark, [("é\n😀 x\ny", "@@ -2 +2 @@\n-😀 x\n+z")]) == ["é\nz\ny"]
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7])
+def test_matches_across_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(patches, "CHUNK", chunk)
+    assert run(spark, [(FILE, d) for d in DIFFS]) == AFTER
+    assert run(spark, [("", d) for d in DIFFS[:5]]) == ["", "", "", "", "top\n"]
+    assert run(spark, [("é\n😀 x\ny", "@@ -2 +2 @@\n-😀 x\n+z"), (None, DIFFS[0]), (FILE, None)]) == [
+        "é\nz\ny", None, None]
+
+
+def edited(seed, lines, share):
+    """A file, its edited version and their diff without context."""
+    rng = random.Random(seed)
+    old = [f"{i} {rng.choice('abc')}" for i in range(lines)]
+    new = []
+    for line in old:
+        kind = rng.random() / share
+        new += [] if kind < 0.3 else [line + "!"] if kind < 0.7 else [line, "+1"] if kind < 1 else [line]
+    # Without context, a hunk that only adds lines stands behind the line its number names.
+    diff = "\n".join(list(difflib.unified_diff(old, new, n=1, lineterm=""))[2:])
+    return "\n".join(old), "\n".join(new), diff
+
+
+def test_patched_files_are_the_edited_ones(spark):
+    cases = [edited(seed, 60, 0.2) for seed in range(20)] + [edited(99, 6_000, 0.1)]
+    rows = [(old, diff) for old, _, diff in cases]
+    for by_number in (False, True):
+        assert run(spark, rows, use_line_number=by_number) == [new for _, new, _ in cases]
+
+
+def test_hunks_by_number_in_any_order_or_none(spark):
+    """Hunks that fit or not, behind the file or over its end: in order, each for itself is as one by one."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(200):
+        file = "\n".join(rng.choice("ab") for _ in range(rng.randrange(1, 9)))
+        hunks, at = [], 0
+        for _ in range(rng.randrange(1, 5)):
+            at += rng.randrange(1, 4)
+            old = [rng.choice("ab") for _ in range(rng.randrange(0, 3))]
+            size = len(old) if rng.random() < 0.8 else 3
+            body = "".join(f"-{x}\n" for x in old) + "".join("+new\n" for _ in range(rng.randrange(0, 3)))
+            hunks.append(f"@@ -{at},{size} +1,1 @@\n{body}")
+            at += len(old) - 1
+        rows.append((file, "".join(hunks)))
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, f string, d string")
+    hunks = patches.parsed(F.col("d"))
+    got = df.select(patches._by_line(F.col("f"), hunks).alias("a"), patches._line_fold(F.col("f"), hunks).alias("b"), "f")
+    made = got.collect()
+    assert [r["a"] for r in made] == [r["b"] for r in made]
+    assert sum(r["a"] != r["f"] for r in made) > 50
+
+
 def test_a_diff_of_two_files_gives_the_new_one(spark):
     old = [f"line {i}" for i in range(40)]
     new = old[:10] + ["added", "two"] + old[12:30] + old[33:]
