@@ -278,6 +278,29 @@ def grammar_tokens() -> list[str]:
     return sorted(names | set(OPERATOR_TOKENS.values()) | set(STRUCTURAL_TOKENS))
 
 
+# --- Fixed values: parameter grids of the task names ------------------------
+TASK_GRIDS = [
+    ("apps", "apps-{level}", {"level": ["introductory", "interview", "competition"]}),
+    ("code_to_text", "codexglue_code_to_text-{lang}", {"lang": [*DOC_LANGUAGES, "python-left"]}),
+    ("text_to_text", "codexglue_text_to_text-{pair}", {"pair": list(TRANSLATION_LANGUAGES)}),
+    ("multiple", "multiple-{lang}", {"lang": MULTI_LANGUAGES}),
+    ("single", "{task}", {"task": ["conala", "concode", "mbpp", "parity", "python_bugs", "quixbugs",
+                                   "instruct_wizard_humaneval"]}),
+    ("humaneval", "humaneval{variant}", {"variant": ["", "-unstripped", "-compact"]}),
+    ("instruct", "instruct-humaneval{context}", {"context": ["", "-nocontext"]}),
+    ("ds1000", "ds1000-{library}-{mode}", {
+        "library": [library.lower() for library in LIBRARIES], "mode": ["completion", "insertion"]}),
+    ("fix", "humanevalfix{mode}-{lang}", {"mode": ["tests", "docs"], "lang": PACK_LANGUAGES}),
+    ("explain", "humanevalexplain{mode}-{lang}", {
+        "mode": ["describe", "synthesize"], "lang": PACK_LANGUAGES}),
+    ("synthesize", "humanevalsynthesize-{lang}", {"lang": PACK_LANGUAGES}),
+    ("pal", "pal-{source}-{how}", {
+        "source": ["gsm8k", "gsmhard"], "how": ["greedy", "majority_voting"]}),
+    ("perturbed", "perturbed-humaneval-{category}-num_seeds_{seeds}", {
+        "category": PERTURBATIONS, "seeds": [str(seeds) for seeds in range(1, 11)]}),
+]
+
+
 def task_names() -> list[str]:
     """Every task name, from the parameter grids that generate them."""
     names = [f"apps-{level}" for level in ("introductory", "interview", "competition")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tallymill.functions import prompts
 from tallymill.functions import text as t
 from tallymill.functions import tokens as tok
 from tallymill.operators.numbering import number_rows, number_sorted
+from tallymill.operators.staging import staged
 
 
 def pack_blocks(
@@ -144,6 +147,62 @@ def pack_budget(
     )
 
 
+#: Hex digits of a draw's hash: 60 bits, so ranks are even for any number of rows.
+DRAW_DIGITS = 15
+
+
+def pack_draws(
+    df: DataFrame, key: str, tokens: Column, *, budget: int, seed: int = 0
+) -> DataFrame:
+    """One pack per row: the row itself, then rows drawn with replacement until the budget is met.
+
+    Gives ``(pack, place, key, n_tokens)``; the row that reaches the budget is the
+    last of its pack. ``pack`` is the key of the row that opens it, at place 0. Draw
+    d of a pack is the row at rank md5(seed:pack:d) modulo the rows, in key order, so
+    any cluster draws the same. Rows without tokens (or a null text) open packs but are not
+    drawn, since they fill none; without any row to draw, packs hold their own rows.
+    Keys must be unique.
+
+    Draws meet the numbered rows in a join on the rank. A round draws for the packs
+    still open as many rows as the mean row asks for, and each round twice as many
+    as the one in front, so rounds are few whatever the sizes.
+    """
+    sized = staged(df.select(
+        F.col(key).alias("key"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens")), "sized")
+    drawable = sized.where("n_tokens > 0")
+    rows, total = drawable.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    made = sized.select(
+        F.col("key").alias("pack"), F.lit(0).cast("long").alias("place"), "key", "n_tokens")
+    rounds = [made]
+    open_packs = made.where(F.col("n_tokens") < budget).select(
+        "pack", F.lit(1).cast("long").alias("next"), F.col("n_tokens").alias("filled"))
+    ranked = number_sorted(drawable, ["key"], into="rank") if rows else None
+    draws = -(-budget * rows // total) if rows else 0
+    while rows and not open_packs.isEmpty():
+        drawn = _drawn(open_packs, ranked, rows, draws, seed)
+        held = staged(drawn.where(F.col("ahead") < budget), "draws")
+        rounds.append(held.select(*made.columns))
+        open_packs = held.groupBy("pack").agg(
+            (F.max("place") + 1).alias("next"), F.max(F.col("ahead") + F.col("n_tokens")).alias("filled")
+        ).where(F.col("filled") < budget)
+        draws *= 2
+    packs = reduce(DataFrame.unionByName, rounds)
+    return packs.select("pack", "place", F.col("key").alias(key), "n_tokens")
+
+
+def _drawn(packs: DataFrame, ranked: DataFrame, rows: int, draws: int, seed: int) -> DataFrame:
+    """The next ``draws`` rows of each pack, with the tokens in front of each."""
+    places = F.sequence(F.col("next"), F.col("next") + draws - 1)
+    asked = packs.select("pack", "filled", F.explode(places).alias("place"))
+    mark = F.concat_ws(":", F.lit(str(seed)), F.col("pack").cast("string"), F.col("place").cast("string"))
+    number = F.conv(F.left(F.md5(mark.cast("binary")), F.lit(DRAW_DIGITS)), 16, 10).cast("long")
+    met = asked.withColumn("rank", F.pmod(number, F.lit(rows).cast("long"))).join(ranked, "rank")
+    front = Window.partitionBy("pack").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return met.withColumn(
+        "ahead", F.col("filled") + F.coalesce(F.sum("n_tokens").over(front), F.lit(0))
+    ).select("pack", "place", "key", "n_tokens", "ahead")
+
+
 def masked_labels(question: Column, answer: Column, end_id: int, max_tokens: int) -> Column:
     """Input ids and labels; question positions are ignored by the loss."""
     end = F.array(F.lit(end_id).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill import fixed
@@ -53,19 +53,46 @@ def percentile(df: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     return ends.select(value.alias(f"p{round(share * 100)}"))
 
 
+#: Keys that one range of a neighbour sum spans at least.
+RANGE_KEYS = 65_536
+
+
 def neighbour_sum(df: DataFrame, key: str, value: Column, back: int = 10,
                   ahead: int = 10) -> DataFrame:
-    """For every key, the sum of values whose key lies in ``[key-back, key+ahead)``.
-
-    Values are summed by key first; each key then adds its sum to the targets
-    that see it. A fixed number of copies replaces a window over all keys.
+    """For every whole-number key, the sum of values whose key lies in ``[key-back, key+ahead)``.
+
+    Values are summed by key first. Keys are cut into ranges, which also receive the
+    keys next to their borders; a sum is the difference of two running sums inside
+    its range, so the work doesn't grow with ``back`` and ``ahead``. A range spans
+    them at least, so a key has at most two copies beside its own. Rows without a key
+    and keys without a value take no part; a sum of no values is null. Differences
+    of running sums are exact for whole numbers and decimals; floating values round.
     """
-    per_key = df.groupBy(F.col(key).alias("k")).agg(F.sum(value).alias("part"))
-    reach = F.sequence(F.col("k") - (ahead - 1), F.col("k") + back)
-    spread = per_key.select("k", "part", F.explode(reach).alias("target"))
-    sums = spread.groupBy("target").agg(
-        F.max(F.when(F.col("k") == F.col("target"), F.col("part"))).alias("own"),
-        F.sum("part").alias("near"),
+    if back < 0 or ahead < 0:
+        raise ValueError("back and ahead are not negative")
+    width = F.lit(max(RANGE_KEYS, back + ahead)).cast("long")
+    k = F.col("k")
+
+    def first_of(place: Column) -> Column:
+        """First key of the range that holds ``place``; exact, unlike a quotient."""
+        return place - F.pmod(place, width)
+
+    per_key = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k")).agg(
+        F.sum(value).alias("part")
+    ).where("part IS NOT NULL")
+    seen_from, seen_to = F.least(k, k - (ahead - 1)), F.greatest(k, k + back)
+    copies = per_key.select("k", "part", F.explode(
+        F.sequence(first_of(seen_from), first_of(seen_to), width)).alias("range"))
+    line = Window.partitionBy("range").orderBy("k")
+    upto = line.rangeBetween(Window.unboundedPreceding, ahead - 1)
+    below = line.rangeBetween(Window.unboundedPreceding, -back - 1)
+
+    def between(total) -> Column:
+        return F.coalesce(total.over(upto), F.lit(0)) - F.coalesce(total.over(below), F.lit(0))
+
+    held = copies.select(
+        "k", "part", "range", between(F.sum("part")).alias("near"), between(F.count("part")).alias("values"),
+    ).where(F.col("range") == first_of(k))
+    return held.select(
+        k.alias("target"), F.col("part").alias("own"), F.when(F.col("values") > 0, F.col("near")).alias("near")
     )
-    # Targets without values of their own were only reached by neighbours.
-    return sums.where(F.col("own").isNotNull())

@@ -10,7 +10,7 @@ from tallymill import fixed
 from tallymill.functions import prompts
 from tallymill.functions import text as t
 from tallymill.functions import tokens as tok
-from tallymill.operators import corpus, edits, packing, selection
+from tallymill.operators import corpus, edits, grids, packing, selection
 from tallymill.operators.numbering import number_rows
 from tallymill.plans import sqlkit as k
 from tallymill.plans.registry import SOURCE, digest, query, spread, table
@@ -379,6 +379,45 @@ def task_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_GRID_SQL = """
+  SELECT 'apps' AS grid, 'apps-' || unnest(['introductory', 'interview', 'competition']) AS task
+  UNION ALL SELECT 'code_to_text', 'codexglue_code_to_text-' || unnest(['python', 'java', 'javascript', 'ruby', 'php', 'go', 'python-left'])
+  UNION ALL SELECT 'text_to_text', 'codexglue_text_to_text-' || unnest(['da_en', 'zh_en', 'no_en', 'lv_en'])
+  UNION ALL SELECT 'multiple', 'multiple-' || unnest(['py', 'sh', 'cpp', 'cs', 'd', 'go', 'java', 'js', 'jl', 'lua', 'pl', 'php',
+    'r', 'rkt', 'rb', 'rs', 'scala', 'swift', 'ts'])
+  UNION ALL SELECT 'single', unnest(['conala', 'concode', 'mbpp', 'parity', 'python_bugs', 'quixbugs', 'instruct_wizard_humaneval'])
+  UNION ALL SELECT 'humaneval', unnest(['humaneval', 'humaneval-unstripped', 'humaneval-compact'])
+  UNION ALL SELECT 'instruct', unnest(['instruct-humaneval', 'instruct-humaneval-nocontext'])
+  UNION ALL SELECT 'ds1000', 'ds1000-' || l || '-' || m FROM
+    unnest(['all', 'numpy', 'pandas', 'scipy', 'matplotlib', 'sklearn', 'tensorflow', 'pytorch']) a(l), unnest(['completion', 'insertion']) b(m)
+    WHERE NOT (l = 'matplotlib' AND m = 'insertion')
+  UNION ALL SELECT 'fix', 'humanevalfix' || m || '-' || l FROM
+    unnest(['tests', 'docs']) a(m), unnest(['python', 'cpp', 'js', 'java', 'go', 'rust']) b(l)
+  UNION ALL SELECT 'explain', 'humanevalexplain' || m || '-' || l FROM
+    unnest(['describe', 'synthesize']) a(m), unnest(['python', 'cpp', 'js', 'java', 'go', 'rust']) b(l)
+  UNION ALL SELECT 'synthesize', 'humanevalsynthesize-' || unnest(['python', 'cpp', 'js', 'java', 'go', 'rust'])
+  UNION ALL SELECT 'pal', 'pal-' || s || '-' || h FROM unnest(['gsm8k', 'gsmhard']) a(s), unnest(['greedy', 'majority_voting']) b(h)
+  UNION ALL SELECT 'perturbed', 'perturbed-humaneval-' || c || '-num_seeds_' || n FROM
+    unnest(['format', 'func_name', 'natgen', 'nlaugmenter']) a(c), range(1, 10) b(n)"""
+
+
+# Left out: one pair of values, and one value with any other.
+@query(f"""
+WITH g AS ({_GRID_SQL})
+SELECT grid, task, count(event_id) AS rows, count(*) FILTER (event_type <> 'error') AS passed
+FROM g LEFT JOIN ({TASK_EVENTS_SQL}) USING (task) GROUP BY grid, task""")
+def task_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of every task of the grids, those without any included."""
+    rules = spark.createDataFrame([
+        ("ds1000", "library", "matplotlib", "mode", "insertion"), ("perturbed", "seeds", "10", None, None),
+    ], grids.RULES)
+    names = grids.expand(*grids.task_grids(spark), rules)
+    counts = task_events(spark, sf_dir).groupBy("task").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("event_type") != "error").alias("passed"))
+    met = names.withColumnRenamed("name", "task").join(counts, "task", "left")
+    return met.select("grid", "task", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "passed")])
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE turn < 2")
 def sample_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")

@@ -158,6 +158,20 @@ def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_budget(docs, "doc_id", F.col("text"), budget=2048, shards=16)
 
 
+@query(f"""
+WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, CAST(len({k.words('text')}) AS BIGINT) AS n_tokens FROM documents),
+d AS MATERIALIZED (SELECT doc_id, n_tokens, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM s WHERE n_tokens > 0),
+p AS (SELECT doc_id AS pack, CAST(0 AS BIGINT) AS place, doc_id, n_tokens, n_tokens AS filled FROM s
+  UNION ALL
+  SELECT p.pack, p.place + 1, d.doc_id, d.n_tokens, p.filled + d.n_tokens FROM p JOIN d ON d.rank =
+    CAST('0x' || substr(md5('7:' || p.pack || ':' || (p.place + 1)), 1, 15) AS BIGINT) % (SELECT count(*) FROM d)
+  WHERE p.filled < 2048)
+SELECT pack, place, doc_id, n_tokens FROM p""")
+def pack_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack_draws(docs, "doc_id", F.size(tok.words(F.col("text"))), budget=2048, seed=7)
+
+
 _FIRST_LINE_SQL = k.words("string_split(text, chr(10))[1]")
 _QA_SQL = f"""
 WITH v AS ({vocabulary_sql(k.words('text'), 'documents')}),

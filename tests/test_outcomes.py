@@ -143,6 +143,29 @@ def test_neighbours(spark):
         assert got[target] == sum(v for k, v in rows if target - 10 <= k < target + 10)
 
 
+@pytest.mark.parametrize("back,ahead,keys", [(10, 10, 4), (0, 1, 1), (0, 0, 8), (3, 0, 2), (1, 7, 5), (500, 2, 64)])
+def test_neighbours_across_ranges(spark, monkeypatch, back, ahead, keys):
+    monkeypatch.setattr(timing, "RANGE_KEYS", keys)
+    rows = [(i * i % 211 - 100, i) for i in range(300)] + [(None, 5), (2**62, 3), (2**62 + 1, 4), (7, None), (1000, None)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = {r["target"]: (r["own"], r["near"]) for r in timing.neighbour_sum(df, "k", F.col("v"), back, ahead).collect()}
+    known = [(k, v) for k, v in rows if k is not None and v is not None]
+    assert set(got) == {k for k, _ in known}
+    for target, (own, near) in got.items():
+        seen = [v for k, v in known if target - back <= k < target + ahead]
+        assert own == sum(v for k, v in known if k == target)
+        assert near == (sum(seen) if seen else None)
+
+
+def test_neighbours_cost_the_same_for_any_reach(spark):
+    df = spark.range(20_000).select((F.col("id") * 3).alias("k"))
+    far = timing.neighbour_sum(df, "k", F.lit(1), 10**9, 10**9)
+    assert far.where("near <> 20000").count() == 0 and far.count() == 20_000
+    assert timing.neighbour_sum(df.limit(0), "k", F.lit(1)).count() == 0
+    with pytest.raises(ValueError):
+        timing.neighbour_sum(df, "k", F.lit(1), -1, 0)
+
+
 def test_gap_ranges_of_far_numbers_are_not_listed(spark):
     rows = [("a", 10**12), ("a", 0), ("a", 1), ("b", 3), ("b", 3), (None, 1), ("c", None), ("d", -4)]
     df = spark.createDataFrame(rows, "g string, n long")

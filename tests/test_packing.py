@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -106,6 +107,43 @@ def test_pack_budget_keeps_every_row(spark):
     assert max(r["n"] for r in sums) < 50 + 30
 
 
+def brute_packs(sizes, budget, seed):
+    """Packs one draw at a time, by the definition of a draw."""
+    pool = sorted(k for k, n in sizes.items() if n)
+    out = {}
+    for pack in sizes:
+        members, filled = [pack], sizes[pack] or 0
+        while pool and filled < budget:
+            mark = f"{seed}:{pack}:{len(members)}"
+            pick = pool[int(hashlib.md5(mark.encode()).hexdigest()[:15], 16) % len(pool)]
+            members.append(pick)
+            filled += sizes[pick]
+        out[pack] = members
+    return out
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "some empty", "one", "all empty", "none"])
+def test_random_packs(spark, kind):
+    random.seed(kind)
+    sizes = {
+        "even": {i: random.randrange(1, 30) for i in range(200)},
+        "skewed": {i: 5_000 if i == 3 else 1 for i in range(60)},
+        "some empty": {i: random.choice([0, None, 1, 40]) for i in range(80)},
+        "one": {4: 3}, "all empty": {1: 0, 2: None}, "none": {},
+    }[kind]
+    df = spark.createDataFrame([(f"k{k}", n, "x") for k, n in sizes.items()], "id string, n int, pack string")
+    got = {}
+    for r in packing.pack_draws(df, "id", F.col("n"), budget=100, seed=3).orderBy("pack", "place").collect():
+        assert r["place"] == len(got.setdefault(r["pack"], []))
+        got[r["pack"]].append(r["id"])
+        assert r["n_tokens"] == (sizes[int(r["id"][1:])] or 0)
+    assert got == brute_packs({f"k{k}": n for k, n in sizes.items()}, 100, 3)
+    if kind == "even":
+        # Repeats happen, and every row is drawn by someone.
+        assert any(len(set(m)) < len(m) for m in got.values())
+        assert len({m for ms in got.values() for m in ms[1:]}) > 190
+
+
 def test_labels_and_copies(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "name string")
     got = sorted((r["name"] or "", r["code"]) for r in packing.encode_labels(df, "name", "code").collect())
