@@ -46,10 +46,11 @@ def prompt_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems(spark, sf_dir).select("doc_id", made.alias("prompt"))
 
 
-def shots(spark: SparkSession, sf_dir: str, count: int) -> list[str]:
-    """A few worked examples; like an example file they are read up front."""
-    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(count).collect()
-    return [row["text"] for row in rows]
+def shots(spark: SparkSession, sf_dir: str, count: int) -> Column:
+    """Texts of the first worked examples as one array, from a subquery of one row."""
+    first = table(spark, sf_dir, "benchmark").select("item_id", "text").orderBy("item_id").limit(count)
+    listed = F.array_sort(F.collect_list(F.struct("item_id", "text")))
+    return first.agg(F.transform(listed, lambda shot: shot["text"]).alias("seen")).scalar()
 
 
 NLQ = "chr(10)"
@@ -77,19 +78,18 @@ SELECT doc_id, md5({_two_shot_sql(fixed.CONALA_ENTRY, 'Instruction', 'Solution')
     || x || repeat(chr(10), 6)), '') || 'Q: ' || text || {_MATH_TAIL}) AS math_md5
 FROM b""")
 def prompt_fewshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = shots(spark, sf_dir, 8)
-    pair = {"first": (seen[0], seen[1]), "second": (seen[2], seen[3])}
-    text = F.col("text")
-    conala = p.two_shot(text, pair, fixed.CONALA_ENTRY, "Instruction", "Solution")
-    concode = p.two_shot(text, pair, fixed.CONCODE_ENTRY, "Instruction", "Solution")
+    seen, text = F.col("seen"), F.col("text")
+    pair = F.struct(*[
+        F.get(seen, F.lit(at)).alias(name) for at, name in enumerate(["ask1", "answer1", "ask2", "answer2"])])
+    conala = p.two_shot_from(pair, text, fixed.CONALA_ENTRY, "Instruction", "Solution")
+    concode = p.two_shot_from(pair, text, fixed.CONCODE_ENTRY, "Instruction", "Solution")
     language = fixed.TRANSLATION_LANGUAGES["da_en"].title()
     entry = f"Translate the following documentation from {language} to English:\n"
-    listed = F.array(*[F.lit(s) for s in seen])
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir).withColumn("seen", shots(spark, sf_dir, 8)).select(
         "doc_id", digest(p.require_marks(conala, "Solution:\n", 3)).alias("intent_md5"),
         digest(p.require_marks(concode, "Solution:\n", 3)).alias("code_md5"),
-        digest(p.two_shot(text, pair, entry, language, "English")).alias("translate_md5"),
-        digest(p.math_shots(text, listed, listed)).alias("math_md5"),
+        digest(p.two_shot_from(pair, text, entry, language, "English")).alias("translate_md5"),
+        digest(p.math_shots(text, seen, seen)).alias("math_md5"),
     )
 
 

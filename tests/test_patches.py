@@ -53,14 +53,13 @@ def test_matches_across_chunks(spark, monkeypatch, chunk):
 
 
 def edited(seed, lines, share):
-    """A file, its edited version and their diff without context."""
+    """A file, its edited version and their diff with a line of context."""
     rng = random.Random(seed)
     old = [f"{i} {rng.choice('abc')}" for i in range(lines)]
     new = []
     for line in old:
         kind = rng.random() / share
         new += [] if kind < 0.3 else [line + "!"] if kind < 0.7 else [line, "+1"] if kind < 1 else [line]
-    # Without context, a hunk that only adds lines stands behind the line its number names.
     diff = "\n".join(list(difflib.unified_diff(old, new, n=1, lineterm=""))[2:])
     return "\n".join(old), "\n".join(new), diff
 
