@@ -437,23 +437,46 @@ def bleu_multi_ref_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PASSED_SQL = "SELECT *, value < 60 AS passed FROM events"
+#: The same outcomes of perturbed prompts, whatever their kind: one variant.
+_ONE_VARIANT = ROBUST_SQL.replace("event_type, user_id, event_id % 5 AS seed", "user_id, event_id % 5 AS seed").replace(
+    "PARTITION BY event_type, user_id", "PARTITION BY user_id")
+_KIND_SQL = pass_sql("SELECT * FROM events", "event_type", "value < 60", (1, 10, 100))
 
 
 @query(f"""
+WITH o AS MATERIALIZED ({_ONE_VARIANT}), kinds AS MATERIALIZED ({_KIND_SQL}),
+n AS (SELECT user_id, seed, count(*) AS n, avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) AS rate FROM o GROUP BY ALL),
+i AS (SELECT user_id, sample, bool_and(passed) AS ok FROM o GROUP BY ALL),
+strict AS (SELECT user_id, count(*) FILTER (ok AND sample < shortest) / any_value(shortest) AS score
+  FROM i JOIN (SELECT user_id, min(n) AS shortest FROM n GROUP BY user_id) USING (user_id) GROUP BY user_id)
 SELECT 'mbpp' AS task, metric, round(score, 9) AS score FROM ({pass_sql("SELECT *, 0 AS run FROM events", 'run', 'value < 60', (1, 10, 100))})
 UNION ALL SELECT 'ds1000-all-completion', 'mean_score', round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 9) FROM ({_PASSED_SQL})
 UNION ALL SELECT 'python_bugs', 'exact_match', score FROM ({ORACLES["exact_match"]})
 UNION ALL SELECT 'pal-gsm8k-majority_voting', 'accuracy', accuracy FROM ({ORACLES["vote_accuracy"]})
 UNION ALL SELECT 'pal-gsm8k-greedy', 'accuracy', accuracy FROM ({ORACLES["first_answer_accuracy"]})
-UNION ALL SELECT 'codexglue_code_to_text-java', 'bleu', round(bleu, 9) FROM ({ORACLES["bleu_mean"]})""")
+UNION ALL SELECT 'codexglue_code_to_text-java', 'bleu', round(bleu, 9) FROM ({ORACLES["bleu_mean"]})
+UNION ALL SELECT 'conala', 'bleu', bleu FROM ({ORACLES["bleu_corpus"]})
+UNION ALL SELECT 'perturbed-humaneval-format-num_seeds_3', 'robust-pass-at-1', round(avg(score), 9) FROM strict
+UNION ALL SELECT 'perturbed-humaneval-format-num_seeds_3', 'alt-robust-pass-at-1', round(avg(rate), 9)
+  FROM (SELECT user_id, product(rate) AS rate FROM n GROUP BY user_id)
+UNION ALL SELECT 'parity', (user_id % 5 + 1) || ' bugs/pass@1', round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 9)
+  FROM ({_PASSED_SQL}) GROUP BY user_id % 5
+UNION ALL SELECT 'quixbugs', event_type || '/' || metric, round(score, 9) FROM kinds
+UNION ALL SELECT 'quixbugs', 'all/' || metric, round(avg(score), 9) FROM kinds GROUP BY metric
+UNION ALL SELECT 'quixbugs', 'num_correct', round(sum(score), 9) FROM kinds WHERE metric = 'pass@1'""")
 def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One task of each kind of metric, scored by its name alone."""
-    shots = {"questions": [""] * 8, "solutions": [""] * 8}
-    events = table(spark, sf_dir, "events")
-    ran = events.select(
+    pair = {"instruction1": "", "solution1": "", "instruction2": "", "solution2": ""}
+    shots = {"questions": [""] * 8, "solutions": [""] * 8, **pair}
+    ran = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("problem_idx"), F.col("event_id").alias("sample_idx"),
-        (F.col("value") < 60).alias("passed"),
+        (F.col("value") < 60).alias("passed"), F.col("event_type").alias("name"),
+        (F.col("user_id") % 5 + 1).alias("bugs"),
     )
+    seeds = number_rows(
+        perturbed(spark, sf_dir).withColumnRenamed("user_id", "problem_idx"), "event_id",
+        into="sample_idx", groups=["problem_idx", "seed"],
+    ).withColumn("sample_idx", F.col("sample_idx") - 1)
     said = answers(spark, sf_dir).select(
         F.col("user_id").alias("problem_idx"), F.col("event_id").alias("sample_idx"),
         F.col("result").alias("text"), (F.col("user_id") % 5).alias("target"),
@@ -473,11 +496,12 @@ def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = {
         "mbpp": ran, "ds1000-all-completion": ran, "python_bugs": bugs,
         "pal-gsm8k-majority_voting": said, "pal-gsm8k-greedy": said,
-        "codexglue_code_to_text-java": talk,
+        "codexglue_code_to_text-java": talk, "conala": talk,
+        "perturbed-humaneval-format-num_seeds_3": seeds, "parity": ran, "quixbugs": ran,
     }
     out = None
     for name, rows in inputs.items():
-        task = tasks.spec(name, shots=shots if name.startswith("pal-") else None)
+        task = tasks.spec(name, shots=shots if name.startswith(("pal-", "conala")) else None)
         part = scoring.score_task(task, rows).select(
             F.lit(name).alias("task"), "metric", F.round("score", 9).alias("score"))
         out = part if out is None else out.unionByName(part)

@@ -5,7 +5,7 @@ Outcomes and completions are input tables; nothing here runs a program.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators import bleu, metrics
@@ -20,6 +20,23 @@ def _words(text: str, into: str):
     return bleu.normalise(bleu.prepare(F.col(text))).alias(into)
 
 
+def _by_group(task: TaskSpec, rows: DataFrame, key: str, ok: Column) -> DataFrame:
+    """Scores of each group, named ``group/metric``.
+
+    Bug counts stand alone, every sample being a problem of its own. Programs have
+    pass@k each, with their plain means as ``all`` and the number solved.
+    """
+    if task.group == "bugs":
+        scores = metrics.group_pass(rows, [task.group], ok)
+        name = F.concat(F.col(task.group).cast("string"), F.lit(" bugs/pass@1"))
+        return scores.select(name.alias("metric"), "score")
+    each = metrics.pass_at_k(rows, [key], ok, by=[task.group], ks=tuple(task.ks))
+    means = metrics.macro_average(each.select(task.group, "metric", "score"), task.group, "metric", "score")
+    solved = F.col(task.group) == "num_correct"
+    name = F.when(solved, F.lit("num_correct")).otherwise(F.concat_ws("/", task.group, "metric"))
+    return means.select(name.alias("metric"), "score")
+
+
 def score_task(
     task: TaskSpec,
     rows: DataFrame,
@@ -35,10 +52,16 @@ def score_task(
     """``(metric, score)`` rows of a task's completions, by the task's own metric.
 
     ``rows`` has a row per sample. Which of its columns are read depends on the
-    metric: outcomes (``passed``, with ``seed`` for perturbed prompts), answers
-    in ``text`` with a numeric ``target``, or texts with a ``reference``.
+    metric: outcomes (``passed``, with ``seed`` for perturbed prompts and the
+    task's ``group`` column where it scores groups), answers in ``text`` with a
+    numeric ``target``, or texts with a ``reference``. A task whose texts only
+    feed another one has no score and raises an error.
     """
     ok = F.col(passed)
+    if task.metric == "none":
+        raise ValueError(f"{task.name} has no score of its own: its texts feed another task")
+    if task.metric == "group_pass":
+        return _by_group(task, rows, key, ok)
     if task.metric == "pass":
         return metrics.pass_at_k(rows, [key], ok, ks=tuple(task.ks)).select("metric", "score")
     if task.metric == "accuracy":

@@ -28,7 +28,8 @@ class TaskSpec:
     """Builders of one task.
 
     ``prompt`` and ``reference`` read benchmark columns; ``clean`` maps a
-    completion column, and may read benchmark columns too.
+    completion column, and may read benchmark columns too. ``group`` is the
+    column whose values are scored one by one, where the task has such.
     """
 
     name: str
@@ -39,6 +40,7 @@ class TaskSpec:
     stops: Sequence[str] = ()
     ks: Sequence[int] = (1, 10, 100)
     columns: Sequence[str] = field(default_factory=tuple)
+    group: str = ""
 
 
 def _col(name: str) -> Build:
@@ -239,7 +241,8 @@ def _parity(name: str, style: str) -> TaskSpec:
         keyword = "def" if style.startswith("prompt") else ""
         return c.first_block(c.drop_prompt(text, prompt()), stops, keyword)
 
-    return TaskSpec(name, prompt, _nothing, clean, "group_pass", stops, columns=("bugs",))
+    return TaskSpec(name, prompt, _nothing, clean, "group_pass", stops, columns=("bugs",),
+                    group="bugs")
 
 
 def _python_bugs(name: str, style: str) -> TaskSpec:
@@ -269,7 +272,7 @@ def _quixbugs(name: str, style: str) -> TaskSpec:
 
     return TaskSpec(
         name, prompt, lambda: F.struct("name", t.strip(F.col("tests")).alias("tests")), clean,
-        "group_pass", stops, columns=("name", "buggy_program", "tests"),
+        "group_pass", stops, columns=("name", "buggy_program", "tests"), group="name",
     )
 
 

@@ -51,3 +51,29 @@ def test_broken_references_are_named(spark):
     ran = spark.createDataFrame([(0, True), (1, False)], "problem_idx long, passed boolean")
     broken = scoring.check_references(bench, tasks.spec("humaneval"), ran, "problem_idx").collect()
     assert [(r["problem_idx"], r["reference"]) for r in broken] == [(1, "\nu\ncheck(g)")]
+
+
+def test_groups_are_scored_one_by_one(spark):
+    rows = spark.createDataFrame(
+        [(0, 0, True, 1, "gcd"), (0, 1, False, 1, "gcd"), (1, 0, True, 2, "sieve"), (1, 1, True, 2, "sieve")],
+        "problem_idx long, sample_idx int, passed boolean, bugs long, name string")
+    assert scores(scoring.score_task(tasks.spec("parity"), rows)) == {"1 bugs/pass@1": 0.5, "2 bugs/pass@1": 1.0}
+    assert scores(scoring.score_task(tasks.spec("quixbugs"), rows)) == {
+        "gcd/pass@1": 0.5, "sieve/pass@1": 1.0, "all/pass@1": 0.75, "num_correct": 1.5}
+
+
+def test_every_task_has_a_score_or_says_that_it_has_none(spark):
+    rows = spark.createDataFrame(
+        [(0, 0, True, 1, 1, "gcd", "1", "1", 1.0)],
+        "problem_idx long, sample_idx int, passed boolean, seed int, bugs long, name string, text string, "
+        "task_reference string, target double")
+    shots = {**SHOTS, **{f"{a}{i}": "" for a in ("instruction", "solution") for i in (1, 2)}}
+    shots |= {x: {f"{a}{i}": "" for a in ("source", "target") for i in (1, 2)}
+              for x in tasks.fixed.TRANSLATION_LANGUAGES.values()}
+    for name in tasks.fixed.task_names():
+        task = tasks.spec(name, shots=shots)
+        if task.metric == "none":
+            with pytest.raises(ValueError):
+                scoring.score_task(task, rows)
+        else:
+            assert scoring.score_task(task, rows).columns == ["metric", "score"]
