@@ -14,6 +14,7 @@ from tallymill.plans.registry import BRACED, INDENTED, NL, STATEMENTS, digest, q
 from tallymill.sources import files
 
 KEYS = ("conv_id", "turn")
+QUOTE = '"""'
 
 
 def generations(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
@@ -542,38 +543,103 @@ def program_assemble_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_RUN = ("humaneval", "humaneval-unstripped", "apps-interview", "multiple-py", "codexglue_code_to_text-java")
+#: What a model wrote: indented lines, statements at line starts, and the marks that families cut at.
+_TAIL = (
+    f"concat(' s{NL}    ', {INDENTED.replace('text', STATEMENTS)}, "
+    f"'{NL}if c <block_end> Q: x </code> {QUOTE} y # Example usage z')"
+)
+_CORRECT = "def f(x):\n    return x + 1"
+_RUN_COLUMNS = {
+    "test_list": ["assert f(1) == 2"], "question": "Q?", "starter_code": "", "input_output": "{}",
+    "stop_tokens": list(fixed.MULTI_STOPS), "declaration": "def f(x):\n", "buggy_solution": "  return x\n",
+    "test": "assert f(1)", "entry_point": "f", "docstring": "Adds one to a number, whatever it is.",
+    "canonical_solution": "  return x + 1\n", "instruction": "Write f.", "context": _CONTEXT, "bugs": 2,
+    "prompt_code": "def g(): pass", "task": "bin-op", "correct_code": _CORRECT,
+    "name": "gcd", "buggy_program": "def gcd(): pass", "intent": "do it", "rewritten_intent": "do this",
+    "nl": "get x. concode_field_sep y", "source": "hej",
+    "code": 'def f(x):\n  """Adds one to a number, whatever it is."""\n  return x',
+}
+_RUN_SHOTS = {
+    "questions": [f"q{i}" for i in range(8)], "solutions": [f"    return {i}" for i in range(8)],
+    "instruction1": "a", "solution1": "b", "instruction2": "c", "solution2": "d",
+    "danish": {"source1": "a", "target1": "b", "source2": "c", "target2": "d"},
+}
+_QUOTED_TAIL = f"string_split({k.strip('tail')}, chr(10))[1]"
+_FIRST_UNINDENTED = r"(?s)\A((?:.*?\n)??)[^ \t\n]"
+#: Each task of the run with its clean text in SQL, from the tail behind the prompt: one per family and shape.
+_RUN_SQL = {
+    "humaneval": f"{k.strip('prompt')} || {k.truncate('tail', fixed.STOPS['humaneval'])}",
+    "humaneval-unstripped": f"prompt || {k.truncate('tail', fixed.STOPS['humaneval'])}",
+    "humaneval-compact": k.in_order(
+        f"({k.rewritten(k.strip('prompt'))} || {k.truncate('block', fixed.STOPS['humaneval-compact'])})",
+        fixed.COMPACT_STOPS),
+    "mbpp": "QQQ || chr(10) || prompt || chr(10) || 'assert f(1) == 2' || chr(10) || QQQ || chr(10) || ".replace(
+        "QQQ", k.q(QUOTE)) + k.truncate("tail", fixed.STOPS["mbpp"]),
+    "apps-interview": "chr(10) || tail",
+    "multiple-py": f"{k.strip('prompt')} || {k.truncate('tail', fixed.MULTI_STOPS)}",
+    "perturbed-humaneval-format-num_seeds_1":
+        f"{k.strip('prompt')} || {k.truncate('tail', fixed.STOPS['perturbed-humaneval'])}",
+    "ds1000-numpy-completion": k.strip(k.in_order("(prompt || tail)", ["</code>", "# SOLUTION END"])),
+    "ds1000-numpy-insertion": k.strip(k.in_order("tail", ["</code>", "# SOLUTION END"])),
+    "humanevalfixtests-python": "'def f(x):' || body",
+    "humanevalsynthesize-python": f"{k.rstrip('prompt')} || body",
+    "humanevalexplaindescribe-python": k.rstrip(k.in_order(f"substr({k.strip('tail')}, 1, 37)", _PY_STOPS)),
+    "instruct-humaneval": f"""CASE WHEN instr(asked, 'def f') = 0 THEN asked
+      WHEN regexp_matches(asked[instr(asked, 'def f'):], {k.q(_LATER_LINE)})
+      THEN substr(asked, 1, instr(asked, 'def f') - 1) || regexp_extract(asked[instr(asked, 'def f'):], {k.q(_LATER_LINE)}, 1)
+      ELSE asked END""",
+    "instruct_wizard_humaneval": k.strip(k.before("replace(tail, chr(9), '    ')", "# Example usage")),
+    "parity": k.rstrip(f"({k.truncate('defined', fixed.STOPS['parity'])})"),
+    "python_bugs": "substr(defined, 1, 26)",
+    "quixbugs": f"""CASE WHEN len(regexp_extract_all(defined, {_QUIX_RULE})) = 0 THEN '' ELSE
+      substr(defined, 1, length(defined) - length(regexp_split_to_array(defined, {_QUIX_RULE})[-1])
+        - length(regexp_extract_all(defined, {_QUIX_RULE})[-1])) END""",
+    "pal-gsm8k-greedy": f"{k.before(k.strip('tail'), 'Q:')} || chr(10) || 'print(solution())'",
+    "conala": k.strip("tail"), "concode": k.strip("tail"), "codexglue_text_to_text-da_en": k.strip("tail"),
+    "codexglue_code_to_text-java": _QUOTED_TAIL,
+    "codexglue_code_to_text-python-left": k.before(k.strip(_QUOTED_TAIL), QUOTE),
+}
+_RUN = tuple(_RUN_SQL)
 _RUN_LIST = "[" + ", ".join(k.q(name) for name in _RUN) + "]"
 
 
 @query(f"""
-WITH g AS (SELECT conv_id, turn, {_RUN_LIST}[turn % 5 + 1] AS task, b.text || {STATEMENTS.replace('text', 'c.text')} || {k.q(fixed.DOC_SUFFIX['other'])} || ' line' || chr(10) AS gen,
-    b.text AS prompt FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)),
-x AS (SELECT *, substr(gen, length({k.strip('prompt')}) + 1) AS body, substr(gen, length(prompt) + 1) AS rest FROM g)
+WITH g AS (SELECT conv_id, turn, {_RUN_LIST}[(conv_id * 7 + turn) % {len(_RUN)} + 1] AS task,
+    {_TAIL.replace('text', 'c.text')} AS tail, b.text AS prompt
+  FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)),
+h AS (SELECT *, 'def' || tail AS defined, {k.in_order(k.rstrip('tail'), _PY_STOPS)} AS whole,
+    CASE WHEN contains(tail, '<block_end>')
+      THEN substr(tail, 1, length(tail) - length(string_split(tail, '<block_end>')[-1])) ELSE tail END AS block,
+    'Write f.' || chr(10) || {k.q(_CONTEXT)} || tail AS told FROM g),
+x AS (SELECT *, {k.truncate('told', _INSTRUCT)} AS asked,
+    CASE WHEN regexp_matches(whole, {k.q(_FIRST_UNINDENTED)})
+      THEN regexp_extract(whole, {k.q(_FIRST_UNINDENTED)}, 1)[:-2] ELSE whole END AS body FROM h)
 SELECT conv_id, turn, task, md5(CASE task
-  WHEN 'humaneval' THEN {k.strip('prompt')} || {k.truncate('body', fixed.STOPS['humaneval'])}
-  WHEN 'humaneval-unstripped' THEN prompt || {k.truncate('rest', fixed.STOPS['humaneval'])}
-  WHEN 'multiple-py' THEN {k.strip('prompt')} || {k.truncate('body', fixed.MULTI_STOPS)}
-  WHEN 'apps-interview' THEN {k.after('gen', chr(10) + 'ANSWER:')}
-  ELSE 'line' END) AS clean_md5 FROM x""")
+  {' '.join(f"WHEN {k.q(name)} THEN {sql}" for name, sql in _RUN_SQL.items())} END) AS clean_md5 FROM x""")
 def task_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completions of several tasks, each cleaned by its own spec."""
+    """Completions of every family, each made behind its own prompt and cleaned by its own spec."""
     names = F.array(*[F.lit(name) for name in _RUN])
-    turns = generations(spark, sf_dir, STATEMENTS).withColumn(
-        "task", F.get(names, (F.col("turn") % len(_RUN)).cast("int"))
+    turns = generations(spark, sf_dir, _TAIL).withColumnRenamed("text", "tail").withColumn(
+        "run", F.get(names, ((F.col("conv_id") * 7 + F.col("turn")) % len(_RUN)).cast("int"))
     )
     turns = on_items(turns, table(spark, sf_dir, "benchmark"))
-    bench = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.col("text").alias("prompt"),
-        F.array(*[F.lit(s) for s in fixed.MULTI_STOPS]).alias("stop_tokens"),
+
+    def constant(value) -> Column:
+        return F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    joined = turns.join(bench, "item_id").select(
+        *KEYS, "run", "tail", "text", F.col("text").alias("prompt"),
+        *[constant(value).alias(name) for name, value in _RUN_COLUMNS.items()],
     )
-    joined = turns.join(bench, "item_id").withColumn("text", F.concat(
-        "prompt", "text", F.lit(fixed.DOC_SUFFIX["other"] + " line\n")
-    ))
-    clean = F.lit(None).cast("string")
+    prompt, clean = F.lit("").cast("string"), F.lit(None).cast("string")
     for name in _RUN:
-        clean = F.when(F.col("task") == name, tasks.spec(name).clean(F.col("text"))).otherwise(clean)
-    return joined.select(*KEYS, "task", digest(clean).alias("clean_md5"))
+        task = tasks.spec(name, shots=_RUN_SHOTS)
+        if not name.endswith("-insertion"):  # its prompt is two texts around the answer
+            prompt = F.when(F.col("run") == name, task.prompt()).otherwise(prompt)
+        clean = F.when(F.col("run") == name, task.clean(F.col("made"))).otherwise(clean)
+    made = joined.withColumn("made", F.concat(prompt, "tail"))
+    return made.select(*KEYS, F.col("run").alias("task"), digest(clean).alias("clean_md5"))
 
 
 @query("""
