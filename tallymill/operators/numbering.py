@@ -1,16 +1,17 @@
 """Row numbers over a whole table or inside hot groups, without a global sort.
 
-Rows are cut into ranges of the order key, numbered inside each range, and
-shifted by the row counts of the ranges in front. No task ever holds more than
-one range of one group, so neither a global order nor a group with a third of
-all rows ends up in a single task.
+Rows are cut into ranges of the order key by one range-partitioned sort, whose
+partitions are written once; rows are numbered inside their range and shifted by
+the row counts of the ranges in front. No task ever holds more than one range of
+one group, so neither a global order nor a group with a third of all rows ends up
+in a single task. Limits of ranges are Spark's own samples; any limits give the
+same numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,50 +20,21 @@ from tallymill.operators.staging import staged
 RANGE = "__range"
 
 
-#: Rows that one range, and so one task, numbers at most.
-RANGE_ROWS = 1_000_000
+def _in_ranges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """The rows, written in ranges of ``keys``, with the number of their range."""
+    cut = df.repartitionByRange(*([] if ranges is None else [ranges]), *keys)
+    return staged(cut.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
-def range_splits(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
-    """Range limits of a numeric key, from approximate quantiles.
+def hot_keys(df: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame | None:
+    """The key groups with at least ``at_least`` rows, or none.
 
-    The limits steer the load only; any limits give the same row numbers. The
-    number of ranges follows the number of rows unless it is given, with at
-    least one range for each slot of the cluster.
-    """
-    if ranges is None:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        ranges = max(slots, -(-df.select(key).count() // RANGE_ROWS))
-    if ranges < 2:
-        return [float("-inf"), float("inf")]
-    probes = [step / ranges for step in range(1, ranges)]
-    cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
-        key, probes, 0.1 / ranges
-    )
-    return [float("-inf"), *sorted(set(cuts)), float("inf")]
-
-
-def with_range(df: DataFrame, key: str, splits: Sequence[float]) -> DataFrame:
-    """Add the range of the key; a JVM binary search over the limits."""
-    if len(splits) < 3:
-        return df.withColumn(RANGE, F.lit(0))
-    cutter = Bucketizer(splits=list(splits), inputCol="__key", outputCol=RANGE)
-    keyed = cutter.transform(df.withColumn("__key", F.col(key).cast("double")))
-    return keyed.withColumn(RANGE, F.col(RANGE).cast("int")).drop("__key")
-
-
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], at_least: int, most: int = 10_000
-) -> DataFrame | None:
-    """The largest key groups with at least ``at_least`` rows, or none.
-
-    One combining pass over the key columns. At most ``most`` groups come back,
-    whatever the data: any group left out holds under ``1 / most`` of the rows.
+    One combining pass over the key columns; the groups stay a table, which has
+    at most one row for each ``at_least`` rows of ``df``.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    top = sizes.where(F.col("__rows") >= at_least).orderBy(F.desc("__rows")).limit(most)
-    rows = top.select(*keys).collect()
-    return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
+    large = staged(sizes.where(F.col("__rows") >= at_least).select(*keys), "hot")
+    return None if large.isEmpty() else large
 
 
 def _ahead(totals: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -82,42 +54,36 @@ def number_rows(
     into: str,
     groups: Sequence[str] = (),
     ranges: int | None = None,
-    keys: DataFrame | None = None,
     hot: int = 1_000_000,
 ) -> DataFrame:
     """Number rows from 1 by a unique numeric key, optionally per group.
 
-    ``keys`` may be a cheaper table with the same key column for the limits.
     Groups under ``hot`` rows fit one task and are numbered as they are; only
-    hot groups, or a table without groups, are cut into ranges.
+    hot groups, or a table without groups, are cut into ranges. The numbers are
+    the same whatever ``hot`` and ``ranges`` are.
     """
     groups = list(groups)
-    if groups:
-        large = hot_keys(df, groups, hot)
-        if large is None:
-            order = Window.partitionBy(*groups).orderBy(key)
-            return df.withColumn(into, F.row_number().over(order).cast("long"))
-        marked = df.join(
-            F.broadcast(large.withColumn("__hot", F.lit(True))),
-            [df[g].eqNullSafe(large[g]) for g in groups], "left",
-        ).select(df["*"], "__hot")
-    else:
-        marked = df.withColumn("__hot", F.lit(True))
-    splits = range_splits(df if keys is None else keys, key, ranges)
-    cut = with_range(marked, key, splits).withColumn(
-        RANGE, F.when(F.col("__hot"), F.col(RANGE)).otherwise(0)
-    )
-    counts = cut.where("__hot").groupBy(*groups, RANGE).agg(F.count(F.lit(1)).alias("__rows"))
-    offsets = _ahead(counts, groups, "__rows")
-    inside = F.row_number().over(Window.partitionBy(*groups, RANGE).orderBy(key))
-    numbered = cut.withColumn("__inside", inside)
-    here, there = numbered.alias("n"), offsets.alias("o")
-    same = F.col(f"n.{RANGE}") == F.col(f"o.{RANGE}")
+    if not groups:
+        return number_sorted(df, [key], into=into, first=1, ranges=ranges)
+    large = hot_keys(df, groups, hot)
+    alone = F.row_number().over(Window.partitionBy(*groups).orderBy(key)).cast("long")
+    if large is None:
+        return df.withColumn(into, alone)
+    here, there = df.alias("n"), large.alias("h")
+    same = F.lit(True)
     for group in groups:
-        same = same & F.col(f"n.{group}").eqNullSafe(F.col(f"o.{group}"))
-    place = F.col("__inside") + F.coalesce(F.col("o.__ahead"), F.lit(0))
-    return here.join(there, same, "left").select(
-        *[F.col(f"n.{c}") for c in df.columns], place.alias(into)
+        same = same & F.col(f"n.{group}").eqNullSafe(F.col(f"h.{group}"))
+    usual = here.join(there, same, "left_anti").withColumn(into, alone)
+    spread = _in_ranges(here.join(there, same, "left_semi"), [*groups, key], ranges)
+    counts = spread.groupBy(*groups, RANGE).agg(F.count(F.lit(1)).alias("__rows"))
+    # Ranges follow the groups, so only one group of a range goes on from the one in front.
+    offsets = _ahead(counts, groups, "__rows").where("__ahead > 0")
+    inside = F.row_number().over(Window.partitionBy(*groups, RANGE).orderBy(key))
+    here, there = spread.withColumn("__inside", inside).alias("n"), offsets.alias("h")
+    shifted = here.join(there, same & (F.col(f"n.{RANGE}") == F.col(f"h.{RANGE}")), "left")
+    place = F.col("__inside") + F.coalesce(F.col("h.__ahead"), F.lit(0))
+    return usual.unionByName(
+        shifted.select(*[F.col(f"n.{c}") for c in df.columns], place.cast("long").alias(into))
     )
 
 
@@ -125,7 +91,7 @@ def running_total(
     df: DataFrame, key: str, value: str, *, into: str, ranges: int | None = None
 ) -> DataFrame:
     """Sum of ``value`` over the rows in front, by a unique numeric key."""
-    cut = with_range(df, key, range_splits(df, key, ranges))
+    cut = _in_ranges(df, [key], ranges)
     totals = cut.groupBy(RANGE).agg(F.sum(value).alias("__total"))
     offsets = _ahead(totals, [], "__total")
     front = (
@@ -137,14 +103,16 @@ def running_total(
     ).drop(RANGE, "__inside", "__ahead")
 
 
-def number_sorted(df: DataFrame, keys: Sequence[str], *, into: str, first: int = 0) -> DataFrame:
+def number_sorted(df: DataFrame, keys: Sequence[str], *, into: str, first: int = 0,
+                  ranges: int | None = None) -> DataFrame:
     """Number rows in the order of ``keys``, of any type, from ``first`` on.
 
     One range-partitioned sort: rows are numbered inside their partition as it is
     written, and partitions are shifted by the counts of those in front. Rows
     with equal keys lie in one partition, so keys should be (nearly) unique.
     """
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    cut = df.repartitionByRange(*([] if ranges is None else [ranges]), *keys)
+    ordered = cut.sortWithinPartitions(*keys)
     # The partition's number in the high bits, the place in it in the low 33.
     held = staged(ordered.withColumn("__place", F.monotonically_increasing_id()), "sorted")
     held = held.withColumn(RANGE, F.shiftright("__place", 33))

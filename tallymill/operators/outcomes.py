@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallymill import fixed
 from tallymill.functions import text as t
-from tallymill.operators.numbering import hot_keys
 
 # Status rules by evaluator, read left to right; the first rule
 # that holds names the status. "build" rules see the build phase only.
@@ -148,26 +147,18 @@ def distinct_programs(rows: DataFrame, program: str, language: str) -> DataFrame
 
 def share_results(
     rows: DataFrame, results: DataFrame, program: str, language: str,
-    row_key: str, spread: int = 16, hot: int = 100_000,
+    row_key: str, spread: int = 16,
 ) -> DataFrame:
     """Give every row the result of its program.
 
-    ``results`` has one row per language and ``program_md5``. Programs used by
-    at least ``hot`` rows are salted: their rows are spread by row key and their
-    single result is copied once per salt, so no program fills one task.
+    ``results`` has one row per language and ``program_md5``. Rows are salted by
+    their key, and a result is copied once for each salt that its rows have, so no
+    program fills one task and a program that is used once has one copy.
     """
     on = [language, "program_md5"]
-    keyed = rows.withColumn("program_md5", F.md5(F.col(program).cast("binary")))
-    large = hot_keys(keyed, on, hot)
-    if large is None:
-        return keyed.join(results, on, "left")
-    marks = F.broadcast(large.withColumn("__hot", F.lit(True)))
-    salts = F.when(F.col("__hot"), F.lit(spread)).otherwise(F.lit(1))
-    copies = results.join(marks, on, "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    ).drop("__hot")
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(row_key), F.lit(spread))).otherwise(0)
-    salted = keyed.join(marks, on, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    salted = rows.withColumn("program_md5", F.md5(F.col(program).cast("binary"))).withColumn(
+        "__salt", F.pmod(F.xxhash64(row_key), F.lit(spread)).cast("int"))
+    copies = salted.select(*on, "__salt").distinct().join(results, on)
     return salted.join(copies, [*on, "__salt"], "left").drop("__salt")
 
 

@@ -24,7 +24,6 @@ def pack_blocks(
     end_id: int,
     batch_rows: int = 1000,
     ranges: int | None = None,
-    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Cut batches of consecutive rows into blocks of token ids.
 
@@ -32,22 +31,21 @@ def pack_blocks(
     kept only if it ends before the batch does, so the tail and an exactly full
     last block are dropped.
 
-    Rows travel once, to their batch: a batch has at most ``batch_rows`` rows,
-    offsets and blocks are worked out where the batch lies, and whole slices of
-    ids are moved instead of single tokens.
+    Only keys and ids travel, to their place in the order and then to their
+    batch: it has at most ``batch_rows`` rows, offsets and blocks are worked out
+    where it lies, and whole slices of ids are moved instead of single tokens.
     """
-    numbered = number_rows(df, key, into="__row", ranges=ranges, keys=keys)
-    staged = numbered.select(
-        F.floor((F.col("__row") - 1) / batch_rows).cast("long").alias("batch"),
-        F.col("__row"),
-        F.concat(ids, F.array(F.lit(end_id).cast("int"))).alias("ids"),
+    ended = F.concat(ids, F.array(F.lit(end_id).cast("int"))).alias("ids")
+    numbered = number_rows(df.select(key, ended), key, into="__row", ranges=ranges)
+    rows = numbered.select(
+        F.floor((F.col("__row") - 1) / batch_rows).cast("long").alias("batch"), "__row", "ids"
     )
     front = (
         Window.partitionBy("batch").orderBy("__row")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     size = F.size("ids").cast("long")
-    placed = staged.withColumn(
+    placed = rows.withColumn(
         "begin", F.coalesce(F.sum(size).over(front), F.lit(0))
     ).withColumn(
         "total", F.sum(size).over(Window.partitionBy("batch"))

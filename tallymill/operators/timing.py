@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,17 +38,18 @@ def percentile(df: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
         F.count(F.lit(1)).alias("uses")
     )
-    rows = counted.agg(F.sum("uses")).first()[0] or 0
-    place = (rows - 1) * share
-    low, high = math.floor(place), math.ceil(place)
     ranked = running_total(counted, "v", "uses", into="ahead")
+    place = (ranked.agg(F.sum("uses")).scalar() - 1) * F.lit(share)
 
-    def at(rank: int) -> Column:
+    def at(rank: Column) -> Column:
         inside = (F.col("ahead") <= rank) & (F.col("ahead") + F.col("uses") > rank)
         return F.max(F.when(inside, F.col("v")))
 
-    ends = ranked.agg(at(low).alias("a"), at(high).alias("b"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.lit(place - low)
+    ends = ranked.withColumn("place", place).agg(
+        at(F.floor("place")).alias("a"), at(F.ceil("place")).alias("b"),
+        F.max(F.col("place") - F.floor("place")).alias("part"),
+    )
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
     return ends.select(value.alias(f"p{round(share * 100)}"))
 
 

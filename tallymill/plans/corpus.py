@@ -505,6 +505,6 @@ SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_no,
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     overall = number_rows(docs, "doc_id", into="row_no")
-    return number_rows(overall, "doc_id", into="lang_row", groups=["lang"], keys=docs, hot=100).select(
+    return number_rows(overall, "doc_id", into="lang_row", groups=["lang"], hot=100).select(
         "doc_id", "row_no", "lang_row"
     )

@@ -137,7 +137,7 @@ def dedup_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = once.select("language", "program_md5", F.when(
         F.substring("program_md5", 1, 1) < "8", "OK"
     ).otherwise("Exception").alias("status"))
-    shared = o.share_results(rows, run, "program", "language", "event_id", hot=500)
+    shared = o.share_results(rows, run, "program", "language", "event_id")
     return shared.select("event_id", "language", "program_md5", "status")
 
 

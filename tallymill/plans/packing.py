@@ -62,7 +62,7 @@ def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = dictionary.encode(kept, "doc_id", {"ids": words}, dictionary.vocabulary(kept, words, FIRST_ID))
     blocks = packing.pack_blocks(
         encoded, "doc_id", F.col("ids"),
-        seq_length=SEQ, end_id=END, batch_rows=BATCH, keys=files.select("doc_id"),
+        seq_length=SEQ, end_id=END, batch_rows=BATCH,
     )
     return blocks.select(
         "batch", "block", F.size("input_ids").cast("long").alias("n_ids"),

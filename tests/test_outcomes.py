@@ -66,8 +66,8 @@ def test_captured(spark):
     assert got == ["a b", "", "x" * 2048]
 
 
-@pytest.mark.parametrize("hot", [1, 10, 10**9])
-def test_share_results_with_a_hot_program(spark, hot):
+@pytest.mark.parametrize("salts", [1, 10, 64])
+def test_share_results_with_a_hot_program(spark, salts):
     rows = spark.range(3000).select(
         "id", F.lit("py").alias("lang"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string"))).alias("program"),
@@ -75,7 +75,7 @@ def test_share_results_with_a_hot_program(spark, hot):
     once = o.distinct_programs(rows, "program", "lang")
     assert once.count() == 51
     run = once.select("lang", "program_md5", F.upper("program").alias("out"))
-    got = o.share_results(rows, run, "program", "lang", "id", hot=hot)
+    got = o.share_results(rows, run, "program", "lang", "id", spread=salts)
     assert got.count() == 3000
     assert got.where(F.col("out") != F.upper("program")).count() == 0
     assert got.where(F.col("out").isNull()).count() == 0
