@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.components import components
+from tallymill.llm.components import components, spread_join, with_least
 from tallymill.llm.shared import bits_of, small_batches, written
 
 SEGMENTS, WIDTH = 8, 8
+KEY = ("k", "part")
 
 
 def _mask(segments) -> int:
@@ -78,31 +79,85 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
     return of(text)
 
 
+def _entries(nodes: DataFrame) -> DataFrame:
+    """Each fingerprint under its 24 keys: (fp, k, part)."""
+    return nodes.select("fp", F.posexplode(F.array(
+        *(F.col("fp").bitwiseAND(F.lit(bits_of(mask))) for _, mask in keys()))).alias("k", "part"))
+
+
+def _in_budget(x: Column, start: int, most: int) -> Column:
+    """Whether differing bits `x` stay within the budget of each run of segments from `start`."""
+    chain = [F.bit_count(x.bitwiseAND(F.lit(bits_of(m)))) <= n for m, n in runs(start, most) if n]
+    return reduce(lambda p, q: p & q, chain, F.lit(True))
+
+
+def _near(x: Column, k: Column, most: int) -> Column:
+    """Whether two fingerprints that share key `k` and differ in `x` link there: chain, then all bits."""
+    starts = [start for start, _ in keys()]
+    chain = F.when(F.lit(False), F.lit(False))
+    for start in sorted(set(starts)):
+        chain = chain.when(k.isin([i for i, s in enumerate(starts) if s == start]), _in_budget(x, start, most))
+    return chain & (F.bit_count(x) <= most)
+
+
+def _near_anywhere(x: Column, most: int) -> Column:
+    """Whether two fingerprints that differ in `x` link at all: a chain from some segment, then all bits."""
+    return reduce(lambda p, q: p | q, (_in_budget(x, i, most) for i in range(SEGMENTS))) & (F.bit_count(x) <= most)
+
+
+def _checked(most: int) -> None:
+    if not 0 <= most <= 3:
+        raise ValueError("the keys are made for at most three differing bits")
+
+
 def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     """(u, v) with u < v of all fingerprints (column `fp`, distinct) at most `most` bits apart.
 
     Each link comes from the first key on which it can be found, so it is emitted once. `most` must
-    not be above 3, for which the keys are made.
+    not be above 3, for which the keys are made. All pairs of a group of near copies are listed; for
+    groups alone `spanning_links` are enough.
     """
-    if not 0 <= most <= 3:
-        raise ValueError("the keys are made for at most three differing bits")
-    places = keys()
-    entries = nodes.select("fp", F.posexplode(F.array(
-        *(F.col("fp").bitwiseAND(F.lit(bits_of(mask))) for _, mask in places))).alias("k", "part"))
+    _checked(most)
+    entries = _entries(nodes)
     a, b = entries.alias("a"), entries.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
 
-    def found_at(k: int) -> Column:
-        start, mask = places[k]
-        chain = [F.bit_count(x.bitwiseAND(F.lit(bits_of(m)))) <= n for m, n in runs(start, most) if n]
-        return reduce(lambda p, q: p & q, chain, x.bitwiseAND(F.lit(bits_of(mask))) == 0)
+    def found_at(start: int, mask: int) -> Column:
+        return (x.bitwiseAND(F.lit(bits_of(mask))) == 0) & _in_budget(x, start, most)
 
-    first = F.coalesce(*(F.when(found_at(k), F.lit(k)) for k in range(len(places))))
+    first = F.coalesce(*(F.when(found_at(*place), F.lit(k)) for k, place in enumerate(keys())))
     near = ((F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part"))
             & (F.col("a.fp") < F.col("b.fp")) & (first == F.col("a.k")) & (F.bit_count(x) <= most))
     return a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
+def spanning_links(nodes: DataFrame, most: int = 3) -> DataFrame:
+    """Links (u, v), u < v, with the same components as all `links`; some may repeat.
+
+    Fingerprints that share a key are first held against the least of them, by a chain from any
+    segment: one link each. Of the components that these make, only a key's commonest one is not
+    compared within itself; every other fingerprint is held against all of its key that are not in
+    its component yet. So n near copies of one text give about n links in place of n * n / 2, and
+    no link between two components is left out.
+    """
+    _checked(most)
+    held = written(with_least(_entries(nodes), KEY, "fp").filter("members > 1").drop("members"), "keys")
+    near = _near_anywhere(F.col("fp").bitwiseXOR(F.col("least")), most)
+    centred = held.filter(near & F.expr("fp <> least")).select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    roots = components(centred).withColumnRenamed("node", "fp")
+    rooted = held.drop("least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    main = rooted.groupBy(*KEY, "root").agg(F.count("*").alias("n")).groupBy(*KEY).agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    mixed = spread_join(rooted, main.filter("roots > 1").drop("roots"), KEY, "fp")
+    a, b = mixed.filter("root <> main").alias("a"), mixed.alias("b")
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
+    other = ((F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part")) & once
+             & (F.col("a.root") != F.col("b.root"))
+             & _near(F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.col("a.k"), most))
+    rest = a.join(b, other).select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v"))
+    return centred.unionByName(rest)
+
+
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3,
                     most: int = 3) -> DataFrame:
     """One row per row of `df`: doc_id, fingerprint (16 hex digits), component_id.
@@ -110,16 +165,17 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", shin
     component_id is the least id that links reach, the row's own included. Texts without words have
     fingerprint zero and link like any other, null texts among them. Rows with a null id take part;
     their component's least id is taken over the ids that are not null (null if there are none).
-    Equal fingerprints are one node, so copies make no pairs. An empty table gives no rows; other
+    Equal fingerprints are one node, so copies make no pairs; near copies of one text are linked
+    through one of them. Very long texts are hashed in pieces. An empty table gives no rows; other
     columns play no part.
     """
     small_batches(df.sparkSession)
     marked = written(df.select(F.col(doc).cast("long").alias("doc_id"),
                                fingerprints(F.col(text).cast("string"), shingle).alias("fp")), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), most)).withColumnRenamed("node", "fp")
+    roots = components(spanning_links(nodes.select("fp"), most)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    named = with_least(rooted.withColumnRenamed("least", "id"), ["root"], "id").select(
+        "fp", F.col("least").alias("component_id"))
+    return spread_join(marked, named, ["fp"], "doc_id").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -60,6 +60,41 @@ def test_links_are_all_found_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_spanning_links_have_the_components_of_all_links(spark):
+    draw = random.Random(8)
+    base = [draw.getrandbits(64) for _ in range(25)]
+    fps = {x ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 5))) for x in base for _ in range(20)}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for most in (3, 2, 0):
+        want = [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= most]
+        got = [(r.u, r.v) for r in simhash.spanning_links(nodes, most).collect()]
+        assert set(got) <= set(want) and roots_of(signed, got) == roots_of(signed, want)
+
+
+def test_near_copies_of_one_text_are_not_paired_with_each_other(spark):
+    """A fingerprint and all that differ from it in a bit (two bits): their pairs share bits, but go through few."""
+    centre = 0x5A5A5A5A5A5A5A5A
+    one = [centre] + [centre ^ 1 << i for i in range(63)]
+    two = one + [centre ^ 1 << i ^ 1 << j for i in range(63) for j in range(i)]
+    for signed, share in ((one, 0.4), (two, 0.2)):
+        nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+        got = {(r.u, r.v) for r in simhash.spanning_links(nodes).collect()}
+        assert set(roots_of(signed, got).values()) == {min(signed)}
+        pairs = sum((a ^ b).bit_count() <= 3 for a, b in itertools.combinations(signed, 2))
+        assert len(got) <= share * pairs, (len(got), pairs)
+
+
+def test_groups_are_met_in_parts(spark):
+    rows = spark.range(500).selectExpr("IF(id < 400, 0, id) AS g", "1000 - id AS x").unionByName(
+        spark.createDataFrame([(7_000, None)], "g long, x long"))
+    got = {(r.g, r.x): (r.least, r.members) for r in components.with_least(rows, ["g"], "x").collect()}
+    assert len(got) == 501 and got[0, 1000] == (601, 400) and got[450, 550] == (550, 1) and got[7_000, None] == (None, 1)
+    one = spark.createDataFrame([(0, "a"), (450, "b"), (9, "c")], "g long, name string")
+    met = components.spread_join(rows, one, ["g"], "x").groupBy("name").count().collect()
+    assert {r.name: r["count"] for r in met} == {"a": 400, "b": 1}
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     parts = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
