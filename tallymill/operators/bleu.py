@@ -1,8 +1,8 @@
 """Sentence and corpus BLEU over long n-gram tables.
 
-N-grams are rows ``(id, order, ngram)``; candidate and reference counts sit in
-the same rows, so clipping needs no join. A text bounds its own n-grams, and
-equal n-grams of a text are combined before they are shuffled.
+A pair of one candidate and one reference is matched inside its row. With several
+references, n-grams are rows ``(id, order, ngram)``; equal n-grams of a text are
+combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -77,49 +77,47 @@ def ngram_counts(df: DataFrame, keys: Sequence[str], words: Column) -> DataFrame
     )
 
 
-def clipped_counts(
-    pairs: DataFrame, keys: Sequence[str], placed: bool = False
-) -> DataFrame:
-    """Lengths and clipped matches of every pair, one row per key.
+def clipped_matches(candidate: Column, reference: Column, order: int) -> Column:
+    """How many n-grams of one order both texts hold, each as often as the text with fewer of it.
 
-    ``pairs`` holds word arrays ``candidate`` and ``reference``, one row per
-    key. The words move once, to their key; the n-grams are counted where they
-    lie, because the partitioning by key serves both groupings below. With
-    ``placed`` the rows already lie there (a join on the keys leaves them so)
-    and do not move at all.
+    The n-grams of both are sorted together, the candidate's in front among equal ones, and
+    passed once: the reference's use up what is left of the candidate's.
     """
 
-    def side(words: str, candidate: int, reference: int) -> Column:
+    def side(words: Column, number: int) -> Column:
         return F.transform(
-            all_ngrams(F.col(words)),
-            lambda g: F.struct(
-                g["order"].alias("order"), g["ngram"].alias("ngram"),
-                F.lit(candidate).alias("c"), F.lit(reference).alias("r"),
-            ),
+            ngrams(words, order), lambda g: F.struct(g.alias("g"), F.lit(number).alias("side"))
         )
 
-    if not placed:
-        # A fixed width: small texts would be merged into one task before they
-        # grow into n-grams.
-        width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = pairs.select(*keys, "candidate", "reference").repartition(width, *keys)
-    group = [*keys, "length", "reference_length"]
-    rows = pairs.select(
-        *keys,
-        F.size("candidate").alias("length"),
-        F.size("reference").alias("reference_length"),
-        F.explode_outer(
-            F.concat(side("candidate", 1, 0), side("reference", 0, 1))
-        ).alias("g"),
-    ).select(*group, "g.*")
-    counts = rows.groupBy(*group, "order", "ngram").agg(
-        F.sum("c").alias("c"), F.sum("r").alias("r")
-    )
-    match = F.least("c", "r")
-    return counts.groupBy(*group).agg(*[
-        F.coalesce(F.sum(F.when(F.col("order") == k, match)), F.lit(0)).alias(f"m{k}")
-        for k in range(1, ORDERS + 1)
-    ])
+    def step(seen: Column, x: Column) -> Column:
+        same, own = x["g"] == seen["g"], x["side"] == 0
+        met = same & ~own & (seen["left"] > 0)
+        left = F.when(own, F.when(same, seen["left"]).otherwise(0) + 1)
+        return F.struct(
+            x["g"].alias("g"), left.when(met, seen["left"] - 1).otherwise(0).alias("left"),
+            (seen["m"] + F.when(met, 1).otherwise(0)).alias("m"),
+        )
+
+    none = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("m"))
+    both = F.sort_array(F.concat(side(candidate, 0), side(reference, 1)))
+    return F.coalesce(F.aggregate(both, none, step, lambda seen: seen["m"]), F.lit(0)).cast("long")
+
+
+def clipped_counts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lengths and clipped matches of every pair, one row per key.
+
+    ``pairs`` holds word arrays ``candidate`` and ``reference``, one row per
+    key. N-grams are matched inside the row, so nothing moves and a task holds
+    the n-grams of one pair at a time.
+    """
+    words = F.struct("candidate", "reference")
+    matches = t.let(words, lambda w: F.struct(*[
+        clipped_matches(w["candidate"], w["reference"], k).alias(f"m{k}") for k in range(1, ORDERS + 1)
+    ]))
+    return pairs.select(
+        *keys, F.size("candidate").alias("length"), F.size("reference").alias("reference_length"),
+        matches.alias("m"),
+    ).select(*keys, "length", "reference_length", "m.*")
 
 
 def sentence_score(matches: Sequence[Column], length: Column, reference: Column) -> Column:
@@ -139,9 +137,9 @@ def _scored(counts: DataFrame, *keep: str) -> DataFrame:
     return counts.select(*keep, score.alias("bleu"))
 
 
-def sentence_bleu(pairs: DataFrame, keys: Sequence[str], placed: bool = False) -> DataFrame:
+def sentence_bleu(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """BLEU per key for word arrays ``candidate`` and ``reference``."""
-    return _scored(clipped_counts(pairs, keys, placed), *keys)
+    return _scored(clipped_counts(pairs, keys), *keys)
 
 
 def mean_bleu(scores: DataFrame) -> DataFrame:
@@ -210,9 +208,9 @@ def multi_reference_bleu(
     )
 
 
-def corpus_bleu(pairs: DataFrame, keys: Sequence[str], placed: bool = False) -> DataFrame:
+def corpus_bleu(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smoothed corpus BLEU: counts summed over all pairs before the ratio."""
-    counts = clipped_counts(pairs, keys, placed)
+    counts = clipped_counts(pairs, keys)
     orders = range(1, ORDERS + 1)
     total = counts.agg(
         F.sum("length").alias("length"),

@@ -366,13 +366,13 @@ s AS (SELECT conv_id, turn, len(c) AS len_c, len(r) AS len_r, m1, m2, m3, m4 FRO
 
 @query(SENTENCES_SQL + f"SELECT conv_id, turn, round({_score_sql('')}, 9) AS bleu FROM s")
 def bleu_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), PAIR, placed=True)
+    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), PAIR)
     return scores.withColumn("bleu", F.round("bleu", 9))
 
 
 @query(SENTENCES_SQL + f"SELECT count(*) AS pairs, round(avg({_score_sql('')}) * 100, 8) AS bleu FROM s")
 def bleu_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), PAIR, placed=True)
+    scores = bleu.sentence_bleu(answer_pairs(spark, sf_dir), PAIR)
     return bleu.mean_bleu(scores).withColumn("bleu", F.round("bleu", 8))
 
 
@@ -384,7 +384,7 @@ FROM (SELECT sum(len_c) AS c, sum(len_r) AS r, sum(m1) AS m1, sum(m2) AS m2, sum
   sum(len_c) AS g1, sum(greatest(len_c - 1, 0)) AS g2, sum(greatest(len_c - 2, 0)) AS g3,
   sum(greatest(len_c - 3, 0)) AS g4 FROM s)""")
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = bleu.corpus_bleu(answer_pairs(spark, sf_dir), PAIR, placed=True)
+    score = bleu.corpus_bleu(answer_pairs(spark, sf_dir), PAIR)
     return score.withColumn("bleu", F.round("bleu", 9))
 
 

@@ -164,6 +164,17 @@ def test_sentence_bleu(spark):
         assert got[i] == pytest.approx(plain_score(c, plain_counts(r), len(r)), rel=1e-9), i
 
 
+def test_pairs_are_matched_inside_their_rows(spark):
+    df = spark.createDataFrame(
+        [(0, "a a a b".split(), "a a c".split()), (1, None, ["a"]), (2, [], [])],
+        "id long, candidate array<string>, reference array<string>")
+    counts = bleu.clipped_counts(df, ["id"])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert not [node for node in ("Aggregate", "Exchange", "Generate") if node in plan]
+    got = {r["id"]: [r[f"m{k}"] for k in range(1, 5)] for r in counts.collect()}
+    assert got == {0: [2, 1, 0, 0], 1: [0] * 4, 2: [0] * 4}
+
+
 def test_bleu_of_a_text_with_itself(spark):
     words = "the cat sat on the mat".split()
     df = spark.createDataFrame([(0, words, words)], "id long, candidate array<string>, reference array<string>")
