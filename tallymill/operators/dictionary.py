@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.numbering import number_sorted
+from tallymill.operators.staging import staged
 
 #: Most frequent tokens that are sent to every task; all others meet their ids in a shuffle.
 HEAD = 4_096
-#: Tokens of a text that are put back in order together.
+#: Rows at most that share a dictionary of their tokens.
 SLICE = 1_024
 
 
@@ -26,21 +29,57 @@ def vocabulary(df: DataFrame, tokens: Column, first: int = 0) -> DataFrame:
     return number_sorted(uses, ["token"], into="id", first=first)
 
 
+def _by_slices(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Slices of rows, written once: ``(__slice, __key, names)`` with tokens as places in the
+    slice's dictionary, which is a row of its own, ``(__slice, __tokens)``."""
+    kind, size = rows.schema["__key"].dataType.simpleString(), SLICE
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                lists = [part.column(name) for name in names]
+                # Null lists hold nothing, so the lists' tokens follow one another.
+                flat = pa.chunked_array([x.flatten().cast(pa.string()) for x in lists], pa.string()).combine_chunks()
+                coded = flat.dictionary_encode("encode")
+                codes, begin, out = coded.indices, 0, []
+                for x in lists:
+                    lengths = [0 if n is None else n for n in x.value_lengths().to_pylist()]
+                    offsets = [0]
+                    for n in lengths:
+                        offsets.append(offsets[-1] + n)
+                    own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), codes.slice(begin, offsets[-1]))
+                    none = pa.array([not v for v in x.is_valid().to_pylist()], pa.bool_())
+                    out.append(pa.ListArray.from_arrays(own.offsets, own.values, mask=none))
+                    begin += offsets[-1]
+                n, text = part.num_rows, pa.list_(pa.string())
+                fields = ["__slice", "__key", *names, "__tokens"]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * n, pa.int64()), part.column("__key"), *out, pa.nulls(n, text)], fields)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.nulls(1, part.column("__key").type),
+                     *(pa.nulls(1, x.type) for x in out),
+                     pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)], fields)
+                number += 1
+
+    lists = ", ".join(f"`{name}` array<int>" for name in names)
+    return staged(rows.mapInArrow(sliced, f"__slice long, __key {kind}, {lists}, __tokens array<string>"), "slices")
+
+
 def encode(df: DataFrame, key: str, arrays: Mapping[str, Column], vocabulary: DataFrame,
            unknown: int | None = None) -> DataFrame:
     """``key`` and, for each name in ``arrays``, the ids of its tokens in order.
 
-    ``key`` must be unlike in all rows and not null. The ids of the most frequent tokens are
-    sent out, so the uses of a hot token never meet in one task; the rest is joined by token.
-    A text is put back in slices, then whole. A token that is not in ``vocabulary`` counts as
-    ``unknown``, or raises an error if that is None; a null array stays null.
+    ``key`` must be unlike in all rows and not null. Slices of rows keep a dictionary of their
+    tokens; only its tokens travel, once a slice, to meet their ids, those of the most frequent
+    tokens being sent out. A token that is not in ``vocabulary`` counts as ``unknown``, or raises
+    an error if that is None; a null array stays null.
     """
     names = list(arrays)
-    rows = df.select(F.col(key).alias("__key"), *(tokens.alias(name) for name, tokens in arrays.items()))
-    sides = F.explode(F.array(*(
-        F.struct(F.lit(i).alias("side"), F.col(name).alias("tokens")) for i, name in enumerate(names))))
-    uses = rows.select("__key", sides.alias("s")).select(
-        "__key", "s.side", F.posexplode("s.tokens").alias("pos", "token"))
+    held = _by_slices(df.select(F.col(key).alias("__key"), *(
+        tokens.alias(name) for name, tokens in arrays.items())), names)
+    uses = held.where("__tokens IS NOT NULL").select("__slice", F.posexplode("__tokens").alias("pos", "token"))
     head = F.broadcast(vocabulary.orderBy(F.desc("uses"), "token").limit(HEAD).select("token", "id"))
     met = uses.join(head, "token", "left")
     tail = met.where("id IS NULL").drop("id").join(vocabulary.select("token", "id"), "token", "left")
@@ -48,19 +87,11 @@ def encode(df: DataFrame, key: str, arrays: Mapping[str, Column], vocabulary: Da
         other = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.coalesce("token", F.lit("null")))).cast("long")
     else:
         other = F.lit(unknown).cast("long")
-    columns = ("__key", "side", "pos", "id")
+    columns = ("__slice", "pos", "id")
     placed = met.where("id IS NOT NULL").select(*columns).unionByName(
         tail.withColumn("id", F.coalesce("id", other)).select(*columns))
-    slices = placed.groupBy("__key", "side", F.floor(F.col("pos") / SLICE).alias("slice")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("int").alias("id")))).alias("part"))
-
-    def joined(side: int) -> Column:
-        own = F.when(F.col("side") == side, F.struct("slice", F.col("part")["id"].alias("ids")))
-        return F.flatten(F.array_sort(F.collect_list(own))["ids"])
-
-    whole = slices.groupBy("__key").agg(*(joined(i).alias(f"__{name}") for i, name in enumerate(names)))
-    # A text without tokens has no rows of its own.
-    empty = F.array().cast("array<int>")
-    return rows.select("__key", *(F.col(name).isNotNull().alias(name) for name in names)).join(
-        whole, "__key", "left").select(
-        F.col("__key").alias(key), *(F.when(F.col(name), F.coalesce(f"__{name}", empty)).alias(name) for name in names))
+    known = placed.groupBy("__slice").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("int").alias("id"))))["id"].alias("__ids"))
+    rows = held.where("__tokens IS NULL").drop("__tokens").join(known, "__slice", "left")
+    return rows.select(F.col("__key").alias(key), *(
+        F.transform(name, lambda at: F.get("__ids", at)).alias(name) for name in names))

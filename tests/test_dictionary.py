@@ -25,6 +25,16 @@ def test_ids_are_positions_in_the_vocabulary(spark, monkeypatch, head):
     assert got == {i: ([ids[x] for x in a], None if b is None else [ids[x] for x in b]) for i, a, b in rows}
 
 
+def test_a_slice_sends_each_token_once(spark, monkeypatch):
+    frames, staged = {}, dictionary.staged
+    monkeypatch.setattr(dictionary, "staged", lambda df, name: frames.setdefault(name, staged(df, name)))
+    df = spark.range(64).coalesce(1).select("id", F.array_repeat(F.concat(F.lit("w"), F.col("id") % 5), 300).alias("ids"))
+    known = dictionary.vocabulary(df, F.col("ids"))
+    got = dictionary.encode(df, "id", {"ids": F.col("ids"), "slice": F.array(F.lit("w0"))}, known).collect()
+    assert all(r["ids"] == [r["id"] % 5] * 300 and r["slice"] == [0] for r in got) and len(got) == 64
+    assert [len(r[0]) for r in frames["slices"].where("__tokens IS NOT NULL").select("__tokens").collect()] == [5]
+
+
 def test_unknown_tokens(spark):
     df = spark.createDataFrame([(1, ["a", "z", "b"])], "id long, t array<string>")
     known = dictionary.vocabulary(spark.createDataFrame([(["b", "a", "b"],)], "t array<string>"), F.col("t"))
