@@ -7,8 +7,9 @@ parity sketch (its differing bits cannot exceed the words that differ) prune; wh
 verified on the words themselves. A line goes if an earlier line matches it.
 
 Near copies of one line would match each other in numbers that grow with the square of the group.
-So within a prefix word each line is first held against the earliest line of the group; only lines
-that this leaves open are held against the others, in a second round where the first fails.
+So within a prefix word each line is first held against the group's earliest line and the one in front
+of it. Of those that match neither, a semi join finds the ones that may match another line in front; these
+few are held against all lines in front, by a sketch of 1,024 bits before the words.
 """
 
 from __future__ import annotations
@@ -105,15 +106,14 @@ def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
         "b1", F.col("b1").bitwiseXOR(F.col("b2")))
 
 
-def _entries(classes: DataFrame, *more: str) -> DataFrame:
+def _entries(classes: DataFrame) -> DataFrame:
     """One row per class and prefix word: t at place i of the class's n words."""
-    entries = classes.select(*PLACE, "n", "b1", "b2", *more, F.posexplode("prefix").alias("i", "t"))
+    entries = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("i", "t"))
     # Both counts in one number: these rows are most of what is moved. None of the values is null;
     # said so, all uses of these rows have one plan and share one exchange.
     counts = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
     values = {"t": F.col("t"), **{c: F.col(c) for c in PLACE}, "ni": counts, "b1": F.col("b1"), "b2": F.col("b2")}
-    return entries.select(*(F.coalesce(v, F.lit(0).cast("int" if c == "ln" else "long")).alias(c)
-                            for c, v in values.items()), *more)
+    return entries.select(*(F.coalesce(v, F.lit(0).cast("int" if c == "ln" else "long")).alias(c) for c, v in values.items()))
 
 
 def _sized(entries: DataFrame) -> DataFrame:
@@ -121,54 +121,112 @@ def _sized(entries: DataFrame) -> DataFrame:
     return entries.withColumn("n", F.shiftright("ni", 32)).withColumn("i", F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def _octave(n: Column) -> Column:
+    """Eighth octaves of a number of words: a line's matches lie in a few of them."""
+    return F.floor(8 * F.log2(n)).cast("long")
+
+
+def _overlap(x, y, threshold: float) -> Column:
+    """Words that two lines must share to match."""
+    return F.ceil((x("n") + y("n")) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def _spare(x, y, threshold: float) -> Column:
+    """Words that may be in only one of two lines that match."""
+    return x("n") + y("n") - 2 * _overlap(x, y, threshold)
+
+
 def _near(x, y, threshold: float) -> Column:
     """Length, position and sketch allow that two entries' lines match."""
-    both = x("n") + y("n")
-    overlap = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
     rest = F.least(x("i"), y("i")) + F.least(x("n") - x("i"), y("n") - y("i"))
     differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
     return ((F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * threshold - 1e-9)
-            & (rest >= overlap) & (differ <= both - 2 * overlap))
+            & (rest >= _overlap(x, y, threshold)) & (differ <= _spare(x, y, threshold)))
 
 
 def _earlier(x, y) -> Column:
     return reduce(lambda after, c: (x(c) < y(c)) | ((x(c) == y(c)) & after), reversed(PLACE), F.lit(False))
 
 
-def _pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (y, x) of places that may match, and whether y was spared others for x's sake.
+def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (y, x) of places that may match, at most two for a line and word, and as (y, null) the lines
+    that may match one further inside a group.
 
-    Words are dealt out once. A group passes by in order of place, never held as a whole: each line
-    sees the group's first. Lines that don't match it are joined to those between.
+    Words are dealt out once. A group passes by in order of place, never held as a whole: each line sees
+    the group's first and the one in front of it. Lines that may match neither are asked, by a semi join
+    that stops at the first hit, whether any line in front of them may.
     """
     order = Window.partitionBy("t").orderBy(*PLACE)
     fields = [*PLACE, "n", "i", "b1", "b2"]
-    ranked = _sized(entries.repartition("t")).withColumn("rank", F.row_number().over(order)).withColumn(
-        "x", F.first(F.struct(*fields)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    x, y = (lambda c: F.col("x")[c]), (lambda c: F.col(c))
+    dealt = _sized(entries.repartition("t")).withColumn("rank", F.row_number().over(order))
+    own, side = (lambda c: F.col(c)), (lambda s: lambda c: F.col(s)[c])
     place_of = lambda side: F.struct(*(side(c).alias(c) for c in PLACE))
-    later = ranked.filter("rank > 1").withColumn("met", _near(x, y, threshold))
-    first = later.filter("met").select(
-        place_of(y).alias("y"), place_of(x).alias("x"), (F.col("rank") > 2).alias("spared"))
-    open_ = later.filter("not met and rank > 2").select("t", "rank", *fields).alias("a")
-    others = ranked.filter("rank > 1").select("t", "rank", *fields).alias("b")
+    ranked = dealt.withColumn("first", F.first(F.struct(*fields)).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
+        "last", F.lag(F.struct(*fields)).over(order)).filter("rank > 1")
+    held = ranked.withColumn("met_first", _near(side("first"), own, threshold)).withColumn(
+        "met_last", (F.col("rank") > 2) & _near(side("last"), own, threshold))
+    met = held.filter("met_first or met_last").select(place_of(own).alias("y"), F.explode(F.array_compact(F.array(
+        *(F.when(F.col(f"met_{s}"), place_of(side(s))) for s in ("first", "last"))))).alias("x")).distinct()
+    open_ = held.filter("not met_first and not met_last and rank > 3").select("t", "rank", *fields).alias("a")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    rest = open_.join(others, (a("t") == b("t")) & (b("rank") < a("rank")) & _near(b, a, threshold)).select(
-        place_of(a).alias("y"), place_of(b).alias("x"), F.lit(False).alias("spared"))
-    return first.unionByName(rest).groupBy("y", "x").agg(F.max("spared").alias("spared"))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Add `match` to pairs of places: whether the lines' words are as similar as asked."""
-    wanted = pairs.select(F.explode(F.array("y", "x")).alias("place"))
-    texts = lines.select(F.struct(*PLACE).alias("place"), "line")
-    there = texts.filter(_may_hold(_mark(wanted, "place"), "place"))
-    y, x = (there.select(F.col("place").alias(s), F.col("line").alias(f"{s}_line")) for s in ("y", "x"))
-    held = pairs.join(y, "y").join(x, "x").select(*pairs.columns, *(F.array_remove(F.array_distinct(_words(f"{side}_line")), "").alias(f"{side}_words")
-                        for side in ("y", "x")))
+    further = open_.join(dealt.filter("rank > 1").select("t", "rank", *fields).alias("b"),
+                         (a("t") == b("t")) & (b("rank") < a("rank")) & _near(b, a, threshold), "left_semi")
+    asked = further.select(place_of(own).alias("y")).distinct()
+    return met.unionByName(asked, allowMissingColumns=True)
+
+
+def _texts_at(places: DataFrame, lines: DataFrame) -> DataFrame:
+    """(place, line) of the lines at some places."""
+    texts = lines.select(F.struct(*PLACE).alias("place"), "line").filter(_may_hold(_mark(places, "place"), "place"))
+    return written(texts.join(places.distinct(), "place", "left_semi"), "line-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The lines (y) of pairs of places whose words are as similar as asked."""
+    y, x = (texts.select(F.col("place").alias(s), F.col("line").alias(f"{s}_line")) for s in ("y", "x"))
+    held = pairs.join(y, "y").join(x, "x").select("y", *(
+        F.array_remove(F.array_distinct(_words(f"{s}_line")), "").alias(f"{s}_words") for s in ("y", "x")))
     common = F.size(F.array_intersect("y_words", "x_words"))
     similar = common >= threshold * (F.size("y_words") + F.size("x_words") - common) - 1e-9
-    return held.select(*pairs.columns, similar.alias("match"))
+    return held.filter(similar).select("y").distinct()
+
+
+def _sketch(hashes: str) -> Column:
+    """A parity sketch of a line's words, by their hashes, in 1,024 bits."""
+    def part(j: Column) -> Column:
+        own = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(15)) == j)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return F.transform(F.array(*(F.lit(j) for j in range(16))), part)
+
+
+def _further(again: DataFrame, classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Those of some lines (y) that match any earlier line.
+
+    The earlier lines that any of them may match come from a semi join, without pairs. Both sides then
+    get a sketch of 1,024 bits, which leaves hardly more pairs than matches to be verified.
+    """
+    place, a, b = F.struct(*PLACE), (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    named = classes.withColumn("y", place)
+    own = named.filter(_may_hold(_mark(again, "y"), "y")).join(again, "y", "left_semi").drop("y")
+    asked = written(_entries(own), "line-asked")
+    n = F.shiftright("ni", 32)
+    reach = F.sequence(_octave(n * threshold - 1e-6), _octave(n / threshold + 1e-6))
+    reached = asked.select("t", F.explode(reach).alias("o")).select(F.xxhash64("t", "o").alias("at"))
+    known = _entries(classes).withColumn("at", F.xxhash64("t", _octave(n))).filter(
+        _may_hold(_mark(reached, "at"), "at")).drop("at")
+    meet = (a("t") == b("t")) & _earlier(b, a) & _near(b, a, threshold)
+    met = written(_sized(known).alias("b").join(_sized(asked).alias("a"), meet, "left_semi").select("b.*"), "line-known")
+    texts = _texts_at(again.select(F.col("y").alias("place")).unionByName(met.select(place.alias("place"))), lines)
+    sketches = written(texts.select("place", _hashes("line").alias("h")).select("place", _sketch("h").alias("s")), "line-sketches")
+    sketched = lambda entries: entries.withColumn("place", place).join(sketches, "place")
+    differ = F.aggregate(F.zip_with(a("s"), b("s"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, v: x + v)
+    pairs = sketched(_sized(asked)).alias("a").join(
+        sketched(met).alias("b"), meet & (differ <= _spare(a, b, threshold))).select(
+        a("place").alias("y"), b("place").alias("x")).distinct()
+    return _verified(pairs, texts, threshold)
 
 
 def kept_lines(df: DataFrame, row: str, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -181,27 +239,14 @@ def kept_lines(df: DataFrame, row: str, doc: str = "doc_id", text: str = "text",
     lines = lines_of(df, row, doc, text)
     texts = df.select(F.col(text).cast("string").alias("whole"))
     classes = written(_classes(texts, lines, threshold), "line-classes")
-    candidates = written(_pairs(_entries(classes), threshold), "line-candidates")
-    tried = written(_verified(candidates, lines, threshold), "line-pairs")
-    gone = tried.groupBy("y").agg(F.max("match").alias("match"), F.max("spared").alias("spared"))
-
-    # Lines that were held against the earliest line alone, and failed: now against all others.
+    candidates = written(_candidates(_entries(classes), threshold), "line-candidates")
+    pairs = candidates.filter("x IS NOT NULL")
+    texts = _texts_at(pairs.select(F.explode(F.array("y", "x")).alias("place")), lines)
+    met = written(_verified(pairs, texts, threshold), "line-matched")
+    # Lines that match neither a word's first line nor the one in front: now against all in front.
+    again = written(candidates.select("y").distinct().join(met, "y", "left_anti"), "line-again")
+    matched = met.unionByName(_further(again, classes, lines, threshold))
     place = F.struct(*PLACE)
-    again = gone.filter("spared and not match").select("y")
-    named = classes.withColumn("y", place).filter(_may_hold(_mark(again, "y"), "y"))
-    asked = _entries(named.join(again, "y", "left_semi"), "prefix")
-    known = _entries(classes, "prefix").filter(_may_hold(_mark(asked, "t"), "t"))
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    # A pair comes from the first word that both prefixes hold, and so once.
-    once = F.get(F.array_intersect(a("prefix"), b("prefix")), F.lit(0)) == a("t")
-    more = _sized(asked).alias("a").join(
-        _sized(known).alias("b"), (a("t") == b("t")) & _earlier(b, a) & _near(b, a, threshold) & once).select(
-        F.struct(*(a(c).alias(c) for c in PLACE)).alias("y"),
-        F.struct(*(b(c).alias(c) for c in PLACE)).alias("x"))
-    untried = written(more.join(tried.select("y", "x"), ["y", "x"], "left_anti"), "line-candidates")
-    late = _verified(untried, lines, threshold).filter("match")
-
-    matched = gone.filter("match").select("y").unionByName(late.select("y")).distinct()
     return classes.select(*PLACE, place.alias("y")).join(matched, "y", "left_anti").select(*PLACE)
 
 

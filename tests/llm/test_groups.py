@@ -164,6 +164,31 @@ def test_line_dedup_of_a_large_group_of_near_copies(spark, tmp_path):
         assert texts[i] == "\n".join(x for at, x in enumerate(text.split("\n")) if at in kept[i] or not x)
 
 
+def test_near_copies_behind_an_unlike_line_are_not_paired_with_each_other(spark, tmp_path, monkeypatch):
+    """The first line of each word's group matches none of the copies of another line."""
+    base, often = [f"w{i}" for i in range(20)], [f"c{i}" for i in range(10)]
+    rows = [(0, " ".join(base[:10] + often), None), (1, " ".join(base[10:] + often), None)]
+    for i in range(2, 300):
+        words = list(base)
+        words[i % 20] = f"u{i}"
+        rows.append((i, " ".join(words), None))
+    rows.append((300, " ".join(often * 2_000), None))
+    path, made, write = str(tmp_path / "d"), [], line_dedup.written
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1).write.parquet(path)
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        if name == "line-candidates":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    got = {r.doc_id: r.kept_lines for r in line_dedup.line_report(spark.read.parquet(path)).collect()}
+    kept = plain_kept(rows)
+    assert got == {i: ",".join(map(str, kept[i])) for i in range(len(rows))}
+    assert sum(made) < 10 * len(rows)
+
+
 @pytest.fixture()
 def other_splits(spark, monkeypatch):
     """After each write, scans are split another way, as when executors come or go."""
