@@ -2,9 +2,9 @@
 
 A line is its set of words. Sets are ordered rarest word first, so two sets of Jaccard similarity
 of at least t share a word within their prefixes of n - ceil(t n) + 1 words. Lines with equal sets
-are one class, named by its first line. Prefix words are joined; length, position and a 128-bit
-parity sketch (its differing bits cannot exceed the words that differ) prune; what is left is
-verified on the words themselves. A line goes if an earlier line matches it.
+are one class, named by its first line. Prefix words are joined, but for those that all texts use only once; length, position and a parity sketch
+of 128 bits, 64 for short lines (its differing bits cannot exceed the words that differ) prune; what is
+left is verified on the words themselves. A line goes if an earlier line matches it.
 
 Near copies of one line would match each other in numbers that grow with the square of the group.
 So within a prefix word each line is first held against the group's earliest line and the one in front
@@ -21,16 +21,19 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.shared import fresh, let, placed, written
 
-#: Word counts are kept in this many buckets, whatever the corpus; an even power of two.
-BUCKETS = 1 << 20
+#: Word counts are kept in this many buckets of a byte, whatever the corpus; a power of two. Words that
+#: share a bucket all look as common as the bucket, so there should be more buckets than words.
+BUCKETS = 1 << 23
+#: Lines of at most this many words get along with a sketch of 64 bits.
+SHORT = 48
 #: 64-bit words of the filters for lines and prefix words to look at again.
-FILTER_WORDS = 1 << 18
+FILTER_WORDS = 1 << 19
 PLACE = ["d", "r", "ln"]
 
 
 def _words(text: str) -> Column:
     """What stands between blanks; two blanks in a row leave an empty word."""
-    return F.split(F.translate(text, "\n\t\x0b\x0c\r", "     "), " ")
+    return F.split(text, "[ \\t\\n\\x0B\\f\\r]", -1)
 
 
 def _hashes(line: str) -> Column:
@@ -48,12 +51,22 @@ def lines_of(df: DataFrame, row: str, doc: str, text: str) -> DataFrame:
 
 def _dense(values: DataFrame, size: int, default: Column) -> Column:
     """Values (b, v) as an array by b, worked out once and shared by all tasks: `size` entries,
-    put together from 1,024 strips."""
+    put together from 1,024 strips, whose gaps between the values that exist are filled."""
     strip = size // 1024
-    filled = values.sparkSession.range(size).withColumnRenamed("id", "b").join(values, "b", "left").select(
-        F.col("b"), F.coalesce("v", default).alias("v"))
-    strips = filled.groupBy(F.floor(F.col("b") / strip).alias("s")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda x: x["v"]).alias("a"))
+    known = values.groupBy(F.floor(F.col("b") / strip).alias("s")).agg(
+        F.sort_array(F.collect_list(F.struct("b", "v"))).alias("x"))
+    start = F.col("s") * strip
+
+    def gap(since: Column, until: Column) -> Column:
+        return F.array_repeat(default, (until - since).cast("int"))
+
+    def filled(x: Column, i: Column) -> Column:
+        since = F.coalesce(F.get("x", i - 1)["b"] + 1, start)
+        return F.concat(gap(since, x["b"]), F.array(F.coalesce(x["v"], default)))
+
+    rest = gap(F.coalesce(F.get("x", F.size("x") - 1)["b"] + 1, start), start + strip)
+    strips = values.sparkSession.range(1024).withColumnRenamed("id", "s").join(known, "s", "left").select(
+        "s", F.concat(F.coalesce(F.flatten(F.transform("x", filled)), F.array_repeat(default, 0)), rest).alias("a"))
     return strips.agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("s", "a"))), lambda x: x["a"])).alias("a")).scalar()
 
@@ -86,6 +99,7 @@ def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
     def key(h: Column) -> Column:
         step = F.get(F.col("common"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        step = F.coalesce(step, F.lit(0).cast("long"))  # never null: such arrays are sorted as numbers
         return F.shiftleft(step, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     def parity(bit) -> Column:
@@ -95,10 +109,12 @@ def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
     hashed = lines.select(*PLACE, _hashes("line").alias("h"), common.alias("common"))
     keyed = hashed.select(*PLACE, F.sort_array(F.transform("h", key)).alias("k")).filter(F.size("k") > 0)
-    # One half of the words' bits, and all of them; their difference is the other half.
-    half = parity(lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)))
-    whole = parity(lambda k: F.lit(1).cast("long"))
+    # One half of the words' bits, and all of them; their difference is the other half. The half of a short
+    # line is empty, so both together are the whole for any line.
     n = F.size("k")
+    half = F.when(n > SHORT, parity(lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)))).otherwise(
+        F.lit(0).cast("long"))
+    whole = parity(lambda k: F.lit(1).cast("long"))
     prefix = F.slice("k", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     sized = keyed.select(F.xxhash64("k").alias("id"), F.struct(
         *PLACE, n.alias("n"), whole.alias("b1"), half.alias("b2"), prefix.alias("prefix")).alias("c"))
@@ -107,8 +123,12 @@ def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """One row per class and prefix word: t at place i of the class's n words."""
-    entries = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("i", "t"))
+    """One row per class and prefix word: t at place i of the class's n words.
+
+    A word whose bucket counts one use in all texts, its step being 0, is in no other line.
+    """
+    entries = classes.select(*PLACE, "n", "b1", "b2", F.posexplode("prefix").alias("i", "t")).filter(
+        F.shiftrightunsigned("t", 57) > 0)
     # Both counts in one number: these rows are most of what is moved. None of the values is null;
     # said so, all uses of these rows have one plan and share one exchange.
     counts = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
@@ -139,7 +159,9 @@ def _spare(x, y, threshold: float) -> Column:
 def _near(x, y, threshold: float) -> Column:
     """Length, position and sketch allow that two entries' lines match."""
     rest = F.least(x("i"), y("i")) + F.least(x("n") - x("i"), y("n") - y("i"))
-    differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
+    b1, b2 = x("b1").bitwiseXOR(y("b1")), x("b2").bitwiseXOR(y("b2"))
+    differ = F.when(F.least(x("n"), y("n")) > SHORT, F.bit_count(b1) + F.bit_count(b2)).otherwise(
+        F.bit_count(b1.bitwiseXOR(b2)))
     return ((F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * threshold - 1e-9)
             & (rest >= _overlap(x, y, threshold)) & (differ <= _spare(x, y, threshold)))
 
@@ -215,8 +237,9 @@ def _further(again: DataFrame, classes: DataFrame, lines: DataFrame, threshold:
     n = F.shiftright("ni", 32)
     reach = F.sequence(_octave(n * threshold - 1e-6), _octave(n / threshold + 1e-6))
     reached = asked.select("t", F.explode(reach).alias("o")).select(F.xxhash64("t", "o").alias("at"))
+    # By word alone, too: there are far fewer of them than of words and octaves, which fill a filter soon.
     known = _entries(classes).withColumn("at", F.xxhash64("t", _octave(n))).filter(
-        _may_hold(_mark(reached, "at"), "at")).drop("at")
+        _may_hold(_mark(asked, "t"), "t") & _may_hold(_mark(reached, "at"), "at")).drop("at")
     meet = (a("t") == b("t")) & _earlier(b, a) & _near(b, a, threshold)
     met = written(_sized(known).alias("b").join(_sized(asked).alias("a"), meet, "left_semi").select("b.*"), "line-known")
     texts = _texts_at(again.select(F.col("y").alias("place")).unionByName(met.select(place.alias("place"))), lines)

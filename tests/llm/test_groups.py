@@ -189,6 +189,43 @@ def test_near_copies_behind_an_unlike_line_are_not_paired_with_each_other(spark,
     assert sum(made) < 10 * len(rows)
 
 
+def test_words_that_are_used_once_are_not_dealt_out(spark, tmp_path):
+    """Lines of own words and two common ones: only the common words may be met in another line."""
+    rows = [(i, " ".join([*(f"own{i}x{k}" for k in range(30)), "a", "b"]), None) for i in range(200)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1).write.parquet(path)
+    named = shared.placed(spark.read.parquet(path), "row")
+    classes = line_dedup._classes(named.select(F.col("text").alias("whole")),
+                                  line_dedup.lines_of(named, "row", "doc_id", "text"), 0.8)
+    assert classes.count() == 200
+    assert line_dedup._entries(classes).count() < 20  # 1,400 prefix words, a few of which share a bucket
+
+
+def test_short_and_long_lines_are_compared_by_sketches_of_their_own(spark, tmp_path):
+    """Pairs on both sides of the length from which sketches have 128 bits, in either order."""
+    draw, rows = random.Random(17), []
+    for i in range(160):
+        words = [f"s{i % 40}w{k}" for k in range(line_dedup.SHORT + draw.randint(-6, 6))]
+        for _ in range(draw.randint(0, 7)):
+            words[draw.randrange(len(words))] = f"d{draw.randint(0, 99)}"
+        rows.append((i, " ".join(words), None))
+    path = str(tmp_path / "d")
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {r.doc_id: r.kept_lines for r in line_dedup.line_report(spark.read.parquet(path)).collect()}
+    kept = plain_kept(rows)
+    assert got == {i: ",".join(map(str, kept[i])) for i in range(len(rows))}
+    assert 40 < sum(bool(x) for x in got.values()) < 160
+
+
+def test_values_with_gaps_become_an_array_without(spark):
+    at = {0: 5, 1: 6, 1_023: 7, 5_000: 8, 8_190: 9}
+    values = spark.createDataFrame(list(at.items()), "b long, v long")
+    array = spark.range(1).select(line_dedup._dense(values, 8_192, F.lit(0).cast("long")).alias("a")).first().a
+    assert array == [at.get(i, 0) for i in range(8_192)]
+    array = spark.range(1).select(line_dedup._dense(values.limit(0), 8_192, F.lit(3).cast("long")).alias("a")).first().a
+    assert array == [3] * 8_192
+
+
 @pytest.fixture()
 def other_splits(spark, monkeypatch):
     """After each write, scans are split another way, as when executors come or go."""
