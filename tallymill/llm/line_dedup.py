@@ -7,9 +7,9 @@ of 128 bits, 64 for short lines (its differing bits cannot exceed the words that
 left is verified on the words themselves. A line goes if an earlier line matches it.
 
 Near copies of one line would match each other in numbers that grow with the square of the group.
-So within a prefix word each line is first held against the group's earliest line and the one in front
-of it. Of those that match neither, a semi join finds the ones that may match another line in front; these
-few are held against all lines in front, by a sketch of 1,024 bits before the words.
+So within a prefix word a semi join, which lists no pairs, keeps the lines that may match any other. Each of
+them is held against the first of them and the one in front of it. Those that match neither are held against all
+lines in front, by a sketch of 1,024 bits before the words.
 """
 
 from __future__ import annotations
@@ -24,16 +24,21 @@ from tallymill.llm.shared import fresh, let, placed, written
 #: Word counts are kept in this many buckets of a byte, whatever the corpus; a power of two. Words that
 #: share a bucket all look as common as the bucket, so there should be more buckets than words.
 BUCKETS = 1 << 23
-#: Lines of at most this many words get along with a sketch of 64 bits.
-SHORT = 48
+#: Lines of at most this many words get along with a sketch of 64 bits: at most 17 may differ in two lines
+#: of 80 words that match, 32 do in lines that have nothing in common.
+SHORT = 80
 #: 64-bit words of the filters for lines and prefix words to look at again.
 FILTER_WORDS = 1 << 19
 PLACE = ["d", "r", "ln"]
 
 
 def _words(text: str) -> Column:
-    """What stands between blanks; two blanks in a row leave an empty word."""
-    return F.split(text, "[ \\t\\n\\x0B\\f\\r]", -1)
+    """What stands between blanks; two blanks in a row leave an empty word.
+
+    Where space is the only blank, no regular expression is needed.
+    """
+    others = reduce(lambda a, b: a | b, (F.contains(F.col(text), F.lit(x)) for x in "\t\n\x0b\f\r"))
+    return F.when(others, F.split(text, "[ \\t\\n\\x0B\\f\\r]", -1)).otherwise(F.split(text, " ", -1))
 
 
 def _hashes(line: str) -> Column:
@@ -92,7 +97,8 @@ def _may_hold(filter_: Column, column: str) -> Column:
 def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """One row per set of words: its first place, n, two parity sketches and its prefix."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
-    counts = texts.select(F.explode(_words("whole")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    spaced = texts.select(F.replace("whole", F.lit("\n"), F.lit(" ")).alias("whole"))
+    counts = spaced.select(F.explode(_words("whole")).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     # Quarter octaves of a bucket's count: 64 steps from rare to common.
     steps = counts.select("b", F.least(F.lit(63), F.floor(4 * F.log2("n"))).cast("tinyint").alias("v"))
     common = _dense(steps, BUCKETS, F.lit(0).cast("tinyint"))
@@ -107,8 +113,10 @@ def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
         return F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function(
             "shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
-    hashed = lines.select(*PLACE, _hashes("line").alias("h"), common.alias("common"))
-    keyed = hashed.select(*PLACE, F.sort_array(F.transform("h", key)).alias("k")).filter(F.size("k") > 0)
+    # One lambda for each word, which is what costs time; keys are made distinct and sorted as plain numbers.
+    worded = lines.select(*PLACE, F.array_remove(_words("line"), "").alias("w"), common.alias("common"))
+    keys = F.sort_array(F.array_distinct(F.transform("w", lambda w: key(F.xxhash64(w)))))
+    keyed = worded.select(*PLACE, keys.alias("k"))
     # One half of the words' bits, and all of them; their difference is the other half. The half of a short
     # line is empty, so both together are the whole for any line.
     n = F.size("k")
@@ -118,7 +126,8 @@ def _classes(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     prefix = F.slice("k", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     sized = keyed.select(F.xxhash64("k").alias("id"), F.struct(
         *PLACE, n.alias("n"), whole.alias("b1"), half.alias("b2"), prefix.alias("prefix")).alias("c"))
-    return sized.groupBy("id").agg(F.min("c").alias("c")).select("c.*").withColumn(
+    # Lines without words are one set; asked before the sets are grouped, their words would be worked out twice.
+    return sized.groupBy("id").agg(F.min("c").alias("c")).select("c.*").filter("n > 0").withColumn(
         "b1", F.col("b1").bitwiseXOR(F.col("b2")))
 
 
@@ -141,11 +150,6 @@ def _sized(entries: DataFrame) -> DataFrame:
     return entries.withColumn("n", F.shiftright("ni", 32)).withColumn("i", F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def _octave(n: Column) -> Column:
-    """Eighth octaves of a number of words: a line's matches lie in a few of them."""
-    return F.floor(8 * F.log2(n)).cast("long")
-
-
 def _overlap(x, y, threshold: float) -> Column:
     """Words that two lines must share to match."""
     return F.ceil((x("n") + y("n")) * (threshold / (1 + threshold)) - 1e-9)
@@ -170,32 +174,34 @@ def _earlier(x, y) -> Column:
     return reduce(lambda after, c: (x(c) < y(c)) | ((x(c) == y(c)) & after), reversed(PLACE), F.lit(False))
 
 
-def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (y, x) of places that may match, at most two for a line and word, and as (y, null) the lines
-    that may match one further inside a group.
+def _paired(entries: DataFrame, threshold: float) -> DataFrame:
+    """The entries that may match any other of their group, each with its rank among them and the places
+    of the first (x1) and the one in front of it (x2), where it may match these.
 
-    Words are dealt out once. A group passes by in order of place, never held as a whole: each line sees
-    the group's first and the one in front of it. Lines that may match neither are asked, by a semi join
-    that stops at the first hit, whether any line in front of them may.
+    Words are dealt out once. A semi join, which stops at the first hit, finds these entries; the few that
+    are left pass by in order of place, never held as a whole.
     """
     order = Window.partitionBy("t").orderBy(*PLACE)
     fields = [*PLACE, "n", "i", "b1", "b2"]
-    dealt = _sized(entries.repartition("t")).withColumn("rank", F.row_number().over(order))
     own, side = (lambda c: F.col(c)), (lambda s: lambda c: F.col(s)[c])
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     place_of = lambda side: F.struct(*(side(c).alias(c) for c in PLACE))
-    ranked = dealt.withColumn("first", F.first(F.struct(*fields)).over(
+    dealt = _sized(entries.repartition("t"))
+    other = reduce(lambda p, q: p | q, (a(c) != b(c) for c in PLACE))
+    paired = dealt.alias("a").join(dealt.alias("b"), (a("t") == b("t")) & other & _near(b, a, threshold), "left_semi")
+    ranked = paired.withColumn("rank", F.row_number().over(order)).withColumn("first", F.first(F.struct(*fields)).over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
-        "last", F.lag(F.struct(*fields)).over(order)).filter("rank > 1")
-    held = ranked.withColumn("met_first", _near(side("first"), own, threshold)).withColumn(
-        "met_last", (F.col("rank") > 2) & _near(side("last"), own, threshold))
-    met = held.filter("met_first or met_last").select(place_of(own).alias("y"), F.explode(F.array_compact(F.array(
-        *(F.when(F.col(f"met_{s}"), place_of(side(s))) for s in ("first", "last"))))).alias("x")).distinct()
-    open_ = held.filter("not met_first and not met_last and rank > 3").select("t", "rank", *fields).alias("a")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    further = open_.join(dealt.filter("rank > 1").select("t", "rank", *fields).alias("b"),
-                         (a("t") == b("t")) & (b("rank") < a("rank")) & _near(b, a, threshold), "left_semi")
-    asked = further.select(place_of(own).alias("y")).distinct()
-    return met.unionByName(asked, allowMissingColumns=True)
+        "last", F.lag(F.struct(*fields)).over(order))
+    x1 = F.when((F.col("rank") > 1) & _near(side("first"), own, threshold), place_of(side("first")))
+    x2 = F.when((F.col("rank") > 2) & _near(side("last"), own, threshold), place_of(side("last")))
+    return ranked.select("t", *PLACE, "ni", "b1", "b2", "rank", x1.alias("x1"), x2.alias("x2"))
+
+
+def _candidates(paired: DataFrame) -> DataFrame:
+    """Pairs (y, x) of places that may match, at most two for a line and word, and as (y, null) lines that
+    may match one further in front: those behind the third of a word that may match neither of both."""
+    return paired.filter("x1 IS NOT NULL OR x2 IS NOT NULL OR rank > 3").select(
+        F.struct(*PLACE).alias("y"), F.explode(F.array("x1", "x2")).alias("x")).distinct()
 
 
 def _texts_at(places: DataFrame, lines: DataFrame) -> DataFrame:
@@ -207,43 +213,41 @@ def _texts_at(places: DataFrame, lines: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The lines (y) of pairs of places whose words are as similar as asked."""
     y, x = (texts.select(F.col("place").alias(s), F.col("line").alias(f"{s}_line")) for s in ("y", "x"))
-    held = pairs.join(y, "y").join(x, "x").select("y", *(
-        F.array_remove(F.array_distinct(_words(f"{s}_line")), "").alias(f"{s}_words") for s in ("y", "x")))
-    common = F.size(F.array_intersect("y_words", "x_words"))
-    similar = common >= threshold * (F.size("y_words") + F.size("x_words") - common) - 1e-9
-    return held.filter(similar).select("y").distinct()
+    words = F.struct(*(F.array_remove(F.array_distinct(_words(f"{s}_line")), "").alias(s) for s in ("y", "x")))
 
+    def similar(words: Column) -> Column:
+        return let(F.size(F.array_intersect(words["y"], words["x"])), lambda common: common >= threshold * (
+            F.size(words["y"]) + F.size(words["x"]) - common) - 1e-9)
 
-def _sketch(hashes: str) -> Column:
-    """A parity sketch of a line's words, by their hashes, in 1,024 bits."""
-    def part(j: Column) -> Column:
-        own = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(15)) == j)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    # Bound by `let`, both lines are split once, however often the condition names their words.
+    return pairs.join(y, "y").join(x, "x").filter(let(words, similar)).select("y").distinct()
 
-    return F.transform(F.array(*(F.lit(j) for j in range(16))), part)
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(place, s) of the lines with words: a parity sketch of the words, by their hashes, in 1,024 bits."""
+    none, h = F.lit(0).cast("long"), F.col("h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    part = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(15))
+    own = texts.select("place", F.explode(_hashes("line")).alias("h")).groupBy("place").agg(
+        *(F.bit_xor(F.when(part == j, bit).otherwise(none)).alias(f"s{j}") for j in range(16)))
+    return own.select("place", F.array(*(f"s{j}" for j in range(16))).alias("s"))
 
 
-def _further(again: DataFrame, classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+def _further(again: DataFrame, paired: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Those of some lines (y) that match any earlier line.
 
     The earlier lines that any of them may match come from a semi join, without pairs. Both sides then
     get a sketch of 1,024 bits, which leaves hardly more pairs than matches to be verified.
     """
     place, a, b = F.struct(*PLACE), (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    named = classes.withColumn("y", place)
-    own = named.filter(_may_hold(_mark(again, "y"), "y")).join(again, "y", "left_semi").drop("y")
-    asked = written(_entries(own), "line-asked")
-    n = F.shiftright("ni", 32)
-    reach = F.sequence(_octave(n * threshold - 1e-6), _octave(n / threshold + 1e-6))
-    reached = asked.select("t", F.explode(reach).alias("o")).select(F.xxhash64("t", "o").alias("at"))
-    # By word alone, too: there are far fewer of them than of words and octaves, which fill a filter soon.
-    known = _entries(classes).withColumn("at", F.xxhash64("t", _octave(n))).filter(
-        _may_hold(_mark(asked, "t"), "t") & _may_hold(_mark(reached, "at"), "at")).drop("at")
+    entries = paired.select("t", *PLACE, "ni", "b1", "b2", "rank")
+    own = entries.filter("rank > 1").withColumn("y", place).filter(_may_hold(_mark(again, "y"), "y"))
+    asked = written(own.join(again, "y", "left_semi").drop("y", "rank"), "line-asked")
+    known = entries.drop("rank").filter(_may_hold(_mark(asked, "t"), "t"))
     meet = (a("t") == b("t")) & _earlier(b, a) & _near(b, a, threshold)
     met = written(_sized(known).alias("b").join(_sized(asked).alias("a"), meet, "left_semi").select("b.*"), "line-known")
     texts = _texts_at(again.select(F.col("y").alias("place")).unionByName(met.select(place.alias("place"))), lines)
-    sketches = written(texts.select("place", _hashes("line").alias("h")).select("place", _sketch("h").alias("s")), "line-sketches")
+    sketches = written(_sketches(texts), "line-sketches")
     sketched = lambda entries: entries.withColumn("place", place).join(sketches, "place")
     differ = F.aggregate(F.zip_with(a("s"), b("s"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, v: x + v)
     pairs = sketched(_sized(asked)).alias("a").join(
@@ -262,13 +266,14 @@ def kept_lines(df: DataFrame, row: str, doc: str = "doc_id", text: str = "text",
     lines = lines_of(df, row, doc, text)
     texts = df.select(F.col(text).cast("string").alias("whole"))
     classes = written(_classes(texts, lines, threshold), "line-classes")
-    candidates = written(_candidates(_entries(classes), threshold), "line-candidates")
+    paired = written(_paired(_entries(classes), threshold), "line-paired")
+    candidates = written(_candidates(paired), "line-candidates")
     pairs = candidates.filter("x IS NOT NULL")
     texts = _texts_at(pairs.select(F.explode(F.array("y", "x")).alias("place")), lines)
     met = written(_verified(pairs, texts, threshold), "line-matched")
     # Lines that match neither a word's first line nor the one in front: now against all in front.
     again = written(candidates.select("y").distinct().join(met, "y", "left_anti"), "line-again")
-    matched = met.unionByName(_further(again, classes, lines, threshold))
+    matched = met.unionByName(_further(again, paired, lines, threshold))
     place = F.struct(*PLACE)
     return classes.select(*PLACE, place.alias("y")).join(matched, "y", "left_anti").select(*PLACE)
 

@@ -201,6 +201,46 @@ def test_words_that_are_used_once_are_not_dealt_out(spark, tmp_path):
     assert line_dedup._entries(classes).count() < 20  # 1,400 prefix words, a few of which share a bucket
 
 
+def test_words_of_a_line_are_worked_out_once(spark, tmp_path, capsys):
+    """A filter on a line's keys would be pushed below them and split, hash and sort its words again."""
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(1, "a b\n\nc d")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    named = shared.placed(spark.read.parquet(path), "row")
+    classes = line_dedup._classes(named.select(F.col("text").alias("whole")),
+                                  line_dedup.lines_of(named, "row", "doc_id", "text"), 0.8)
+    assert classes.count() == 2
+    capsys.readouterr()
+    classes.explain("simple")
+    filters = [x for x in capsys.readouterr().out.split("\n") if "Filter" in x]
+    assert filters and not any("lambda" in x for x in filters)
+
+
+def test_only_entries_that_may_match_another_are_put_in_order(spark, tmp_path):
+    """Lines that share a rare word, but little else, and two that match."""
+    rows = [(i, " ".join([f"g{i % 4}", *(f"u{i % 99}x{k}" for k in range(9))])) for i in range(100)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    named = shared.placed(spark.read.parquet(path), "row")
+    classes = line_dedup._classes(named.select(F.col("text").alias("whole")),
+                                  line_dedup.lines_of(named, "row", "doc_id", "text"), 0.8)
+    paired = line_dedup._paired(line_dedup._entries(classes), 0.8).collect()
+    assert {r.d for r in paired} == {0, 99}
+    assert all((r["rank"], r.x1 and r.x1.d) in ((1, None), (2, 0)) for r in paired)
+
+
+def test_lines_with_any_blanks_have_the_same_words(spark, tmp_path):
+    """Lines with spaces alone are split another way than lines with other blanks."""
+    words = [f"w{i}" for i in range(9)]
+    odd = ["\t", "\x0b", "\x0c", "\r", "  ", " \t ", "\u00a0", "\u2003", "\x85", "\x1c", "|"]
+    rows = [(0, " ".join(words), None)] + [(i + 1, x + x.join([*words[:8], f"v{i}"]) + x, None) for i, x in enumerate(odd)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {r.doc_id: r.kept_lines for r in line_dedup.line_report(spark.read.parquet(path)).collect()}
+    kept = plain_kept(rows)
+    assert got == {i: ",".join(map(str, kept[i])) for i in range(len(rows))}
+    assert [i for i in got if not got[i]] == [1, 2, 3, 4, 5, 6]
+
+
 def test_short_and_long_lines_are_compared_by_sketches_of_their_own(spark, tmp_path):
     """Pairs on both sides of the length from which sketches have 128 bits, in either order."""
     draw, rows = random.Random(17), []
