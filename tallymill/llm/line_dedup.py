@@ -265,7 +265,8 @@ def kept_lines(df: DataFrame, row: str, doc: str = "doc_id", text: str = "text",
     """
     lines = lines_of(df, row, doc, text)
     texts = df.select(F.col(text).cast("string").alias("whole"))
-    classes = written(_classes(texts, lines, threshold), "line-classes")
+    # In order of place, neighbours' places are alike, which makes the rows that are dealt out compress better.
+    classes = written(_classes(texts, lines, threshold).sortWithinPartitions(*PLACE), "line-classes")
     paired = written(_paired(_entries(classes), threshold), "line-paired")
     candidates = written(_candidates(paired), "line-candidates")
     pairs = candidates.filter("x IS NOT NULL")
